@@ -15,9 +15,13 @@ only classes meet each other.
    member first meets one hub (the smallest class of a list; the hub with most
    common prefix shingles), verified pairs are contracted to components, and
    lists whose members are in one component by then are settled.  A second
-   round picks other hubs.  What is left is done in full: every pair of
-   different components within an unsettled list.  No link between different
-   components can be missed, and copies are never expanded into all pairs.
+   round picks other hubs.  What is left is done in full.  Lists of at most
+   ``SHORT_LIST`` classes yield the pairs of different components.  Longer
+   lists are cut into blocks of bounded size; two blocks meet in one task,
+   which gets all intersections at once as a product of incidence matrices and
+   returns a spanning set of the links only.  Lists with equal members are
+   done once.  No link between different components can be missed, and copies
+   are never expanded into all pairs.
 4. Every pair passes the length filter, the positional filter (common prefix
    shingles plus what can follow the last of them) and the suffix filter (the
    sets' counts over a fixed partition of the shingle space bound the Hamming
@@ -54,6 +58,10 @@ SKETCH_BITS = 24
 _CHUNK = 1 << 16
 #: Parts of the shingle space that the suffix filter counts over.
 PARTS = 32
+SHORT_LIST = 32
+#: Bounds of a block of a longer list: shingles and sets.
+BLOCK_SHINGLES = 400_000
+BLOCK_SETS = 2_000
 _SEEDS = (0x8CB92BA72F3D8DD7, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
@@ -95,6 +103,11 @@ def set_name(s: np.ndarray) -> int:
         return int(mix(np.array([a * np.uint64(_SEEDS[2] | 1) + b * np.uint64(3) + np.uint64(len(s))], np.uint64))[0].astype(np.int64))
 
 
+def part_counts(s: np.ndarray) -> np.ndarray:
+    """Shingles in each part of the shingle space, cut off at the largest short: differences of these never exceed the true ones."""
+    return np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=PARTS), 32767).astype(np.int16)
+
+
 def _least(n, percent):
     """ceil(percent n / 100)."""
     return -(-percent * n // 100)
@@ -107,25 +120,33 @@ def _survey(width: int, sketch_bits: int):
         sketch = np.zeros(1 << sketch_bits, np.uint8)
         shift = np.uint64(64 - sketch_bits)
         for batch in batches:
-            names, sizes = [], []
+            names, sizes, parts = [], [], []
             for _, _, data, offs in blocks(batch.column("text")):
                 sets = shingle_sets(data, offs, width)
                 names += [set_name(s) for s in sets]
                 sizes += [len(s) for s in sets]
+                parts += [part_counts(s) for s in sets]
                 at, n = np.unique(np.concatenate(sets) >> shift, return_counts=True)
                 at = at.astype(np.int64)
                 sketch[at] = np.minimum(sketch[at].astype(np.int64) + n, 255)
             k = len(names)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                names=["doc_id", "cls", "n", "chunk", "counts"],
+                [
+                    batch.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, k * PARTS + 1, PARTS, dtype=np.int32)), pa.array(np.concatenate([*parts, np.zeros(0, np.int16)]))),
+                    pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
+                ],
+                names=["doc_id", "cls", "n", "parts", "chunk", "counts"],
             )
         for c in range(0, len(sketch), _CHUNK):
             part = sketch[c : c + _CHUNK]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([c // _CHUNK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
-                    names=["doc_id", "cls", "n", "chunk", "counts"],
+                    [
+                        *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.list_(pa.int16())),
+                        pa.array([c // _CHUNK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()),
+                    ],
+                    names=["doc_id", "cls", "n", "parts", "chunk", "counts"],
                 )
 
     return run
@@ -151,7 +172,7 @@ def _prefixes(width: int, percent: int, sketch_bits: int, sketch):
         shift = np.uint64(64 - sketch_bits)
         for batch in batches:
             for _, _, data, offs in blocks(batch.column("text")):
-                tokens, names, sizes, places = [], [], [], []
+                tokens, names, places = [], [], []
                 for s in shingle_sets(data, offs, width):
                     n = len(s)
                     if not n:
@@ -161,38 +182,66 @@ def _prefixes(width: int, percent: int, sketch_bits: int, sketch):
                     first = np.argsort(level, kind="stable")[:p]  # s is sorted, so ties go by hash
                     tokens.append(s[first].astype(np.int64))
                     names.append(np.full(p, set_name(s), np.int64))
-                    sizes.append(np.full(p, n, np.int32))
                     places.append(np.arange(p, dtype=np.int32))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in (tokens, names, sizes, places)], names=["token", "cls", "n", "pos"]
+                        [pa.array(np.concatenate(x)) for x in (tokens, names, places)], names=["token", "cls", "pos"]
                     )
 
     return run
 
 
 def _whole_sets(width: int):
-    """The whole set of every document with its counts over the parts."""
+    """The whole set of every document."""
 
     def run(batches):
         for batch in batches:
             for _, _, data, offs in blocks(batch.column("text")):
                 sets = shingle_sets(data, offs, width)
-                parts = [np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=PARTS).astype(np.int32) for s in sets]
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([set_name(s) for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * PARTS + 1, PARTS, dtype=np.int32)), pa.array(np.concatenate(parts))),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
-                    ],
-                    names=["cls", "parts", "shingles"],
+                    [pa.array([set_name(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).astype(np.int64)))],
+                    names=["cls", "shingles"],
                 )
 
     return run
 
 
+def block_links(cls: np.ndarray, root: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that join the roots of the given classes: a spanning set, no pair within a root."""
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    shingle, code, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = seen[code] > 1  # a shingle of one set is in no intersection
+    owner, code = owner[often], code[often]
+    by = np.argsort(code, kind="stable")
+    owner, code = owner[by], code[by]
+    column = np.cumsum(np.concatenate([[0], np.diff(code) > 0])) if len(code) else code
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        common += part @ part.T
+    _, group = np.unique(root, return_inverse=True)
+    fits = ((100 + percent) * common.astype(np.float64) >= percent * (n[:, None] + n[None, :])) & (group[:, None] < group[None, :])
+    lead = list(range(int(group.max(initial=0)) + 1))
+
+    def top(x: int) -> int:
+        while lead[x] != x:
+            lead[x] = lead[lead[x]]
+            x = lead[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(fits)):
+        a, b = top(group[i]), top(group[j])
+        if a != b:
+            lead[b] = a
+            out.append((int(cls[i]), int(cls[j])))
+    return out
+
+
 class _Join:
     def __init__(self, docs: DataFrame, width: int, percent: int, sketch_bits: int):
         self.docs = docs.select("doc_id", "text")
@@ -204,10 +253,12 @@ class _Join:
         return (100 + self.percent) * common >= self.percent * (n + m)
 
     def survey(self) -> None:
-        schema = "doc_id bigint, cls bigint, n bigint, chunk int, counts binary"
+        schema = "doc_id bigint, cls bigint, n bigint, parts array<smallint>, chunk int, counts binary"
         survey = materialize(self.docs.mapInArrow(_survey(self.width, self.sketch_bits), schema), "jaccard-survey")
         self.survey_table = survey
-        self.meta = survey.filter("chunk is null").select("doc_id", "cls", "n")
+        rows = survey.filter("chunk is null")
+        self.meta = rows.select("doc_id", "cls", "n")
+        self.classes = rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
         chunks = survey.filter("chunk is not null").select("chunk", "counts")
         merged = chunks.repartition(64, "chunk").mapInArrow(_merge_chunks, "chunk int, levels binary")
         levels = np.zeros(1 << self.sketch_bits, np.uint8)
@@ -222,108 +273,143 @@ class _Join:
         known = self.meta.join(many, "cls", "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).alias("copy"))
         self.copies = materialize(known.filter("copy").select("doc_id"), "jaccard-copies")
         own = self.docs.join(maybe_broadcast(self.copies, self.copies.count()), "doc_id", "left_anti").select("text")
-        entries = own.mapInArrow(_prefixes(self.width, self.percent, self.sketch_bits, self.sketch), "token bigint, cls bigint, n int, pos int")
+        entries = own.mapInArrow(_prefixes(self.width, self.percent, self.sketch_bits, self.sketch), "token bigint, cls bigint, pos int")
         entries = materialize(entries, "jaccard-entries")
-        lists = (
-            entries.groupBy("token").agg(F.min(F.struct("cls", "n", "pos")).alias("hub"), F.max("cls").alias("last"))
-            .filter(F.col("hub.cls") != F.col("last"))
-            .select("token", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
-        )
+        lists = entries.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub != last").select("token", "hub")
         lists = materialize(lists, "jaccard-lists")
-        self.shared = materialize(entries.join(maybe_broadcast(lists, lists.count()), "token"), "jaccard-shared")
+        found = materialize(entries.join(maybe_broadcast(lists, lists.count()), "token"), "jaccard-found")
         discard(entries, lists)
+        used = materialize(self.classes.join(found.select("cls").distinct(), "cls"), "jaccard-classes")
+        self.classes = used
+        self.shared = materialize(found.join(used.select("cls", "n"), "cls"), "jaccard-shared")
+        discard(found)
+
+    def apart(self, x, y):
+        """Lower bound of the Hamming distance of two sets from their part counts."""
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q).cast("int")), F.lit(0), lambda s, d: s + d)
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, votes) from rows (a, n, pos, b, m, pos_b): length and positional filter."""
+        """(a, b, n, m, votes) from rows (a, n, pos, b, m, pos_b): length, positional and suffix filter."""
         n, m = F.col("n"), F.col("m")
         close = pairs.filter((100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (F.col("a") != F.col("b")))
         grouped = close.groupBy("a", "b").agg(
             F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("m").alias("m"), F.max("pos").alias("pos"), F.max("pos_b").alias("pos_b")
         )
         rest = F.least(n - F.col("pos"), m - F.col("pos_b")) - 1
-        return grouped.filter(self.enough(F.col("votes") + rest, n, m)).select("a", "b", "n", "m", "votes")
-
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """Whole sets of the classes in ``pairs``, one row a class."""
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        ids = self.meta.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls").select("doc_id")
+        placed = grouped.filter(self.enough(F.col("votes") + rest, n, m))
+        x = self.classes.select(F.col("cls").alias("a"), F.col("parts").alias("parts_a"))
+        y = self.classes.select(F.col("cls").alias("b"), F.col("parts").alias("parts_b"))
+        both = placed.join(x, "a").join(y, "b")
+        return both.filter(self.enough((n + m - self.apart("parts_a", "parts_b")) / 2, n, m)).select("a", "b", "n", "m", "votes")
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """Whole sets of the wanted classes (cls)."""
+        ids = self.meta.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted.distinct(), "cls").select("doc_id")
         ids = materialize(ids, "jaccard-wanted")
         texts = self.docs.join(maybe_broadcast(ids, ids.count()), "doc_id", "left_semi").select("text")
         texts = texts.union(self.docs.filter("doc_id is null").select("text"))
-        raw = texts.mapInArrow(_whole_sets(self.width), "cls bigint, parts array<int>, shingles array<bigint>")
-        out = materialize(raw, "jaccard-sets")
+        out = materialize(texts.mapInArrow(_whole_sets(self.width), "cls bigint, shingles array<bigint>"), "jaccard-sets")
         discard(ids)
         return out
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links (a, b) among candidate ``pairs``, by suffix filter and intersection."""
+        """The links (a, b) among candidate ``pairs``."""
         pairs = materialize(pairs, f"jaccard-{name}")
-        sets = self.sets(pairs)
-        parts = sets.select("cls", "parts").dropDuplicates(["cls"])
-        apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-        near = (
-            pairs.join(parts.select(F.col("cls").alias("a"), F.col("parts").alias("parts_a")), "a")
-            .join(parts.select(F.col("cls").alias("b"), F.col("parts").alias("parts_b")), "b")
-            .filter(self.enough((F.col("n") + F.col("m") - apart) / 2, F.col("n"), F.col("m")))
-            .select("a", "b", "n", "m")
-        )
-        near = materialize(near, f"jaccard-{name}-near")
-        whole = sets.select("cls", "shingles").dropDuplicates(["cls"])
+        sets = self.sets(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))))
+        whole = sets.dropDuplicates(["cls"])
         common = F.size(F.array_intersect("set_a", "set_b"))
         links = (
-            near.join(whole.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
+            pairs.join(whole.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
             .join(whole.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
             .filter(self.enough(common, F.col("n"), F.col("m")))
             .select("a", "b")
         )
         links = materialize(links, f"jaccard-{name}-links")
-        discard(pairs, near, sets)
+        discard(pairs, sets)
         return links
 
     def components(self) -> DataFrame:
         """(cls, root) of the classes that have a link."""
         own = F.col("cls")
-        hubbed = self.shared.select(
-            own.alias("a"), "n", "pos", F.col("hub").alias("b"), F.col("hub_n").alias("m"), F.col("hub_pos").alias("pos_b")
-        )
+        hubs = self.shared.filter("cls = hub").select("token", F.col("n").alias("m"), F.col("pos").alias("pos_b")).dropDuplicates(["token"])
+        hubbed = self.shared.join(hubs, "token").select(own.alias("a"), "n", "pos", F.col("hub").alias("b"), "m", "pos_b")
         best = (
             self.filtered(hubbed).groupBy("a")
             .agg(F.max(F.struct("votes", (-F.xxhash64("b")).alias("h"), "b", "n", "m")).alias("x"))
             .select("a", "x.b", "x.n", "x.m")
         )
-        links = self.verified(best, "first")
-        roots = materialize(connected_components(links, "a", "b", "jaccard"), "jaccard-roots")
-        for name in ("second", "rest"):
-            open_rows = self.unsettled(roots)
-            if name == "second":
-                hub = F.min_by(F.struct("cls", "n", "pos", "root"), F.xxhash64("cls", "n"))
-                hubs = open_rows.groupBy("token").agg(hub.alias("h"))
-                pairs = open_rows.join(hubs, "token").filter(F.col("root") != F.col("h.root")).select(
-                    F.col("cls").alias("a"), "n", "pos", F.col("h.cls").alias("b"), F.col("h.n").alias("m"), F.col("h.pos").alias("pos_b")
-                )
-            else:
-                x, y = open_rows.alias("x"), open_rows.alias("y")
-                n, m = F.col("x.n"), F.col("y.n")
-                ahead = F.least("x.pos", "y.pos") + F.least(n - F.col("x.pos"), m - F.col("y.pos"))
-                fits = (
-                    (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-                    & (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & self.enough(ahead, n, m)
-                )
-                pairs = x.join(y, fits).select(
-                    F.col("x.cls").alias("a"), n.alias("n"), F.col("x.pos").alias("pos"), F.col("y.cls").alias("b"), m.alias("m"), F.col("y.pos").alias("pos_b")
-                )
-            more = self.verified(self.filtered(pairs).select("a", "b", "n", "m"), name)
-            discard(open_rows)
-            if more.isEmpty():
-                continue
-            links = links.union(more)
-            before, roots = roots, materialize(connected_components(links, "a", "b", "jaccard"), "jaccard-roots")
-            discard(before)
-        return roots.select(F.col("node").alias("cls"), "root")
-
-    def unsettled(self, roots: DataFrame) -> DataFrame:
+        self.links = self.verified(best, "first")
+        self.contract()
+        open_rows = self.unsettled()
+        hub = F.min_by(F.struct("cls", "n", "pos", "root"), F.xxhash64("cls", "n"))
+        others = open_rows.groupBy("token").agg(hub.alias("h"))
+        pairs = open_rows.join(others, "token").filter(F.col("root") != F.col("h.root")).select(
+            own.alias("a"), "n", "pos", F.col("h.cls").alias("b"), F.col("h.n").alias("m"), F.col("h.pos").alias("pos_b")
+        )
+        self.add(self.verified(self.filtered(pairs).select("a", "b", "n", "m"), "second"))
+        discard(open_rows)
+        open_rows = self.unsettled()
+        sizes = materialize(
+            open_rows.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("who")),
+            "jaccard-open-lists",
+        )
+        short = open_rows.join(sizes.filter(F.col("k") <= SHORT_LIST).select("token"), "token")
+        self.add(self.verified(self.filtered(self.short_pairs(short)).select("a", "b", "n", "m"), "short"))
+        long = sizes.filter(F.col("k") > SHORT_LIST)
+        if not long.isEmpty():
+            self.add(self.long_links(open_rows, long))
+        discard(open_rows, sizes)
+        return self.roots.select(F.col("node").alias("cls"), "root")
+
+    def contract(self) -> None:
+        self.roots = materialize(connected_components(self.links, "a", "b", "jaccard"), "jaccard-roots")
+
+    def add(self, more: DataFrame) -> None:
+        if not more.isEmpty():
+            self.links = self.links.union(more)
+            self.contract()
+
+    def short_pairs(self, rows: DataFrame) -> DataFrame:
+        """The pairs of different components within short lists: at most SHORT_LIST rows for a row."""
+        known = rows.join(self.classes.select("cls", "parts"), "cls")
+        x, y = known.alias("x"), known.alias("y")
+        n, m = F.col("x.n"), F.col("y.n")
+        ahead = F.least("x.pos", "y.pos") + F.least(n - F.col("x.pos"), m - F.col("y.pos"))
+        fits = (
+            (F.col("x.token") == F.col("y.token")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
+            & (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & self.enough(ahead, n, m)
+            & self.enough((n + m - self.apart("x.parts", "y.parts")) / 2, n, m)
+        )
+        return x.join(y, fits).select(
+            F.col("x.cls").alias("a"), n.alias("n"), F.col("x.pos").alias("pos"), F.col("y.cls").alias("b"), m.alias("m"), F.col("y.pos").alias("pos_b")
+        )
+
+    def long_links(self, rows: DataFrame, lists: DataFrame) -> DataFrame:
+        """Links between the components of long lists, two blocks of a list at a time."""
+        cuts = F.ceil(F.greatest(F.col("all") / BLOCK_SHINGLES, F.col("k") / BLOCK_SETS)).cast("int")
+        once = lists.groupBy("who", "k", "all").agg(F.min("token").alias("token")).select("token", cuts.alias("cuts"))
+        once = materialize(once, "jaccard-long")
+        members = rows.join(once, "token").select("token", "cls", "root", "cuts").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
+        sent = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
+            "token", "cls", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+        )
+        sets = self.sets(members.select("cls"))
+        percent = self.percent
+
+        def meet(pdf):
+            import pandas as pd
+
+            out = block_links(pdf["cls"].to_numpy(), pdf["root"].to_numpy(), [np.asarray(x) for x in pdf["shingles"]], percent)
+            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+        tasks = sent.join(sets.dropDuplicates(["cls"]), "cls").select("token", "i", "j", "cls", "root", "shingles")
+        links = materialize(tasks.groupBy("token", "i", "j").applyInPandas(meet, "a bigint, b bigint"), "jaccard-long-links")
+        discard(sets, once)
+        return links
+
+    def unsettled(self) -> DataFrame:
         """The rows of ``shared`` in lists that span more than one component."""
-        known = self.shared.select("token", "cls", "n", "pos").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+        known = self.shared.select("token", "cls", "n", "pos").join(self.roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
         known = known.withColumn("root", F.coalesce("root", "cls"))
         spans = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
         return materialize(known.join(spans, "token"), "jaccard-open")
