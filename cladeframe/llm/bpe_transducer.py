@@ -29,14 +29,16 @@ Defined results
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 STATE_LIMIT = 300_000
-PIECE_LIMIT = 600_000
+PIECE_LIMIT = 1_000_000
 PIECE_BYTES = 48
 #: Characters with the property White_Space; ``\s`` of the regex module has more.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
@@ -77,24 +79,26 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.next: dict[int, int] = {}  # trie: node * 256 + byte -> node
-        self.token_at: dict[int, int] = {}
-        nodes = 1
+        self.token_at = [-1]  # by node
         for t, r in ranks.items():
             at = 0
             for b in t:
-                key = at * 256 + b
+                key = at << 8 | b
                 if key not in self.next:
-                    self.next[key] = nodes
-                    nodes += 1
+                    self.next[key] = len(self.token_at)
+                    self.token_at.append(-1)
                 at = self.next[key]
             self.token_at[at] = r
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.start = max(ranks.values(), default=0) + 1  # stands for "no token before"
+        self.width = self.start + 1
+        self.fits: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        #: A state: entries (token that ends here, entry it starts from, trie node or -1); entry 0 is the
-        #: frontier, whose token is the last emitted one (-1 at the start of a piece); the last entry is the end.
-        self.states: list[tuple] = [((-1, -1, 0),)]
+        #: A state: (tokens, starts, live).  For each entry the token that ends there and the entry it starts from;
+        #: entry 0 is the frontier, whose token is the last emitted one, the last entry is the end.  live: entries with
+        #: the trie node of the bytes read since, where there is one.
+        self.states: list[tuple] = [((self.start,), (-1,), ((0, 0),))]
         self.numbers: dict[tuple, int] = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.tails: dict[int, tuple[int, ...]] = {}
@@ -110,56 +114,68 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def side_by_side(self, left: int, right: int) -> bool:
-        key = (left, right)
-        said = self.fits.get(key)
-        if said is None:
-            if len(self.fits) > 2 * STATE_LIMIT:
-                self.fits.clear()
-            if left < 0:
-                said = self.merge(self.tokens[right]) == [right]
-            else:
-                said = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.fits[key] = said
+        """Whether the tokens' joined bytes encode to the two; for ``start`` on the left, whether the right is its own encoding."""
+        if len(self.fits) > 4 * STATE_LIMIT:
+            self.fits.clear()
+        if left == self.start:
+            said = self.merge(self.tokens[right]) == [right]
+        else:
+            said = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        self.fits[left * self.width + right] = said
         return said
 
     def _move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        entries = self.states[number]
-        moved, edge = [], None
-        for i, (token, start, node) in enumerate(entries):
-            child = self.next.get(node * 256 + byte, -1) if node >= 0 else -1
-            if edge is None and child >= 0:
-                t = self.token_at.get(child)
-                if t is not None and self.side_by_side(token, t):
-                    edge = (t, i)
-            moved.append((token, start, child))
-        if edge is None:
+        tokens, starts, live = self.states[number]
+        follow, token_at, fits, width = self.next.get, self.token_at, self.fits.get, self.width
+        kids, edge, token = [], -1, -1
+        for at, node in live:  # longest first
+            child = follow(node << 8 | byte)
+            if child is None:
+                continue
+            kids.append((at, child))
+            if edge < 0 and token_at[child] >= 0:
+                said = fits(tokens[at] * width + token_at[child])
+                if self.side_by_side(tokens[at], token_at[child]) if said is None else said:
+                    edge, token = at, token_at[child]
+        if edge < 0:
             raise ValueError("the vocabulary lacks a byte")
-        moved.append((*edge, 0))
-        used = [False] * len(moved)
-        for i in range(len(moved) - 1, -1, -1):
-            if moved[i][2] >= 0:
-                used[i] = True
-            if used[i] and moved[i][1] >= 0:
-                used[moved[i][1]] = True
-        emitted, front = [], 0
-        while moved[front][2] < 0:  # emit while one edge alone leaves the frontier
-            after = [i for i in range(front + 1, len(moved)) if used[i] and moved[i][1] == front]
-            if len(after) != 1:
-                break
-            front = after[0]
-            emitted.append(moved[front][0])
-        place, kept = {}, []
-        for i in range(front, len(moved)):
-            if used[i] or i == front:
-                place[i] = len(kept)
-                token, start, node = moved[i]
-                kept.append((token, place[start] if i > front else -1, node))
-        state = tuple(kept)
+        end = len(tokens)
+        tokens, starts = (*tokens, token), (*starts, edge)
+        kids.append((end, 0))
+        emitted: tuple[int, ...] = ()
+        if len(kids) <= end:  # some entry is not live: is it still needed?
+            used, first = {0: -1}, []  # entry -> the entry after the frontier that it comes through
+            for i, _ in kids:
+                path = []
+                while i not in used:
+                    path.append(i)
+                    i = starts[i]
+                for j in path:
+                    used[j] = 0
+            if kids[0][0]:
+                kept = sorted(used)
+                ways = [0] * (end + 1)
+                for i in kept[1:]:
+                    ways[starts[i]] += 1
+                front, skip = 0, 0
+                while front != kids[0][0] and ways[front] == 1:
+                    skip += 1
+                    front = kept[skip]
+                    first.append(tokens[front])
+                kept = kept[skip:]
+                emitted = tuple(first)
+            else:
+                kept = sorted(used)
+            if len(kept) <= end:
+                place = {i: k for k, i in enumerate(kept)}
+                tokens, starts = tuple([tokens[i] for i in kept]), (-1, *[place[starts[i]] for i in kept[1:]])
+                kids = [(place[i], node) for i, node in kids]
+        state = (tokens, starts, tuple(kids))
         to = self.numbers.get(state)
         if to is None:
             to = self.numbers[state] = len(self.states)
             self.states.append(state)
-        return to, tuple(emitted)
+        return to, emitted
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -179,10 +195,11 @@ class Transducer:
                 out += emitted
         tail = self.tails.get(state)
         if tail is None:
-            entries, i, chain = self.states[state], len(self.states[state]) - 1, []
+            tokens, starts, _ = self.states[state]
+            i, chain = len(tokens) - 1, []
             while i > 0:
-                chain.append(entries[i][0])
-                i = entries[i][1]
+                chain.append(tokens[i])
+                i = starts[i]
             tail = self.tails[state] = tuple(reversed(chain))
         return out + list(tail)
 
@@ -207,9 +224,13 @@ class Codec:
             flat[self.at[r] : self.at[r] + len(t)] = t
         self.flat = np.frombuffer(bytes(flat), np.uint8)
 
+    @staticmethod
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _piece(self, piece: str) -> bytes:
         data = piece.encode("utf-8")
-        ids = np.array(self.transducer.encode_piece(data), "<u4").tobytes()
+        ids = self.pack(self.transducer.encode_piece(data))
         if len(data) <= PIECE_BYTES:
             if len(self.pieces) >= PIECE_LIMIT:
                 self.pieces.clear()
@@ -308,6 +329,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool
 
     def run(batches):
         own = codec(shared.value, pattern)
+        gc.disable()  # the tables hold millions of tuples and no cycles; reference counts free all of it
         for batch in batches:
             n, ids_hash, text_hash, packed = [], [], [], []
             for value in batch.column("text"):
@@ -327,6 +349,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool
                 cols.append(pa.array(packed, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        gc.enable()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
