@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def entry(spark, sf_dir):
-    raise NotImplementedError
+from cladeframe.plans import graphs, images, joins, linking, reports, scalars, scores, tables  # noqa: F401  (they register their queries)
+from cladeframe.plans.registry import ORACLES, QUERIES, Query
 
 
-def queries():
-    return {}
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.ag13_score(spark, sf_dir)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
