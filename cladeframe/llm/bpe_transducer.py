@@ -9,12 +9,12 @@ bytes can still use: positions from which the bytes read so far are a path in
 the vocabulary's trie, and the edges that lead there.  A token is emitted when
 all these lead through it, at most the longest token's length later; the rest
 leaves at the end of the piece.  States and transitions are made when first
-needed and kept in tables of bounded size (emptied when full), so work is
-linear in the bytes for any piece.
+needed and kept in tables of bounded size; beyond that a step is worked out
+without being kept, so work is linear in the bytes for any piece.
 
 Pieces are the matches of ``pattern``.  A piece that is itself in the
-vocabulary is that token.  Encodings of short pieces are kept in a bounded
-table.  No special tokens.
+vocabulary is that token.  Encodings of short pieces are kept in two bounded
+tables, the newer of which replaces the older when full.  No special tokens.
 
 Decoding joins the tokens' bytes in chunks and feeds them to an incremental
 UTF-8 state machine that holds back an unfinished character.
@@ -37,9 +37,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-STATE_LIMIT = 300_000
-PIECE_LIMIT = 1_000_000
+STATE_LIMIT = 100_000
+MOVE_LIMIT = 400_000
+PIECE_LIMIT = 400_000
 PIECE_BYTES = 48
+OUTPUT_BYTES = 4_000_000
 #: Characters with the property White_Space; ``\s`` of the regex module has more.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -92,47 +94,76 @@ class Transducer:
         self.start = max(ranks.values(), default=0) + 1  # stands for "no token before"
         self.width = self.start + 1
         self.fits: dict[int, bool] = {}
-        self._reset()
+        self.split: dict[int, tuple[int, int]] = {}
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
+        """Forget all states but the first."""
         #: A state: (tokens, starts, live).  For each entry the token that ends there and the entry it starts from;
         #: entry 0 is the frontier, whose token is the last emitted one, the last entry is the end.  live: entries with
-        #: the trie node of the bytes read since, where there is one.
-        self.states: list[tuple] = [((self.start,), (-1,), ((0, 0),))]
+        #: the trie node of the bytes read since, where there is one, as entry << 32 | node.
+        self.states: list[tuple] = [((self.start,), (-1,), (0,))]
         self.numbers: dict[tuple, int] = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.tails: dict[int, tuple[int, ...]] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """Plain BPE of a few bytes: always the leftmost pair of the lowest rank."""
+    def merge(self, data: bytes, below: int = 1 << 60) -> list[int]:
+        """Plain BPE of a few bytes with the ranks below a bound: always the leftmost pair of the lowest rank."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             rank, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if rank == 1 << 60:
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens that merge into ``token`` last; the token twice for a byte; (-1, -1) if BPE never makes it."""
+        said = self.split.get(token)
+        if said is None:
+            data = self.tokens[token]
+            parts = self.merge(data, token)
+            said = (token, token) if len(data) == 1 else tuple(parts) if len(parts) == 2 else (-1, -1)
+            self.split[token] = said
+        return said
+
     def side_by_side(self, left: int, right: int) -> bool:
-        """Whether the tokens' joined bytes encode to the two; for ``start`` on the left, whether the right is its own encoding."""
-        if len(self.fits) > 4 * STATE_LIMIT:
+        """Whether the tokens' joined bytes encode to the two; for ``start`` on the left, whether the right is its own encoding.
+
+        Takes the merges of both sides back, the latest first, and looks whether
+        the parts at the border would have merged before that.
+        """
+        if len(self.fits) > MOVE_LIMIT:
             self.fits.clear()
-        if left == self.start:
-            said = self.merge(self.tokens[right]) == [right]
-        else:
-            said = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        said = self.halves(right) != (-1, -1) and (left == self.start or self.halves(left) != (-1, -1))
+        if said and left != self.start:
+            a, b, before = left, right, self.width
+            while True:
+                joined = self.ranks.get(self.tokens[a] + self.tokens[b])
+                if joined is not None and joined < before:
+                    said = False
+                    break
+                inner_a, inner_b = self.halves(a)[1], self.halves(b)[0]
+                if inner_a == a and inner_b == b:
+                    break
+                if inner_b == b or (inner_a != a and a > b):  # a was made last; at its time a merge of equal rank on the right came later
+                    a, before = inner_a, a
+                else:
+                    b, before = inner_b, b + 1
         self.fits[left * self.width + right] = said
         return said
 
-    def _move(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        tokens, starts, live = self.states[number]
+    def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The state after one more byte and the tokens that are certain by then."""
+        tokens, starts, live = state
         follow, token_at, fits, width = self.next.get, self.token_at, self.fits.get, self.width
         kids, edge, token = [], -1, -1
-        for at, node in live:  # longest first
-            child = follow(node << 8 | byte)
+        for item in live:  # longest first
+            child = follow((item & 0xFFFFFFFF) << 8 | byte)
             if child is None:
                 continue
-            kids.append((at, child))
+            at = item >> 32
+            kids.append(item - (item & 0xFFFFFFFF) + child)
             if edge < 0 and token_at[child] >= 0:
                 said = fits(tokens[at] * width + token_at[child])
                 if self.side_by_side(tokens[at], token_at[child]) if said is None else said:
@@ -141,68 +172,75 @@ class Transducer:
             raise ValueError("the vocabulary lacks a byte")
         end = len(tokens)
         tokens, starts = (*tokens, token), (*starts, edge)
-        kids.append((end, 0))
-        emitted: tuple[int, ...] = ()
-        if len(kids) <= end:  # some entry is not live: is it still needed?
-            used, first = {0: -1}, []  # entry -> the entry after the frontier that it comes through
-            for i, _ in kids:
-                path = []
-                while i not in used:
-                    path.append(i)
-                    i = starts[i]
-                for j in path:
-                    used[j] = 0
-            if kids[0][0]:
-                kept = sorted(used)
-                ways = [0] * (end + 1)
-                for i in kept[1:]:
-                    ways[starts[i]] += 1
-                front, skip = 0, 0
-                while front != kids[0][0] and ways[front] == 1:
-                    skip += 1
-                    front = kept[skip]
-                    first.append(tokens[front])
-                kept = kept[skip:]
-                emitted = tuple(first)
-            else:
-                kept = sorted(used)
-            if len(kept) <= end:
-                place = {i: k for k, i in enumerate(kept)}
-                tokens, starts = tuple([tokens[i] for i in kept]), (-1, *[place[starts[i]] for i in kept[1:]])
-                kids = [(place[i], node) for i, node in kids]
-        state = (tokens, starts, tuple(kids))
-        to = self.numbers.get(state)
-        if to is None:
-            to = self.numbers[state] = len(self.states)
-            self.states.append(state)
-        return to, emitted
+        kids.append(end << 32)
+        if len(kids) > end:  # all entries are live
+            return (tokens, starts, tuple(kids)), ()
+        used = {0}
+        for item in kids:
+            i = item >> 32
+            while i not in used:
+                used.add(i)
+                i = starts[i]
+        kept, skip = sorted(used), 0
+        lowest = kids[0] >> 32
+        if lowest:  # the frontier is not live: emit while one entry alone follows it
+            ways = [0] * (end + 1)
+            for i in kept[1:]:
+                ways[starts[i]] += 1
+            while kept[skip] != lowest and ways[kept[skip]] == 1:
+                skip += 1
+        emitted = tuple([tokens[i] for i in kept[1 : skip + 1]])
+        kept = kept[skip:]
+        if len(kept) <= end:
+            place = {i: k for k, i in enumerate(kept)}
+            tokens, starts = tuple([tokens[i] for i in kept]), (-1, *[place[starts[i]] for i in kept[1:]])
+            kids = [place[item >> 32] << 32 | item & 0xFFFFFFFF for item in kids]
+        return (tokens, starts, tuple(kids)), emitted
+
+    @staticmethod
+    def _tail(state: tuple) -> tuple[int, ...]:
+        tokens, starts, _ = state
+        i, chain = len(tokens) - 1, []
+        while i > 0:
+            chain.append(tokens[i])
+            i = starts[i]
+        return tuple(reversed(chain))
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > STATE_LIMIT or len(self.moves) > 4 * STATE_LIMIT:
-            self._reset()
         out: list[int] = []
-        state, moves = 0, self.moves
-        for byte in piece:
-            key = state * 256 + byte
-            move = moves.get(key)
+        number, moves, states = 0, self.moves, self.states
+        for at, byte in enumerate(piece):
+            move = moves.get(number << 8 | byte)
             if move is None:
-                move = moves[key] = self._move(state, byte)
-            state, emitted = move
+                state, emitted = self._step(states[number], byte)
+                to = self.numbers.get(state)
+                if to is None:
+                    if len(states) >= STATE_LIMIT:
+                        return out + self._unkept(state, emitted, piece[at + 1 :])
+                    to = self.numbers[state] = len(states)
+                    states.append(state)
+                move = (to, emitted)
+                if len(moves) < MOVE_LIMIT:
+                    moves[number << 8 | byte] = move
+            number, emitted = move
             if emitted:
                 out += emitted
-        tail = self.tails.get(state)
+        tail = self.tails.get(number)
         if tail is None:
-            tokens, starts, _ = self.states[state]
-            i, chain = len(tokens) - 1, []
-            while i > 0:
-                chain.append(tokens[i])
-                i = starts[i]
-            tail = self.tails[state] = tuple(reversed(chain))
+            tail = self.tails[number] = self._tail(states[number])
         return out + list(tail)
 
+    def _unkept(self, state: tuple, emitted: tuple, rest: bytes) -> list[int]:
+        """Goes on from a state that there is no room to keep."""
+        out = list(emitted)
+        for byte in rest:
+            state, emitted = self._step(state, byte)
+            out += emitted
+        return out + list(self._tail(state))
+
 
 class Codec:
     """Texts to token ids and back."""
@@ -213,6 +251,7 @@ class Codec:
         self.pattern = regex.compile(exact_spaces(pattern))
         self.transducer = Transducer(ranks)
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = max(ranks.values()) + 1
         lens = np.zeros(size + 1, np.int64)
         for t, r in ranks.items():
@@ -229,12 +268,17 @@ class Codec:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8")
-        ids = self.pack(self.transducer.encode_piece(data))
-        if len(data) <= PIECE_BYTES:
-            if len(self.pieces) >= PIECE_LIMIT:
-                self.pieces.clear()
-            self.pieces[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8")
+            ids = self.pack(self.transducer.encode_piece(data))
+            if len(data) > PIECE_BYTES:
+                return ids
+        if len(self.pieces) >= PIECE_LIMIT:
+            self.older = dict(self.pieces)
+            self.pieces.clear()  # in place: encode() holds its methods
+            self.transducer.reset()
+        self.pieces[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -331,24 +375,28 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool
         own = codec(shared.value, pattern)
         gc.disable()  # the tables hold millions of tuples and no cycles; reference counts free all of it
         for batch in batches:
-            n, ids_hash, text_hash, packed = [], [], [], []
-            for value in batch.column("text"):
-                ids = own.encode(value.as_py() or "")
-                n.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                machine, said = Utf8Machine(), hashlib.sha256()
-                for chunk in own.chunks(ids):
-                    said.update(machine.feed(chunk).encode("utf-8"))
-                said.update(machine.close().encode("utf-8"))
-                text_hash.append(said.hexdigest())
+            done = 0
+            while done < batch.num_rows:
+                n, ids_hash, text_hash, packed, size, first = [], [], [], [], 0, done
+                while done < batch.num_rows and size < OUTPUT_BYTES:
+                    ids = own.encode(batch.column("text")[done].as_py() or "")
+                    done += 1
+                    size += len(ids)
+                    n.append(len(ids) // 4)
+                    ids_hash.append(hashlib.sha256(ids).hexdigest())
+                    machine, said = Utf8Machine(), hashlib.sha256()
+                    for chunk in own.chunks(ids):
+                        said.update(machine.feed(chunk).encode("utf-8"))
+                    said.update(machine.close().encode("utf-8"))
+                    text_hash.append(said.hexdigest())
+                    if with_ids:
+                        packed.append(ids)
+                cols = [batch.column("doc_id").slice(first, done - first), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    packed.append(ids)
-            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(packed, pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                    cols.append(pa.array(packed, pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
         gc.enable()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeframe.llm.tables import discard, materialize, stable_sample
 from cladeframe.llm.textnum import BLOCK_BYTES, mix
@@ -178,7 +179,7 @@ def predict(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFram
             )
 
     cols = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in cols.dtypes[:-1]) + ", lang_pred string, score double"
+    schema = T.StructType([*cols.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return cols.mapInArrow(run, schema)
 
 

@@ -154,7 +154,7 @@ def _hexish(core: str) -> bool:
     return len(core) >= 12 and any(c in "0123456789" for c in core) and any(c.isalpha() for c in core) and all(c.isalnum() for c in core)
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(20_000)
 def token_features(token: str) -> tuple[str, ...]:
     core = token.strip(_EDGE)
     n = len(core)

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeframe.llm.tables import discard, materialize, maybe_broadcast, stable_sample
 from cladeframe.llm.textnum import blocks, lower_ascii, span_hashes, words
@@ -178,8 +179,8 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame
             )
 
     cols = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in cols.dtypes[:-1]) + ", n_tokens bigint" + "".join(f", p_{d} double" for d in DOMAINS)
-    return cols.mapInArrow(run, schema)
+    fresh = [T.StructField("n_tokens", T.LongType()), *(T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS)]
+    return cols.mapInArrow(run, T.StructType([*cols.schema.fields[:-1], *fresh]))
 
 
 def rate_steps(shares: DataFrame, weights: dict[str, float], budget: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
@@ -244,9 +245,9 @@ def sample(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None
     """
     weights = weights or WEIGHTS
     model = fit(docs, labels, max_train_docs)
-    names = docs.columns
-    shares = posteriors(docs.withColumn("_text", F.col("text")).withColumn("_draw", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)),
-                        model, [*(c for c in names if c != "text"), "_text", "_draw"])
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    whole_rows = docs.select(F.struct(*docs.columns).alias("_doc"), draw.alias("_draw"), F.col("text").alias("text"))  # extra columns cannot clash
+    shares = posteriors(whole_rows, model, ["_doc", "_draw"])
     light = materialize(posteriors(docs, model, ["doc_id"]).drop("doc_id"), "mixing-shares")
     have = light.agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col(f"p_{whole}")).alias("k")).first()
     share = weights[whole] / sum(weights.values())
@@ -254,4 +255,4 @@ def sample(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None
     taken = rate_steps(light, weights, budget)
     discard(light)
     kept = with_rates(shares, taken).filter((F.col("domain") == whole) | (F.col("_draw") < F.col("rate")))
-    return kept.select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in names))
+    return kept.select("_doc.*")

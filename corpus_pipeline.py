@@ -21,9 +21,9 @@ MIN_LANGUAGE_SCORE = 0.4
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: ``und``, or a score below MIN_LANGUAGE_SCORE."""
     model = langid_bloom.fit(docs)
-    found = langid_bloom.predict(docs.withColumn("_whole", F.col("text")), model, [*(c for c in docs.columns if c != "text"), "_whole"])
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.select(*(F.col("_whole").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("text"))  # names of extra columns cannot clash
+    found = langid_bloom.predict(whole, model, ["_doc"])
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("_doc.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
