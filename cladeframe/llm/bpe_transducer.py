@@ -37,11 +37,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-STATE_LIMIT = 100_000
-MOVE_LIMIT = 400_000
-PIECE_LIMIT = 400_000
+from cladeframe.llm.textnum import claim
+
+STATE_LIMIT = 20_000
+MOVE_LIMIT = 80_000
+PAIR_LIMIT = 300_000
+PIECE_LIMIT = 300_000
 PIECE_BYTES = 48
 OUTPUT_BYTES = 4_000_000
+UNKEPT_BYTES = 64
 #: Characters with the property White_Space; ``\s`` of the regex module has more.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -133,7 +137,7 @@ class Transducer:
         Takes the merges of both sides back, the latest first, and looks whether
         the parts at the border would have merged before that.
         """
-        if len(self.fits) > MOVE_LIMIT:
+        if len(self.fits) > PAIR_LIMIT:
             self.fits.clear()
         said = self.halves(right) != (-1, -1) and (left == self.start or self.halves(left) != (-1, -1))
         if said and left != self.start:
@@ -236,10 +240,31 @@ class Transducer:
     def _unkept(self, state: tuple, emitted: tuple, rest: bytes) -> list[int]:
         """Goes on from a state that there is no room to keep."""
         out = list(emitted)
-        for byte in rest:
+        for byte in rest[:-UNKEPT_BYTES]:  # long: with emission, so what is held stays bounded
             state, emitted = self._step(state, byte)
             out += emitted
-        return out + list(self._tail(state))
+        rest = rest[-UNKEPT_BYTES:]
+        tokens, starts, live = list(state[0]), list(state[1]), state[2]
+        follow, token_at, fits, width = self.next.get, self.token_at, self.fits.get, self.width
+        for byte in rest:  # short: the same steps without dropping entries
+            kids, edge, token = [], -1, -1
+            for item in live:
+                child = follow((item & 0xFFFFFFFF) << 8 | byte)
+                if child is None:
+                    continue
+                at = item >> 32
+                kids.append(at << 32 | child)
+                if edge < 0 and token_at[child] >= 0:
+                    said = fits(tokens[at] * width + token_at[child])
+                    if self.side_by_side(tokens[at], token_at[child]) if said is None else said:
+                        edge, token = at, token_at[child]
+            if edge < 0:
+                raise ValueError("the vocabulary lacks a byte")
+            kids.append(len(tokens) << 32)
+            tokens.append(token)
+            starts.append(edge)
+            live = kids
+        return out + list(self._tail((tokens, starts, live)))
 
 
 class Codec:
@@ -372,6 +397,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # the rank file's size
 
     def run(batches):
+        claim("bpe", _codecs.clear)
         own = codec(shared.value, pattern)
         gc.disable()  # the tables hold millions of tuples and no cycles; reference counts free all of it
         for batch in batches:

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.llm.components import connected_components
 from cladeframe.llm.tables import discard, materialize, maybe_broadcast
-from cladeframe.llm.textnum import blocks, lower_ascii, mix, span_hashes, words
+from cladeframe.llm.textnum import blocks, claim, lower_ascii, mix, span_hashes, words
 
 WIDTH = 4
 #: A link needs PERCENT * union <= 100 * intersection.
@@ -117,6 +117,7 @@ def _survey(width: int, sketch_bits: int):
     """Class and size of every document, then this task's sketch in chunks."""
 
     def run(batches):
+        claim("jaccard")
         sketch = np.zeros(1 << sketch_bits, np.uint8)
         shift = np.uint64(64 - sketch_bits)
         for batch in batches:
@@ -168,6 +169,7 @@ def _prefixes(width: int, percent: int, sketch_bits: int, sketch):
     """Index entries of the rarest shingles of every document."""
 
     def run(batches):
+        claim("jaccard")
         levels = np.frombuffer(sketch.value, np.uint8)
         shift = np.uint64(64 - sketch_bits)
         for batch in batches:
@@ -195,6 +197,7 @@ def _whole_sets(width: int):
     """The whole set of every document."""
 
     def run(batches):
+        claim("jaccard")
         for batch in batches:
             for _, _, data, offs in blocks(batch.column("text")):
                 sets = shingle_sets(data, offs, width)

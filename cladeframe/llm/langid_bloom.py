@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeframe.llm.tables import discard, materialize, stable_sample
-from cladeframe.llm.textnum import BLOCK_BYTES, mix
+from cladeframe.llm.textnum import BLOCK_BYTES, claim, mix
 
 MAX_TRAIN_DOCS = 50_000
 MIN_RATE = 1e-4
@@ -80,6 +80,7 @@ def _text_blocks(column: pa.Array):
 
 
 def _count_grams(batches):
+    claim("language")
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         for first, texts in _text_blocks(batch.column("text")):
@@ -165,6 +166,7 @@ def predict(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFram
     shared = spark.sparkContext.broadcast(model)  # at most 2 * bits_per_gram / min_rate slots
 
     def run(batches):
+        claim("language")
         m = shared.value
         for batch in batches:
             names, scores = [], []

@@ -33,6 +33,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cladeframe.llm.textnum import claim
+
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -369,7 +371,7 @@ def written(spans: list) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def _batches(column, size: int = 2_000_000):
+def _batches(column, size: int = 1_000_000):
     held, total = [], 0
     for v in column:
         held.append(v.as_py() or "")
@@ -386,6 +388,7 @@ def find(docs: DataFrame, table: str = TRAINING) -> DataFrame:
     field = docs.sparkSession.sparkContext.broadcast(train(table))  # some hundred features by label
 
     def run(batches):
+        claim("pii", token_features.cache_clear)
         for batch in batches:
             counts, hashes, spans = [], [], []
             for texts in _batches(batch.column("text")):
@@ -419,6 +422,7 @@ def redact(docs: DataFrame, table: str = TRAINING) -> DataFrame:
     names = docs.columns
 
     def run(batches):
+        claim("pii", token_features.cache_clear)
         for batch in batches:
             texts = []
             for held in _batches(batch.column("text")):

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeframe.llm.tables import discard, materialize, maybe_broadcast, stable_sample
-from cladeframe.llm.textnum import blocks, lower_ascii, span_hashes, words
+from cladeframe.llm.textnum import blocks, claim, lower_ascii, span_hashes, words
 
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
@@ -55,6 +55,7 @@ def domain_of(labels: DataFrame) -> DataFrame:
 
 
 def _words(batch):
+    claim("mixing")
     for first, last, data, offs in blocks(batch.column("text")):
         low = lower_ascii(data)
         starts, ends, doc = words(low, offs)

@@ -8,17 +8,43 @@ the memory of the arrays derived from it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
+_owner = ""
+_releases: dict[str, Callable[[], None]] = {}
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
+def claim(operator: str, release: Callable[[], None] | None = None) -> None:
+    """Called by an operator's task: a worker process keeps the tables of the operator that it ran last only.
+
+    Python workers outlive tasks and serve one operator after another; what
+    an operator keeps between its own tasks is dropped by ``release`` when
+    another one claims the process.
+    """
+    global _owner
+    if _owner != operator:
+        for free in _releases.values():
+            free()
+        _releases.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        _owner = operator
+    if release is not None:
+        _releases[operator] = release
+
+
 def _power(n: int, inverse: bool = False) -> np.ndarray:
     """Powers 0..n-1 (at least) of the multiplier modulo 2**64."""
     key = "inv" if inverse else "mul"

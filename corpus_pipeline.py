@@ -15,7 +15,7 @@ from cladeframe.llm import bpe_transducer, jaccard_join, langid_bloom, pii_crf,
 from cladeframe.llm.tables import load, materialize
 
 #: Documents whose best language explains less of them are rejected.
-MIN_LANGUAGE_SCORE = 0.4
+MIN_LANGUAGE_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
