@@ -149,3 +149,22 @@ def as20_ungated_then_cut(spark, d):
 def rk6_short_tracks(spark, d):
     n = _n(spark, d)
     return R.short_tracks(n, _broken(n), 6, 3, 0.3, 60.0, 0.05, 40).select("dataset", "node_id")
+
+
+@query(with_tables("e g", """c AS (SELECT * FROM g WHERE source % 4 <> 1), one AS (SELECT source, min(target) AS next FROM c GROUP BY source HAVING count(*) = 1),
+  pr AS (SELECT a.node_id AS source, a.node_id + 1 AS child, b.node_id AS candidate FROM e a JOIN e k ON k.node_id = a.node_id + 1 JOIN e b ON b.t = a.t + 1 AND b.node_id = a.node_id + 31 WHERE a.t < 9),
+  w AS (SELECT source, child, candidate, child AS p, candidate AS q, 0 AS k FROM pr
+    UNION ALL SELECT w.source, child, candidate, x.next, y.next, k + 1 FROM w JOIN e a ON a.node_id = p JOIN e b ON b.node_id = q JOIN one x ON x.source = p JOIN one y ON y.source = q
+      WHERE k < 2 AND sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) < 28)
+  SELECT DISTINCT 'E' AS dataset, w.source, child, candidate FROM w JOIN e a ON a.node_id = p JOIN e b ON b.node_id = q WHERE sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) >= 28""", recursive=True))
+def as11b_diverging_later(spark, d):
+    n = _n(spark, d)
+    later = n.select("dataset", F.col("node_id").alias("candidate"))
+    props = n.filter("t < 9").select("dataset", F.col("node_id").alias("source"), (F.col("node_id") + 1).alias("child"), (F.col("node_id") + 31).alias("candidate")).join(later, ["dataset", "candidate"], "left_semi")
+    return R.diverging_later(n, A.chain_edges(n).filter("source % 4 <> 1"), props.select("dataset", "source", "child", "candidate"), 28.0, 2)
+
+
+@query()
+def as19_mend(spark, d):
+    n = _n(spark, d)
+    return _graph_rows(R.mend(n, _broken(n), 20.0, 6.0))

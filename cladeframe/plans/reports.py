@@ -193,3 +193,41 @@ def rk13_sweep(spark, d):
     cs = A.checkpoint_scores(spark, d).groupBy("checkpoint").agg(F.avg("score").alias("s"))
     scores = {r["checkpoint"]: r["s"] for r in cs.collect()}  # a row a setting
     return spark.createDataFrame([(E.sweep_choice(scores, min(scores)),)], "setting string")
+
+
+@query(TWO + " SELECT count(*) AS n_datasets, " + POOL.format("", "").removeprefix("SELECT ").replace(", round(avg(node_recall), 6) AS node_recall_macro", "").replace(",\n  round(avg(node_recall), 6) AS node_recall_macro, round(avg(node_count_ratio), 6) AS node_count_ratio_macro", ""))
+def ag10_aggregate_rows(spark, d):
+    from cladeframe.operators.metrics import aggregate
+
+    df = aggregate(metric_rows(spark, d, 3))
+    return df.select("n_datasets", *(F.round(c, 6).alias(c) for c in ("score", "adjusted_edge_jaccard", "division_jaccard")))
+
+
+@query(TWO + """ SELECT CAST(sum(edge_tp) AS BIGINT) AS edge_tp, CAST(sum(edges_fragmented) AS BIGINT) AS edges_fragmented, CAST(sum(edges_lost_to_detection) AS BIGINT) AS edges_lost_to_detection,
+  CAST(sum(wrong_association_edges) AS BIGINT) AS wrong_association_edges,
+  round(sum(edge_tp) / nullif(sum(edge_tp + edge_fp + edge_fn), 0) + 0.1 * coalesce(sum(division_tp) / nullif(sum(division_tp + division_fp + division_fn), 0), 0), 6) AS proxy FROM a""")
+def ag21_error_sums(spark, d):
+    """Summed errors and the proxy score, where an empty denominator counts as 0."""
+    from cladeframe.functions.scalar import jaccard
+
+    s = metric_rows(spark, d, 3).agg(*(F.sum(c).alias(c) for c in ("edge_tp", "edge_fp", "edge_fn", "division_tp", "division_fp", "division_fn", "edges_fragmented", "edges_lost_to_detection", "wrong_association_edges")))
+    proxy = jaccard(F.col("edge_tp"), F.col("edge_fp"), F.col("edge_fn"), 0.0) + 0.1 * jaccard(F.col("division_tp"), F.col("division_fp"), F.col("division_fn"), 0.0)
+    return s.select("edge_tp", "edges_fragmented", "edges_lost_to_detection", "wrong_association_edges", F.round(proxy, 6).alias("proxy"))
+
+
+@query("SELECT n, unnest(list_distinct(list_concat(range(0, greatest(n - 16, 0) + 1, 15), [greatest(n - 16, 0)]))) AS start FROM (SELECT DISTINCT 20 + n_nationkey * 3 AS n FROM nation)")
+def wn7_inference_windows(spark, d):
+    """Windows of 16 frames every 15, the last one moved back to the end."""
+    n = A.read(spark, d, "nation").select((20 + F.col("n_nationkey") * 3).cast("bigint").alias("n")).distinct()
+    last = F.greatest(F.col("n") - 16, F.lit(0))
+    return n.select("n", F.explode(F.array_union(F.sequence(F.lit(0).cast("bigint"), last, F.lit(15).cast("bigint")), F.array(last))).alias("start"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS run, source || '/' || doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN 'missing' ELSE 'mismatch' END AS problem FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0""")
+def vl4_evidence(spark, d):
+    """Claimed digests of texts against the actual ones, some of them absent or wrong."""
+    from cladeframe.sources.manifests import evidence
+
+    docs = A.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("run"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    claims = docs.withColumn("sha256", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("sha256")))
+    return evidence(claims.select("run", "path", "sha256"), docs.filter("doc_id % 5 <> 0").select("path", "sha256"))

@@ -222,3 +222,28 @@ def test_stream_links_as_the_batch_does(spark, tmp_path):
     q.stop()
     streamed = {(r.source, r.target) for r in spark.table("links").collect()}
     assert streamed <= set(batch) and streamed >= {p for p in batch if p[1] < 300}
+
+
+def test_manifests_and_configs(spark):
+    from cladeframe.sources import manifests as X
+
+    assert X.dataset_stem("44b6_a.zarr") == "44b6_a"
+    for bad in ("", "a/b", "..", " a", "a\\b", None, ".zarr"):
+        with pytest.raises(ValueError):
+            X.dataset_stem(bad)
+    assert X.load_config('{"tracking": {"max_daughters": 3}}').tracking.max_daughters == 3
+    for bad in ('{"x": {}}', '{"tracking": {"y": 1}}', '{"tracking": {"max_daughters": 1}}', '{"gates": {"evaluation_epochs": [5, 5]}}'):
+        with pytest.raises(ValueError):
+            X.load_config(bad)
+    m = X.run_manifest("run1", b"c", b"s", "A", 0, 1.0, "x")
+    assert X.manifest_problems(m, b"c", b"s", "run1") == [] and X.manifest_problems(m, b"d", b"s", "run2") == ["config", "candidate"]
+    runs = spark.createDataFrame([("r1", "h1"), ("r2", "h2")], "run string, config string")
+    results = spark.createDataFrame([("r1", "h1"), ("r2", "hx"), ("r3", "h3")], "run string, config string")
+    assert sorted(map(tuple, X.unbound(runs, results, ["config"]).collect())) == [("r2", "config"), ("r3", "run")]
+
+
+def test_registered_queries_have_sql_or_a_reason():
+    import __spark_entry__ as e
+
+    q, o = e.queries(), e.oracle_sql()
+    assert set(o) <= set(q) and len(q) > 120
