@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cladeframe.llm.tables import map_text
 from cladeframe.llm.textnum import claim
 
 STATE_LIMIT = 20_000
@@ -426,4 +427,4 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool
         gc.enable()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_text(docs.select("doc_id", "text"), run, schema)

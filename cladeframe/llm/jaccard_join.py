@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.llm.components import connected_components
-from cladeframe.llm.tables import discard, materialize, maybe_broadcast
+from cladeframe.llm.tables import discard, map_text, materialize, maybe_broadcast
 from cladeframe.llm.textnum import blocks, claim, lower_ascii, mix, span_hashes, words
 
 WIDTH = 4
@@ -155,6 +155,7 @@ def _survey(width: int, sketch_bits: int):
 
 def _merge_chunks(batches):
     """Sums of equal chunks, as logarithms of one byte; each chunk comes to one task."""
+    claim("jaccard")
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, z in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
@@ -221,13 +222,13 @@ def block_links(cls: np.ndarray, root: np.ndarray, sets: list[np.ndarray], perce
     owner, code = owner[by], code[by]
     column = np.cumsum(np.concatenate([[0], np.diff(code) > 0])) if len(code) else code
     common = np.zeros((len(sets), len(sets)), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, [lo, lo + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        a, b = np.searchsorted(column, [lo, lo + 1024])
+        part = np.zeros((len(sets), 1024), np.float32)
         part[owner[a:b], column[a:b] - lo] = 1
-        common += part @ part.T
+        for i in range(0, len(sets), 256):
+            common[i : i + 256] += part[i : i + 256] @ part.T
     _, group = np.unique(root, return_inverse=True)
-    fits = ((100 + percent) * common.astype(np.float64) >= percent * (n[:, None] + n[None, :])) & (group[:, None] < group[None, :])
     lead = list(range(int(group.max(initial=0)) + 1))
 
     def top(x: int) -> int:
@@ -237,11 +238,13 @@ def block_links(cls: np.ndarray, root: np.ndarray, sets: list[np.ndarray], perce
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(fits)):
-        a, b = top(group[i]), top(group[j])
-        if a != b:
-            lead[b] = a
-            out.append((int(cls[i]), int(cls[j])))
+    for i in range(len(sets)):
+        fits = ((100 + percent) * common[i].astype(np.float64) >= percent * (n[i] + n)) & (group > group[i])
+        for j in np.flatnonzero(fits):
+            a, b = top(group[i]), top(group[j])
+            if a != b:
+                lead[b] = a
+                out.append((int(cls[i]), int(cls[j])))
     return out
 
 
@@ -257,7 +260,7 @@ class _Join:
 
     def survey(self) -> None:
         schema = "doc_id bigint, cls bigint, n bigint, parts array<smallint>, chunk int, counts binary"
-        survey = materialize(self.docs.mapInArrow(_survey(self.width, self.sketch_bits), schema), "jaccard-survey")
+        survey = materialize(map_text(self.docs, _survey(self.width, self.sketch_bits), schema), "jaccard-survey")
         self.survey_table = survey
         rows = survey.filter("chunk is null")
         self.meta = rows.select("doc_id", "cls", "n")
@@ -276,15 +279,16 @@ class _Join:
         known = self.meta.join(many, "cls", "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).alias("copy"))
         self.copies = materialize(known.filter("copy").select("doc_id"), "jaccard-copies")
         own = self.docs.join(maybe_broadcast(self.copies, self.copies.count()), "doc_id", "left_anti").select("text")
-        entries = own.mapInArrow(_prefixes(self.width, self.percent, self.sketch_bits, self.sketch), "token bigint, cls bigint, pos int")
+        entries = map_text(own, _prefixes(self.width, self.percent, self.sketch_bits, self.sketch), "token bigint, cls bigint, pos int")
         entries = materialize(entries, "jaccard-entries")
         lists = entries.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub != last").select("token", "hub")
         lists = materialize(lists, "jaccard-lists")
-        found = materialize(entries.join(maybe_broadcast(lists, lists.count()), "token"), "jaccard-found")
+        self.n_lists = lists.count()
+        found = materialize(entries.join(maybe_broadcast(lists, self.n_lists), "token"), "jaccard-found")
         discard(entries, lists)
         used = materialize(self.classes.join(found.select("cls").distinct(), "cls"), "jaccard-classes")
         self.classes = used
-        self.shared = materialize(found.join(used.select("cls", "n"), "cls"), "jaccard-shared")
+        self.shared = materialize(found.join(maybe_broadcast(used.select("cls", "n"), used.count()), "cls"), "jaccard-shared")
         discard(found)
 
     def apart(self, x, y):
@@ -311,7 +315,7 @@ class _Join:
         ids = materialize(ids, "jaccard-wanted")
         texts = self.docs.join(maybe_broadcast(ids, ids.count()), "doc_id", "left_semi").select("text")
         texts = texts.union(self.docs.filter("doc_id is null").select("text"))
-        out = materialize(texts.mapInArrow(_whole_sets(self.width), "cls bigint, shingles array<bigint>"), "jaccard-sets")
+        out = materialize(map_text(texts, _whole_sets(self.width), "cls bigint, shingles array<bigint>"), "jaccard-sets")
         discard(ids)
         return out
 
@@ -335,7 +339,7 @@ class _Join:
         """(cls, root) of the classes that have a link."""
         own = F.col("cls")
         hubs = self.shared.filter("cls = hub").select("token", F.col("n").alias("m"), F.col("pos").alias("pos_b")).dropDuplicates(["token"])
-        hubbed = self.shared.join(hubs, "token").select(own.alias("a"), "n", "pos", F.col("hub").alias("b"), "m", "pos_b")
+        hubbed = self.shared.join(maybe_broadcast(hubs, self.n_lists), "token").select(own.alias("a"), "n", "pos", F.col("hub").alias("b"), "m", "pos_b")
         best = (
             self.filtered(hubbed).groupBy("a")
             .agg(F.max(F.struct("votes", (-F.xxhash64("b")).alias("h"), "b", "n", "m")).alias("x"))
@@ -402,6 +406,7 @@ class _Join:
         def meet(pdf):
             import pandas as pd
 
+            claim("jaccard")
             out = block_links(pdf["cls"].to_numpy(), pdf["root"].to_numpy(), [np.asarray(x) for x in pdf["shingles"]], percent)
             return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -412,10 +417,14 @@ class _Join:
 
     def unsettled(self) -> DataFrame:
         """The rows of ``shared`` in lists that span more than one component."""
-        known = self.shared.select("token", "cls", "n", "pos").join(self.roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+        roots = self.roots.select(F.col("node").alias("cls"), "root")
+        known = self.shared.select("token", "cls", "n", "pos").join(maybe_broadcast(roots, roots.count()), "cls", "left")
         known = known.withColumn("root", F.coalesce("root", "cls"))
         spans = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-        return materialize(known.join(spans, "token"), "jaccard-open")
+        spans = materialize(spans, "jaccard-spans")
+        rows = materialize(known.join(maybe_broadcast(spans, spans.count()), "token"), "jaccard-open")
+        discard(spans)
+        return rows
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:

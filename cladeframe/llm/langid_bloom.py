@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeframe.llm.tables import discard, materialize, stable_sample
+from cladeframe.llm.tables import discard, map_text, materialize, stable_sample
 from cladeframe.llm.textnum import BLOCK_BYTES, claim, mix
 
 MAX_TRAIN_DOCS = 50_000
@@ -149,7 +149,7 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, min_rate: float = MIN_RATE) -> LanguageFilter:
     usable = docs.filter((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     train = stable_sample(usable, "doc_id", max_train_docs, usable.count())
-    parts = train.select("text", "lang").mapInArrow(_count_grams, "lang string, gram bigint, n bigint")
+    parts = map_text(train.select("text", "lang"), _count_grams, "lang string, gram bigint, n bigint")
     counts = materialize(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = counts.join(F.broadcast(totals), "lang").filter(F.col("n") >= min_rate * F.col("total"))  # a row a language
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFram
 
     cols = docs.select(*keep, F.col("text").alias("_text"))
     schema = T.StructType([*cols.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return cols.mapInArrow(run, schema)
+    return map_text(cols, run, schema)
 
 
 def identify(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, min_rate: float = MIN_RATE) -> DataFrame:

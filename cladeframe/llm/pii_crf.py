@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cladeframe.llm.tables import map_text
 from cladeframe.llm.textnum import claim
 
 KINDS = ("email", "ip", "card", "phone")
@@ -371,7 +372,7 @@ def written(spans: list) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def _batches(column, size: int = 1_000_000):
+def _batches(column, size: int = 500_000):
     held, total = [], 0
     for v in column:
         held.append(v.as_py() or "")
@@ -403,7 +404,7 @@ def find(docs: DataFrame, table: str = TRAINING) -> DataFrame:
             )
 
     schema = "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_text(docs.select("doc_id", "text"), run, schema)
 
 
 def mask(text: str, spans: list) -> str:
@@ -439,4 +440,4 @@ def redact(docs: DataFrame, table: str = TRAINING) -> DataFrame:
                     cols.append(batch.column(name))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_text(docs, run, docs.schema)

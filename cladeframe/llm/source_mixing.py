@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeframe.llm.tables import discard, materialize, maybe_broadcast, stable_sample
+from cladeframe.llm.tables import discard, map_text, materialize, maybe_broadcast, stable_sample
 from cladeframe.llm.textnum import blocks, claim, lower_ascii, span_hashes, words
 
 DOMAINS = ("clean", "low", "toxic")
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
     train = train.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
     texts = materialize(docs.select("doc_id", "text").join(maybe_broadcast(train, min(n, max_train_docs)), "doc_id").select("text", "domain", "half"), "mixing-train")
     counts = np.zeros(2 * len(DOMAINS) * BUCKETS)
-    for row in texts.mapInArrow(_count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # fixed size
+    for row in map_text(texts, _count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # fixed size
         counts[row["at"]] = row["n"]
     counts = counts.reshape(2, len(DOMAINS), BUCKETS)
     halves = spark.sparkContext.broadcast(np.stack([log_ratios(counts[1]), log_ratios(counts[0])]))
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
                     [pa.array(domain[first:last].astype(np.int32)), pa.array(list(own), pa.list_(pa.float64()))], names=["domain", "x"]
                 )
 
-    rows = texts.mapInArrow(features, "domain int, x array<double>").collect()  # max_train_docs rows
+    rows = map_text(texts, features, "domain int, x array<double>").collect()  # max_train_docs rows
     discard(texts)
     width = 1 + 2 * len(DOMAINS)
     x = np.array([r["x"] for r in rows]).reshape(-1, width)
@@ -181,7 +181,7 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame
 
     cols = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     fresh = [T.StructField("n_tokens", T.LongType()), *(T.StructField(f"p_{d}", T.DoubleType()) for d in DOMAINS)]
-    return cols.mapInArrow(run, T.StructType([*cols.schema.fields[:-1], *fresh]))
+    return map_text(cols, run, T.StructType([*cols.schema.fields[:-1], *fresh]))
 
 
 def rate_steps(shares: DataFrame, weights: dict[str, float], budget: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:

@@ -57,6 +57,18 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Rows of one Arrow batch of texts; Spark's default of 10,000 holds both ends of the pipe to gigabytes for long texts.
+TEXT_ROWS = 1000
+
+
+def map_text(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` in batches small enough for long texts; the setting stays with the session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= TEXT_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

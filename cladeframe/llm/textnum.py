@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 _owner = ""
 _releases: dict[str, Callable[[], None]] = {}
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -31,6 +31,14 @@ def claim(operator: str, release: Callable[[], None] | None = None) -> None:
     another one claims the process.
     """
     global _owner
+    if not _owner:
+        pa.set_memory_pool(pa.system_memory_pool())  # gives batches back at once, unlike the pooling ones
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: larger blocks are returned when freed
+            libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+        except (OSError, AttributeError):  # another C library
+            pass
     if _owner != operator:
         for free in _releases.values():
             free()

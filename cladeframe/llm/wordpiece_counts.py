@@ -25,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cladeframe.llm.textnum import blocks, span_hashes, words
+from cladeframe.llm.tables import map_text
+from cladeframe.llm.textnum import blocks, claim, span_hashes, words
 
 
 def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
@@ -131,6 +132,7 @@ def count_tokens(docs: DataFrame, first: list[str], later: list[str]) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(Automaton(first, later))  # the vocabulary's size
 
     def run(batches):
+        claim("pieces")
         automaton = shared.value
         for batch in batches:
             cols = [[], [], []]
@@ -154,4 +156,4 @@ def count_tokens(docs: DataFrame, first: list[str], later: list[str]) -> DataFra
                 names=["doc_id", "n_words", "n_tokens", "n_unknown"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
+    return map_text(docs.select("doc_id", "text"), run, "doc_id bigint, n_words bigint, n_tokens bigint, n_unknown bigint")
