@@ -59,6 +59,7 @@ _CHUNK = 1 << 16
 #: Parts of the shingle space that the suffix filter counts over.
 PARTS = 32
 SHORT_LIST = 32
+HUB_VOTES = 3
 #: Bounds of a block of a longer list: shingles and sets.
 BLOCK_SHINGLES = 400_000
 BLOCK_SETS = 2_000
@@ -295,15 +296,20 @@ class _Join:
         """Lower bound of the Hamming distance of two sets from their part counts."""
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q).cast("int")), F.lit(0), lambda s, d: s + d)
 
-    def filtered(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, n, m, votes) from rows (a, n, pos, b, m, pos_b): length, positional and suffix filter."""
+    def filtered(self, pairs: DataFrame, least_votes: int = 1) -> DataFrame:
+        """(a, b, n, m, votes) from rows (a, n, pos, b, m, pos_b): length, positional and suffix filter.
+
+        The rounds with hubs ask for ``HUB_VOTES`` common prefix shingles, which
+        spares them chance meetings; what they pass over is left to the last
+        rounds, which take every pair.
+        """
         n, m = F.col("n"), F.col("m")
         close = pairs.filter((100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (F.col("a") != F.col("b")))
         grouped = close.groupBy("a", "b").agg(
             F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"), F.first("m").alias("m"), F.max("pos").alias("pos"), F.max("pos_b").alias("pos_b")
         )
         rest = F.least(n - F.col("pos"), m - F.col("pos_b")) - 1
-        placed = grouped.filter(self.enough(F.col("votes") + rest, n, m))
+        placed = grouped.filter(self.enough(F.col("votes") + rest, n, m) & (F.col("votes") >= least_votes))
         x = self.classes.select(F.col("cls").alias("a"), F.col("parts").alias("parts_a"))
         y = self.classes.select(F.col("cls").alias("b"), F.col("parts").alias("parts_b"))
         both = placed.join(x, "a").join(y, "b")
@@ -341,7 +347,7 @@ class _Join:
         hubs = self.shared.filter("cls = hub").select("token", F.col("n").alias("m"), F.col("pos").alias("pos_b")).dropDuplicates(["token"])
         hubbed = self.shared.join(maybe_broadcast(hubs, self.n_lists), "token").select(own.alias("a"), "n", "pos", F.col("hub").alias("b"), "m", "pos_b")
         best = (
-            self.filtered(hubbed).groupBy("a")
+            self.filtered(hubbed, HUB_VOTES).groupBy("a")
             .agg(F.max(F.struct("votes", (-F.xxhash64("b")).alias("h"), "b", "n", "m")).alias("x"))
             .select("a", "x.b", "x.n", "x.m")
         )
@@ -353,7 +359,7 @@ class _Join:
         pairs = open_rows.join(others, "token").filter(F.col("root") != F.col("h.root")).select(
             own.alias("a"), "n", "pos", F.col("h.cls").alias("b"), F.col("h.n").alias("m"), F.col("h.pos").alias("pos_b")
         )
-        self.add(self.verified(self.filtered(pairs).select("a", "b", "n", "m"), "second"))
+        self.add(self.verified(self.filtered(pairs, HUB_VOTES).select("a", "b", "n", "m"), "second"))
         discard(open_rows)
         open_rows = self.unsettled()
         sizes = materialize(
