@@ -201,9 +201,10 @@ def rate_steps(shares: DataFrame, weights: dict[str, float], budget: float = 1.0
         return []
     target = np.array([weights[d] for d in DOMAINS]) / sum(weights.values()) * total * budget
     taken: list[list[float]] = []
+    small = shares.select("n_tokens", *(f"p_{d}" for d in DOMAINS))
     for _ in range(steps):
-        r = rate(taken)
-        row = shares.agg(*(F.sum(r * x).alias(f"t{i}") for i, x in enumerate(a))).first()
+        totals = map_text(small, expected(list(taken)), ", ".join(f"t{i} double" for i in range(k)))
+        row = totals.agg(*(F.coalesce(F.sum(f"t{i}"), F.lit(0.0)).alias(f"t{i}") for i in range(k))).first()
         gap = np.array([float(row[f"t{i}"]) for i in range(k)]) - target
         if np.abs(gap).max() <= tolerance * total:
             break
@@ -211,6 +212,26 @@ def rate_steps(shares: DataFrame, weights: dict[str, float], budget: float = 1.0
     return taken
 
 
+def expected(taken: list[list[float]]):
+    """Expected domain totals of each batch under the rates after the given steps.
+
+    The same plan serves every iteration; as expressions the steps would be
+    compiled anew each time.
+    """
+
+    def run(batches):
+        claim("mixing")
+        for batch in batches:
+            n = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
+            a = np.stack([n * batch.column(f"p_{d}").to_numpy(zero_copy_only=False) for d in DOMAINS])
+            r = np.ones(len(n))
+            for step in taken:
+                r = np.maximum(0.0, r - np.asarray(step) @ a)
+            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in a @ r], names=[f"t{i}" for i in range(len(DOMAINS))])
+
+    return run
+
+
 def rate(taken: list[list[float]]) -> Column:
     """A document's rate after the given steps."""
     r = F.lit(1.0)

@@ -35,7 +35,7 @@ def claim(operator: str, release: Callable[[], None] | None = None) -> None:
         pa.set_memory_pool(pa.system_memory_pool())  # gives batches back at once, unlike the pooling ones
         try:
             libc = ctypes.CDLL("libc.so.6")
-            libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: larger blocks are returned when freed
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: larger blocks are returned when freed
             libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
         except (OSError, AttributeError):  # another C library
             pass
