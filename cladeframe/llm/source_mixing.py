@@ -8,11 +8,13 @@
    training document leave out its own half of the sample.
 2. Every document gets its posteriors ``p`` and its word count ``n``.  With
    rates ``r`` a domain's expected total is ``sum(r n p)``.
-3. Projected-gradient least squares finds rates >= 0 whose expected totals
-   match the targets, starting from rates of 1.  An iteration is one
-   aggregation over the documents with one number a domain as its result; the
-   rates are never stored: they are the known sequence of steps applied to a
-   document's own columns, so a lost executor costs no state.
+3. Projected least squares finds rates >= 0 whose expected totals match the
+   targets, starting from rates of 1: one step along a combination of the
+   system's rows, projected to rates >= 0.  Its one factor a domain solves the
+   dual problem, by Newton's method; an iteration is one aggregation over the
+   documents with a few numbers a domain as its result.  The rates are never
+   stored: they are the step applied to a document's own columns, so a lost
+   executor costs no state.
 
 ``WEIGHTS`` are the target shares of all tokens, of ``budget`` times the
 present total.
@@ -22,7 +24,9 @@ Defined results
 * null or empty text: no tokens, posteriors of the empty description, rate 1.
 * no labels: one domain's posterior each alike; the rates still match as far
   as they can.  A domain without labelled rows gets posterior 0.
-* targets that no rates >= 0 reach: the least-squares rates.
+* targets that no rates >= 0 reach: the rates whose totals, in tokens, have the
+  least squared distance from the targets (up to ``PULL``, which keeps them
+  from running off); without convergence an error, never other rates.
 * repeated rows, null ``doc_id``: one output row for each input row.
 * extra columns are ignored.
 """
@@ -44,6 +48,10 @@ MAX_TRAIN_DOCS = 20_000
 BUCKETS = 1 << 16
 STEPS = 50
 TOLERANCE = 1e-4
+#: Weight of the squared distance of the rates from 1 beside the squared distance of the totals from the targets.
+PULL = 1e-8
+#: Step lengths tried in one pass, each half the one before.
+TRIES = 8
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -185,49 +193,66 @@ def posteriors(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame
 
 
 def rate_steps(shares: DataFrame, weights: dict[str, float], budget: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """The steps of the projected gradient: for each iteration one factor a domain.
-
-    Rows of the system are scaled to length 1, which makes it nearly
-    orthogonal, so few iterations are enough.
+    """The steps of the projected gradient: for each one factor a domain.
+
+    ``max(0, 1 - a y)``, ``a`` being a document's ``n p``, are the least-squares
+    rates nearest to 1 for the ``y`` that minimises the convex
+    ``sum(max(0, 1 - a y)^2) / 2 + y target + pull y^2 / 2``, so one step is
+    enough once ``y`` is known.  It is found by Newton's method over the
+    documents whose rate is above 0, with step lengths tried in one pass.
+    Raises if the gradient is not within ``tolerance`` of all tokens after
+    ``steps`` passes.
     """
     k = len(DOMAINS)
-    a = [F.col("n_tokens") * F.col(f"p_{d}") for d in DOMAINS]
-    row = shares.agg(F.sum("n_tokens").alias("all"), *(F.sum(a[i] * a[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k))).first()
+    small = shares.select("n_tokens", *(f"p_{d}" for d in DOMAINS))
+    names = ["half_square", *(f"t{i}" for i in range(k)), *(f"g{i}_{j}" for i in range(k) for j in range(k))]
+
+    def at(points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        sums = map_text(small, expected([list(map(float, y)) for y in points]), "point int, " + ", ".join(f"{x} double" for x in names))
+        rows = {r["point"]: [float(r[x]) for x in names] for r in sums.groupBy("point").agg(*(F.sum(x).alias(x) for x in names)).collect()}  # len(points) rows
+        return [(rows[i][0], np.array(rows[i][1 : 1 + k]), np.array(rows[i][1 + k :]).reshape(k, k)) for i in range(len(points))]
+
+    row = small.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("all")).first()
     total = float(row["all"] or 0)
-    gram = np.array([[float(row[f"g{i}_{j}"] or 0) for j in range(k)] for i in range(k)])
-    scale = np.array([1 / np.sqrt(g) if g > 0 else 0.0 for g in np.diag(gram)])
-    top = np.linalg.eigvalsh(gram * scale[:, None] * scale[None, :]).max()
-    if not total or top <= 0:
+    if not total:
         return []
     target = np.array([weights[d] for d in DOMAINS]) / sum(weights.values()) * total * budget
-    taken: list[list[float]] = []
-    small = shares.select("n_tokens", *(f"p_{d}" for d in DOMAINS))
+    pull = PULL * total * total / row["rows"]
+    y = np.zeros(k)
+    (held, totals, gram), length = at([y])[0], 1.0
+    value = held
     for _ in range(steps):
-        totals = map_text(small, expected(list(taken)), ", ".join(f"t{i} double" for i in range(k)))
-        row = totals.agg(*(F.coalesce(F.sum(f"t{i}"), F.lit(0.0)).alias(f"t{i}") for i in range(k))).first()
-        gap = np.array([float(row[f"t{i}"]) for i in range(k)]) - target
-        if np.abs(gap).max() <= tolerance * total:
-            break
-        taken.append([float(x) for x in gap * scale * scale / top])
-    return taken
-
-
-def expected(taken: list[list[float]]):
-    """Expected domain totals of each batch under the rates after the given steps.
-
-    The same plan serves every iteration; as expressions the steps would be
-    compiled anew each time.
-    """
+        slope = target - totals + pull * y
+        if np.abs(slope).max() <= tolerance * total:
+            return [[float(x) for x in y]] if y.any() else []
+        way = -np.linalg.solve(gram + pull * np.eye(k), slope)
+        points = [y + way * length * 0.5**i for i in range(TRIES)]
+        found = at(points)
+        values = [f[0] + target @ x + pull * (x @ x) / 2 for f, x in zip(found, points)]
+        best = int(np.argmin(values))
+        if values[best] < value:
+            y, value, (_, totals, gram), length = points[best], values[best], found[best], 1.0
+        else:
+            length *= 0.5**TRIES
+    raise RuntimeError(f"mixing: no rates within {tolerance} of the least squares after {steps} passes; gradient {(slope / total).tolist()}")
+
+
+def expected(points: list[list[float]]):
+    """Sums of each task under the rates of each of ``points``: half the squared rates, domain totals, Gram matrix of the rows with a rate above 0."""
 
     def run(batches):
         claim("mixing")
+        k = len(DOMAINS)
+        sums = np.zeros((len(points), 1 + k + k * k))
         for batch in batches:
             n = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
             a = np.stack([n * batch.column(f"p_{d}").to_numpy(zero_copy_only=False) for d in DOMAINS])
-            r = np.ones(len(n))
-            for step in taken:
-                r = np.maximum(0.0, r - np.asarray(step) @ a)
-            yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in a @ r], names=[f"t{i}" for i in range(len(DOMAINS))])
+            for i, y in enumerate(points):
+                r = np.maximum(0.0, 1.0 - np.asarray(y) @ a)
+                live = a[:, r > 0]
+                sums[i] += np.concatenate([[r @ r / 2], a @ r, (live @ live.T).ravel()])
+        names = ["point", "half_square", *(f"t{i}" for i in range(k)), *(f"g{i}_{j}" for i in range(k) for j in range(k))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points), dtype=np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in sums.T)], names=names)
 
     return run
 

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -153,6 +154,28 @@ def test_projected_gradient_matches_a_dense_solution(spark):
     assert np.abs(total / n.sum() - [0.5, 0.3, 0.2]).max() < 1e-4 and (r >= 0).all()
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.04])
+def test_production_steps_reach_the_least_squares_beside_very_long_documents(spark, spread):
+    rng = np.random.default_rng(0)
+    size = 20_000
+    domain = rng.choice(3, size, p=[0.6, 0.3, 0.1])
+    p = np.full((size, 3), 0.05)
+    p[np.arange(size), domain] = 0.9
+    p = np.abs(p + spread * rng.standard_normal((size, 3)))
+    p /= p.sum(1, keepdims=True)
+    n = rng.integers(50, 601, size)
+    n[:3] = 1_000_000
+    table = pa.table({"n_tokens": n, **{f"p_{d}": p[:, i] for i, d in enumerate(mixing.DOMAINS)}})
+    for weights in (mixing.WEIGHTS, {"clean": 0.6, "low": 0.2, "toxic": 0.2}):
+        df = spark.createDataFrame(table)
+        r = np.array([x[0] for x in df.select(mixing.rate(mixing.rate_steps(df, weights))).collect()])
+        want = np.array([weights[d] for d in mixing.DOMAINS])
+        a = (n[:, None] * p).T / n.sum()
+        gap = a @ r - want
+        # no document's rate can go up, nor all rates up or down together, to lessen the squared gap
+        assert (r >= 0).all() and (p @ gap).min() > -1e-3 and abs(gap @ (a @ r)) < 1e-3
+
+
 def test_mixing_sample_keeps_clean_documents(spark, odd_docs, labels):
     kept = mixing.sample(odd_docs, labels)
     assert kept.columns == odd_docs.columns
