@@ -11,8 +11,8 @@ a small labelled table (``TRAINING``, or any table of the same form) and
 decoded by Viterbi: the lines of a batch that hold a digit, ``@`` or ``+`` go
 through the recursion together, one token position at a time.  Other lines
 cannot start a span; that is a constraint of the model.  A predicted span that
-touches a base span, is without a digit or has fewer than six characters is
-dropped, and so is one of a base kind that fails that kind's check (Luhn, parts
+covers nothing beside base spans (for a base kind: no letter or digit), is
+without a digit or has fewer than six characters is dropped, and so is one of a base kind that fails that kind's check (Luhn, parts
 up to 255, number of digits): what the patterns rule out stays out.
 
 Defined results
@@ -348,13 +348,26 @@ def all_spans(texts: list[str], field: RandomField) -> list[tuple[list, list]]:
         more = [
             x for x in extra.get(d, ())
             if x[1] - x[0] >= 6 and _DIGIT.search(texts[d], x[0], x[1]) and plausible(x[2], texts[d][x[0] : x[1]])
-            and not any(x[0] < e and s < x[1] for s, e, _ in spans)
+            and adds(texts[d], x, spans)
         ]
         rank = {k: i for i, k in enumerate((*KINDS, "secret"))}
         out.append((spans, sorted(spans + more, key=lambda x: (x[0], rank[x[2]]))))
     return out
 
 
+def adds(text: str, found: tuple, spans: list) -> bool:
+    """Whether a predicted span covers more than the base spans it touches; for a base kind, a letter or digit more."""
+    start, end, kind = found
+    for s, e, _ in spans:
+        if s >= end:
+            break
+        if e > start:
+            if s > start and (kind == "secret" or any(map(str.isalnum, text[start:s]))):
+                return True
+            start = max(start, e)
+    return start < end and (kind == "secret" or any(map(str.isalnum, text[start:end])))
+
+
 def plausible(kind: str, said: str) -> bool:
     """Whether a predicted span of a base kind passes the check of that kind."""
     digits = re.sub(r"[^0-9]", "", said)

@@ -216,6 +216,24 @@ def test_field_finds_secrets_and_leaves_numbers_alone():
     assert texts[0][s:e].startswith("token") and texts[0][s:e].endswith('"')
 
 
+@pytest.mark.parametrize("inside", ["4539578763621486", "10.20.30.40", "jane@mail.example.org"])
+def test_secrets_with_a_base_span_inside_are_kept_and_masked_whole(spark, inside):
+    text = f'then token = "a0b1c2d3e4f{inside}fa1b2c3d4e5f6" goes on'
+    base, every = pii.all_spans([text], pii.train())[0]
+    assert len(base) == 1 and base == pii.base_spans(text) and base[0] in every
+    assert [text[s:e] for s, e, k in every if k == "secret"] == [f'token = "a0b1c2d3e4f{inside}fa1b2c3d4e5f6"']
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.redact(df).first().text == "then [SECRET] goes on"
+
+
+def test_predicted_spans_that_add_nothing_are_dropped():
+    text = "paid with 4539578763621486 in march, ask ana.lima@mail.example.org"
+    base, every = pii.all_spans([text], pii.train())[0]
+    assert len(base) == 2 and every == base
+    assert not pii.adds("x 1.2.3.4 a@b.c", (2, 9, "secret"), [(2, 9, "ip")]) and not pii.adds('"1.2.3.4"', (0, 9, "ip"), [(1, 8, "ip")])
+    assert pii.adds("k1.2.3.4 a@b.c", (0, 8, "secret"), [(1, 8, "ip")]) and pii.adds("1.2.3.4k", (0, 8, "secret"), [(0, 7, "ip")])
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
