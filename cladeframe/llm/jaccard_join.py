@@ -46,6 +46,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeframe.llm.components import connected_components
 from cladeframe.llm.tables import discard, map_text, materialize, maybe_broadcast
@@ -433,16 +434,42 @@ class _Join:
         return rows
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document row."""
+def _classes(keep: str, width: int):
+    def run(batches):
+        claim("jaccard")
+        for batch in batches:
+            names = [set_name(s) for _, _, data, offs in blocks(batch.column("text")) for s in shingle_sets(data, offs, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(names, pa.int64())], names=[keep, "cls"])
+
+    return run
+
+
+def with_class(docs: DataFrame, keep: str, width: int = WIDTH) -> DataFrame:
+    """Column ``keep`` and the class of the text (0: no words) of every row."""
+    cols = docs.select(keep, F.coalesce("text", F.lit("")).alias("text"))
+    return map_text(cols, _classes(keep, width), T.StructType([cols.schema[keep], T.StructField("cls", T.LongType())]))
+
+
+def labelled_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls, n) of every document row; (cls, component_id, first_cls) of every class of a component of two rows or more.
+
+    ``first_cls`` is the component's class that holds its smallest id, the
+    smallest of these; with null ids only the smallest of all.
+    """
     job = _Join(docs, width, percent, sketch_bits)
     job.survey()
     job.index()
     roots = job.components()
     firsts = job.meta.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k"))
     named = firsts.join(roots, "cls", "left").filter("k > 1 or root is not null").withColumn("root", F.coalesce("root", "cls"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = materialize(named.join(lowest, "root").select("cls", "component_id"), "jaccard-labels")
-    found = job.meta.join(maybe_broadcast(labels, labels.count()), "cls", "left")
+    lowest = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "cls")).alias("low"))
+    lowest = lowest.select("root", F.col("low.first").alias("component_id"), F.col("low.cls").alias("first_cls"))
+    return job.meta, materialize(named.join(lowest, "root").select("cls", "component_id", "first_cls"), "jaccard-labels")
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document row."""
+    meta, labels = labelled_classes(docs, width, percent, sketch_bits)
+    found = meta.join(maybe_broadcast(labels.select("cls", "component_id"), labels.count()), "cls", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm import bpe_transducer, jaccard_join, langid_bloom, pii_crf, source_mixing
-from cladeframe.llm.tables import load, materialize
+from cladeframe.llm.tables import load, materialize, maybe_broadcast
 
 #: Documents whose best language explains less of them are rejected.
 MIN_LANGUAGE_SCORE = 0.25
@@ -27,19 +27,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the one with the smallest id.
+    """Keeps one row of each component: the one with the smallest id, of a null id only if there is no other.
 
-    Rows with a null id are kept; repeated rows of the kept document go too.
+    An id that one row has decides for it; rows of a repeated or a null id are
+    decided by (id, class of the text).  Rows without words are copies of none
+    but rows of their id with the same text.
     """
-    labels = jaccard_join.jaccard_components(docs)
-    gone = labels.filter("doc_id is not null and doc_id > component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = labels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 and doc_id is not null").select("doc_id")
+    rows, labels = jaccard_join.labelled_classes(docs)
+    n = labels.count()
+    kept = (F.col("cls") == F.col("first_cls")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = rows.join(maybe_broadcast(labels, n), "cls").filter(~kept & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 or doc_id is null").select("doc_id")
     again = materialize(again, "pipeline-repeated")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    single = kept.join(again, "doc_id", "left_anti")
-    return single.select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    single = docs.filter("doc_id is not null").join(again, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    several = docs.filter("doc_id is null").select(*docs.columns).unionByName(docs.join(again, "doc_id", "left_semi").select(*docs.columns))
+    wrapped = several.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("text"))  # names of extra columns cannot clash
+    classed = jaccard_join.with_class(wrapped, "_doc").withColumn("doc_id", F.col("_doc.doc_id")).join(maybe_broadcast(labels, n), "cls", "left")
+    classed = materialize(classed, "pipeline-classed")
+    alone = classed.filter("first_cls is null and (cls <> 0 or doc_id is null)").select("_doc.*")
+    blank = classed.filter("cls = 0 and doc_id is not null").select("_doc.*").dropDuplicates(["doc_id", "text"])
+    first = classed.filter(kept).groupBy("first_cls").agg(F.min_by("_doc", F.col("_doc.text")).alias("_doc")).select("_doc.*")
+    return single.unionByName(alone).unionByName(blank).unionByName(first)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,6 +218,20 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, odd_docs, tmp_path,
         assert stage(spark, empty, f"file://{tmp_path}").count() == 0
 
 
+def test_near_copies_decides_by_row_not_by_id(spark, tmp_path):
+    (_, a), (_, a2), (_, b), (_, c), (_, c2) = near_copies(1, 4) + near_copies(1, 4) + near_copies(1, 5) + near_copies(1, 6) + near_copies(1, 6)
+    a2, c2 = a2 + " more", c2 + " more"
+    # 2 is shared by a copy of 1 and a text of its own; c is in rows without an id only; 7 has c's near copy's case, twice
+    rows = [(1, a), (2, a2), (2, b), (None, c), (None, c2), (None, c), (None, a2), (8, None), (8, None), (None, ""), (None, ""), (7, "x y z one"), (7, "X y z one"), (None, "a b d e f g")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, cls int")
+    got = corpus_pipeline.near_copies(spark, df, f"file://{tmp_path}")
+    assert got.columns == df.columns
+    found = collections.Counter(map(tuple, got.select("doc_id", "text").collect()))
+    of_c = {t: found.pop((None, t), 0) for t in (c, c2)}
+    assert sum(of_c.values()) == 1
+    assert found == collections.Counter({(1, a): 1, (2, b): 1, (8, None): 1, (None, ""): 2, (7, "X y z one"): 1, (None, "a b d e f g"): 1})
+
+
 def test_rows_are_the_same_whatever_the_order(spark, docs):
     shuffled = docs.repartition(7)
     assert rows_of(jj.jaccard_components(shuffled, sketch_bits=16), "doc_id", "component_id") == rows_of(jj.jaccard_components(docs, sketch_bits=16), "doc_id", "component_id")
