@@ -80,6 +80,19 @@ def directions(length: int, dims: int = DIMS, seed: int = 20) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((length, dims))
 
 
+def rounding(vector: np.ndarray, longest: float) -> float:
+    """Bound of how far apart two projections of one vector may lie; equal vectors of different batches can differ in their last bits.
+
+    ``longest``: the root of the summed squares of the directions.
+    """
+    return 4 * len(vector) * np.finfo(float).eps * float(np.linalg.norm(vector)) * longest
+
+
+def within(limit: float, stop: float, room: float) -> float:
+    """Squared projected distance up to which the stopping test goes on."""
+    return (math.sqrt(stop * limit) + room) ** 2
+
+
 class KdTree:
     """Median splits of points; leaves have bounding boxes and row numbers."""
 
@@ -120,15 +133,17 @@ class Block:
         starts = np.searchsorted(which[by_vector], np.arange(len(first)))
         ends = np.append(starts[1:], len(ids))
         self.ids = [ids[by_vector[a : min(b, a + k + 1)]] for a, b in zip(starts, ends)]
+        self.longest = float(np.linalg.norm(project))
         self.tree = KdTree(self.vectors @ project)
 
     def search(self, own: int, vector: np.ndarray, point: np.ndarray, bound: float, stop: float, k: int = K) -> list[tuple[float, int]]:
         """The k nearest (squared distance, id); ``bound``: squared distance within which k are known already."""
         best: list[tuple[float, int]] = []  # negated, largest first
         gaps = self.tree.gaps(point)
+        room = rounding(vector, self.longest)
         for leaf in np.argsort(gaps, kind="stable"):
             worst = -best[0][0] if len(best) == k else math.inf
-            if gaps[leaf] > stop * min(worst, bound):
+            if gaps[leaf] > within(min(worst, bound), stop, room):
                 break
             rows = self.tree.leaves[leaf]
             apart = self.vectors[rows] - vector
@@ -257,11 +272,12 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, dims: int = DIMS,
 
     def route(batches):
         cell_names, low, high, count = boxed.value
+        longest = float(np.linalg.norm(tools.value[0]))
         for pdf in batches:
             out = {c: [] for c in ("query_id", "embedding", "point", "bound", "cell", "block")}
             for own, vector, point, bound, cell, block in zip(*(pdf[c] for c in ("query_id", "embedding", "point", "bound", "cell", "block"))):
                 gap = np.maximum(low - point, 0) + np.maximum(point - high, 0)
-                for c in cell_names[(gap * gap).sum(1) <= stop * bound]:
+                for c in cell_names[(gap * gap).sum(1) <= within(bound, stop, rounding(vector, longest))]:
                     for b in range(count[c]):
                         if (c, b) != (cell, block):
                             for name, value in (("query_id", own), ("embedding", vector), ("point", point), ("bound", bound), ("cell", c), ("block", b)):

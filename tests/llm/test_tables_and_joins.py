@@ -117,6 +117,25 @@ def plain_components(rows):
     return collections.Counter((i, len(sets[n]), i if not sets[n] else low.get(top(n))) for n, (i, _) in enumerate(rows))
 
 
+def test_copies_in_other_blocks_and_cells_are_found():
+    project = ann.directions(64)
+    for seed in range(20):
+        vector = np.random.default_rng(seed).standard_normal(64)
+        one = ann.Block(np.arange(5, 25), np.tile(vector, (20, 1)), project)
+        for rows in (1, 2, 7, 1000):
+            point = (np.tile(vector, (rows, 1)) @ project)[0]
+            assert one.search(0, vector, point, 0.0, 20.0) == [(0.0, i) for i in range(5, 15)]
+
+
+def test_copies_over_several_blocks_tie_to_the_smallest_ids(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(ann, "CELL_ROWS", 80)
+    vector = [float(x) for x in np.random.default_rng(3).standard_normal(64)]
+    df = spark.createDataFrame([(i, vector) for i in range(300)], "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in ann.nearest(df, 100, 10).orderBy("query_id", "rank").collect()]
+    assert got == [(q, k + 1, i, 0.0) for q in (0, 100, 200) for k, i in enumerate([x for x in range(11) if x != q][:10])]
+
+
 def near_copies(n, seed):
     import random
 
