@@ -15,7 +15,8 @@ positive rate f (share of its set slots to the power ``n_hashes``) as
 its share of the document's trigrams.
 
 Training rows are a bounded sample (``max_train_docs``, chosen by a hash of
-``doc_id``) of the rows that may be learned from.
+``doc_id``) of the rows that may be learned from: all rows of rare languages,
+and alike many of each of the others.
 
 Defined results
 ---------------
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeframe.llm.tables import discard, map_text, materialize, stable_sample
+from cladeframe.llm.tables import discard, map_text, materialize
 from cladeframe.llm.textnum import BLOCK_BYTES, claim, mix
 
 MAX_TRAIN_DOCS = 50_000
@@ -146,9 +147,25 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def sample_by_language(usable: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` rows by a hash of the id: all rows of rare languages, alike many of each other one."""
+    found = [(r["lang"], r["count"]) for r in usable.groupBy("lang").count().collect()]  # a row a language
+    left = bound
+    if sum(n for _, n in found) <= bound:
+        return usable
+    shares = []
+    for k, (lang, n) in enumerate(sorted(found, key=lambda x: (x[1], x[0]))):
+        take = min(n, left / (len(found) - k))
+        left -= take
+        shares.append((lang, int(take / n * (1 << 30))))
+    table = usable.sparkSession.createDataFrame(shares, "lang string, share long")
+    chosen = usable.join(F.broadcast(table), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share"))
+    return chosen.select(*usable.columns)
+
+
 def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, min_rate: float = MIN_RATE) -> LanguageFilter:
     usable = docs.filter((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    train = stable_sample(usable, "doc_id", max_train_docs, usable.count())
+    train = sample_by_language(usable, max_train_docs)
     parts = map_text(train.select("text", "lang"), _count_grams, "lang string, gram bigint, n bigint")
     counts = materialize(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))

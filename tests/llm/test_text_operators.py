@@ -92,6 +92,16 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
 
 
+def test_rare_languages_are_learned_from_a_bounded_sample(spark):
+    rows = [(i, f"the river house walks over {i}", "en") for i in range(3000)] + [(9000 + i, f"zażółć gęślą jaźń {i}", "pl") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    usable = df.filter(lang.fold(F.col("doc_id")) != 2)
+    chosen = {r.lang: r["count"] for r in lang.sample_by_language(usable, 60).groupBy("lang").count().collect()}
+    assert chosen["pl"] == usable.filter("lang = 'pl'").count() > 0 and 20 <= chosen["en"] <= 90
+    got = lang.identify(df, max_train_docs=60).filter("doc_id >= 9000").collect()
+    assert len(got) == 8 and {r.lang_pred for r in got} == {"pl"}
+
+
 def test_language_masks_hold_every_language_of_a_gram():
     grams = {f"l{i:03}": np.arange(i, i + 50, dtype=np.uint64) for i in range(70)}
     f = lang.LanguageFilter(grams)
