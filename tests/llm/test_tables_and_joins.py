@@ -240,7 +240,7 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, odd_docs, tmp_path,
 def test_near_copies_decides_by_row_not_by_id(spark, tmp_path):
     (_, a), (_, a2), (_, b), (_, c), (_, c2) = near_copies(1, 4) + near_copies(1, 4) + near_copies(1, 5) + near_copies(1, 6) + near_copies(1, 6)
     a2, c2 = a2 + " more", c2 + " more"
-    # 2 is shared by a copy of 1 and a text of its own; c is in rows without an id only; 7 has c's near copy's case, twice
+    # 2 is shared by a copy of 1 and a text of its own; c is in rows without an id only; 7 has one text in two cases
     rows = [(1, a), (2, a2), (2, b), (None, c), (None, c2), (None, c), (None, a2), (8, None), (8, None), (None, ""), (None, ""), (7, "x y z one"), (7, "X y z one"), (None, "a b d e f g")]
     df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, cls int")
     got = corpus_pipeline.near_copies(spark, df, f"file://{tmp_path}")
