@@ -40,4 +40,6 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str) -> DataFra
             break
         said = now_said
     members = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return members.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    members = materialize(members.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), f"{name}-roots")
+    discard(now)
+    return members

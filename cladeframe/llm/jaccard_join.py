@@ -9,8 +9,12 @@ only classes meet each other.
    documents, rare shingles first; its size does not grow with the corpus.
 2. Prefix index: with overlap at least ``ceil(t n)`` two linked sets share one
    of the first ``n - ceil(t n) + 1`` shingles of that order, so only these
-   are indexed, with position and set size.  Shingles in one prefix only drop
-   out.
+   are indexed, with position and set size.  Most are in one prefix only.  A
+   first pass over the texts therefore sends no index rows but packed, sorted
+   48-bit tokens, each at most twice a flush, and sets a bit of a map of fixed
+   size for every token met twice; the second pass writes index rows of tokens
+   whose bit is set, and lists of one class drop out.  A full map would let
+   more rows pass, never lose one.
 3. Rounds: the members of an index list are not paired with each other.  Each
    member first meets one hub (the smallest class of a list; the hub with most
    common prefix shingles), verified pairs are contracted to components, and
@@ -19,13 +23,16 @@ only classes meet each other.
    ``SHORT_LIST`` classes yield the pairs of different components.  Longer
    lists are cut into blocks of bounded size; two blocks meet in one task,
    which gets all intersections at once as a product of incidence matrices and
-   returns a spanning set of the links only.  Lists with equal members are
+   returns a spanning set of the links only: each block by itself first, then,
+   for the lists that still span several components, the pairs of blocks.  Lists with equal members are
    done once.  No link between different components can be missed, and copies
    are never expanded into all pairs.
 4. Every pair passes the length filter, the positional filter (common prefix
    shingles plus what can follow the last of them) and the suffix filter (the
    sets' counts over a fixed partition of the shingle space bound the Hamming
-   distance), and is verified once by intersecting the whole sets.
+   distance), and is verified once by intersecting the whole sets.  A hub's
+   partners are dealt over tasks in groups of at most ``HUB_ROWS``, so that no
+   class, however many meet it, is one task's work.
 
 Defined results
 ---------------
@@ -49,18 +56,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeframe.llm.components import connected_components
-from cladeframe.llm.tables import discard, map_text, materialize, maybe_broadcast
+from cladeframe.llm.tables import discard, fits_broadcast, map_text, materialize, maybe_broadcast
 from cladeframe.llm.textnum import blocks, claim, lower_ascii, mix, span_hashes, words
 
 WIDTH = 4
 #: A link needs PERCENT * union <= 100 * intersection.
 PERCENT = 85
-SKETCH_BITS = 24
+SKETCH_BITS = 22
 _CHUNK = 1 << 16
 #: Parts of the shingle space that the suffix filter counts over.
 PARTS = 32
 SHORT_LIST = 32
 HUB_VOTES = 3
+#: Bytes of a class with its part counts.
+PART_BYTES = 100
+#: Partners of one class that meet it in one task.
+HUB_ROWS = 500
+#: Bits of a token in the first pass, of the map's size, and tokens of one flush and of one part of the merge.
+TOKEN_BITS = 48
+MAP_BITS = 28
+FLUSH_TOKENS = 1_000_000
+PART_TOKENS = 4_000_000
 #: Bounds of a block of a longer list: shingles and sets.
 BLOCK_SHINGLES = 400_000
 BLOCK_SETS = 2_000
@@ -168,29 +184,100 @@ def _merge_chunks(batches):
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "levels"])
 
 
-def _prefixes(width: int, percent: int, sketch_bits: int, sketch):
-    """Index entries of the rarest shingles of every document."""
+def _prefix(s: np.ndarray, percent: int, levels: np.ndarray, shift) -> np.ndarray:
+    """Places in ``s`` of its rarest shingles, rarest first."""
+    level = levels[(s >> shift).astype(np.int64)]
+    return np.argsort(level, kind="stable")[: len(s) - _least(len(s), percent) + 1]  # s is sorted, so ties go by hash
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    """Sorted tokens as compressed differences, byte by byte."""
+    gaps = np.diff(tokens, prepend=np.uint64(0)).astype("<u8")
+    return zlib.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, : TOKEN_BITS // 8].T).tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(TOKEN_BITS // 8, -1)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, : TOKEN_BITS // 8] = planes.T
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _packed_tokens(width: int, percent: int, sketch_bits: int, sketch, part_bits: int):
+    """(part, packed) of the prefix tokens, cut to TOKEN_BITS; one that a flush holds several times is there twice."""
 
     def run(batches):
         claim("jaccard")
         levels = np.frombuffer(sketch.value, np.uint8)
         shift = np.uint64(64 - sketch_bits)
+        held, total = [], 0
+
+        def flush():
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            tokens = np.repeat(tokens, np.minimum(n, 2))
+            part = (tokens >> np.uint64(TOKEN_BITS - part_bits)).astype(np.int64)
+            at = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            for lo in range(0, len(at) - 1, 1000):
+                some = range(lo, min(lo + 1000, len(at) - 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(part[at[i]]) for i in some], pa.int64()), pa.array([pack(tokens[at[i] : at[i + 1]]) for i in some], pa.binary())], names=["part", "packed"]
+                )
+
         for batch in batches:
             for _, _, data, offs in blocks(batch.column("text")):
-                tokens, names, places = [], [], []
                 for s in shingle_sets(data, offs, width):
-                    n = len(s)
-                    if not n:
+                    if len(s):
+                        held.append(s[_prefix(s, percent, levels, shift)] >> np.uint64(64 - TOKEN_BITS))
+                        total += len(held[-1])
+                if total >= FLUSH_TOKENS:
+                    yield from flush()
+                    held, total = [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _mark(part_bits: int, map_bits: int):
+    """The piece of the bit map of one part: a bit for every token that is there twice."""
+
+    def run(pdf):
+        import pandas as pd
+
+        claim("jaccard")
+        tokens = np.sort(np.concatenate([unpack(x) for x in pdf["packed"]]))
+        twice = tokens[1:][tokens[1:] == tokens[:-1]]
+        bits = np.zeros(1 << (map_bits - part_bits), np.uint8)
+        bits[((twice >> np.uint64(TOKEN_BITS - map_bits)) & np.uint64((1 << (map_bits - part_bits)) - 1)).astype(np.int64)] = 1
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+
+    return run
+
+
+def _prefixes(width: int, percent: int, sketch_bits: int, sketch, map_bits: int, seen):
+    """Index entries of the rarest shingles of every document that the bit map does not rule out."""
+
+    def run(batches):
+        claim("jaccard")
+        levels, bits = np.frombuffer(sketch.value, np.uint8), np.frombuffer(seen.value, np.uint8)
+        shift = np.uint64(64 - sketch_bits)
+        for batch in batches:
+            for _, _, data, offs in blocks(batch.column("text")):
+                tokens, names, sizes, places = [], [], [], []
+                for s in shingle_sets(data, offs, width):
+                    if not len(s):
                         continue
-                    p = n - _least(n, percent) + 1
-                    level = levels[(s >> shift).astype(np.int64)]
-                    first = np.argsort(level, kind="stable")[:p]  # s is sorted, so ties go by hash
-                    tokens.append(s[first].astype(np.int64))
-                    names.append(np.full(p, set_name(s), np.int64))
-                    places.append(np.arange(p, dtype=np.int32))
+                    token = s[_prefix(s, percent, levels, shift)]
+                    at = (token >> np.uint64(64 - map_bits)).astype(np.int64)
+                    place = np.flatnonzero(bits[at >> 3] & (128 >> (at & 7)))
+                    if len(place):
+                        tokens.append(token[place].astype(np.int64))
+                        names.append(np.full(len(place), set_name(s), np.int64))
+                        sizes.append(np.full(len(place), len(s), np.int64))
+                        places.append(place.astype(np.int32))
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(x)) for x in (tokens, names, places)], names=["token", "cls", "pos"]
+                        [pa.array(np.concatenate(x)) for x in (tokens, names, sizes, places)], names=["token", "cls", "n", "pos"]
                     )
 
     return run
@@ -255,6 +342,7 @@ class _Join:
         self.docs = docs.select("doc_id", "text")
         self.spark = docs.sparkSession
         self.width, self.percent, self.sketch_bits = width, percent, sketch_bits
+        self.passing: list[DataFrame] = []
 
     def enough(self, common, n, m):
         """Whether ``common`` shingles can make a link of sets of n and m."""
@@ -263,35 +351,66 @@ class _Join:
     def survey(self) -> None:
         schema = "doc_id bigint, cls bigint, n bigint, parts array<smallint>, chunk int, counts binary"
         survey = materialize(map_text(self.docs, _survey(self.width, self.sketch_bits), schema), "jaccard-survey")
-        self.survey_table = survey
         rows = survey.filter("chunk is null")
-        self.meta = rows.select("doc_id", "cls", "n")
-        self.classes = rows.groupBy("cls").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
         chunks = survey.filter("chunk is not null").select("chunk", "counts")
         merged = chunks.repartition(64, "chunk").mapInArrow(_merge_chunks, "chunk int, levels binary")
         levels = np.zeros(1 << self.sketch_bits, np.uint8)
         for row in merged.toLocalIterator():  # the sketch's fixed size
             levels[row["chunk"] * _CHUNK :][:_CHUNK] = np.frombuffer(row["levels"], np.uint8)
         self.sketch = self.spark.sparkContext.broadcast(levels.tobytes())
+        self.meta = materialize(rows.select("doc_id", "cls", "n"), "jaccard-meta")
+        self.parts = materialize(rows.select("cls", "parts"), "jaccard-parts")
+        discard(survey)
 
     def index(self) -> None:
-        """(token, cls, n, pos, hub, hub_n, hub_pos) of the lists with more than one class."""
+        """(token, cls, n, pos, hub) of the lists with more than one class."""
         firsts = self.meta.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("k"))
-        many = firsts.filter("k > 1").select("cls", F.col("doc_id").alias("first"))
-        known = self.meta.join(many, "cls", "left").groupBy("doc_id").agg(F.min(F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).alias("copy"))
-        self.copies = materialize(known.filter("copy").select("doc_id"), "jaccard-copies")
-        own = self.docs.join(maybe_broadcast(self.copies, self.copies.count()), "doc_id", "left_anti").select("text")
-        entries = map_text(own, _prefixes(self.width, self.percent, self.sketch_bits, self.sketch), "token bigint, cls bigint, pos int")
+        many = materialize(firsts.filter("k > 1").select("cls", F.col("doc_id").alias("first")), "jaccard-many")
+        known = self.meta.join(maybe_broadcast(many, many.count()), "cls", "left").groupBy("doc_id").agg(
+            F.min(F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).alias("copy"), F.count(F.lit(1)).alias("k")
+        )
+        #: ids whose rows are all copies of an earlier id's, and ids of several rows
+        self.odd = materialize(known.filter("copy or k > 1"), "jaccard-odd")
+        discard(many)
+        copies = self.odd.filter("copy").select("doc_id")
+        self.n_again = self.odd.filter("not copy").count()
+        own = self.texts(None, copies, copies.count())
+        total = self.meta.agg(F.sum("n")).first()[0] or 0
+        total = total * (100 - self.percent) // 100
+        part_bits = min(MAP_BITS - 3, max(6, int(-(-total // PART_TOKENS)).bit_length()))
+        packed = map_text(own, _packed_tokens(self.width, self.percent, self.sketch_bits, self.sketch, part_bits), "part bigint, packed binary")
+        marks = packed.groupBy("part").applyInPandas(_mark(part_bits, MAP_BITS), "part bigint, bits binary")
+        bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+        piece = 1 << (MAP_BITS - 3 - part_bits)
+        for row in marks.toLocalIterator():  # the map's fixed size
+            bits[row["part"] * piece :][:piece] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+        seen = self.spark.sparkContext.broadcast(bits.tobytes())
+        entries = map_text(own, _prefixes(self.width, self.percent, self.sketch_bits, self.sketch, MAP_BITS, seen), "token bigint, cls bigint, n bigint, pos int")
         entries = materialize(entries, "jaccard-entries")
+        seen.unpersist()
         lists = entries.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub != last").select("token", "hub")
         lists = materialize(lists, "jaccard-lists")
         self.n_lists = lists.count()
-        found = materialize(entries.join(maybe_broadcast(lists, self.n_lists), "token"), "jaccard-found")
+        self.shared = materialize(entries.join(maybe_broadcast(lists, self.n_lists), "token"), "jaccard-shared")
         discard(entries, lists)
-        used = materialize(self.classes.join(found.select("cls").distinct(), "cls"), "jaccard-classes")
-        self.classes = used
-        self.shared = materialize(found.join(maybe_broadcast(used.select("cls", "n"), used.count()), "cls"), "jaccard-shared")
-        discard(found)
+        used = materialize(self.shared.select("cls").distinct(), "jaccard-used")
+        self.n_classes = used.count()
+        some = maybe_broadcast(used, self.n_classes, 8)
+        parts = self.parts.join(some, "cls", "left_semi").groupBy("cls").agg(F.first("parts").alias("parts"))
+        self.classes = materialize(parts.join(self.meta.join(some, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "cls"), "jaccard-classes")
+        discard(used, self.parts)
+
+    def texts(self, ids, copies=None, n: int = 0) -> DataFrame:
+        """The texts of the documents of ``ids`` (all without it) and of no id of ``copies``; of repeated and of null ids each text once."""
+        keep = lambda df: df if ids is None else df.join(ids, "doc_id", "left_semi")
+        rows = keep(self.docs.filter("doc_id is not null"))
+        if not self.n_again:
+            return (rows if copies is None else rows.join(maybe_broadcast(copies, n, 8), "doc_id", "left_anti")).select("text")
+        again = self.odd.filter("not copy").select("doc_id")
+        apart = maybe_broadcast(again if copies is None else self.odd.select("doc_id"), self.n_again + n, 8)
+        several = keep(self.docs.filter("doc_id is not null").join(maybe_broadcast(again, self.n_again, 8), "doc_id", "left_semi"))
+        several = several.select("text").union(self.docs.filter("doc_id is null").select("text"))
+        return rows.join(apart, "doc_id", "left_anti").select("text").union(several.dropDuplicates(["text"]))
 
     def apart(self, x, y):
         """Lower bound of the Hamming distance of two sets from their part counts."""
@@ -313,40 +432,61 @@ class _Join:
         placed = grouped.filter(self.enough(F.col("votes") + rest, n, m) & (F.col("votes") >= least_votes))
         x = self.classes.select(F.col("cls").alias("a"), F.col("parts").alias("parts_a"))
         y = self.classes.select(F.col("cls").alias("b"), F.col("parts").alias("parts_b"))
-        both = placed.join(x, "a").join(y, "b")
+        if fits_broadcast(self.n_classes, PART_BYTES):
+            both = placed.join(F.broadcast(x), "a").join(F.broadcast(y), "b")
+        else:
+            self.passing.append(materialize(placed, "jaccard-placed"))
+            both = self.spread(self.passing[-1].join(x, "a"), y)
         return both.filter(self.enough((n + m - self.apart("parts_a", "parts_b")) / 2, n, m)).select("a", "b", "n", "m", "votes")
 
+    def spread(self, pairs: DataFrame, others: DataFrame) -> DataFrame:
+        """``pairs`` joined with the rows (b, ...) of ``others``; the rows of a class ``b`` in many pairs are copied to several tasks."""
+        hot = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("cuts")).filter("cuts > 1"), "jaccard-hot")
+        self.passing.append(hot)
+        n = hot.count()
+        if not n:
+            return pairs.join(others, "b")
+        cuts = F.coalesce("cuts", F.lit(1))
+        dealt = pairs.join(maybe_broadcast(hot, n), "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), cuts)).drop("cuts")
+        copied = others.join(maybe_broadcast(hot, n), "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), cuts - 1)).cast("bigint")).drop("cuts")
+        return dealt.join(copied, ["b", "salt"]).drop("salt")
+
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """Whole sets of the wanted classes (cls)."""
-        ids = self.meta.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted.distinct(), "cls").select("doc_id")
-        ids = materialize(ids, "jaccard-wanted")
-        texts = self.docs.join(maybe_broadcast(ids, ids.count()), "doc_id", "left_semi").select("text")
-        texts = texts.union(self.docs.filter("doc_id is null").select("text"))
-        out = materialize(map_text(texts, _whole_sets(self.width), "cls bigint, shingles array<bigint>"), "jaccard-sets")
-        discard(ids)
-        return out
+        """(cls, shingles) of the wanted classes (cls), made from their texts; a class of a repeated id may come more than once, and others with it."""
+        ids = materialize(self.classes.join(wanted.distinct(), "cls").select("doc_id").distinct(), "jaccard-wanted")
+        self.passing.append(ids)
+        texts = self.texts(maybe_broadcast(ids, ids.count(), 8))
+        return map_text(texts, _whole_sets(self.width), "cls bigint, shingles array<bigint>")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links (a, b) among candidate ``pairs``."""
+        """The links (a, b) among candidate ``pairs``: the set of ``a`` travels once a pair, that of ``b`` once a group of its partners."""
         pairs = materialize(pairs, f"jaccard-{name}")
-        sets = self.sets(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))))
-        whole = sets.dropDuplicates(["cls"])
+        self.settle()
+        n = pairs.count()
+        own = self.sets(pairs.select(F.col("a").alias("cls"))).select(F.col("cls").alias("a"), F.col("shingles").alias("set_a"))
+        others = self.sets(pairs.select(F.col("b").alias("cls"))).select(F.col("cls").alias("b"), F.col("shingles").alias("set_b"))
+        hot = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("cuts")), "jaccard-hubs")
+        hubs = maybe_broadcast(hot, hot.count())
+        dealt = pairs.join(hubs, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("cuts")).cast("int")).drop("cuts")
+        left = own.join(maybe_broadcast(dealt, n, 40), "a")
+        right = others.join(hubs, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
         common = F.size(F.array_intersect("set_a", "set_b"))
-        links = (
-            pairs.join(whole.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b")
-            .join(whole.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
-            .filter(self.enough(common, F.col("n"), F.col("m")))
-            .select("a", "b")
-        )
-        links = materialize(links, f"jaccard-{name}-links")
-        discard(pairs, sets)
+        met = left.join(right.hint("shuffle_merge"), ["b", "salt"])
+        links = materialize(met.filter(self.enough(common, F.col("n"), F.col("m"))).select("a", "b"), f"jaccard-{name}-links")
+        discard(pairs, hot)
+        self.settle()
         return links
 
+    def settle(self) -> None:
+        """Delete the tables that the last written one was made from."""
+        discard(*self.passing)
+        self.passing.clear()
+
     def components(self) -> DataFrame:
         """(cls, root) of the classes that have a link."""
         own = F.col("cls")
         hubs = self.shared.filter("cls = hub").select("token", F.col("n").alias("m"), F.col("pos").alias("pos_b")).dropDuplicates(["token"])
-        hubbed = self.shared.join(maybe_broadcast(hubs, self.n_lists), "token").select(own.alias("a"), "n", "pos", F.col("hub").alias("b"), "m", "pos_b")
+        hubbed = self.shared.join(maybe_broadcast(hubs, self.n_lists, 24), "token").select(own.alias("a"), "n", "pos", F.col("hub").alias("b"), "m", "pos_b")
         best = (
             self.filtered(hubbed, HUB_VOTES).groupBy("a")
             .agg(F.max(F.struct("votes", (-F.xxhash64("b")).alias("h"), "b", "n", "m")).alias("x"))
@@ -363,20 +503,32 @@ class _Join:
         self.add(self.verified(self.filtered(pairs, HUB_VOTES).select("a", "b", "n", "m"), "second"))
         discard(open_rows)
         open_rows = self.unsettled()
-        sizes = materialize(
-            open_rows.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("who")),
-            "jaccard-open-lists",
-        )
+        sizes = self.sizes(open_rows)
         short = open_rows.join(sizes.filter(F.col("k") <= SHORT_LIST).select("token"), "token")
         self.add(self.verified(self.filtered(self.short_pairs(short)).select("a", "b", "n", "m"), "short"))
-        long = sizes.filter(F.col("k") > SHORT_LIST)
-        if not long.isEmpty():
-            self.add(self.long_links(open_rows, long))
-        discard(open_rows, sizes)
+        for apart in (False, True):
+            long = sizes.filter(F.col("k") > SHORT_LIST)
+            if long.isEmpty():
+                break
+            self.add(self.long_links(open_rows, long, apart))
+            discard(open_rows, sizes)
+            open_rows = self.unsettled()
+            sizes = self.sizes(open_rows)
+        discard(open_rows, sizes, self.shared, self.classes)
         return self.roots.select(F.col("node").alias("cls"), "root")
 
+    def sizes(self, rows: DataFrame) -> DataFrame:
+        """Members, shingles and a hash of the members of every open list."""
+        return materialize(
+            rows.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("who")),
+            "jaccard-open-lists",
+        )
+
     def contract(self) -> None:
-        self.roots = materialize(connected_components(self.links, "a", "b", "jaccard"), "jaccard-roots")
+        old = getattr(self, "roots", None)
+        self.roots = connected_components(self.links, "a", "b", "jaccard")
+        if old is not None:
+            discard(old)
 
     def add(self, more: DataFrame) -> None:
         if not more.isEmpty():
@@ -398,16 +550,18 @@ class _Join:
             F.col("x.cls").alias("a"), n.alias("n"), F.col("x.pos").alias("pos"), F.col("y.cls").alias("b"), m.alias("m"), F.col("y.pos").alias("pos_b")
         )
 
-    def long_links(self, rows: DataFrame, lists: DataFrame) -> DataFrame:
-        """Links between the components of long lists, two blocks of a list at a time."""
+    def long_links(self, rows: DataFrame, lists: DataFrame, apart: bool) -> DataFrame:
+        """Links between the components of long lists, within each block of a list or, ``apart``, between two of its blocks."""
         cuts = F.ceil(F.greatest(F.col("all") / BLOCK_SHINGLES, F.col("k") / BLOCK_SETS)).cast("int")
         once = lists.groupBy("who", "k", "all").agg(F.min("token").alias("token")).select("token", cuts.alias("cuts"))
         once = materialize(once, "jaccard-long")
         members = rows.join(once, "token").select("token", "cls", "root", "cuts").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
-        sent = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).select(
-            "token", "cls", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-        )
-        sets = self.sets(members.select("cls"))
+        members = materialize(members, "jaccard-members")
+        if apart:
+            sent = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).filter("own != other")
+        else:
+            sent = members.withColumn("other", F.col("own"))
+        sent = sent.select("token", "cls", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         percent = self.percent
 
         def meet(pdf):
@@ -417,9 +571,11 @@ class _Join:
             out = block_links(pdf["cls"].to_numpy(), pdf["root"].to_numpy(), [np.asarray(x) for x in pdf["shingles"]], percent)
             return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
+        sets = materialize(self.sets(members.select("cls")), "jaccard-sets")
         tasks = sent.join(sets.dropDuplicates(["cls"]), "cls").select("token", "i", "j", "cls", "root", "shingles")
         links = materialize(tasks.groupBy("token", "i", "j").applyInPandas(meet, "a bigint, b bigint"), "jaccard-long-links")
-        discard(sets, once)
+        discard(sets, once, members)
+        self.settle()
         return links
 
     def unsettled(self) -> DataFrame:

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which an id table (one or two longs a row) may be broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a table may be broadcast: its counted rows times the width of a row.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,9 +52,13 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only if its counted ``rows`` are within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+def fits_broadcast(rows: int, row_bytes: int = 16) -> bool:
+    return rows * row_bytes <= BROADCAST_BYTES
+
+
+def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int = 16) -> DataFrame:
+    """Mark ``df`` for broadcast only if its counted ``rows`` of ``row_bytes`` are within BROADCAST_BYTES."""
+    return F.broadcast(df) if fits_broadcast(rows, row_bytes) else df
 
 
 #: Rows of one Arrow batch of texts; Spark's default of 10,000 holds both ends of the pipe to gigabytes for long texts.
