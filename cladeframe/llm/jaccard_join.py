@@ -74,7 +74,7 @@ PART_BYTES = 100
 HUB_ROWS = 500
 #: Bits of a token in the first pass, of the map's size, and tokens of one flush and of one part of the merge.
 TOKEN_BITS = 48
-MAP_BITS = 28
+MAP_BITS = 27
 FLUSH_TOKENS = 1_000_000
 PART_TOKENS = 4_000_000
 #: Bounds of a block of a longer list: shingles and sets.
@@ -380,14 +380,16 @@ class _Join:
         part_bits = min(MAP_BITS - 3, max(6, int(-(-total // PART_TOKENS)).bit_length()))
         packed = map_text(own, _packed_tokens(self.width, self.percent, self.sketch_bits, self.sketch, part_bits), "part bigint, packed binary")
         marks = packed.groupBy("part").applyInPandas(_mark(part_bits, MAP_BITS), "part bigint, bits binary")
-        bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+        bits = bytearray(1 << (MAP_BITS - 3))
         piece = 1 << (MAP_BITS - 3 - part_bits)
         for row in marks.toLocalIterator():  # the map's fixed size
-            bits[row["part"] * piece :][:piece] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-        seen = self.spark.sparkContext.broadcast(bits.tobytes())
+            bits[row["part"] * piece : (row["part"] + 1) * piece] = zlib.decompress(row["bits"])
+        seen = self.spark.sparkContext.broadcast(bits)
+        del bits
         entries = map_text(own, _prefixes(self.width, self.percent, self.sketch_bits, self.sketch, MAP_BITS, seen), "token bigint, cls bigint, n bigint, pos int")
         entries = materialize(entries, "jaccard-entries")
-        seen.unpersist()
+        seen.destroy()
+        self.sketch.destroy()
         lists = entries.groupBy("token").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub != last").select("token", "hub")
         lists = materialize(lists, "jaccard-lists")
         self.n_lists = lists.count()
@@ -496,24 +498,28 @@ class _Join:
         self.contract()
         open_rows = self.unsettled()
         hub = F.min_by(F.struct("cls", "n", "pos", "root"), F.xxhash64("cls", "n"))
-        others = open_rows.groupBy("token").agg(hub.alias("h"))
-        pairs = open_rows.join(others, "token").filter(F.col("root") != F.col("h.root")).select(
+        others = materialize(open_rows.groupBy("token").agg(hub.alias("h")), "jaccard-others")
+        self.passing.append(others)
+        pairs = open_rows.join(maybe_broadcast(others, others.count(), 48), "token").filter(F.col("root") != F.col("h.root")).select(
             own.alias("a"), "n", "pos", F.col("h.cls").alias("b"), F.col("h.n").alias("m"), F.col("h.pos").alias("pos_b")
         )
         self.add(self.verified(self.filtered(pairs, HUB_VOTES).select("a", "b", "n", "m"), "second"))
         discard(open_rows)
         open_rows = self.unsettled()
         sizes = self.sizes(open_rows)
-        short = open_rows.join(sizes.filter(F.col("k") <= SHORT_LIST).select("token"), "token")
+        few = sizes.filter(F.col("k") <= SHORT_LIST).select("token")
+        short = open_rows.join(maybe_broadcast(few, few.count(), 8), "token")
         self.add(self.verified(self.filtered(self.short_pairs(short)).select("a", "b", "n", "m"), "short"))
-        for apart in (False, True):
-            long = sizes.filter(F.col("k") > SHORT_LIST)
-            if long.isEmpty():
-                break
-            self.add(self.long_links(open_rows, long, apart))
-            discard(open_rows, sizes)
-            open_rows = self.unsettled()
-            sizes = self.sizes(open_rows)
+        long = self.long_lists(sizes)
+        if not long.isEmpty():
+            self.add(self.long_links(open_rows, long, False))
+            if not long.filter("cuts > 1").isEmpty():
+                discard(open_rows, sizes)
+                open_rows = self.unsettled()
+                sizes = self.sizes(open_rows)
+                long = self.long_lists(sizes).filter("cuts > 1")
+                if not long.isEmpty():
+                    self.add(self.long_links(open_rows, long, True))
         discard(open_rows, sizes, self.shared, self.classes)
         return self.roots.select(F.col("node").alias("cls"), "root")
 
@@ -524,6 +530,10 @@ class _Join:
             "jaccard-open-lists",
         )
 
+    def long_lists(self, sizes: DataFrame) -> DataFrame:
+        cuts = F.ceil(F.greatest(F.col("all") / BLOCK_SHINGLES, F.col("k") / BLOCK_SETS)).cast("int")
+        return sizes.filter(F.col("k") > SHORT_LIST).withColumn("cuts", cuts)
+
     def contract(self) -> None:
         old = getattr(self, "roots", None)
         self.roots = connected_components(self.links, "a", "b", "jaccard")
@@ -552,8 +562,7 @@ class _Join:
 
     def long_links(self, rows: DataFrame, lists: DataFrame, apart: bool) -> DataFrame:
         """Links between the components of long lists, within each block of a list or, ``apart``, between two of its blocks."""
-        cuts = F.ceil(F.greatest(F.col("all") / BLOCK_SHINGLES, F.col("k") / BLOCK_SETS)).cast("int")
-        once = lists.groupBy("who", "k", "all").agg(F.min("token").alias("token")).select("token", cuts.alias("cuts"))
+        once = lists.groupBy("who", "k", "all", "cuts").agg(F.min("token").alias("token")).select("token", "cuts")
         once = materialize(once, "jaccard-long")
         members = rows.join(once, "token").select("token", "cls", "root", "cuts").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("int"))
         members = materialize(members, "jaccard-members")
