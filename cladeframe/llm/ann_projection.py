@@ -5,23 +5,28 @@ projected distance of two vectors is their squared distance times a chi-square
 variable of ``DIMS`` degrees.  So once ``k`` neighbours within distance ``d``
 are known, whatever lies farther than ``d * sqrt(q)`` in the projection, q
 being the chi-square quantile of ``CONFIDENCE``, is nearer than ``d`` with
-probability at most ``1 - CONFIDENCE``; the search stops there.
+probability at most ``1 - CONFIDENCE``; the search stops there.  A neighbour is
+therefore missed with at most that probability, on any data; what share of the
+rows is verified depends on the data and is reported for every query.
 
 The projected space is cut by a kd-tree whose split values are fitted on a
-bounded sample (``SAMPLE_ROWS``); every row is assigned to a leaf, the *cell*.
-Cells are split further by a hash into blocks of about ``BLOCK_ROWS`` rows, so
-no cell, however many equal vectors it holds, comes to one task.
+bounded sample (``SAMPLE_ROWS``, at least ``CELL_SAMPLE`` of them a cell); every
+row is assigned to a leaf, the *cell*.  Cells are split further by a hash into
+blocks of about ``BLOCK_ROWS`` rows, so no cell, however many rows or equal
+vectors it holds, comes to one task.
 
 1. Every query searches one block of its own cell: a first bound ``d``.
 2. The stopping test against the cells' bounding boxes leaves the cells that
-   the query must visit; it is sent to all their blocks but the first.
-3. In a block, a kd-tree over the distinct projected points is walked leaf by
-   leaf in the order of projected distance; the leaf's vectors are verified in
-   full (double precision) until the stopping test holds.
+   the query must visit; it is sent to all their blocks but the first.  Routes
+   are ids; vectors are joined to them on the way to the search.
+3. In a block, a kd-tree over the distinct projected points gives its leaves in
+   the order of projected distance.  Of a leaf, the points within the present
+   radius are verified in full (double precision), nearest projections first,
+   until the stopping test holds for the rest.
 4. The best ``k`` of the blocks are merged by (distance, id).
 
-Equal vectors are verified once and carry their ``k + 1`` smallest ids, which
-is all that a result can use.
+Equal vectors are verified once and carry their smallest ids, as many as a
+result can use.
 
 Defined results
 ---------------
@@ -36,7 +41,6 @@ Defined results
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -47,14 +51,16 @@ from pyspark.sql import functions as F
 from cladeframe.llm.tables import discard, materialize, maybe_broadcast, stable_sample
 
 K = 10
-DIMS = 8
-CONFIDENCE = 0.99
-SAMPLE_ROWS = 20_000
-CELL_ROWS = 8_000
-BLOCK_ROWS = 4_000
-MAX_DEPTH = 12
-QUERY_ROWS = 4_000
-LEAF_ROWS = 64
+DIMS = 24
+CONFIDENCE = 0.95
+SAMPLE_ROWS = 65_536
+CELL_SAMPLE = 16
+CELL_ROWS = 16_000
+BLOCK_ROWS = 16_000
+QUERY_ROWS = 8_000
+LEAF_ROWS = 256
+#: Points verified together before the radius is taken anew.
+STRIDE = 64
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -80,12 +86,12 @@ def directions(length: int, dims: int = DIMS, seed: int = 20) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((length, dims))
 
 
-def rounding(vector: np.ndarray, longest: float) -> float:
+def rounding(length: int, norm: float, longest: float) -> float:
     """Bound of how far apart two projections of one vector may lie; equal vectors of different batches can differ in their last bits.
 
     ``longest``: the root of the summed squares of the directions.
     """
-    return 4 * len(vector) * np.finfo(float).eps * float(np.linalg.norm(vector)) * longest
+    return 4 * length * np.finfo(float).eps * norm * longest
 
 
 def within(limit: float, stop: float, room: float) -> float:
@@ -132,34 +138,50 @@ class Block:
         by_vector = np.argsort(which, kind="stable")  # ids stay in order
         starts = np.searchsorted(which[by_vector], np.arange(len(first)))
         ends = np.append(starts[1:], len(ids))
-        self.ids = [ids[by_vector[a : min(b, a + k + 1)]] for a, b in zip(starts, ends)]
+        # an id at most k times, so that 2 k ids are enough whichever of them a query leaves out as its own
+        place = np.arange(len(ids))
+        head = np.append(True, (np.diff(which[by_vector]) != 0) | (np.diff(ids[by_vector]) != 0))[: len(ids)]
+        few = place - np.maximum.accumulate(np.where(head, place, 0)) < k
+        self.ids = [ids[by_vector[a:b][few[a:b]][: 2 * k]] for a, b in zip(starts, ends)]
         self.longest = float(np.linalg.norm(project))
-        self.tree = KdTree(self.vectors @ project)
+        self.points = self.vectors @ project
+        self.tree = KdTree(self.points, LEAF_ROWS)
 
-    def search(self, own: int, vector: np.ndarray, point: np.ndarray, bound: float, stop: float, k: int = K) -> list[tuple[float, int]]:
-        """The k nearest (squared distance, id); ``bound``: squared distance within which k are known already."""
-        best: list[tuple[float, int]] = []  # negated, largest first
+    def search(self, own: int, vector: np.ndarray, point: np.ndarray, bound: float, stop: float, k: int = K) -> tuple[list[tuple[float, int]], int]:
+        """The k nearest (squared distance, id), and how many vectors were verified; ``bound``: squared distance within which k are known already."""
+        far, near, rows_of = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the candidates that may be among the k
         gaps = self.tree.gaps(point)
-        room = rounding(vector, self.longest)
+        room, seen = rounding(len(vector), float(np.linalg.norm(vector)), self.longest), 0
+        limit = bound
         for leaf in np.argsort(gaps, kind="stable"):
-            worst = -best[0][0] if len(best) == k else math.inf
-            if gaps[leaf] > within(min(worst, bound), stop, room):
+            if gaps[leaf] > within(limit, stop, room):
                 break
             rows = self.tree.leaves[leaf]
-            apart = self.vectors[rows] - vector
-            far = np.einsum("ij,ij->i", apart, apart)
-            limit = min(worst, bound)
-            for i in np.flatnonzero(far <= limit):
-                d = float(far[i])
-                for x in self.ids[rows[i]]:
-                    if x == own:
-                        continue
-                    item = (-d, -int(x))
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-        return sorted((-d, -x) for d, x in best)
+            apart = self.points[rows] - point
+            gap = np.einsum("ij,ij->i", apart, apart)
+            order = np.argsort(gap, kind="stable")
+            rows, gap = rows[order], gap[order]
+            at = 0
+            while at < len(rows) and gap[at] <= within(limit, stop, room):
+                some = rows[at : at + STRIDE][gap[at : at + STRIDE] <= within(limit, stop, room)]
+                at += STRIDE
+                seen += len(some)
+                apart = self.vectors[some] - vector
+                d = np.einsum("ij,ij->i", apart, apart)
+                fits = d <= limit
+                if fits.any():
+                    new = some[fits]
+                    far, near = np.concatenate([far, d[fits]]), np.concatenate([near, new])
+                    rows_of = np.concatenate([rows_of, [int((self.ids[i] != own).sum()) for i in new]])
+                    order = np.argsort(far, kind="stable")
+                    far, near, rows_of = far[order], near[order], rows_of[order]
+                    full = int(np.searchsorted(np.cumsum(rows_of), k))
+                    if full < len(far):
+                        limit = min(limit, float(far[full]))
+                        keep = far <= limit  # all that tie with the last
+                        far, near, rows_of = far[keep], near[keep], rows_of[keep]
+        best = sorted((float(d), int(x)) for d, i in zip(far, near) for x in self.ids[i] if x != own)
+        return best[:k], seen
 
 
 class Cells:
@@ -203,9 +225,9 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = K, dims: int = DIMS, confidence: float = CONFIDENCE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``."""
+    """query_id, rank, vec_id, score and the vectors verified for the query: the k nearest found of every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, verified long"
     rows = usable(vectors)
     n = rows.count()
     if not n:
@@ -214,9 +236,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, dims: int = DIMS,
     length = len(sample[0]) if len(sample) else len(rows.first()["embedding"])
     project = directions(length, dims)
     stop = chi_square_quantile(confidence, dims)
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n / CELL_ROWS)))))
+    depth = max(0, math.ceil(math.log2(max(1, min(n / CELL_ROWS, len(sample) / CELL_SAMPLE)))))
     cells = Cells(sample @ project if len(sample) else np.zeros((0, dims)), depth)
-    tools = spark.sparkContext.broadcast((project, cells))  # fixed size: dims by length, 2 ** MAX_DEPTH splits
+    tools = spark.sparkContext.broadcast((project, cells))  # fixed size: dims by length, a split for CELL_SAMPLE rows of the sample
 
     def place(batches):
         p, c = tools.value
@@ -228,7 +250,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, dims: int = DIMS,
 
     placed = materialize(rows.mapInPandas(place, "vec_id long, embedding array<double>, cell long, point array<double>"), "ann-placed")
     box = [f(F.col("point")[i]).alias(f"{f.__name__}{i}") for i in range(dims) for f in (F.min, F.max)]
-    boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *box).collect()  # at most 2 ** MAX_DEPTH cells
+    boxes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *box).collect()  # a row for CELL_SAMPLE rows of the sample
     blocks = {r["cell"]: max(1, math.ceil(r["n"] / BLOCK_ROWS)) for r in boxes}
     sizes = spark.createDataFrame([(c, b) for c, b in blocks.items()], "cell long, blocks int")
     salted = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
@@ -237,63 +259,64 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, dims: int = DIMS,
         F.col("vec_id").alias("query_id"), "q.embedding", "q.point", "q.cell"
     )
     asked = materialize(asked, "ann-asked")
-    parts = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    found_schema = "query_id long, vec_id long, far double"
+    n_asked = asked.count()
+    parts = max(1, math.ceil(n_asked / QUERY_ROWS))
+    found_schema = "query_id long, vec_id long, far double, verified long"
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple] = []
         if len(left) and len(right):
             p, _ = tools.value
             block = Block(right["vec_id"].to_numpy(), np.stack(right["embedding"].to_numpy()), p, k)
             for own, vector, point, bound in zip(left["query_id"], left["embedding"], left["point"], left["bound"]):
-                out += [(own, x, d) for d, x in block.search(own, vector, point, bound, stop, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "far"]).astype({"query_id": "int64", "vec_id": "int64", "far": "float64"})
+                best, seen = block.search(own, vector, point, bound, stop, k)
+                out += [(own, None, None, seen), *((own, x, d, 0) for d, x in best)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "far", "verified"]).astype({"query_id": "int64", "vec_id": "Int64", "far": "float64", "verified": "int64"})
 
     def visit(queries: DataFrame) -> DataFrame:
-        """Search the block that each row of ``queries`` names; queries come in parts, so no group outgrows a task."""
+        """Search the block that each row (query_id, bound, cell, block) names; queries come in parts, so no group outgrows a task."""
         split = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
         wanted = split.select("cell", "block", "part").distinct()
-        held = salted.join(maybe_broadcast(wanted, wanted.count()), ["cell", "block"]).select(
+        held = salted.join(maybe_broadcast(wanted, wanted.count(), 24), ["cell", "block"]).select(
             "vec_id", "embedding", "cell", "block", (F.col("part") + 0).alias("part")
         )
         key = ["cell", "block", "part"]
-        return split.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(search, found_schema)
+        vectors = asked.select("query_id", "embedding", "point")
+        told = split.join(maybe_broadcast(vectors, n_asked, 8 * (length + dims + 4)), "query_id")
+        return told.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(search, found_schema)
 
     home = asked.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
-    first = materialize(visit(home.withColumn("bound", F.lit(float("inf")))), "ann-first")
-    bounds = first.groupBy("query_id").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("k"))
-    bounded = home.select("query_id", "embedding", "point", "cell", "block").join(bounds, "query_id", "left").withColumn(
-        "bound", F.when(F.col("k") >= k, F.col("far")).otherwise(F.lit(float("inf")))
-    )
+    home = home.select("query_id", "point", "cell", "block", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    first = materialize(visit(home.select("query_id", F.lit(float("inf")).alias("bound"), "cell", "block")), "ann-first")
+    bounds = first.filter("vec_id is not null").groupBy("query_id").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("k"))
+    bounded = home.join(bounds, "query_id", "left").withColumn("bound", F.when(F.col("k") >= k, F.col("far")).otherwise(F.lit(float("inf"))))
     lows = np.array([[r[f"min{i}"] for i in range(dims)] for r in boxes])
     highs = np.array([[r[f"max{i}"] for i in range(dims)] for r in boxes])
     names = np.array([r["cell"] for r in boxes])
-    boxed = spark.sparkContext.broadcast((names, lows, highs, blocks))  # at most 2 ** MAX_DEPTH cells
+    boxed = spark.sparkContext.broadcast((names, lows, highs, blocks))  # a row for CELL_SAMPLE rows of the sample
 
     def route(batches):
         cell_names, low, high, count = boxed.value
         longest = float(np.linalg.norm(tools.value[0]))
         for pdf in batches:
-            out = {c: [] for c in ("query_id", "embedding", "point", "bound", "cell", "block")}
-            for own, vector, point, bound, cell, block in zip(*(pdf[c] for c in ("query_id", "embedding", "point", "bound", "cell", "block"))):
+            out = []
+            for own, point, norm, bound, cell, block in zip(*(pdf[c] for c in ("query_id", "point", "norm", "bound", "cell", "block"))):
                 gap = np.maximum(low - point, 0) + np.maximum(point - high, 0)
-                for c in cell_names[(gap * gap).sum(1) <= within(bound, stop, rounding(vector, longest))]:
-                    for b in range(count[c]):
-                        if (c, b) != (cell, block):
-                            for name, value in (("query_id", own), ("embedding", vector), ("point", point), ("bound", bound), ("cell", c), ("block", b)):
-                                out[name].append(value)
-            if out["query_id"]:
-                yield pd.DataFrame(out)
-
-    routed = bounded.mapInPandas(route, "query_id long, embedding array<double>, point array<double>, bound double, cell long, block int")
-    routed = materialize(routed, "ann-routed")
+                for c in cell_names[(gap * gap).sum(1) <= within(bound, stop, rounding(length, norm, longest))]:
+                    out += [(own, bound, c, b) for b in range(count[c]) if (c, b) != (cell, block)]
+            if out:
+                yield pd.DataFrame(out, columns=["query_id", "bound", "cell", "block"])
+
+    routed = materialize(bounded.mapInPandas(route, "query_id long, bound double, cell long, block int"), "ann-routed")
     rest = materialize(visit(routed), "ann-rest")
     every_one = first.union(rest)
+    work = every_one.groupBy("query_id").agg(F.sum("verified").alias("verified"))
     top = (
-        every_one.groupBy("query_id")
+        every_one.filter("vec_id is not null").groupBy("query_id")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "vec_id"))), 1, k).alias("top"))  # k rows a visited block
-        .select("query_id", F.posexplode("top").alias("at", "x"))
-        .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.sqrt("x.far").alias("score"))
+        .join(work, "query_id")
+        .select("query_id", "verified", F.posexplode("top").alias("at", "x"))
+        .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.sqrt("x.far").alias("score"), "verified")
     )
     top = materialize(top, "ann-top")
     discard(placed, asked, first, routed, rest)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cladeframe.llm import ann_projection as ann
 from cladeframe.llm import jaccard_join as jj
+from cladeframe.llm import tables
 from cladeframe.llm import url_rules as url
 from cladeframe.llm import warc_fixity as warc
 from cladeframe.llm.components import connected_components
@@ -124,7 +125,7 @@ def test_copies_in_other_blocks_and_cells_are_found():
         one = ann.Block(np.arange(5, 25), np.tile(vector, (20, 1)), project)
         for rows in (1, 2, 7, 1000):
             point = (np.tile(vector, (rows, 1)) @ project)[0]
-            assert one.search(0, vector, point, 0.0, 20.0) == [(0.0, i) for i in range(5, 15)]
+            assert one.search(0, vector, point, 0.0, 20.0)[0] == [(0.0, i) for i in range(5, 15)]
 
 
 def test_copies_over_several_blocks_tie_to_the_smallest_ids(spark, monkeypatch):
@@ -132,10 +133,46 @@ def test_copies_over_several_blocks_tie_to_the_smallest_ids(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL_ROWS", 80)
     vector = [float(x) for x in np.random.default_rng(3).standard_normal(64)]
     df = spark.createDataFrame([(i, vector) for i in range(300)], "vec_id long, embedding array<double>").repartition(3)
-    got = [tuple(r) for r in ann.nearest(df, 100, 10).orderBy("query_id", "rank").collect()]
+    got = [tuple(r)[:4] for r in ann.nearest(df, 100, 10).orderBy("query_id", "rank").collect()]
     assert got == [(q, k + 1, i, 0.0) for q in (0, 100, 200) for k, i in enumerate([x for x in range(11) if x != q][:10])]
 
 
+def test_repeated_rows_of_the_query_itself_do_not_hide_others():
+    vector = np.arange(1.0, 65.0)
+    project = ann.directions(64)
+    one = ann.Block(np.array([3] * 40 + [4] * 15 + [9, 10]), np.tile(vector, (57, 1)), project)
+    point = vector @ project
+    assert one.search(3, vector, point, np.inf, 20.0)[0] == [(0.0, 4)] * 10
+    assert one.search(4, vector, point, np.inf, 20.0)[0] == [(0.0, 3)] * 10
+    two = ann.Block(np.array([3] * 40 + [4, 9, 10]), np.tile(vector, (43, 1)), project)
+    assert two.search(3, vector, point, np.inf, 20.0)[0] == [(0.0, 4), (0.0, 9), (0.0, 10)]
+
+
+def test_the_stopping_test_stops_and_finds_nine_in_ten(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 1500)
+    monkeypatch.setattr(ann, "CELL_ROWS", 3000)
+    rng = np.random.default_rng(12)
+    some = rng.standard_normal((6000, 64))
+    near = rng.standard_normal((60, 64))[rng.integers(0, 60, 3000)] + 0.15 * rng.standard_normal((3000, 64))  # in groups
+    v = np.concatenate([some, near])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    df = df.union(df.filter("vec_id = 100"))  # a repeated query id
+    got = collections.defaultdict(list)
+    verified = {}
+    for r in ann.nearest(df, 50).collect():
+        got[r.query_id].append(r.vec_id)
+        verified[r.query_id] = r.verified
+    hit = share = 0
+    for q, found in got.items():
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(found) & set(np.argsort(d)[:10].tolist()))
+        share += verified[q] / len(v)
+    assert len(got) == 180 and hit >= 0.92 * 10 * len(got)
+    assert share / len(got) < 0.4
+
+
 def near_copies(n, seed):
     import random
 
@@ -154,14 +191,41 @@ def test_components_match_all_pairs(spark, docs, monkeypatch):
     rows = [(i, t) for i, t, *_ in make_docs()] + near_copies(30, 2) + near_copies(12, 3)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, cls string, n long")
     want = plain_components(rows)
-    for short, sets in ((32, 2000), (2, 2000), (1, 3)):
+    for short, sets, hub, sent in ((32, 2000, 500, 32 << 20), (1, 3, 2, 0)):
         monkeypatch.setattr(jj, "SHORT_LIST", short)
         monkeypatch.setattr(jj, "BLOCK_SETS", sets)
+        monkeypatch.setattr(jj, "HUB_ROWS", hub)
+        monkeypatch.setattr(tables, "BROADCAST_BYTES", sent)
         got = collections.Counter(map(tuple, jj.jaccard_components(df, sketch_bits=16).collect()))
         assert got == want, (short, got - want, want - got)
     assert jj.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_packed_tokens_come_back():
+    rng = np.random.default_rng(4)
+    for tokens in (np.zeros(0, np.uint64), np.array([0, 0, 5, (1 << 48) - 1], np.uint64), np.sort(rng.integers(0, 1 << 48, 1000).astype(np.uint64))):
+        assert (jj.unpack(jj.pack(tokens)) == tokens).all()
+
+
+def test_a_hub_of_many_near_copies_is_one_component(spark):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([f"only{i}", *base])) for i in range(10_000)]
+    got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), sketch_bits=16)
+    assert collections.Counter((r.n_shingles, r.component_id) for r in got.collect()) == {(58, 0): 10_000}
+
+
+def test_long_lists_of_texts_that_do_not_link(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(8)
+    passages = [" ".join(f"p{k}w{j}" for j in range(10)) for k in range(16)]
+    rows = [(i, " ".join(rnd.sample(passages, 8))) for i in range(200)]
+    rows += [(500 + i, rows[i][1] + " more") for i in range(10)]
+    monkeypatch.setattr(jj, "BLOCK_SETS", 40)
+    got = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), sketch_bits=16)
+    assert collections.Counter(map(tuple, got.collect())) == plain_components(rows)
+
+
 def test_block_links_are_the_qualifying_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
