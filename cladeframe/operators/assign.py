@@ -8,6 +8,7 @@ window functions, only contested blocks reach the grouped functions.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.scratch import stored
+
 
 def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     """Assignment of all rows or all columns, whichever are fewer, with the least total cost (shortest augmenting paths)."""
@@ -70,6 +73,57 @@ def blocks(pairs: Iterable[tuple]) -> list[list[int]]:
     return list(out.values())
 
 
+def cheapest_matching(pairs: list[tuple[int, int, float]], n_left: int, n_right: int) -> list[tuple[int, int]]:
+    """As many pairs (left, right) as possible, of these the least total cost; time and memory by the candidates, not by left times right.
+
+    Shortest augmenting paths over the candidates alone.  Every left end also
+    has a way out of its own that costs more than any change of pairs can save.
+    """
+    ways: list[list[tuple[int, float]]] = [[] for _ in range(n_left)]
+    for a, b, c in pairs:
+        ways[a].append((b, c))
+    costs = [c for _, _, c in pairs]
+    bar = max(costs) + 1.0 + 2 * min(n_left, n_right) * (max(costs) - min(costs) + 1.0)
+    for a in range(n_left):
+        ways[a].append((n_right + a, bar))
+    owner: dict[int, int] = {}
+    high = [0.0] * n_left
+    low: dict[int, float] = {}
+    for start in range(n_left):
+        high[start] = min(c - low.get(b, 0.0) for b, c in ways[start])
+        dist, via, done = {}, {}, {}
+        heap: list[tuple[float, int]] = []
+
+        def reach(a: int, so_far: float) -> None:
+            for b, c in ways[a]:
+                d = so_far + c - high[a] - low.get(b, 0.0)
+                if b not in done and d < dist.get(b, np.inf):
+                    dist[b], via[b] = d, a
+                    heapq.heappush(heap, (d, b))
+
+        reach(start, 0.0)
+        while True:
+            d, b = heapq.heappop(heap)
+            if b in done or d > dist[b]:
+                continue
+            if b not in owner:
+                break
+            done[b] = d
+            reach(owner[b], d)
+        for x, dx in done.items():
+            low[x] = low.get(x, 0.0) + dx - d
+            high[owner[x]] += d - dx
+        high[start] += d
+        taken = {a: x for x, a in owner.items()} if via[b] != start else {}
+        while True:
+            a = via[b]
+            owner[b] = a
+            if a == start:
+                break
+            b = taken[a]
+    return sorted((a, b) for b, a in owner.items() if b < n_right)
+
+
 def best_pairs(left: list, right: list, cost: list[float]) -> list[int]:
     """Indexes of the chosen candidates: as many pairs as possible, of these the least total cost."""
     chosen = []
@@ -79,15 +133,13 @@ def best_pairs(left: list, right: list, cost: list[float]) -> list[int]:
             continue
         rows = {x: i for i, x in enumerate(sorted({left[k] for k in block}))}
         cols = {x: i for i, x in enumerate(sorted({right[k] for k in block}))}
-        values = [cost[k] for k in block]
-        bar = 1.0 + 2 * min(len(rows), len(cols)) * (max(values) - min(values) + 1.0)
-        matrix = np.full((len(rows), len(cols)), bar + max(values))
-        index = {}
+        index: dict[tuple[int, int], int] = {}
         for k in block:
-            i, j = rows[left[k]], cols[right[k]]
-            if (i, j) not in index or cost[k] < matrix[i, j]:
-                matrix[i, j], index[i, j] = cost[k], k
-        chosen += [index[p] for p in least_cost(matrix) if p in index]
+            at = rows[left[k]], cols[right[k]]
+            if at not in index or cost[k] < cost[index[at]]:
+                index[at] = k
+        found = cheapest_matching([(i, j, cost[k]) for (i, j), k in sorted(index.items())], len(rows), len(cols))
+        chosen += [index[p] for p in found]
     return sorted(chosen)
 
 
@@ -150,40 +202,57 @@ def matching_size(left: str, right: str, keys: list[str]) -> Callable[[pd.DataFr
     return size
 
 
+def with_block(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """``pairs`` with ``_block``, the component that a pair's ends belong to; a block needs no other block to be settled."""
+    from cladeframe.operators.graph import components
+
+    kept = stored(pairs, "pairs")
+    two = kept.select("dataset", (F.col(left) * 2).alias("source"), (F.col(right) * 2 + 1).alias("target")).distinct()
+    ends = two.select("dataset", F.col("source").alias("node_id")).distinct()
+    labels = components(ends, two).select("dataset", (F.shiftright("node_id", 1)).alias(left), F.col("component").alias("_block"))
+    return kept.join(labels, ["dataset", left])
+
+
 def pair_up(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Rows (dataset, left, right) of a largest matching in every dataset."""
+    """Rows (dataset, left, right) of a largest matching in every dataset, block by block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = largest_matching(zip(pdf[left], pdf[right]))
         return pd.DataFrame([(pdf["dataset"].iloc[0], a, b) for b, a in found.items()], columns=["dataset", left, right])
 
-    return pairs.groupBy("dataset").applyInPandas(run, f"dataset string, {left} bigint, {right} bigint")
+    known = with_block(pairs.select("dataset", left, right), left, right)
+    return known.groupBy("dataset", "_block").applyInPandas(run, f"dataset string, {left} bigint, {right} bigint")
 
 
 def greedy(pairs: DataFrame, order: list[str], left: str, right: str, max_left: int = 1, max_right: int = 1, limit: str | None = None, frame: str | None = None, frame_limit: str | None = None) -> DataFrame:
-    """Rows taken in ``order`` while their ends have room; ``limit`` and ``frame_limit`` name columns with caps by dataset and by frame."""
+    """Rows taken in ``order`` while their ends have room; ``limit`` and ``frame_limit`` name columns with caps by dataset and by frame.
+
+    With ``frame`` the pairs of different frames must have no end in common
+    (pairs of one gap, keyed by the earlier frame): frames are settled apart.
+    Without it blocks of pairs are.  The cap by dataset only ends the sequence,
+    so it is a rank over what is taken.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         used_l: dict = {}
         used_r: dict = {}
-        used_f: dict = {}
-        taken = []
+        taken: list[int] = []
         for i, (a, b) in enumerate(zip(pdf[left], pdf[right])):
-            if limit and len(taken) >= pdf[limit].iloc[i]:
+            if frame_limit and len(taken) >= pdf[frame_limit].iloc[i]:
                 break
             if used_l.get(a, 0) >= max_left or used_r.get(b, 0) >= max_right:
                 continue
-            if frame:
-                f = pdf[frame].iloc[i]
-                if frame_limit and used_f.get(f, 0) >= pdf[frame_limit].iloc[i]:
-                    continue
-                used_f[f] = used_f.get(f, 0) + 1
             used_l[a], used_r[b] = used_l.get(a, 0) + 1, used_r.get(b, 0) + 1
             taken.append(i)
         return pdf.iloc[taken]
 
-    return pairs.groupBy("dataset").applyInPandas(run, pairs.schema)
+    known, part = (pairs, frame) if frame else (with_block(pairs, left, right).select(*pairs.columns, "_block"), "_block")
+    out = known.groupBy("dataset", part).applyInPandas(run, known.schema).select(*pairs.columns)
+    if limit:
+        w = Window.partitionBy("dataset").orderBy(*order)
+        out = out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col(limit)).drop("_r")
+    return out
 
 
 def ungated_then_cut(left: DataFrame, right: DataFrame, gate: float, shift: int = 1) -> DataFrame:

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again; without that setting, a temporary folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="cladeframe-")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from cladeframe.scratch import remove, stored
 
 
 def per_frame(nodes: DataFrame) -> DataFrame:
@@ -80,7 +67,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         low = large.groupBy("dataset", "a").agg(F.min("b").alias("m"))
         joined = large.join(low, ["dataset", "a"])
         small = joined.select("dataset", F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("dataset", "a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        now = stored(small, "components")
+        was, now = now, stored(small, "components")
+        remove(was)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("dataset", "a", "b").cast("decimal(38,0)"))).first()
         if state == said:
             break
@@ -173,7 +161,7 @@ def weak_leaves(nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFra
     last = nodes.groupBy("dataset").agg(F.max("t").alias("_last"))
     leaf = degrees(nodes, edges).filter("out_degree = 0 AND in_degree = 1")
     weak = edges.filter((F.col("probability") < threshold)).select("dataset", F.col("target").alias("node_id"))
-    gone = leaf.join(weak, ["dataset", "node_id"]).join(nodes.select("dataset", "node_id", "t"), ["dataset", "node_id"]).join(F.broadcast(last), "dataset").filter("t < _last")
+    gone = leaf.join(weak, ["dataset", "node_id"]).join(nodes.select("dataset", "node_id", "t"), ["dataset", "node_id"]).join(last, "dataset").filter("t < _last")
     return nodes.join(gone.select("dataset", "node_id"), ["dataset", "node_id"], "left_anti").select(*nodes.columns)
 
 

@@ -1,12 +1,15 @@
-"""Operators on voxel tables (t, z, y, x, value) and on peak tables.
+"""Operators on voxel tables (dataset, c, t, z, y, x, value) and on peak tables.
 
-Neighbourhoods are fixed integer offsets, so they are equi-joins on shifted
-coordinates.  Only the greedy suppression and the separable filters, which
-depend on order or on whole rows of pixels, run as grouped functions by frame.
+A frame is a value of those of ``dataset``, ``c`` (channel) and ``t`` that a
+table has; no operator mixes frames.  Neighbourhoods are fixed integer
+offsets, so they are equi-joins on shifted coordinates.  Only the greedy
+suppression, the separable filters and the flooding, which depend on order or
+on whole rows of pixels, run as grouped functions by frame.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
 
@@ -15,9 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.scratch import stored
+
 AXES = ("z", "y", "x")
 
 
+def frame(df: DataFrame) -> list[str]:
+    """The columns of ``df`` that name a frame."""
+    return [c for c in ("dataset", "c", "t") if c in df.columns]
+
+
 def box(radii: tuple[int, int, int]) -> list[tuple[int, int, int]]:
     return list(itertools.product(*(range(-r, r + 1) for r in radii)))
 
@@ -29,21 +39,27 @@ def ball(radius: float, voxel: tuple[float, float, float]) -> list[tuple[int, in
 
 
 def around(points: DataFrame, voxels: DataFrame, offsets: list[tuple[int, int, int]], key: list[str]) -> DataFrame:
-    """Every point's voxels at the given offsets: the point's ``key``, its t, z, y, x, offsets dz, dy, dx and the voxel's value."""
+    """Every point's voxels at the given offsets: the point's ``key``, frame, z, y, x, offsets dz, dy, dx and the voxel's value."""
+    own = frame(points)
     steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for d, a in zip(o, AXES))) for o in offsets))
-    spread = points.select(*key, "t", *AXES, F.explode(steps).alias("_o")).select(
-        *key, "t", *AXES, *(F.col(f"_o.d{a}").alias(f"d{a}") for a in AXES), *((F.col(a) + F.col(f"_o.d{a}")).alias(f"_{a}") for a in AXES)
+    spread = points.select(*key, *own, *AXES, F.explode(steps).alias("_o")).select(
+        *key, *own, *AXES, *(F.col(f"_o.d{a}").alias(f"d{a}") for a in AXES), *((F.col(a) + F.col(f"_o.d{a}")).alias(f"_{a}") for a in AXES)
     )
-    there = voxels.select("t", *(F.col(a).alias(f"_{a}") for a in AXES), F.col("value").alias("near"))
-    return spread.join(there, ["t", *(f"_{a}" for a in AXES)]).drop(*(f"_{a}" for a in AXES))
+    there = voxels.select(*own, *(F.col(a).alias(f"_{a}") for a in AXES), F.col("value").alias("near"))
+    return spread.join(there, [*own, *(f"_{a}" for a in AXES)]).drop(*(f"_{a}" for a in AXES))
 
 
 def peaks(voxels: DataFrame, threshold: float, offsets: list[tuple[int, int, int]] | None = None, strict: bool = False) -> DataFrame:
-    """Voxels that reach the threshold (strict: exceed it) and the maximum of their neighbourhood: t, z, y, x, value."""
+    """Voxels that reach the threshold (strict: exceed it) and the maximum of their neighbourhood: frame, z, y, x, value."""
     offsets = offsets or box((1, 1, 1))
     hot = voxels.filter(F.col("value") > threshold if strict else F.col("value") >= threshold)
-    best = around(hot.withColumn("_v", F.col("value")), voxels, offsets, ["_v"]).groupBy("t", *AXES, "_v").agg(F.max("near").alias("_m"))
-    return best.filter("_v = _m").select("t", *AXES, F.col("_v").alias("value"))
+    return local_tops(hot, voxels, offsets)
+
+
+def local_tops(hot: DataFrame, voxels: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
+    own = frame(voxels)
+    best = around(hot.withColumn("_v", F.col("value")), voxels, offsets, ["_v"]).groupBy(*own, *AXES, "_v").agg(F.max("near").alias("_m"))
+    return best.filter("_v = _m").select(*own, *AXES, F.col("_v").alias("value"))
 
 
 def suppress(found: DataFrame, distance: float, scale: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -60,17 +76,18 @@ def suppress(found: DataFrame, distance: float, scale: tuple[float, float, float
                 free &= np.sqrt(((p - p[i]) ** 2).sum(1)) >= distance
         return pdf.iloc[kept]
 
-    return found.groupBy("t").applyInPandas(run, found.schema)
+    return found.groupBy(*frame(found)).applyInPandas(run, found.schema)
 
 
 def centroids(found: DataFrame, voxels: DataFrame, radii: tuple[int, int, int]) -> DataFrame:
     """Peaks with the intensity-weighted centre of their box, values taken above the box's minimum; the peak itself where all are equal."""
+    own = frame(found)
     near = around(found, voxels, box(radii), [])
-    low = F.min("near").over(Window.partitionBy("t", *AXES))
+    low = F.min("near").over(Window.partitionBy(*own, *AXES))
     near = near.withColumn("_w", F.col("near") - low)
     total = F.sum("_w")
     centre = [F.when(total > 0, F.sum(F.col("_w") * (F.col(a) + F.col(f"d{a}"))) / total).otherwise(F.first(a).cast("double")).alias(f"c{a}") for a in AXES]
-    return near.groupBy("t", *AXES).agg(*centre)
+    return near.groupBy(*own, *AXES).agg(*centre)
 
 
 def physical_radii(radius: float, voxel: tuple[float, float, float]) -> tuple[int, int, int]:
@@ -78,15 +95,16 @@ def physical_radii(radius: float, voxel: tuple[float, float, float]) -> tuple[in
 
 
 def budget(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("t").orderBy(F.desc("value"), *AXES)
+    w = Window.partitionBy(*frame(found)).orderBy(F.desc("value"), *AXES)
     return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
 def gaussian_target(centres: DataFrame, voxels: DataFrame, sigma: float, radius: int) -> DataFrame:
-    """Largest exp(-d^2 / 2 sigma^2) of the centres whose window holds a voxel: t, z, y, x, target."""
+    """Largest exp(-d^2 / 2 sigma^2) of the centres whose window holds a voxel: frame, z, y, x, target."""
+    own = frame(centres)
     near = around(centres, voxels, box((radius,) * 3), [])
     d2 = F.col("dz") * F.col("dz") + F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
-    return near.select("t", *((F.col(a) + F.col(f"d{a}")).alias(a) for a in AXES), F.exp(-d2 / (2.0 * sigma * sigma)).alias("_g")).groupBy("t", *AXES).agg(F.max("_g").alias("target"))
+    return near.select(*own, *((F.col(a) + F.col(f"d{a}")).alias(a) for a in AXES), F.exp(-d2 / (2.0 * sigma * sigma)).alias("_g")).groupBy(*own, *AXES).agg(F.max("_g").alias("target"))
 
 
 def starts(size: int, patch: int, stride: int) -> Column:
@@ -103,41 +121,51 @@ def patch_grid(one: DataFrame, shape: tuple[int, int, int], patch: tuple[int, in
     return df
 
 
-def pair_index(pairs: DataFrame, grid: DataFrame) -> DataFrame:
-    """Frame pairs by patch with a running index by (dataset, t0, z0, y0, x0); the grid is a fixed small table."""
-    both = pairs.join(F.broadcast(grid))
-    w = Window.partitionBy("dataset").orderBy("t0", "z0", "y0", "x0")
-    return both.withColumn("index", (F.row_number().over(w) - 1).cast("bigint"))
+def patch_starts(size: int, patch: int, stride: int) -> list[int]:
+    last = max(size - patch, 0)
+    return sorted({*range(0, last + 1, stride), last})
+
+
+def pair_index(pairs: DataFrame, shape: tuple[int, int, int], patch: tuple[int, int, int], stride: tuple[int, int, int]) -> DataFrame:
+    """Frame pairs (dataset, t0, t1) by patch with a running index by (dataset, t0, z0, y0, x0): the pair's rank times the patches, plus the patch."""
+    grid = list(itertools.product(*(patch_starts(n, p, s) for n, p, s in zip(shape, patch, stride))))
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("dataset").orderBy("t0")) - 1)  # a row a frame
+    offsets = F.array(*(F.struct(*(F.lit(v).alias(f"{a}0") for v, a in zip(o, AXES))) for o in grid))
+    each = ranked.select(*pairs.columns, "_r", F.posexplode(offsets).alias("_p", "_o"))
+    return each.select(*pairs.columns, *(F.col(f"_o.{a}0") for a in AXES), (F.col("_r").cast("bigint") * len(grid) + F.col("_p")).alias("index"))
 
 
 def refine_midpoint(points: DataFrame, voxels: DataFrame, radii: tuple[int, int, int], scale: tuple[float, float, float], max_shift: float = 3.2, quantile: float = 0.2) -> DataFrame:
     """Centroid of the patch above its 20th percentile; the point stays where the shift is too large or nothing is left."""
+    own = [*frame(points), "node_id"]
     near = around(points, voxels, box(radii), ["node_id"])
-    low = near.groupBy("node_id").agg(F.expr(f"percentile(near, {quantile})").alias("_low"))
+    low = near.groupBy(*own).agg(F.expr(f"percentile(near, {quantile})").alias("_low"))
     w = F.greatest(F.col("near") - F.col("_low"), F.lit(0.0))
-    near = near.join(low, "node_id").withColumn("_w", w)
+    near = near.join(low, own).withColumn("_w", w)
     total = F.sum("_w")
-    fit = near.groupBy("node_id", "t", *AXES).agg(total.alias("_t"), *((F.sum(F.col("_w") * (F.col(a) + F.col(f"d{a}"))) / total).alias(f"_c{a}") for a in AXES))
+    fit = near.groupBy(*own, *AXES).agg(total.alias("_t"), *((F.sum(F.col("_w") * (F.col(a) + F.col(f"d{a}"))) / total).alias(f"_c{a}") for a in AXES))
     shift = F.sqrt(sum((((F.col(f"_c{a}") - F.col(a)) * s) * ((F.col(f"_c{a}") - F.col(a)) * s) for a, s in zip(AXES, scale)), F.lit(0.0)))
     fine = (F.col("_t") > 0) & (shift <= max_shift)
-    return fit.select("node_id", "t", *(F.when(fine, F.col(f"_c{a}")).otherwise(F.col(a).cast("double")).alias(a) for a in AXES))
+    return fit.select(*own, *(F.when(fine, F.col(f"_c{a}")).otherwise(F.col(a).cast("double")).alias(a) for a in AXES))
 
 
 def heat_accepts(points: DataFrame, voxels: DataFrame, radii: tuple[int, int, int], threshold: float) -> DataFrame:
-    """node_id, accepted: the window's maximum reaches the threshold; a point without any voxel is accepted."""
-    top = around(points, voxels, box(radii), ["node_id"]).groupBy("node_id").agg(F.max("near").alias("_m"))
-    return points.join(top, "node_id", "left").select("node_id", F.coalesce(F.col("_m") >= threshold, F.lit(True)).alias("accepted"))
+    """frame, node_id, accepted: the window's maximum reaches the threshold; a point without any voxel is accepted."""
+    own = [*frame(points), "node_id"]
+    top = around(points, voxels, box(radii), ["node_id"]).groupBy(*own).agg(F.max("near").alias("_m"))
+    return points.join(top, own, "left").select(*own, F.coalesce(F.col("_m") >= threshold, F.lit(True)).alias("accepted"))
 
 
 def pool_xy(voxels: DataFrame, factor: int) -> DataFrame:
-    return voxels.groupBy("t", "z", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")).agg(F.avg("value").alias("value"))
+    return voxels.groupBy(*frame(voxels), "z", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")).agg(F.avg("value").alias("value"))
 
 
 def normalize(voxels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Values between two quantiles of their frame, as [0, 1]."""
-    q = voxels.groupBy("t").agg(F.expr(f"percentile(value, {low})").alias("_lo"), F.expr(f"percentile(value, {high})").alias("_hi"))
+    """Values between two quantiles of their frame, as [0, 1]; the quantiles come from a count of each distinct value."""
+    own = frame(voxels)
+    q = voxels.groupBy(*own).agg(F.expr(f"percentile(value, {low})").alias("_lo"), F.expr(f"percentile(value, {high})").alias("_hi"))
     v = (F.col("value") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
-    return voxels.join(F.broadcast(q), "t").select("t", *AXES, F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)).alias("value"))
+    return voxels.join(q, own).select(*own, *AXES, F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)).alias("value"))
 
 
 #: Rotation by k quarter turns, then optional flip of x, of an n by n image: where (y, x) goes.
@@ -167,7 +195,7 @@ def views(voxels: DataFrame, n: int, names: list[tuple[int, bool]]) -> DataFrame
     out = None
     for i, (k, flip) in enumerate(names):
         y, x = d4(k, flip, n, F.col("y"), F.col("x"))
-        one = voxels.select(F.lit(i).alias("view"), "t", "z", y.alias("y"), x.alias("x"), "value")
+        one = voxels.select(F.lit(i).alias("view"), *frame(voxels), "z", y.alias("y"), x.alias("x"), "value")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -178,37 +206,180 @@ def merge_views(stacked: DataFrame, n: int, names: list[tuple[int, bool]]) -> Da
     for i, (k, flip) in enumerate(names):
         y, x = d4_inverse(k, flip, n, F.col("y"), F.col("x"))
         back_y, back_x = F.when(F.col("view") == i, y).otherwise(back_y), F.when(F.col("view") == i, x).otherwise(back_x)
-    return stacked.select("t", "z", back_y.alias("y"), back_x.alias("x"), "value").groupBy("t", "z", "y", "x").agg(F.avg("value").alias("value"))
-
-
-def _gauss(a: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian, window of 4 sigma, borders mirrored."""
-    r = int(4 * sigma + 0.5)
-    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    k /= k.sum()
-    for axis in range(a.ndim):
-        pad = np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(a.ndim)], mode="symmetric")
-        a = np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), axis, pad)
+    own = frame(stacked)
+    return stacked.select(*own, "z", back_y.alias("y"), back_x.alias("x"), "value").groupBy(*own, "z", "y", "x").agg(F.avg("value").alias("value"))
+
+
+def gauss(a: np.ndarray, sigmas: tuple[float, ...]) -> np.ndarray:
+    """Separable Gaussian with a sigma an axis, window of 4 sigma, borders mirrored."""
+    for axis, sigma in enumerate(sigmas):
+        if sigma <= 0:
+            continue
+        r = int(4 * sigma + 0.5)
+        k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+        pad = np.moveaxis(np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(a.ndim)], mode="symmetric"), axis, 0)
+        n = a.shape[axis]
+        a = np.moveaxis(sum(w * pad[i : i + n] for i, w in enumerate(k / k.sum())), 0, axis)
     return a
 
 
-def blob_response(voxels: DataFrame, shape: tuple[int, int, int], sigmas: list[float], ratio: float = 1.6) -> DataFrame:
-    """Largest difference of Gaussians over several scales, by frame."""
+def by_volume(voxels: DataFrame, function, columns: str) -> DataFrame:
+    """``function`` on every frame as a dense array (missing voxels 0); it returns columns, a value a voxel each."""
+    own = frame(voxels)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shape = tuple(int(pdf[a].max()) + 1 for a in AXES)
         a = np.zeros(shape)
         a[pdf.z, pdf.y, pdf.x] = pdf.value
-        best = np.max([_gauss(a, s) - _gauss(a, s * ratio) for s in sigmas], axis=0)
-        z, y, x = np.indices(shape).reshape(3, -1)
-        return pd.DataFrame({"t": pdf.t.iloc[0], "z": z.astype("int32"), "y": y.astype("int32"), "x": x.astype("int32"), "value": best.ravel()})
+        at = np.indices(shape).reshape(3, -1).astype("int32")
+        out = pd.DataFrame(dict(zip(AXES, at)) | {c: v.ravel() for c, v in function(a).items()})
+        for c in own:
+            out[c] = pdf[c].iloc[0]
+        return out
+
+    fields = [f"{c} {t}" for c, t in voxels.select(*own).dtypes] + [f"{a} int" for a in AXES]
+    return voxels.groupBy(*own).applyInPandas(run, ", ".join([*fields, columns]))
+
+
+def blob_response(voxels: DataFrame, sigmas: list[float], ratio: float = 1.6, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """Largest difference of Gaussians over several scales, by frame; ``sigmas`` in physical units, ``voxel`` the size of a voxel."""
+
+    def run(a: np.ndarray) -> dict:
+        wide = lambda s: gauss(a, tuple(s / v for v in voxel))
+        return {"value": np.max([wide(s) - wide(s * ratio) for s in sigmas], axis=0)}
+
+    return by_volume(voxels, run, "value double")
+
+
+def rule_peaks(voxels: DataFrame, threshold: float = 0.0, stride: int = 2, limit: int = 800) -> DataFrame:
+    """Peaks by fixed rules: frame, z, y, x (refined, in voxels of the input), value.
+
+    Every axis is subsampled; means of 3 x 3 x 3 with mirrored borders; maxima
+    of a (3, 7, 7) window that reach the threshold, or without one the frame's
+    mean plus its standard deviation; the best ``limit`` a frame; the centre of
+    the window's means above its least one (0 where all are equal).
+    """
+    own = frame(voxels)
+    thin = F.lit(True)
+    for a in AXES:
+        thin &= F.col(a) % stride == 0
+    small = voxels.filter(thin).select(*own, *((F.col(a) / stride).cast("int").alias(a) for a in AXES), "value")
+    last = small.groupBy(*own).agg(*(F.max(a).alias(f"_n{a}") for a in AXES))
+    steps = F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for d, a in zip(o, AXES))) for o in box((1, 1, 1))))
+    spread = small.join(last, own).withColumn("_o", F.explode(steps))
+    # a voxel's value goes to each voxel whose window holds it, and once more across a border for each axis on it
+    spread = spread.select(*own, *((F.col(a) + F.col(f"_o.d{a}")).alias(a) for a in AXES), *(f"_n{a}" for a in AXES), "value", *(F.col(a).alias(f"_{a}") for a in AXES))
+    inside, times = F.lit(True), F.lit(1)
+    for a in AXES:
+        inside &= F.col(a).between(F.lit(0), F.col(f"_n{a}"))
+        edge = ((F.col(f"_{a}") == 0) & (F.col(a) == 0)).cast("int") + ((F.col(f"_{a}") == F.col(f"_n{a}")) & (F.col(a) == F.col(f"_n{a}"))).cast("int")
+        times = times * (1 + edge)
+    flat = spread.filter(inside).groupBy(*own, *AXES).agg((F.sum(F.col("value") * times) / 27).alias("value"))
+    flat = stored(flat, "rule-means")
+    if threshold > 0:
+        hot = flat.filter(F.col("value") >= threshold)
+    else:
+        least = flat.groupBy(*own).agg((F.avg("value") + F.stddev_pop("value")).alias("_least"))
+        hot = flat.join(least, own).filter(F.col("value") >= F.col("_least")).drop("_least")
+    window = box((1, 3, 3))
+    best = budget(local_tops(hot, flat, window), limit)
+    near = around(best.withColumn("_v", F.col("value")), flat, window, ["_v"])
+    near = near.withColumn("_w", F.col("near") - F.min("near").over(Window.partitionBy(*own, *AXES)))
+    total = F.sum("_w")
+    whole = F.when(total == 0, F.lit(1.0)).otherwise(total)
+    centre = near.groupBy(*own, *(F.col(a).alias(f"_{a}") for a in AXES), F.col("_v").alias("value")).agg(*((F.sum(F.col("_w") * (F.col(a) + F.col(f"d{a}"))) / whole * stride).alias(a) for a in AXES))
+    return centre.select(*own, *AXES, "value")
+
+
+def otsu(values: np.ndarray, bins: int = 256) -> float:
+    """The centre of the bin after which two classes of ``values`` differ most."""
+    n, edges = np.histogram(values, bins)
+    mid = (edges[1:] + edges[:-1]) / 2
+    low, high = np.cumsum(n), np.cumsum(n[::-1])[::-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean_low, mean_high = np.cumsum(n * mid) / low, (np.cumsum((n * mid)[::-1]) / high[::-1])[::-1]
+    return float(mid[np.nan_to_num(low[:-1] * high[1:] * (mean_low[:-1] - mean_high[1:]) ** 2).argmax()])
+
+
+def edge_distance(mask: np.ndarray, scale: tuple[float, float, float]) -> np.ndarray:
+    """Euclidean distance of every true voxel to the nearest false one, axis by axis as a lower envelope of parabolas."""
+    d = np.where(mask, 1e18, 0.0)
+    for axis, s in enumerate(scale):
+        n = d.shape[axis]
+        rows = np.moveaxis(d, axis, 0).reshape(n, -1)
+        best = rows.copy()
+        for k in range(1, n):
+            best[k:] = np.minimum(best[k:], rows[:-k] + (k * s) ** 2)
+            best[:-k] = np.minimum(best[:-k], rows[k:] + (k * s) ** 2)
+        d = np.moveaxis(best.reshape(np.moveaxis(d, axis, 0).shape), 0, axis)
+    return np.sqrt(d)
+
+
+def flood(height: np.ndarray, seeds: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Labels of ``seeds`` spread over the mask, lowest voxels first (watershed over the six neighbours)."""
+    out = np.where(mask, seeds, 0)
+    queue = [(height[tuple(p)], i, tuple(p)) for i, p in enumerate(np.argwhere(out > 0).tolist())]
+    heapq.heapify(queue)
+    count = len(queue)
+    while queue:
+        _, _, p = heapq.heappop(queue)
+        for axis in range(3):
+            for step in (-1, 1):
+                q = (*p[:axis], p[axis] + step, *p[axis + 1 :])
+                if 0 <= q[axis] < mask.shape[axis] and mask[q] and not out[q]:
+                    out[q] = out[p]
+                    heapq.heappush(queue, (max(height[q], height[p]), count, q))
+                    count += 1
+    return out
 
-    return voxels.groupBy("t").applyInPandas(run, "t int, z int, y int, x int, value double")
 
+def joined(mask: np.ndarray) -> np.ndarray:
+    """Labels of the parts of a mask that hang together over the six neighbours."""
+    out, label = np.zeros(mask.shape, np.int64), 0
+    for start in map(tuple, np.argwhere(mask).tolist()):
+        if out[start]:
+            continue
+        label += 1
+        out[start], stack = label, [start]
+        while stack:
+            p = stack.pop()
+            for axis in range(3):
+                for step in (-1, 1):
+                    q = (*p[:axis], p[axis] + step, *p[axis + 1 :])
+                    if 0 <= q[axis] < mask.shape[axis] and mask[q] and not out[q]:
+                        out[q] = label
+                        stack.append(q)
+    return out
 
-def rule_peaks(voxels: DataFrame, threshold: float, stride: int = 2, limit: int = 800) -> DataFrame:
-    """Subsampled planes, mean of the 3-neighbourhood, maxima of a (3, 7, 7) window, the best ``limit`` a frame."""
-    small = voxels.filter((F.col("y") % stride == 0) & (F.col("x") % stride == 0)).select(
-        "t", "z", (F.col("y") / stride).cast("int").alias("y"), (F.col("x") / stride).cast("int").alias("x"), "value"
-    )
-    flat = around(small, small, box((1, 1, 1)), []).groupBy("t", *AXES).agg(F.avg("near").alias("value"))
-    return budget(peaks(flat, threshold, box((1, 3, 3))), limit).select("t", "z", (F.col("y") * stride).alias("y"), (F.col("x") * stride).alias("x"), "value")
+
+def segment(voxels: DataFrame, diameter: float, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """Cells of every frame: frame, z, y, x, label (0: background).
+
+    Values between the 1st and the 99.9th percentile; minus a wide Gaussian;
+    difference of Gaussians for the size of a cell; Otsu's threshold (on the
+    values before, if fewer than 20 are positive; no cells if these are too few
+    as well); touching cells are parted by flooding from the tops of the
+    distance to the border.
+    """
+    sigma = tuple(max(0.6, diameter / 4 / v) for v in voxel)
+    apart = tuple(max(1, int(np.round(diameter / v))) for v in voxel)
+
+    def run(a: np.ndarray) -> dict:
+        lo, hi = np.percentile(a, [1.0, 99.9])
+        a = np.clip((a - lo) / (hi - lo if hi > lo else 1.0), 0.0, 1.0)
+        flat = np.clip(a - gauss(a, tuple(10 * s for s in sigma)), 0.0, None)
+        work = np.clip(gauss(flat, sigma) - gauss(flat, tuple(1.6 * s for s in sigma)), 0.0, None)
+        if (work > 0).sum() < 20:
+            work = flat
+        if (work > 0).sum() < 20:
+            return {"label": np.zeros(a.shape, np.int64)}
+        mask = work > otsu(work[work > 0])
+        far = edge_distance(mask, voxel)
+        top = far.copy()
+        for axis, r in enumerate(apart):
+            pad = np.pad(top, [(r, r) if i == axis else (0, 0) for i in range(3)], constant_values=-1.0)
+            top = np.max([np.take(pad, range(k, k + top.shape[axis]), axis) for k in range(2 * r + 1)], axis=0)
+        tops = joined(mask & (far == top) & (far > 0))
+        return {"label": flood(-far, tops, mask) if tops.any() else joined(mask)}
+
+    return by_volume(voxels, run, "label bigint")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.schema import distance
+from cladeframe.scratch import stored
 
 UNIT = (1.0, 1.0, 1.0)
 
@@ -53,21 +54,27 @@ def nearest(left: DataFrame, right: DataFrame, k: int, gate: float, shift: int =
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest_any(left: DataFrame, right: DataFrame, k: int, gate: float, shift: int = 0, scale=UNIT, exclude_self: bool = False, doublings: int = 12) -> DataFrame:
-    """As :func:`nearest` without a gate: points that found fewer than k partners search twice as far, up to ``doublings`` times."""
-    done, todo = None, left
+def nearest_any(left: DataFrame, right: DataFrame, k: int, gate: float, shift: int = 0, scale=UNIT, exclude_self: bool = False) -> DataFrame:
+    """As :func:`nearest` without a gate: points that found fewer than k partners search twice as far, until every point has them all.
+
+    A gate beyond the extent of all points covers every frame, so the rounds
+    end; points without finite coordinates have no partners.
+    """
+    sound = F.lit(True)
+    for a in "zyx":
+        sound &= F.col(a).isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf"))
+    done, todo, right = None, left.filter(sound), right.filter(sound)
     counts = right.groupBy("dataset", F.col("t").alias("_t")).count()
-    for step in range(doublings):
+    while True:
         found = nearest(todo, right, k, gate, shift, scale, exclude_self)
         have = found.groupBy("dataset", "left_id").agg(F.count(F.lit(1)).alias("_k")).withColumnRenamed("left_id", "node_id")
         most = todo.withColumn("_t", F.col("t") + shift).join(counts, ["dataset", "_t"]).join(have, ["dataset", "node_id"], "left")
-        short = most.filter(F.coalesce("_k", F.lit(0)) < F.least(F.lit(k), F.col("count") - int(exclude_self))).select(*left.columns)
+        short = stored(most.filter(F.coalesce("_k", F.lit(0)) < F.least(F.lit(k), F.col("count") - int(exclude_self))).select(*left.columns), "short-of-partners")
         full = found.join(short.select("dataset", F.col("node_id").alias("left_id")), ["dataset", "left_id"], "left_anti").select(*found.columns)
         done = full if done is None else done.unionByName(full)
         if short.isEmpty():
             return done
         todo, gate = short, gate * 2
-    return done.unionByName(nearest(todo, right, k, gate, shift, scale, exclude_self))
 
 
 def within(left: DataFrame, right: DataFrame, gate: float, shift: int = 0, scale=UNIT, anti: bool = False) -> DataFrame:

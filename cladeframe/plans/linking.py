@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.operators import assign as S
 from cladeframe.operators import ensemble as C
+from cladeframe.operators import flow as W
 from cladeframe.operators import repair as R
 from cladeframe.operators import track as K
 from cladeframe.operators.graph import open_ends
@@ -168,3 +169,9 @@ def as11b_diverging_later(spark, d):
 def as19_mend(spark, d):
     n = _n(spark, d)
     return _graph_rows(R.mend(n, _broken(n), 20.0, 6.0))
+
+
+@query()
+def as16_least_cost_graph(spark, d):
+    n = _n(spark, d)
+    return _graph_rows(W.solve(n, A.scored_edges(n).filter("distance <= 20")))

@@ -127,12 +127,15 @@ def ag20_correlation(spark, d):
     return E.correlation(pairs, "x", "y", ["p", "q"]).withColumn("correlation", F.round("correlation", 6))
 
 
-@query()
+@query(with_tables("cs", """able AS (SELECT checkpoint, avg(score) AS mean FROM cs GROUP BY 1),
+  co AS (SELECT a.checkpoint AS p, b.checkpoint AS q, corr(1 - a.score, 1 - b.score) AS r FROM cs a JOIN cs b ON a.epoch = b.epoch AND a.fold = b.fold AND a.checkpoint <> b.checkpoint GROUP BY 1, 2),
+  f AS (SELECT checkpoint FROM able ORDER BY mean DESC, checkpoint LIMIT 1), g AS (SELECT p AS checkpoint FROM co JOIN f ON q = f.checkpoint JOIN able ON able.checkpoint = p ORDER BY r, mean DESC, p LIMIT 1),
+  h AS (SELECT p AS checkpoint FROM co JOIN able ON able.checkpoint = p WHERE q IN (SELECT checkpoint FROM f UNION ALL SELECT checkpoint FROM g) AND p NOT IN (SELECT checkpoint FROM f UNION ALL SELECT checkpoint FROM g) GROUP BY p, mean ORDER BY sum(r), mean DESC, p LIMIT 1)
+  SELECT 1 AS rank, checkpoint FROM f UNION ALL SELECT 2, checkpoint FROM g UNION ALL SELECT 3, checkpoint FROM h"""))
 def rk11_complementary(spark, d):
     cs = A.checkpoint_scores(spark, d)
     errors = cs.select("checkpoint", F.concat_ws("/", F.col("epoch").cast("string"), "fold").alias("sample"), (1 - F.col("score")).alias("error"))
-    chosen = E.complementary(cs.select("checkpoint", F.lit(0).alias("epoch"), "score"), errors, max_drop=1.0)
-    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "rank int, checkpoint string")
+    return E.complementary(cs.select("checkpoint", F.lit(0).alias("epoch"), "score"), errors, max_drop=1.0)
 
 
 @query(with_tables("cs", """r AS (SELECT checkpoint AS run, epoch, round(avg(score), 6) AS score FROM cs GROUP BY 1, 2),
@@ -175,7 +178,9 @@ def ag24_error_pivot(spark, d):
     return cs.groupBy("sample").pivot("checkpoint", names).agg(F.max("error"))
 
 
-@query()
+@query(with_tables("u", """m AS (SELECT count(*) AS n, avg(ln(1 + y)) AS my, avg(z) AS mz, avg(x) AS mx, stddev_pop(z) AS sz, stddev_pop(x) AS sx, covar_pop(z, x) AS zx, covar_pop(z, ln(1 + y)) AS zy, covar_pop(x, ln(1 + y)) AS xy FROM u),
+  g AS (SELECT *, n + 1.0 AS a, n * zx / (sz * sx) AS b, n * zy / sz AS p, n * xy / sx AS q FROM m), w AS (SELECT *, (p * a - b * q) / (a * a - b * b) AS wz, (a * q - b * p) / (a * a - b * b) AS wx FROM g)
+  SELECT node_id, round(greatest(0, exp(my + (z - mz) / sz * wz + (x - mx) / sx * wx) - 1), 6) AS predicted FROM u, w"""))
 def ag18_ridge(spark, d):
     rows = A.user_days(spark, d)
     model = E.fit_ridge(rows, ["z", "x"], "y")
@@ -188,7 +193,8 @@ def ag19_fit_temperature(spark, d):
     return spark.createDataFrame([(round(E.fit_temperature(se, "probability", "label"), 4),)], "temperature double")
 
 
-@query()
+@query(with_tables("cs", """m AS (SELECT checkpoint, avg(score) AS s FROM cs GROUP BY 1), b AS (SELECT checkpoint, s FROM m ORDER BY s DESC, checkpoint LIMIT 1), f AS (SELECT checkpoint, s FROM m ORDER BY checkpoint LIMIT 1)
+  SELECT CASE WHEN b.s > f.s + 0.0005 THEN b.checkpoint ELSE f.checkpoint END AS setting FROM b, f"""))
 def rk13_sweep(spark, d):
     cs = A.checkpoint_scores(spark, d).groupBy("checkpoint").agg(F.avg("score").alias("s"))
     scores = {r["checkpoint"]: r["s"] for r in cs.collect()}  # a row a setting
@@ -231,3 +237,8 @@ def vl4_evidence(spark, d):
     docs = A.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("run"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     claims = docs.withColumn("sha256", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("sha256")))
     return evidence(claims.select("run", "path", "sha256"), docs.filter("doc_id % 5 <> 0").select("path", "sha256"))
+
+
+@query(with_tables("e", "SELECT unnest(['E', 'none', 'other']) AS dataset, unnest([(SELECT count(*) FROM e), 0, 0]) AS n"))
+def vl8_empty_start(spark, d):
+    return E.empty_start(A.nodes(spark, d), ["E", "none", "other", "later"])

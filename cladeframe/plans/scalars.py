@@ -61,16 +61,16 @@ def prj6_positional_encoding(spark, d):
     return A.nodes(spark, d).withColumn("e", enc).select("node_id", *(R6(F.col("e")[i]).alias(f"e{i}") for i in range(8)))
 
 
-@query(with_tables("e v", """w AS (SELECT node_id, least(greatest(CAST(round_even(z / 10, 0) AS INTEGER), 0), 5) AS z, least(greatest(CAST(round_even(y / 10, 0) AS INTEGER), 0), 11) AS y, least(greatest(CAST(round_even(x / 10, 0) AS INTEGER), 0), 11) AS x FROM e)
-  SELECT node_id, v.value FROM w JOIN v ON v.t = 0 AND v.z = w.z AND v.y = w.y AND v.x = w.x"""))
+@query(with_tables("e v", """w AS (SELECT node_id, least(greatest(CAST(round_even(z / 10, 0) AS INTEGER), 0), 5) AS z, least(greatest(CAST(round_even(y / 10, 0) AS INTEGER), 0), 7) AS y, least(greatest(CAST(round_even(x / 10, 0) AS INTEGER), 0), 7) AS x FROM e)
+  SELECT node_id, v.value FROM w JOIN v ON v.dataset = 'V0' AND v.c = 0 AND v.t = 0 AND v.z = w.z AND v.y = w.y AND v.x = w.x"""))
 def prj7_feature_sampling(spark, d):
-    at = A.nodes(spark, d).select("node_id", *(X.nearest_voxel(F.col(a) / 10, n).alias(a) for a, n in (("z", 6), ("y", 12), ("x", 12))))
-    return at.join(F.broadcast(A.volume(spark).filter("t = 0")), ["z", "y", "x"]).select("node_id", "value")
+    at = A.nodes(spark, d).select("node_id", *(X.nearest_voxel(F.col(a) / 10, n).alias(a) for a, n in (("z", 6), ("y", 8), ("x", 8))))
+    return at.join(A.volume(spark, d).filter("dataset = 'V0' AND c = 0 AND t = 0"), ["z", "y", "x"]).select("node_id", "value")
 
 
-@query(with_tables("v", "SELECT t, z, y, x, CASE WHEN value > 50 THEN 1.0 ELSE 0.25 END AS w FROM v"))
+@query(with_tables("v", "SELECT dataset, c, t, z, y, x, CASE WHEN value > 50 THEN 1.0 ELSE 0.25 END AS w FROM v"))
 def prj9_unlabelled_weight(spark, d):
-    return A.volume(spark).select("t", "z", "y", "x", X.unlabelled_weight(F.col("value"), 50.0, 0.25).cast("double").alias("w"))
+    return A.volume(spark, d).select("dataset", "c", "t", "z", "y", "x", X.unlabelled_weight(F.col("value"), 50.0, 0.25).cast("double").alias("w"))
 
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeframe.plans.registry import query
+from cladeframe.scratch import shared_dir
 from cladeframe.sources import adapters as A
 from cladeframe.sources import submission as S
 from cladeframe.sources.adapters import with_tables
@@ -53,7 +54,7 @@ def src1_submission_round_trip(spark, d):
     """Written as CSV in the shared folder, read again, parsed with all checks."""
     import uuid
 
-    path = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/cladeframe')}/submission-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/submission-{uuid.uuid4().hex}"
     S.write_csv(_submission(spark, d), path)
     n, e = S.to_graph(S.read_csv(spark, path))
     return A.submission(n, e).select("dataset", "row_type", "node_id", "t", F.round("z", 6).alias("z"), "source_id", "target_id")
@@ -61,7 +62,7 @@ def src1_submission_round_trip(spark, d):
 
 @query(with_tables("v", "SELECT * FROM v WHERE t = 1 AND z BETWEEN 2 AND 4 AND y BETWEEN 3 AND 8 AND x < 6"))
 def src6_patch(spark, d):
-    return A.volume(spark).filter("t = 1 AND z BETWEEN 2 AND 4 AND y BETWEEN 3 AND 8 AND x < 6")
+    return A.volume(spark, d).filter("t = 1 AND z BETWEEN 2 AND 4 AND y BETWEEN 3 AND 8 AND x < 6")
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS dataset, CAST(round_even(n_nationkey * 2.5, 0) AS BIGINT) AS estimate FROM nation")
@@ -102,11 +103,35 @@ def snk5_append_conflicts(spark, d):
     return S.appended(cs.filter("epoch < 10"), fresh, ["epoch", "checkpoint", "fold"], "score", 1e-12)[1].select("epoch", "checkpoint", "fold", F.round("score", 6).alias("score"))
 
 
-@query(with_tables("e gd", SUB + """ SELECT row_number() OVER (PARTITION BY dataset ORDER BY row_type = 'edge', t, node_id, source_id, target_id) - 1 AS id, dataset, row_type, node_id, t,
+#: The same graph as three datasets, by ranges of ids; edges across them are left out.
+PARTED = "CASE WHEN {0} % 1000 < 100 THEN 'A' WHEN {0} % 1000 < 300 THEN 'B' ELSE 'C' END"
+THREE = SUB + ", st AS (SELECT CASE WHEN row_type = 'node' THEN " + PARTED.format("node_id") + " ELSE " + PARTED.format("source_id") + " END AS dataset, row_type, node_id, t, z, y, x, source_id, target_id FROM sub WHERE row_type = 'node' OR " + PARTED.format("source_id") + " = " + PARTED.format("target_id") + ")"
+
+
+def _three(spark, d):
+    name = lambda c: F.when(F.col(c) % 1000 < 100, "A").when(F.col(c) % 1000 < 300, "B").otherwise("C")
+    s, node = _submission(spark, d), F.col("row_type") == "node"
+    return s.filter(node | (name("source_id") == name("target_id"))).withColumn("dataset", F.when(node, name("node_id")).otherwise(name("source_id")))
+
+
+@query(with_tables("e gd", THREE + """ SELECT row_number() OVER (ORDER BY dataset, row_type = 'edge', node_id, source_id, target_id) - 1 AS id, dataset, row_type, node_id, t,
   CAST(CASE WHEN row_type = 'node' THEN greatest(0, round_even(z, 0)) ELSE z END AS BIGINT) AS z, CAST(CASE WHEN row_type = 'node' THEN greatest(0, round_even(y, 0)) ELSE y END AS BIGINT) AS y,
-  CAST(CASE WHEN row_type = 'node' THEN greatest(0, round_even(x, 0)) ELSE x END AS BIGINT) AS x, source_id, target_id FROM sub"""))
+  CAST(CASE WHEN row_type = 'node' THEN greatest(0, round_even(x, 0)) ELSE x END AS BIGINT) AS x, source_id, target_id FROM st"""))
 def snk6_numbered_rows(spark, d):
-    return S.numbered(_submission(spark, d))
+    return S.numbered(_three(spark, d))
+
+
+@query(with_tables("cs", """r AS (SELECT checkpoint, max(score) AS score FROM cs GROUP BY 1) SELECT checkpoint AS candidate, round(score, 6) AS score, 'prefix' AS split, '' AS notes, CAST(NULL AS DOUBLE) AS public_lb, '2026-01-01T00:00:00' AS created_at FROM r, range(2)"""))
+def snk3_experiment_log(spark, d):
+    """Two appends to one log."""
+    import uuid
+
+    rows = A.checkpoint_scores(spark, d).groupBy(F.col("checkpoint").alias("candidate")).agg(F.max("score").alias("score")).select(
+        "candidate", "score", F.lit(0.5).alias("adjusted_edge_jaccard"), F.lit(0.1).alias("division_jaccard"), F.lit("prefix").alias("split"), F.lit("made").alias("split_provenance"),
+        F.lit("own").alias("scorer_provenance"), F.lit("unknown").alias("commit_sha"), F.lit("2026-01-01T00:00:00").alias("created_at"))
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    S.append_log(rows, path)
+    return S.append_log(rows, path).select("candidate", F.round("score", 6).alias("score"), "split", "notes", "public_lb", "created_at")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")

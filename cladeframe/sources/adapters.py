@@ -103,16 +103,14 @@ def submission(n: DataFrame, e: DataFrame) -> DataFrame:
     return top.unionByName(low)
 
 
-def volume(spark: SparkSession, shape: tuple[int, int, int, int] = (3, 6, 12, 12)) -> DataFrame:
-    """A small (t, z, y, x, value) grid with fixed values."""
-    nt, nz, ny, nx = shape
-    df = spark.range(nt * nz * ny * nx)
-    i = F.col("id")
-    df = df.select(
-        (i / (nz * ny * nx)).cast("int").alias("t"), ((i / (ny * nx)).cast("int") % nz).alias("z"),
-        ((i / nx).cast("int") % ny).alias("y"), (i % nx).cast("int").alias("x"),
+def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V: dataset, c, t, z, y, x, value: every vector is a plane of 8 by 8 voxels, six planes a frame, three frames a channel, two channels a dataset."""
+    v, i = F.col("vec_id"), F.col("i")
+    each = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    return each.select(
+        F.concat(F.lit("V"), F.floor(v / 36).cast("string")).alias("dataset"), (F.floor(v / 18) % 2).cast("int").alias("c"), (F.floor(v / 6) % 3).cast("int").alias("t"),
+        (v % 6).cast("int").alias("z"), F.floor(i / 8).cast("int").alias("y"), (i % 8).cast("int").alias("x"), (F.bround(F.col("e").cast("double") * 200, 0) + 50).alias("value"),
     )
-    return df.withColumn("value", ((F.col("t") * 7 + F.col("z") * 31 + F.col("y") * 17 + F.col("x") * 13) % 101).cast("double"))
 
 
 def checkpoint_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +141,8 @@ SQL = {
     "u": """SELECT 'U' AS dataset, user_id * 100 + t AS node_id, CAST(t AS INTEGER) AS t, z, y, x, user_id FROM (
       SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t, avg(value) / 10 AS z, CAST(count(*) AS DOUBLE) AS y, max(value) / 10 AS x FROM events GROUP BY 1, 2)""",
     "l": "SELECT DISTINCT 'L' AS dataset, CAST(l_orderkey AS BIGINT) AS source, CAST(-(l_orderkey * 10 + l_linenumber) AS BIGINT) AS target FROM lineitem",
-    "v": """SELECT t, z, y, x, CAST((t * 7 + z * 31 + y * 17 + x * 13) % 101 AS DOUBLE) AS value FROM range(3) a(t), range(6) b(z), range(12) c(y), range(12) f(x)""",
+    "v": """SELECT 'V' || (vec_id // 36) AS dataset, CAST((vec_id // 18) % 2 AS INTEGER) AS c, CAST((vec_id // 6) % 3 AS INTEGER) AS t, CAST(vec_id % 6 AS INTEGER) AS z,
+      CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, round_even(CAST(embedding[i + 1] AS DOUBLE) * 200, 0) + 50 AS value FROM embeddings, range(64) r(i)""",
     "cs": """SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch, event_type AS checkpoint, 'fold_' || (user_id % 2) AS fold,
       round(avg(value) / 500, 9) AS score FROM events GROUP BY 1, 2, 3""",
 }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.schema import SUBMISSION, id_text, unused
+from cladeframe.scratch import placed
 
 COLUMNS = SUBMISSION.fieldNames()
 
@@ -65,12 +69,20 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Rows with coordinates rounded half to even and not below 0, and a running ``id`` within each dataset."""
+    """Rows with coordinates rounded half to even and not below 0, and one running ``id`` through all datasets.
+
+    Within a dataset nodes come first, by id, then edges by source and target.
+    Raises if an edge has an end that is not among its dataset's nodes.
+    """
     used = F.col("row_type") == "node"
+    ids = rows.filter(used).select("dataset", F.col("node_id").alias("_e"))
+    ends = rows.filter(~used).select("dataset", F.explode(F.array("source_id", "target_id")).alias("_e"))
+    loose = ends.join(ids, ["dataset", "_e"], "left_anti").first()
+    if loose is not None:
+        raise ValueError(f"{loose['dataset']}: dangling edge ({loose['_e']})")
     at = lambda c: F.when(used, F.greatest(F.lit(0.0), F.bround(F.col(c), 0))).otherwise(F.col(c)).cast("bigint").alias(c)
-    w = Window.partitionBy("dataset").orderBy(F.col("row_type") == "edge", "t", "node_id", "source_id", "target_id")
-    df = rows.withColumn("id", (F.row_number().over(w) - 1).cast("bigint"))
-    return df.select("id", "dataset", "row_type", "node_id", "t", at("z"), at("y"), at("x"), "source_id", "target_id")
+    df = placed(rows.withColumn("_edge", ~used), ["dataset", "_edge", "node_id", "source_id", "target_id"], "numbered")
+    return df.select(F.col("_at").alias("id"), "dataset", "row_type", "node_id", "t", at("z"), at("y"), at("x"), "source_id", "target_id")
 
 
 def node_estimates(df: DataFrame) -> DataFrame:
@@ -100,10 +112,59 @@ def appended(log: DataFrame, fresh: DataFrame, key: list[str], value: str, toler
     return log.unionByName(fresh.join(known, key, "left_anti").select(*log.columns)), conflicts
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+#: Fields of a row of the experiment log, in order; the first eight are required.
+LOG = (
+    "candidate string, score double, adjusted_edge_jaccard double, division_jaccard double, split string, split_provenance string, scorer_provenance string, commit_sha string, "
+    "config_path string, config_sha256 string, public_lb double, private_lb double, notes string, created_at string"
+)
+
+
+def log_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` with all fields of the log: texts that are missing are empty, boards null, ``created_at`` the present time in UTC if empty."""
+    fields = [f.split() for f in LOG.split(", ")]
+    missing = sorted({n for n, _ in fields[:8]} - set(rows.columns))
+    if missing:
+        raise ValueError(f"missing fields: {missing}")
+    cols = []
+    for name, kind in fields:
+        here = F.col(name) if name in rows.columns else F.lit(None)
+        here = here.cast(kind)
+        if kind == "string":
+            here = F.coalesce(here, F.lit(""))
+        if name == "created_at":
+            here = F.when(here == "", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")).otherwise(here)
+        cols.append(here.alias(name))
+    return rows.select(*cols)
+
+
+def append_log(rows: DataFrame, path: str) -> DataFrame:
+    """Append to the log; rows that are there stay.  Returns the whole log."""
+    log_rows(rows).write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(LOG).parquet(path)
+
+
+def _below(path: str, root: str) -> str:
+    plain = lambda p: "/" + p.removeprefix("file:").lstrip("/")
+    return plain(path).removeprefix(plain(root).rstrip("/") + "/")
 
 
 def tree_digest(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256 of every file below a folder."""
+    """path, sha256 of every file below a folder that is not empty."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def directory_digest(spark: SparkSession, path: str, head: bytes = b"directory-artifact-v1\0") -> str:
+    """One SHA-256 over a folder: ``head``, then for every file, by relative path, the lengths and bytes of path and content.
+
+    A hash of a sequence is sequential by nature: the driver takes one file at a time.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    names = {_below(unquote(f), path): unquote(f) for f in files.inputFiles()}
+    if not names:
+        raise ValueError(f"no files below {path}")
+    digest = hashlib.sha256(head)
+    for name in sorted(names):
+        row = spark.read.format("binaryFile").load(names[name]).first()  # no row for an empty file
+        for part in (name.encode(), bytes(row["content"]) if row else b""):
+            digest.update(len(part).to_bytes(8, "big") + part)
+    return digest.hexdigest()

@@ -68,6 +68,74 @@ def test_largest_matching_size():
         assert len(got) == best and len(set(got.values())) == best
 
 
+def test_contested_pairs_of_a_large_frame():
+    rng = np.random.default_rng(9)
+    n = 3000
+    left, right, cost = [], [], []
+    for i in range(n):
+        for j in {i, (i + 1) % n, *rng.integers(max(0, i - 5), min(n, i + 5), 3).tolist()}:
+            left.append(i)
+            right.append(j)
+            cost.append(float(rng.random()))
+    got = S.best_pairs(left, right, cost)
+    assert len(got) == n and len({left[k] for k in got}) == len({right[k] for k in got}) == n
+
+
+def test_least_cost_graph_matches_all_subsets():
+    from cladeframe.operators import flow as W
+
+    rng = random.Random(11)
+    for _ in range(120):
+        at = {v: rng.randrange(4) for v in range(6)}
+        cand = [(a, at[a], b, at[b], -rng.random()) for a in at for b in at if at[b] == at[a] + 1 and rng.random() < 0.8][:9]
+        appear, vanish = rng.choice([(0.1, 0.1), (0.3, 0.05), (0.0, 0.2)])
+        divide = appear + rng.choice([0.0, 0.2, 0.9])
+
+        def price(pick):
+            kids, parents = {}, {}
+            for s, _, t, _, c in pick:
+                kids[s], parents[t] = kids.get(s, 0) + 1, parents.get(t, 0) + 1
+            if max(kids.values(), default=0) > 2 or max(parents.values(), default=0) > 1:
+                return float("inf")
+            used = {*kids, *parents}
+            return sum(p[4] for p in pick) + appear * len(used - set(parents)) + vanish * len(used - set(kids)) + divide * sum(k == 2 for k in kids.values())
+
+        best = min(price([cand[i] for i in range(len(cand)) if m >> i & 1]) for m in range(1 << len(cand)))
+        found = [cand[i] for i in W.cheapest_edges(cand, appear, vanish, divide)] if cand else []
+        assert price(found) == pytest.approx(best)
+
+
+def test_pool_points_bridge_a_whole_chain_only(spark):
+    # two ends compete for one start; only the farther one has a pool point on its way
+    n = nodes(spark, (1, 0, 0, 0, 0), (2, 0, 0, 6, 0), (3, 2, 0, 2, 0))
+    none = edges(spark, (90, 91)).limit(0)
+    pool = nodes(spark, (7, 1, 0, 4.2, 0)).withColumn("score", F.lit(0.9))
+    got_n, got_e = R.fill_from_pool(n, none, pool, 1, 0.5, 5.0, 0.5, 1.0)
+    assert pairs(got_e) == [(2, 4), (4, 3)] and got_n.filter("node_id = 4").first().y == 4.2
+    got_n, got_e = R.fill_from_pool(n, none, pool, 1, 0.5, 5.0, 0.5, 1.0, synthetic=1)
+    assert pairs(got_e) == [(1, 4), (4, 3)] and got_n.filter("node_id = 4").first().y == 1.0  # nearer, and a point on the line is allowed
+    assert R.fill_from_pool(n, none, pool, 1, 0.5, 5.0, 0.5, 0.0)[1].count() == 0  # no room
+    turn = nodes(spark, (1, 0, 0, 0, 0), (2, 1, 0, 0, 2), (3, 3, 0, 0, 0))
+    back = nodes(spark, (7, 2, 0, 0, 1)).withColumn("score", F.lit(0.9))
+    assert R.fill_from_pool(turn, edges(spark, (1, 2)), back, 1, 0.5, 5.0, 3.5, 1.0)[1].count() == 1
+    assert R.fill_from_pool(turn, edges(spark, (1, 2)), back, 1, 0.5, 5.0, 3.5, 1.0, direction=False)[1].count() == 3
+
+
+def test_hooks_take_part(spark):
+    from cladeframe.operators import hooks as H
+
+    n = nodes(spark, (1, 0, 0, 0, 0), (2, 2, 0, 0, 4))
+    none = edges(spark, (90, 91)).limit(0)
+    up, _ = R.close_gaps(n, none, 12.0, 2.0, score=lambda p: p.withColumn("confidence", F.lit(0.5)), refine=lambda m: m.withColumn("z", F.col("z") + 9))
+    assert up.filter("node_id = 3").first().z == 9.0
+    with pytest.raises(ValueError):
+        R.close_gaps(n, none, 12.0, 2.0, score=lambda p: p)
+    cand = spark.createDataFrame([("d", 1, 2)], EDGE)
+    assert H.scored(cand, lambda c: c.withColumn("probability", F.lit(0.25))).first().probability == 0.25
+    with pytest.raises(Exception):
+        H.scored(cand, lambda c: c.withColumn("probability", F.lit(2.0))).collect()
+
+
 def test_link_divisions(spark):
     n = nodes(spark, (1, 0, 0, 0, 0), (2, 1, 0, 0, 1), (3, 1, 0, 1, 0))
     assert pairs(K.link(n, 5, 5)) == [(1, 2), (1, 3)]
@@ -97,8 +165,8 @@ def test_relink_prefers_the_predicted_position(spark):
 def test_close_gaps_reuses_or_makes_nodes(spark):
     n = nodes(spark, (1, 0, 0, 0, 0), (2, 2, 0, 0, 4), (3, 1, 0, 0, 2.5), (4, 0, 50, 0, 0), (5, 2, 50, 0, 4))
     got_n, got_e = R.close_gaps(n, edges(spark, (90, 91)).limit(0), 12.0, 2.0)
-    made = [r for r in got_n.collect() if r.node_id < 0]
-    assert len(made) == 1 and (made[0].t, made[0].z, made[0].x) == (1, 50.0, 2.0)
+    made = [r for r in got_n.collect() if r.node_id > 5]
+    assert len(made) == 1 and (made[0].t, made[0].z, made[0].x) == (1, 50.0, 2.0) and made[0].node_id in (6, 7)
     assert pairs(got_e) == sorted([(1, 3), (3, 2), (4, made[0].node_id), (made[0].node_id, 5)])
 
 
@@ -172,6 +240,116 @@ def test_suppression_and_centroid(spark):
     assert (c.cz, c.cy, c.cx) == (1.0, 1.0, 1.75)
 
 
+def test_frames_of_several_datasets_and_channels_do_not_mix(spark):
+    one = [(d, c, 0, z, y, x, float(v)) for d, c, v in (("a", 0, 9), ("a", 1, 1), ("b", 0, 5)) for z in range(2) for y in range(3) for x in range(3)]
+    one = [(*r[:6], r[6] + 1.0) if r[3:6] == (1, 1, 1) else r for r in one]
+    v = spark.createDataFrame(one, "dataset string, c int, t int, z int, y int, x int, value double")
+    assert sorted((r.dataset, r.c, r.value) for r in I.peaks(v, 1.5).collect()) == [("a", 0, 10.0), ("a", 1, 2.0), ("b", 0, 6.0)]
+    assert {(r.dataset, r.c): r.value for r in I.normalize(v).filter("z = 1 AND y = 1 AND x = 1").collect()} == {("a", 0): 1.0, ("a", 1): 1.0, ("b", 0): 1.0}
+
+
+def test_blob_response_on_coarse_planes(spark):
+    at = np.indices((9, 15, 15)).reshape(3, -1).T
+    value = 10 * np.exp(-(((at - (4, 7, 7)) * (2.0, 1.0, 1.0)) ** 2).sum(1) / 8)
+    df = spark.createDataFrame([(0, *map(int, p), float(x)) for p, x in zip(at, value)], "t int, z int, y int, x int, value double")
+    found = I.peaks(I.blob_response(df, [1.5, 2.0], 1.6, (2.0, 1.0, 1.0)), 0.1)
+    assert [(r.z, r.y, r.x) for r in found.collect()] == [(4, 7, 7)]
+
+
+def test_segments_part_touching_cells(spark):
+    at = np.indices((7, 16, 30)).reshape(3, -1).T
+    value = np.zeros(len(at))
+    for c in ((3, 8, 8), (3, 8, 17)):
+        value += np.exp(-((at - c) ** 2).sum(1) / 9.0)
+    df = spark.createDataFrame([("a", 0, *map(int, p), float(x)) for p, x in zip(at, value)], "dataset string, t int, z int, y int, x int, value double")
+    out = {(r.z, r.y, r.x): r.label for r in I.segment(df, 7.0).collect()}
+    assert out[3, 8, 8] and out[3, 8, 17] and out[3, 8, 8] != out[3, 8, 17] and out[0, 0, 0] == 0 and len(set(out.values())) == 3
+    assert {r.label for r in I.segment(df.withColumn("value", F.lit(1.0)), 7.0).collect()} == {0}
+
+
+def test_distance_and_parts_of_a_mask():
+    rng = np.random.default_rng(2)
+    mask = rng.random((4, 5, 6)) < 0.8
+    off = np.argwhere(~mask)
+    want = np.array([min(((((p - q) * (2.0, 1.0, 1.5)) ** 2).sum()) ** 0.5 for q in off) for p in np.argwhere(np.ones_like(mask))]).reshape(mask.shape)
+    assert np.allclose(I.edge_distance(mask, (2.0, 1.0, 1.5)), want)
+    two = np.zeros((1, 3, 5), bool)
+    two[0, :, 0] = two[0, 1, 3:] = True
+    assert I.joined(two).max() == 2
+
+
+def test_numbering_runs_through_all_datasets(spark):
+    rows = [("b", "node", 2, 0, 0.5, 1.5, -3.0, -1, -1), ("a", "edge", -1, -1, -1.0, -1.0, -1.0, 1, 9), ("a", "node", 9, 0, 0.0, 0.0, 2.5, -1, -1), ("a", "node", 1, 3, 0.0, 0.0, 0.0, -1, -1)]
+    schema = "dataset string, row_type string, node_id long, t long, z double, y double, x double, source_id long, target_id long"
+    got = [(r.id, r.dataset, r.row_type, r.node_id, r.z, r.y, r.x) for r in U.numbered(spark.createDataFrame(rows, schema).repartition(3)).orderBy("id").collect()]
+    assert got == [(0, "a", "node", 1, 0, 0, 0), (1, "a", "node", 9, 0, 0, 2), (2, "a", "edge", -1, -1, -1, -1), (3, "b", "node", 2, 0, 2, 0)]
+    with pytest.raises(ValueError):
+        U.numbered(spark.createDataFrame([*rows, ("b", "edge", -1, -1, -1.0, -1.0, -1.0, 2, 9)], schema))
+
+
+def test_directory_digest_and_log(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "d" / "sub").mkdir(parents=True)
+    files = {"a b.txt": b"one", "sub/z": b"", "b": b"three"}
+    for name, content in files.items():
+        (tmp_path / "d" / name).write_bytes(content)
+    want = hashlib.sha256(b"head")
+    for name in sorted(files):
+        want.update(len(name).to_bytes(8, "big") + name.encode() + len(files[name]).to_bytes(8, "big") + files[name])
+    assert U.directory_digest(spark, f"file://{tmp_path}/d", b"head") == want.hexdigest()
+    with pytest.raises(ValueError):
+        U.log_rows(spark.createDataFrame([("x", 1.0)], "candidate string, score double"))
+
+
+def test_arrays_of_chunks_become_voxels(spark, tmp_path):
+    import json
+    import zlib
+
+    from cladeframe.sources import volumes as V
+
+    a = np.arange(2 * 3 * 5 * 4, dtype="<u2").reshape(2, 3, 5, 4)
+    root = tmp_path / "s" / "0"
+    root.mkdir(parents=True)
+    (root / ".zarray").write_text(json.dumps({"shape": a.shape, "chunks": [1, 2, 3, 4], "dtype": "<u2", "compressor": {"id": "zlib"}, "order": "C", "dimension_separator": "/", "zarr_format": 2}))
+    (tmp_path / "s" / ".zattrs").write_text(json.dumps({"multiscales": [{"axes": [{"name": x} for x in "tzyx"], "datasets": [{"path": "0", "coordinateTransformations": [{"type": "scale", "scale": [1, 2.0, 0.5, 0.5]}]}]}]}))
+    for t in range(2):
+        for z in range(2):
+            for y in range(2):
+                part = np.zeros((1, 2, 3, 4), "<u2")
+                real = a[t : t + 1, 2 * z : 2 * z + 2, 3 * y : 3 * y + 3]
+                part[:, : real.shape[1], : real.shape[2]] = real
+                (root / str(t) / str(z) / str(y)).mkdir(parents=True)
+                (root / str(t) / str(z) / str(y) / "0").write_bytes(zlib.compress(part.tobytes()))
+    voxels, size = V.read_store(spark, f"file://{tmp_path}/s", dataset="d")
+    got = {(r.t, r.c, r.z, r.y, r.x): r.value for r in voxels.collect()}
+    assert size == (2.0, 0.5, 0.5) and got == {(t, 0, z, y, x): float(a[t, z, y, x]) for t, z, y, x in np.ndindex(a.shape)}
+    assert V.level_of({}, 2) == ("2", None) and V.level_of({"multiscales": [{"datasets": [{"path": "p"}]}]}) == ("p", None)
+    flat = V.expanded(spark.createDataFrame([(1, 2, 3, 4.0)], "z int, y int, x int, value double"), "e").first()
+    assert tuple(flat) == ("e", 0, 0, 1, 2, 3, 4.0)
+
+
+def test_curves_and_empty_start(spark):
+    rows = spark.createDataFrame([(e, "c", f, e / 10 + (f == "B")) for e in range(3) for f in "AB"], "epoch int, checkpoint string, fold string, score double")
+    drawn = E.curves_svg(rows)
+    assert drawn.count("<polyline") == 3 and ">mean<" in drawn
+    with pytest.raises(ValueError):
+        E.curves_svg(rows.filter("fold = 'A' OR epoch > 0"))
+    n = nodes(spark, (1, 0, 0, 0, 0))
+    assert [tuple(r) for r in E.empty_start(n, ["x", "d"]).orderBy("dataset").collect()] == [("d", 1), ("x", 0)]
+    with pytest.raises(RuntimeError):
+        E.empty_start(n, ["x", "y", "z", "d"])
+
+
+def test_missing_error_vectors_are_an_error(spark):
+    scores = spark.createDataFrame([("a", 1, 0.9), ("b", 1, 0.9), ("c", 1, 0.9)], "checkpoint string, epoch int, score double")
+    errors = spark.createDataFrame([(c, s, e) for c, es in (("a", (0.0, 1.0, 2.0)), ("b", (0.0, 1.0, 2.1)), ("c", (2.0, 1.0, 0.0))) for s, e in enumerate(es)], "checkpoint string, sample int, error double")
+    assert [r.checkpoint for r in E.complementary(scores, errors, 2).orderBy("rank").collect()] == ["a", "c"]
+    for broken in (errors.filter("checkpoint <> 'b'"), errors.filter("checkpoint <> 'b' OR sample > 0"), errors.withColumn("error", F.when(F.col("sample") > 0, F.col("error")))):
+        with pytest.raises(ValueError):
+            E.complementary(scores, broken, 2)
+
+
 def test_gates():
     assert E.ensemble_gate(0.9, 0.903, 1, 2)[0] and not E.ensemble_gate(0.9, 0.9, 1, 2)[0] and not E.ensemble_gate(0.9, 0.95, 3, 2)[0]
     assert E.sweep_choice({"a": 0.5, "b": 0.5003}, "a") == "a" and E.sweep_choice({"a": 0.5, "b": 0.6}, "a") == "b"
