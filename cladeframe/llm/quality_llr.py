@@ -31,9 +31,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.tables import maybe_broadcast
+from cladeframe.llm.tables import maybe_broadcast, stable_sample
 
 N_BUCKETS = 1 << 14
+#: Trusted documents, by a hash of the id, beyond which no more are asked for; the raw corpus is counted whole.
+MAX_TRUSTED = 1_000_000
 THRESHOLD = -0.05
 SMOOTHING = 1.0
 #: Java regular expressions: ASCII white space, anything else, counted symbols.
@@ -56,12 +58,12 @@ def ngram_buckets(words: Column, n_buckets: int) -> Column:
 
 
 def bucket_counts(docs: DataFrame, n_buckets: int = N_BUCKETS) -> DataFrame:
-    """(bucket, n) over all n-grams of ``docs``."""
-    words = docs.select(split_words(F.col("text")).alias("words"))
+    """(bucket, n, n_trusted) over all n-grams of ``docs`` in one pass; ``trusted`` is 1 or null."""
+    words = docs.select("trusted", split_words(F.col("text")).alias("words"))
     return (
-        words.select(F.explode(ngram_buckets(F.col("words"), n_buckets)).alias("bucket"))
+        words.select("trusted", F.explode(ngram_buckets(F.col("words"), n_buckets)).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count("trusted").alias("n_trusted"))
     )
 
 
@@ -79,14 +81,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """log(p_target / p_raw) of every bucket; always ``n_buckets`` numbers."""
     ids = trusted_ids(labels)
-    trusted = docs.select("doc_id", "text").join(maybe_broadcast(ids, ids.count()), "doc_id", "left_semi")
-    tables = []
-    for source in (trusted, docs):
-        counts = [0] * n_buckets
-        for row in bucket_counts(source, n_buckets).collect():  # n_buckets rows at most
-            counts[row["bucket"]] = row["n"]
-        tables.append(counts)
-    target, raw = tables
+    n = ids.count()
+    ids = stable_sample(ids, "doc_id", MAX_TRUSTED, n).withColumn("trusted", F.lit(1))
+    known = docs.select("doc_id", "text").join(maybe_broadcast(ids, min(n, 2 * MAX_TRUSTED), 12), "doc_id", "left")
+    target, raw = [0] * n_buckets, [0] * n_buckets
+    for row in bucket_counts(known, n_buckets).collect():  # n_buckets rows at most
+        target[row["bucket"]], raw[row["bucket"]] = row["n_trusted"] or 0, row["n"]
     if not sum(target):
         return [0.0] * n_buckets
     nt, nr = sum(target) + smoothing * n_buckets, sum(raw) + smoothing * n_buckets
