@@ -24,7 +24,7 @@ WITH parts AS (
 ), known AS (
   SELECT row_number() OVER () AS t, tokens, bad FROM tokened JOIN said USING (page_id) WHERE len(tokens) > 0
 ), least AS (
-  SELECT ceil(0.02 * count(*) FILTER (WHERE bad = 1)) AS n FROM known
+  SELECT greatest(10, ceil(0.02 * count(*) FILTER (WHERE bad = 1))) AS n, CAST(sum(bad) AS DOUBLE) / count(*) AS p FROM known
 ), flat AS (SELECT t, bad, unnest(tokens) AS x FROM known
 ), ones AS (
   SELECT [x] AS items, sum(bad) AS support, count(*) AS seen FROM flat GROUP BY x
@@ -35,7 +35,7 @@ WITH parts AS (
     JOIN flat c ON a.t = c.t AND b.x < c.x GROUP BY a.x, b.x, c.x
 ), rules AS (
   SELECT items FROM (SELECT * FROM ones UNION ALL SELECT * FROM twos UNION ALL SELECT * FROM threes), least
-  WHERE support >= least.n AND support > 0 AND support / seen >= 0.5
+  WHERE support >= least.n AND support / seen >= 0.5 AND support - seen * p >= 3.0 * sqrt(seen * (p * (1 - p)))
 ), fixed AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
@@ -85,19 +85,34 @@ FROM sets LEFT JOIN named ON list_sort(sets.s) = named.s
 """
 
 OP8 = r"""
-WITH records AS (
-  SELECT DISTINCT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
-    || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
-  FROM pages
-), known AS (SELECT page_id, sha256(record) AS digest, strlen(record) AS length, 'crawl-' || (page_id // 256) AS file FROM records
-), placed AS (
-  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM known
+WITH p AS (
+  SELECT DISTINCT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(CAST(page_id AS VARCHAR), 'null') || '-' || sha256(coalesce(url, '') || chr(10) || coalesce(html, '')) AS record_id FROM pages
+), h AS (
+  SELECT *, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || record_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+    || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) AS head FROM p
+), r AS (
+  SELECT *, strlen(head) AS body_at, head || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM h
+), k AS (
+  SELECT page_id, record_id, body_at, strlen(record) AS length_a, sha256(record) AS digest_a, hex(encode(record)) AS hx FROM r
+), d AS (
+  SELECT *, CASE WHEN substr(digest_a, 1, 2) <= '0f' THEN substr(hx, 1, 2 * body_at) || CASE WHEN substr(hx, 2 * body_at + 1, 2) = '58' THEN '59' ELSE '58' END || substr(hx, 2 * body_at + 3)
+    WHEN substr(digest_a, 1, 2) <= '17' THEN NULL WHEN substr(digest_a, 1, 2) <= '1f' THEN substr(hx, 1, 2 * (length_a - length_a // 3)) ELSE hx END AS hb FROM k
+), g AS (
+  SELECT page_id, record_id, length_a, digest_a, strlen(hb) // 2 AS length_b, sha256(unhex(hb)) AS digest_b, CAST(floor(page_id / 256) AS BIGINT) AS grp, count(*) OVER (PARTITION BY floor(page_id / 256)) AS n,
+    split_part(record_id, '-', -1) AS payload FROM d
+), c AS (
+  SELECT *, CASE WHEN n > 512 OR grp IS NULL THEN CAST(ceil(n / 256) AS BIGINT) END AS cuts FROM g
+), f AS (
+  SELECT *, CASE WHEN grp IS NULL THEN 'null' WHEN cuts IS NOT NULL THEN 'cut-' || grp ELSE 'crawl' END AS tree,
+    CASE WHEN cuts IS NOT NULL THEN CAST('0x' || substr(payload, 1, 8) AS BIGINT) % cuts ELSE grp END AS number,
+    CASE WHEN cuts IS NOT NULL THEN CAST('0x' || substr(payload, 9, 4) AS BIGINT) % 16 ELSE (page_id % 256) // 16 END AS leaf FROM c
+), o AS (
+  SELECT *, coalesce(sum(length_a) OVER w, 0) AS offset_a, CASE WHEN digest_b IS NOT NULL THEN coalesce(sum(length_b) OVER w, 0) ELSE -1 END AS offset_b FROM f
+  WINDOW w AS (PARTITION BY tree, number ORDER BY leaf, page_id NULLS FIRST, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 )
-SELECT page_id, file, "offset", "offset" // 32768 AS node,
-  CASE WHEN substr(digest, 1, 2) <= '0f' THEN 'corrupt' ELSE 'missing' END AS status,
-  digest AS digest_a, CASE WHEN substr(digest, 1, 2) <= '0f' THEN sha256('flipped:' || digest) END AS digest_b
-FROM placed WHERE substr(digest, 1, 2) <= '17'
+SELECT page_id, record_id, tree || '-' || number AS file, CAST(leaf AS INTEGER) AS leaf, CASE WHEN digest_b IS NULL THEN 'missing' ELSE 'corrupt' END AS status,
+  CAST(offset_a AS BIGINT) AS offset_a, CAST(offset_b AS BIGINT) AS offset_b, digest_a, digest_b
+FROM o WHERE digest_b IS DISTINCT FROM digest_a
 """
 
 

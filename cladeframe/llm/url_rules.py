@@ -3,14 +3,22 @@
 Every url becomes a set of tokens: host labels (``h:``), path parts (``p:``)
 and query parts (``q:``), lower case, runs of digits as ``#``.  Spark's
 FP-growth mines the token sets of the labelled *bad* pages (quality 0 or toxic
-1) for combinations with at least ``min_support`` of the bad pages.  Their
-confidence is the share of bad pages among all labelled pages that hold the
-combination; combinations below ``min_confidence``, longer than ``max_tokens``
-or implied by a shorter kept rule are pruned.
+1) for combinations that at least ``min_support`` of the bad pages and at least
+``min_count`` hold.  Their confidence is the share of bad pages among all
+labelled pages that hold the combination.  Pruned are combinations below
+``min_confidence``, longer than ``max_tokens``, no more often bad than chance
+allows (``sigmas`` standard deviations above the share of bad pages among all
+labelled ones), and those implied by a shorter kept rule.
+
+Tokens that the same labelled pages hold are one item while mining, so the
+many parts of one long url do not make a power set; a rule on items stands for
+a rule on each choice of one token an item (those on several tokens of an item
+are implied by it).
 
 Rules meet pages through an inverted index: each rule is filed under its
 rarest token, a page looks up its own tokens only, and the remaining tokens of
-a found rule are verified inside the page's token array.
+a found rule are verified inside the page's token array.  Matches come back by
+the number of the page's row, never by url.
 
 Native: DataFrame expressions and the JVM implementation of FP-growth.  Only
 urls, never page bodies, are shuffled.  The rule table is counted before it
@@ -22,20 +30,22 @@ Defined results
   ``allow`` with a null rule.
 * repeated pages: one output row for each input row.
 * null ``page_id``: kept; such a page is never a labelled one.
-* no labels, or no bad page: no mined rules.
+* no labels, no bad page or no other one: no mined rules.
 * several label rows for a page: bad if one of them says so.
+* very long urls: all their tokens take part.
 * extra columns in either table are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.tables import materialize, maybe_broadcast
+from cladeframe.llm.tables import discard, materialize, maybe_broadcast
 
 #: (verdict, host, path) of the fixed rules.
 HOST_RULES = (
@@ -48,6 +58,8 @@ HOST_RULES = (
 MIN_SUPPORT = 0.02
 MIN_CONFIDENCE = 0.5
 MAX_TOKENS = 3
+MIN_COUNT = 10
+SIGMAS = 3.0
 
 
 def lower_ascii(text: Column) -> Column:
@@ -101,41 +113,66 @@ def match(pages: DataFrame, rules: DataFrame, n_rules: int, keys: list[str]) ->
     """(keys..., rule tokens) of every rule whose tokens a page has all of."""
     ruled = rules.select(F.col("key").alias("_token"), F.col("items"))
     looked = pages.select(*keys, "tokens", F.explode("tokens").alias("_token"))
-    found = looked.join(maybe_broadcast(ruled, n_rules, 200_000), "_token")
+    found = looked.join(maybe_broadcast(ruled, n_rules, 200), "_token")
     return found.filter(F.size(F.array_except("items", "tokens")) == 0).select(*keys, "items")
 
 
+def merged_items(known: DataFrame, least: int) -> DataFrame:
+    """(item, tokens): tokens that at least ``least`` bad pages hold, those of the same labelled pages together under the smallest."""
+    held = known.select("row", "bad", F.explode("tokens").alias("token"))
+    who = held.groupBy("token").agg(
+        F.sum(F.col("bad").cast("bigint")).alias("n_bad"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("a"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(20,0)")).alias("b"),
+    )
+    return who.filter(F.col("n_bad") >= least).groupBy("n", "a", "b").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")).select("item", "tokens")
+
+
 def mine_rules(
     pages: DataFrame,
     labels: DataFrame,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
     max_tokens: int = MAX_TOKENS,
+    min_count: int = MIN_COUNT,
+    sigmas: float = SIGMAS,
 ) -> DataFrame:
     """(items, key, support, confidence): pruned rules, filed under their rarest token."""
     spark = pages.sparkSession
     schema = "items array<string>, key string, support bigint, confidence double"
-    known = materialize(labelled_tokens(pages, labels), "url-labelled")
-    bad = known.filter("bad")
-    if bad.isEmpty():
+    known = materialize(labelled_tokens(pages, labels).withColumn("row", F.monotonically_increasing_id()), "url-labelled")
+    row = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("bigint")).alias("bad")).first()
+    n, n_bad = row["n"], row["bad"] or 0
+    least = max(min_count, math.ceil(min_support * n_bad))
+    if n_bad < least or n_bad in (0, n):
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="tokens", minSupport=min_support, minConfidence=1.0).fit(bad)
-    sets = model.freqItemsets.filter(F.size("items") <= max_tokens).select(F.array_sort("items").alias("items"))
+    merged = materialize(merged_items(known, least), "url-items")
+    of = merged.select("item", F.explode("tokens").alias("token"))
+    bought = known.filter("bad").select("row", F.explode("tokens").alias("token")).join(of, "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    bought = materialize(bought, "url-baskets")
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n_bad, minConfidence=1.0).fit(bought).freqItemsets
+    sets = sets.filter(F.size("items") <= max_tokens).withColumn("itemset", F.monotonically_increasing_id()).select("itemset", F.col("items").alias("parts"), F.array().cast("array<string>").alias("items"))
+    groups = merged.select(F.col("item").alias("part"), "tokens")
+    for i in range(max_tokens):  # one token of each item
+        step = sets.withColumn("part", F.get("parts", F.lit(i))).join(groups, "part", "left")
+        sets = step.withColumn("_t", F.explode_outer("tokens")).select("itemset", "parts", F.when(F.col("_t").isNull(), F.col("items")).otherwise(F.concat("items", F.array("_t"))).alias("items"))
+    sets = sets.select(F.array_sort("items").alias("items"))
     usage = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     rarest = (
         sets.select("items", F.explode("items").alias("token")).join(usage, "token")
         .groupBy("items").agg(F.min(F.struct("n", "token"))["token"].alias("key"))
     )
     rarest = materialize(rarest, "url-itemsets")
+    share = n_bad / n
     held = (
         match(known, rarest, rarest.count(), ["bad"])
         .groupBy("items")
         .agg(F.sum(F.col("bad").cast("long")).alias("support"), F.count(F.lit(1)).alias("seen"))
         .withColumn("confidence", F.col("support") / F.col("seen"))
-        .filter(F.col("confidence") >= min_confidence)
+        .filter((F.col("confidence") >= min_confidence) & (F.col("support") - F.col("seen") * share >= sigmas * F.sqrt(F.col("seen") * (share * (1 - share)))))
     )
     kept = held.join(rarest, "items").select("items", "key", "support", "confidence")
     kept = materialize(kept, "url-rules")
+    discard(known, merged, bought, rarest)
     # a rule is implied by a kept rule that is a proper subset of it
     n = kept.count()
     implied = (
@@ -151,19 +188,18 @@ def url_filter(
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
     max_tokens: int = MAX_TOKENS,
+    min_count: int = MIN_COUNT,
+    sigmas: float = SIGMAS,
     host_rules=HOST_RULES,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, mined (a mined rule matched) for every page row."""
-    rules = materialize(mine_rules(pages, labels, min_support, min_confidence, max_tokens), "url-kept")
-    parts = url_parts(pages)
+    rules = materialize(mine_rules(pages, labels, min_support, min_confidence, max_tokens, min_count, sigmas), "url-kept")
+    parts = materialize(url_parts(pages).drop("url").withColumn("row", F.monotonically_increasing_id()), "url-parts")
     tokens = url_tokens(F.col("host"), F.col("path"), F.col("query"))
-    hits = (
-        match(parts.select("url", tokens.alias("tokens")), rules, rules.count(), ["url"])
-        .select("url").distinct().withColumn("mined", F.lit(True))
-    )
+    hits = match(parts.select("row", tokens.alias("tokens")), rules, rules.count(), ["row"]).select("row").distinct().withColumn("mined", F.lit(True))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), host_rules)
     return (
-        parts.join(hits, "url", "left")
+        parts.join(hits, "row", "left")
         .withColumn("mined", F.coalesce("mined", F.lit(False)))
         .select(
             "page_id", "host", "path", rule.alias("rule"),
