@@ -56,14 +56,30 @@ def _letters() -> np.ndarray:
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code, document) of the trigrams of every text; a code is exact, 21 bits a character."""
     low = [(t or "").lower() for t in texts]
-    joined = " " + " ".join(low) + " "
+    code, middle = _codes(" " + " ".join(low) + " ")
+    ends = np.cumsum([len(t) + 1 for t in low])
+    return code, np.searchsorted(ends, middle - 1, side="right")
+
+
+def _codes(joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """(code, place of the middle character) of the trigrams within a string that starts and ends with a character of context."""
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[points]
     plain = np.where(letter, points, 32).astype(np.uint64)
-    middle = np.flatnonzero(letter)
-    code = plain[middle - 1] | (plain[middle] << np.uint64(21)) | (plain[middle + 1] << np.uint64(42))
-    ends = np.cumsum([len(t) + 1 for t in low])
-    return code, np.searchsorted(ends, middle - 1, side="right")
+    middle = np.flatnonzero(letter[1:-1]) + 1
+    return plain[middle - 1] | (plain[middle] << np.uint64(21)) | (plain[middle + 1] << np.uint64(42)), middle
+
+
+def gram_slices(texts: list[str]):
+    """The trigrams of all texts as in :func:`trigrams`; long texts come in slices of BLOCK_BYTES characters."""
+    if sum(len(t or "") for t in texts) <= 2 * BLOCK_BYTES:
+        yield trigrams(texts)
+        return
+    for d, text in enumerate(texts):
+        padded = " " + (text or "").lower() + " "
+        for lo in range(0, len(padded) - 2, BLOCK_BYTES):
+            code, _ = _codes(padded[lo : lo + BLOCK_BYTES + 2])
+            yield code, np.full(len(code), d, np.int64)
 
 
 def _text_blocks(column: pa.Array):
@@ -85,14 +101,14 @@ def _count_grams(batches):
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         for first, texts in _text_blocks(batch.column("text")):
-            code, doc = trigrams(texts)
             block = langs[first : first + len(texts)]
-            for lang in sorted(set(block)):
-                grams, n = np.unique(code[(block == lang)[doc]], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["lang", "gram", "n"],
-                )
+            for code, doc in gram_slices(texts):
+                for lang in sorted(set(block)):
+                    grams, n = np.unique(code[(block == lang)[doc]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))],
+                        names=["lang", "gram", "n"],
+                    )
 
 
 class LanguageFilter:
@@ -126,15 +142,15 @@ class LanguageFilter:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         n = len(texts)
-        code, doc = trigrams(texts)
-        total = np.bincount(doc, minlength=n).astype(float)
         if not self.langs:
             return ["und"] * n, np.zeros(n)
-        masks = self.masks(code)
-        counts = np.empty((len(self.langs), n))
-        for i in range(len(self.langs)):
-            bits = (masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)
-            counts[i] = np.bincount(doc, weights=bits, minlength=n)
+        total, counts = np.zeros(n), np.zeros((len(self.langs), n))
+        for code, doc in gram_slices(texts):
+            total += np.bincount(doc, minlength=n)
+            masks = self.masks(code)
+            for i in range(len(self.langs)):
+                bits = (masks[i // 64] >> np.uint64(i % 64)) & np.uint64(1)
+                counts[i] += np.bincount(doc, weights=bits, minlength=n)
         f = self.false_rate[:, None]
         fixed = np.clip((counts - total * f) / np.maximum(1 - f, 1e-9), 0, None)
         best = fixed.argmax(0)
