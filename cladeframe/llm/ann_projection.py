@@ -53,8 +53,8 @@ from cladeframe.llm.tables import discard, materialize, maybe_broadcast, stable_
 K = 10
 DIMS = 24
 CONFIDENCE = 0.95
-SAMPLE_ROWS = 65_536
-CELL_SAMPLE = 16
+SAMPLE_ROWS = 32_768
+CELL_SAMPLE = 8
 CELL_ROWS = 16_000
 BLOCK_ROWS = 16_000
 QUERY_ROWS = 8_000
@@ -232,8 +232,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, dims: int = DIMS,
     n = rows.count()
     if not n:
         return spark.createDataFrame([], schema)
-    sample = np.array([r["embedding"] for r in stable_sample(rows, "vec_id", SAMPLE_ROWS, n).collect()])
-    length = len(sample[0]) if len(sample) else len(rows.first()["embedding"])
+    length = len(rows.first()["embedding"])
+    held = stable_sample(rows, "vec_id", SAMPLE_ROWS, n).select("embedding").toArrow().column("embedding").combine_chunks()  # about SAMPLE_ROWS rows
+    sample = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
     project = directions(length, dims)
     stop = chi_square_quantile(confidence, dims)
     depth = max(0, math.ceil(math.log2(max(1, min(n / CELL_ROWS, len(sample) / CELL_SAMPLE)))))

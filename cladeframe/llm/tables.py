@@ -2,54 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeframe.scratch import remove, stored
+
 #: Bytes up to which a table may be broadcast: its counted rows times the width of a row.
 BROADCAST_BYTES = 32 << 20
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests on one machine) is a temporary
-    folder chosen, and then written back to the session so that every caller
-    agrees on it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("cladeframe.scratch.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cladeframe-")
-        spark.conf.set("cladeframe.scratch.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cladeframe_path = path
-    return out
+materialize, discard = stored, remove
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables written by :func:`materialize`; their readers must be done."""
-    for df in frames:
-        path = getattr(df, "_cladeframe_path", None)
-        if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            target.getFileSystem(conf).delete(target, True)
+def tidy(spark: SparkSession) -> None:
+    """Between the rounds of a long job: a collection in the driver's JVM, upon which Spark deletes the files and broadcasts of finished shuffles."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def fits_broadcast(rows: int, row_bytes: int = 16) -> bool:
@@ -78,8 +44,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def stable_sample(df: DataFrame, key: str, bound: int, rows: int) -> DataFrame:
-    """About ``bound`` of ``rows`` rows, chosen by a hash of ``key`` alone."""
+    """About ``bound`` of ``rows`` rows, chosen by a hash of ``key`` alone; never more than twice as many, however often a key repeats."""
     if rows <= bound:
         return df
     share = int(bound / rows * (1 << 30))
-    return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < share)
+    return df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < share).limit(2 * bound)
