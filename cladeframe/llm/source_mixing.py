@@ -147,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
     n = said.count()
     train = stable_sample(said, "doc_id", max_train_docs, n)
     train = train.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
-    texts = materialize(docs.select("doc_id", "text").join(maybe_broadcast(train, min(n, max_train_docs)), "doc_id").select("text", "domain", "half"), "mixing-train")
+    known = docs.select("doc_id", "text").join(maybe_broadcast(train, min(n, 2 * max_train_docs)), "doc_id")
+    once = known.groupBy("doc_id", "domain", "half").agg(F.min("text").alias("text"))  # an id trains once, however many rows it has
+    texts = materialize(once.select("text", "domain", "half"), "mixing-train")
     counts = np.zeros(2 * len(DOMAINS) * BUCKETS)
     for row in map_text(texts, _count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # fixed size
         counts[row["at"]] = row["n"]
