@@ -1,26 +1,29 @@
 """Merkle fixity audit of WARC replicas.
 
-Pages are rendered as WARC response records and laid out in files; a replica
-is known by (file, offset, length, digest) of its records, the digest being
-SHA-256 of the record's bytes.  A tree stands over each file's *offset range*:
-a leaf node covers ``leaf_bytes`` of offsets, an inner node ``fan_out`` nodes
-below it, so a record's node is arithmetic on its offset and needs no global
-order.  A node's hash is SHA-256 over its children in order, each with its
-place; a node has at most ``fan_out`` children, a leaf node at most
-``leaf_bytes`` divided by the shortest record, so no group is unbounded.
+Pages are rendered as WARC response records, which carry an id of their own,
+and laid out in files.  A replica is known by its records' file, range, id,
+offset, length and digest, the digest being SHA-256 of the record's bytes.
 
-The audit compares the files' roots and then, level by level, only the
-children of nodes that differ, down to the records of differing leaf ranges.
+A file's records, in offset order, fall into ``RANGES`` ranges.  A range's hash
+covers length and digest of its records with their offsets from the *start of
+the range*, so a lost or longer record changes its own range and not those
+behind it.  A file's hash covers its ranges, and files are folded by
+``FAN_OUT`` up to one root a tree: files of pages by id, files of pages without
+id, and files of an id that has more records than a file should hold.
 
-Everything is DataFrame expressions; record bytes never leave the scan.
+The audit compares the roots and then, level by level, only the children of
+nodes that differ, down to the records of differing ranges.
+
+Everything is DataFrame expressions; record bytes never leave the scan.  A file
+holds about ``FILE_PAGES`` records, whatever the number of rows of an id.
 
 Defined results
 ---------------
 * null url or html: an empty string in the record.
-* repeated pages (same record bytes and id): one record, as a crawl's index has.
-* null ``page_id``: filed in files of their own, by digest.
+* repeated pages (same id, url and html): one record, as a crawl's index has.
+* null ``page_id``: filed in files of their own, by payload.
 * equal replicas: no rows.  Empty replicas: no rows.
-* extra columns are ignored.
+* very long pages: hashed within the scan.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,107 +31,145 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.llm.tables import materialize
+from cladeframe.llm.tables import discard, materialize, maybe_broadcast
 
 FILE_PAGES = 256
-NULL_FILES = 1024
-LEAF_BYTES = 1 << 15
+RANGES = 16
 FAN_OUT = 16
-LEVELS = 5
+FILE = ["tree", "number"]
+
 
+def sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
 
-def record_bytes(url: Column, html: Column) -> Column:
-    """A WARC response record as text; its UTF-8 bytes are what is stored."""
-    body = F.coalesce(html, F.lit(""))
-    return F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"),
-        F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
+
+def record_parts(page_id: Column, url: Column, html: Column) -> tuple[Column, Column, Column]:
+    """(id, head, body) of a WARC response record; its bytes are head, body and two line ends."""
+    url, body = F.coalesce(url, F.lit("")), F.coalesce(html, F.lit(""))
+    name = F.concat(F.coalesce(page_id.cast("string"), F.lit("null")), F.lit("-"), sha(F.concat(url, F.lit("\n"), body)))
+    head = F.concat(
+        F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), name, F.lit(">\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
+    return name, head, body
+
 
+def damage(record: Column, digest: Column, body_at: Column) -> Column:
+    """The record's bytes in a replica with faults, drawn by the first byte of its digest; null: lost.
 
-def lay_out(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
-    """(file, offset, length, page_id, digest): the index of the files that hold the pages."""
-    record = record_bytes(F.col("url"), F.col("html"))
-    known = pages.select(F.col("page_id").cast("long").alias("page_id"), record.alias("record")).select(
-        "page_id", F.sha2(F.col("record").cast("binary"), 256).alias("digest"), F.octet_length("record").cast("long").alias("length")
+    Of 256 values, 00 to 0f get another first byte of the body, 10 to 17 lose
+    their record, 18 to 1f its last third; all else is as it was.
+    """
+    head = F.substring(digest, 1, 2)
+    x, y = F.unhex(F.lit("58")), F.unhex(F.lit("59"))
+    flipped = F.overlay(record, F.when(F.substr(record, body_at, F.lit(1)) == x, y).otherwise(x), body_at, F.lit(1))
+    n = F.octet_length(record)
+    cut = F.substr(record, F.lit(1), n - F.floor(n / 3).cast("int"))
+    return F.when(head <= "0f", flipped).when(head <= "17", F.lit(None).cast("binary")).when(head <= "1f", cut).otherwise(record)
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """record_id, page_id, tree, number, leaf, and length and digest in two replicas (``_a``; ``_b`` damaged) of every record."""
+    name, head, body = record_parts(F.col("page_id"), F.col("url"), F.col("html"))
+    raw = pages.select(F.col("page_id").cast("long").alias("page_id"), name.alias("record_id"), head.alias("head"), body.alias("body"))
+    raw = raw.select("page_id", "record_id", F.octet_length("head").alias("at"), F.concat("head", "body", F.lit("\r\n\r\n")).cast("binary").alias("record"))
+    raw = raw.withColumn("digest_a", F.sha2("record", 256))
+    raw = raw.withColumn("other", damage(F.col("record"), F.col("digest_a"), F.col("at") + 1))
+    known = raw.select(
+        "page_id", "record_id", F.octet_length("record").cast("long").alias("length_a"), "digest_a",
+        F.octet_length("other").cast("long").alias("length_b"), F.sha2("other", 256).alias("digest_b"),
     )
-    name = F.when(F.col("page_id").isNull(), F.concat(F.lit("null-"), F.pmod(F.xxhash64("digest"), F.lit(NULL_FILES)).cast("string"))).otherwise(
-        F.concat(F.lit("crawl-"), F.floor(F.col("page_id") / file_pages).cast("string"))
+    once = known.groupBy(*known.columns).agg(F.lit(1).alias("_")).drop("_")
+    once = materialize(once.withColumn("group", F.floor(F.col("page_id") / FILE_PAGES)), "warc-records")
+    # groups with more records than two files should hold, and the pages without id, are cut by payload
+    sizes = once.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 2 * FILE_PAGES) | F.col("group").isNull())
+    large = materialize(sizes.select("group", F.ceil(F.col("n") / FILE_PAGES).alias("cuts")), "warc-large")
+    n = large.count()
+    placed = once.alias("r").join(maybe_broadcast(large, n).alias("g"), F.col("r.group").eqNullSafe(F.col("g.group")), "left").select("r.*", "g.cuts")
+    payload = F.substring_index("record_id", "-", -1)
+    number = lambda at, length: F.conv(F.substring(payload, at, length), 16, 10).cast("long")
+    tree = F.when(F.col("group").isNull(), "null").when(F.col("cuts").isNotNull(), F.concat(F.lit("cut-"), F.col("group").cast("string"))).otherwise("crawl")
+    by_id = F.floor(F.pmod("page_id", F.lit(FILE_PAGES)) * RANGES / FILE_PAGES)
+    leaf = F.when(F.col("cuts").isNotNull(), number(9, 4) % RANGES).otherwise(by_id)
+    return placed.select(
+        "record_id", "page_id", tree.alias("tree"), F.coalesce(number(1, 8) % F.col("cuts"), "group").alias("number"), leaf.cast("int").alias("leaf"),
+        "length_a", "digest_a", "length_b", "digest_b",
     )
-    once = known.groupBy("page_id", "digest", "length").agg(F.lit(1).alias("_")).drop("_").withColumn("file", name)
-    ahead = Window.partitionBy("file").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)  # file_pages rows
-    return once.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).select("file", "offset", "length", "page_id", "digest")
 
 
-def _fold(children: DataFrame, key: str) -> DataFrame:
-    """(file, node, hash) one level up from (file, place, hash); ``key`` gives the node of a place."""
-    return (
-        children.withColumn("node", F.expr(key)).groupBy("file", "node")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("below"))
-        .select("file", "node", F.sha2(F.array_join(F.transform("below", lambda x: F.concat_ws(":", x["place"].cast("string"), x["hash"])), ",").cast("binary"), 256).alias("hash"))
-    )
+def offsets(known: DataFrame, side: str) -> DataFrame:
+    """The index of a replica: tree, number (of the file), leaf, record_id, page_id, offset, length, digest."""
+    here = known.filter(F.col(f"digest_{side}").isNotNull()).select("record_id", "page_id", *FILE, "leaf", F.col(f"length_{side}").alias("length"), F.col(f"digest_{side}").alias("digest"))
+    ahead = Window.partitionBy(*FILE).orderBy("leaf", F.col("page_id").asc_nulls_first(), "record_id").rowsBetween(Window.unboundedPreceding, -1)  # the records of a file
+    return here.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long"))
+
 
+def lay_out(pages: DataFrame) -> DataFrame:
+    """The index of the files that hold the pages."""
+    return offsets(records(pages), "a")
 
-def tree(index: DataFrame, leaf_bytes: int = LEAF_BYTES, fan_out: int = FAN_OUT, levels: int = LEVELS) -> list[DataFrame]:
-    """The levels of the trees, leaf ranges first, roots (one a file) last."""
-    records = index.select("file", F.col("offset").alias("place"), F.concat_ws(":", F.col("length").cast("string"), "digest").alias("hash"))
-    out = [materialize(_fold(records, f"place div {leaf_bytes}"), "warc-level")]
-    for level in range(1, levels):
-        up = out[-1].withColumnRenamed("node", "place")
-        out.append(materialize(_fold(up, f"place div {fan_out}" if level < levels - 1 else "cast(0 as bigint)"), "warc-level"))
+
+def _fold(rows: DataFrame, keys: list[str], place: Column) -> DataFrame:
+    """(keys, hash): SHA-256 over (place, hash) of the rows of a key, in order."""
+    below = F.array_sort(F.collect_list(F.struct(place.alias("p"), F.col("hash"))))
+    return rows.groupBy(*keys).agg(sha(F.array_join(F.transform(below, lambda x: F.concat_ws(":", x["p"].cast("string"), x["hash"])), ",")).alias("hash"))
+
+
+def trees(index: DataFrame) -> list[DataFrame]:
+    """The levels of the trees: ranges (tree, number, leaf), files, and files folded by FAN_OUT (tree, number) up to a root a tree."""
+    start = F.min("offset").over(Window.partitionBy(*FILE, "leaf"))
+    held = index.withColumn("rel", F.col("offset") - start).withColumn("hash", F.concat_ws(":", F.col("length").cast("string"), "digest"))
+    out = [materialize(_fold(held, [*FILE, "leaf"], F.col("rel")), "warc-ranges")]
+    out.append(materialize(_fold(out[0], FILE, F.col("leaf")), "warc-files"))
+    ends = out[1].agg(F.min("number").alias("a"), F.max("number").alias("b")).first()
+    low, high = ends["a"] or 0, ends["b"] or 0
+    while low != high:
+        low, high = low // FAN_OUT, high // FAN_OUT
+        up = out[-1].withColumnRenamed("number", "place").withColumn("number", F.floor(F.col("place") / FAN_OUT))
+        out.append(materialize(_fold(up, FILE, F.col("place")), "warc-nodes"))
     return out
 
 
-def differing(a: list[DataFrame], b: list[DataFrame], fan_out: int = FAN_OUT) -> DataFrame:
-    """(file, node) of the leaf ranges that differ, found from the roots down."""
-    top = len(a) - 1
+def differing(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
+    """(tree, number, leaf) of the ranges that differ, found from the roots down; the descent starts at the highest level that both replicas have."""
     parents = None
-    for level in range(top, -1, -1):
+    for level in range(min(len(a), len(b)) - 1, -1, -1):
+        key = [*FILE, "leaf"] if level == 0 else FILE
         here = []
-        for side in (a, b):
-            nodes = side[level]
+        for side in (a[level], b[level]):
             if parents is not None:
-                key = "cast(0 as bigint)" if level == top - 1 else f"node div {fan_out}"
-                nodes = nodes.withColumn("up", F.expr(key)).join(parents.select("file", F.col("node").alias("up")), ["file", "up"], "left_semi")
-            here.append(nodes)
-        x = here[0].select("file", "node", F.col("hash").alias("hash_a"))
-        y = here[1].select("file", "node", F.col("hash").alias("hash_b"))
-        parents = x.join(y, ["file", "node"], "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select("file", "node")
+                up = F.col("number") if level == 0 else F.floor(F.col("number") / FAN_OUT)
+                side = side.withColumn("up", up).join(parents.select("tree", F.col("number").alias("up")), ["tree", "up"], "left_semi")
+            here.append(side)
+        x, y = (n.select(*key, F.col("hash").alias(f"hash_{s}")) for n, s in zip(here, "ab"))
+        parents = x.join(y, key, "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b"))).select(*key)
     return parents
 
 
-def audit(a: DataFrame, b: DataFrame, leaf_bytes: int = LEAF_BYTES, fan_out: int = FAN_OUT, levels: int = LEVELS) -> DataFrame:
-    """One row for each record that differs: file, offset, leaf node, status, digests and ids of both replicas.
+def audit(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row for each record that differs: ids, file, range, status, offsets (-1 where it is not) and digests in both replicas.
 
     status: ``corrupt`` (other bytes), ``missing`` (only in a), ``extra`` (only in b).
     """
-    bad = materialize(differing(tree(a, leaf_bytes, fan_out, levels), tree(b, leaf_bytes, fan_out, levels), fan_out), "warc-bad")
-    sides = []
-    for side, index in (("a", a), ("b", b)):
-        rows = index.withColumn("node", F.expr(f"offset div {leaf_bytes}")).join(bad, ["file", "node"], "left_semi")
-        sides.append(rows.select("file", "node", "offset", F.col("page_id").alias(f"page_{side}"), F.col("length").alias(f"length_{side}"), F.col("digest").alias(f"digest_{side}")))
-    both = sides[0].join(sides[1], ["file", "node", "offset"], "full")
+    up_a, up_b = trees(a), trees(b)
+    bad = materialize(differing(up_a, up_b), "warc-bad")
+    discard(*up_a, *up_b)
+    own = ["record_id", *FILE, "leaf"]
+    sides = [
+        index.join(bad, [*FILE, "leaf"], "left_semi").select(*own, *(F.col(c).alias(f"{c}_{s}") for c in ("page_id", "offset", "length", "digest")))
+        for s, index in (("a", a), ("b", b))
+    ]
+    both = sides[0].join(sides[1], own, "full")
     status = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("corrupt")
     differs = ~(F.col("digest_a").eqNullSafe(F.col("digest_b")) & F.col("length_a").eqNullSafe(F.col("length_b")))
     return both.filter(differs).select(
-        F.coalesce("page_a", "page_b").alias("page_id"), "file", F.col("offset").cast("long").alias("offset"), F.col("node").cast("long").alias("node"),
-        status.alias("status"), "digest_a", "digest_b",
+        F.coalesce("page_id_a", "page_id_b").alias("page_id"), "record_id", F.concat_ws("-", "tree", F.col("number").cast("string")).alias("file"), "leaf",
+        status.alias("status"), *(F.coalesce(f"offset_{s}", F.lit(-1).cast("long")).alias(f"offset_{s}") for s in "ab"), "digest_a", "digest_b",
     )
 
 
-def damaged(index: DataFrame) -> DataFrame:
-    """A replica with faults injected by the records' own digests.
-
-    Of 256 values of the first byte, 00 to 0f get other bytes, 10 to 17 lose
-    their record; all else is as it was.
-    """
-    head = F.substring("digest", 1, 2)
-    kept = index.filter(~head.between("10", "17"))
-    return kept.withColumn("digest", F.when(head.between("00", "0f"), F.sha2(F.concat(F.lit("flipped:"), F.col("digest")).cast("binary"), 256)).otherwise(F.col("digest")))
-
-
 def audit_damaged(pages: DataFrame) -> DataFrame:
-    """The audit of the pages' files against the replica of :func:`damaged`."""
-    index = materialize(lay_out(pages), "warc-index")
-    return audit(index, damaged(index))
+    """The audit of the pages' files against a replica whose bytes :func:`damage` has changed."""
+    known = records(pages)
+    a, b = (materialize(offsets(known, side), f"warc-index-{side}") for side in "ab")
+    return audit(a, b)
