@@ -3,23 +3,31 @@
 Base spans are exact: email, ip, card (Luhn) and phone matches, leftmost and
 non-overlapping for each kind, found over the whole text in linear time.
 
-The random field adds spans.  Tokens are runs without white space; the
-features are shapes of the token (letters ``x``/``X``, digits ``0``, others as
-they are, runs collapsed), of its neighbours, its length and digit share, and
-a few closed word classes.  It is trained by gradient ascent with momentum on
-a small labelled table (``TRAINING``, or any table of the same form) and
-decoded by Viterbi: the lines of a batch that hold a digit, ``@`` or ``+`` go
-through the recursion together, one token position at a time.  Other lines
-cannot start a span; that is a constraint of the model.  A predicted span that
-covers nothing beside base spans (for a base kind: no letter or digit), is
-without a digit or has fewer than six characters is dropped, and so is one of a base kind that fails that kind's check (Luhn, parts
-up to 255, number of digits): what the patterns rule out stays out.
+The random field adds spans: secrets (the value, with its key if they are one
+token), and emails, cards and phones in forms that the patterns do not know.
+Tokens are runs without white space; the features are the word shape of the
+whole token (letters ``x``/``X``, digits ``0``, others as they are, runs
+collapsed), its length, digit share, changes of class and share of vowels, a
+few closed word classes, and the same of its neighbours.  It is trained by
+gradient ascent with momentum on a small labelled table, written by rule from
+phrases and random values (:func:`training_table`, or any table of the same
+form), and decoded by Viterbi in batches: all pieces of a batch go through the
+recursion together, one token position at a time.
+
+A piece is a line, cut after the ends of sentences.  Only pieces with a digit,
+``@``, ``+``, ``=``, a key word or a spelled-out ``at`` and ``dot`` can hold a
+span; that is a constraint of the model, so names and postal addresses in plain
+words are out of its reach.  A predicted span is dropped if it covers nothing
+beside base spans (for a base kind: no letter or digit), has fewer than six
+characters, is a secret of plain words only, or is one of a base kind that
+fails that kind's check (Luhn, parts up to 255, number of digits): what the
+patterns rule out stays out.
 
 Defined results
 ---------------
 * null or empty text: no spans, the hash of no bytes.
 * repeated rows, null ``doc_id``: one output row for each input row.
-* a very long text or line: linear time and memory in its length.
+* a very long text, line or token: linear time and memory in its length.
 * extra columns are ignored (kept by :func:`redact`).
 """
 
@@ -27,7 +35,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -91,32 +101,28 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-#: The small labelled table: a line's tokens, ``token//kind`` marks a span; equal neighbours of one kind join.
-TRAINING = """\
+#: Lines of the labelled table as they are; ``token//kind`` marks a span; equal neighbours of one kind join.
+FIXED_LINES = """\
 the report was sent to ana.lima@mail.example.org//email yesterday evening
 please write to bob42@inbox7.example.com//email for more of this
 contact: x.y_z+tag@sub.host.example.net//email .
+it is ana.7@mail.example.org//email that reads the long line of words which goes on and on
+das haus von ben.49@mail1.example.com//email steht am rand der stadt und nicht weit vom see
 la lettre de jo.81@mail7.example.com//email au lever du jour
+write to jane//email at//email example//email dot//email com//email if you can
+reach karl//email (at)//email posteo//email (dot)//email net//email for this
+escribe a maria99//email arroba//email correo//email punto//email org//email hoy
+we met at the dot on the map
 server 10.20.30.40//ip answered with an error
 from 192.168.7.12//ip and 172.16.254.3//ip came the same line
-le serveur 84.12.7.201//ip ne repond pas
 paid with 4539578763621486//card in march
-number 4716 2210 5188 5662//card4 was declined
+number 4716 2210 5188 5662//card was declined
 karte 5500-0055-5555-5559//card nicht angenommen
 call +1//phone (555)//phone 010-4477//phone after noon
 tel. +49//phone 30//phone 901820//phone oder schreiben
 llame al +34912345678//phone por la tarde
-token//secret =//secret "65f8700754a1d8161928a1d0cca87ca77d009e4f"//secret in the config
-then token//secret =//secret "bc0d31ba76f17e56642e8751295a3fd50cd8e61f"//secret ends the line
-TOKEN//secret =//secret "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"//secret WAS SHOWN
-TOKEN//secret =//secret "0A7713F92BCE45D8891027FFAC4410D2E39B6C75"!!//secret ON SCREEN!!
-api_key//secret =//secret "a81f0c22d9be4f57a1d3"//secret must be kept
-und das token//secret =//secret "1f2e3d4c5b6a79880a1b2c3d4e5f60718293a4b5"//secret steht hier
-password//secret =//secret "hunter2hunter2"//secret was printed
-secret//secret =//secret "77aa88bb99cc00dd11ee22ff"//secret | next | row
-el token//secret =//secret "e9d8c7b6a5948372615049382716f5e4d3c2b1a0"//secret no cambia
-token$$$//secret =$$$//secret "ab12cd34ef56ab78cd90ef12ab34cd56ef78ab90"$$$//secret again
-| token//secret =//secret "00ff11ee22dd33cc44bb55aa6699778800ffeedd"//secret | end
+tel. 030//phone 901//phone 82044//phone oder schreiben
+phone: (212)//phone 555-0147//phone until five
 this work is licensed under the general public license, version 3.
 licensed under the apache license, version 2.0.
 released under the mit license in 2019 by the authors
@@ -124,11 +130,18 @@ licensed under cc by-nc 4.0.
 on 12 may 2021 there were 350 people and 27 dogs
 chapter 3 section 4.2 says the value x = 12 is small
 the token was a word = and nothing more
+the key to this is patience and the secret is time
+a password is needed here, said the clerk
+he lost the key : it was in the grass
+la clave es la paciencia y el secreto = el tiempo
+das passwort ist lang und der schlüssel = die zeit
 we saw 1,204 of 3,500 items (34%) in 2020-05-17 at 10:45
 the price is $45.99 for 2 and 5 for 100
 a = b + c and d = 7
 version 10.2.1 and build 20210408 of the tool
+commit 9f3c2e1 fixed the line in report_2020_v2.pdf
 isbn 978-3-16-148410-0 is a book
+see https://example.org/a/b?id=8812&page=3 for all of it
 sum = 3 + 4 equals 7
 room b12, floor 3, gate a7
 and + one plus two
@@ -137,42 +150,96 @@ il y a 25 ans et 3 mois
 im jahr 1998 gab es 12 davon
 en 1975 hubo 8 casos de 40
 the code 404 means not found
-""".replace("//card4", "//card")
+order 8812736451 was sent on 3.4.2022 to berlin
+iPhone and GitHub = two names
+| id | 1 | 20 | 300 | total = 321 |
+| river | house | 106.15.24.39//ip | over | stone | 8 |
+| haus | zeit | 8.150.18.54//ip | Strasse | stadt |
+"""
+#: What stands before a secret; ``{}`` is where it goes.
+SECRET_PHRASES = (
+    "token = {}", "api_key = {}", "password : {}", "secret => {}", "passwort = {}", "clave : {}", "contraseña = {}", "mot de passe : {}", "password is {}", "key : {}",
+    "password={}", "token:{}", "API_KEY={}", "--token {}", "Authorization: Bearer {}", "export SECRET_KEY={}", "secret {}", "das passwort lautet {}", "pwd: {}", "| token = {} |",
+)
+_CONTEXT = (
+    "the report was printed in full again", "and then it rained over the old house", "le serveur ne repond pas ce matin", "das haus steht am rand der stadt", "la casa esta cerca del rio azul",
+    "must be kept in the config", "please do not share this with them", "steht hier noch immer", "est dans le fichier", "no cambia nunca",
+)
+
+
+def random_secret(rnd: random.Random) -> str:
+    """A secret of one of several makes, some in quotes."""
+    letters, hexes = string.ascii_letters, "0123456789abcdef"
+    some = lambda chars, low, high: "".join(rnd.choice(chars) for _ in range(rnd.randint(low, high)))
+    value = rnd.choice((
+        lambda: some(hexes, 12, 64), lambda: some(hexes.upper(), 16, 48), lambda: some(letters + string.digits, 14, 44), lambda: some(letters + string.digits + "+/", 20, 60) + "==",
+        lambda: "-".join(some(hexes, n, n) for n in (8, 4, 4, 4, 12)), lambda: some(string.ascii_lowercase, 4, 8) + some(string.digits, 2, 4) + some("!$%&*", 0, 1),
+        lambda: some(letters, 10, 24), lambda: some(string.ascii_lowercase, 2, 4) + "_" + some(letters + string.digits, 16, 40), lambda: some(letters + string.digits + "!@#%&?", 8, 16),
+    ))()
+    quote = rnd.choice(('"', '"', "'", "", ""))
+    return quote + value + quote
+
+
+def training_table(copies: int = 9, seed: int = 5) -> str:
+    """The labelled table: the fixed lines, and every secret phrase with ``copies`` random values in random context."""
+    rnd = random.Random(seed)
+    lines = FIXED_LINES.splitlines()
+    for phrase in SECRET_PHRASES:
+        for _ in range(copies):
+            before, after = rnd.choice(_CONTEXT), rnd.choice(_CONTEXT)
+            said = [t.format(random_secret(rnd)) + rnd.choice(("", "", ".", "!!")) + "//secret" if "{}" in t else t for t in phrase.split(" ")]
+            line = " ".join([*before.split(" ")[-rnd.randint(0, 4) :], *said, *after.split(" ")[: rnd.randint(0, 4)]])
+            lines.append(line.upper().replace("//SECRET", "//secret") if rnd.random() < 0.1 else line)
+    return "\n".join(lines)
+
 
 LABELS = ("O", *(f"{p}-{k}" for k in (*KINDS, "secret") for p in "BI"))
-_WORDS = {w: "key" for w in ("token", "secret", "password", "passwd", "api_key", "apikey", "key")}
+_KEYS = frozenset("token secret password passwd pwd passwort kennwort clave contraseña key api_key apikey secret_key access_key credential credentials bearer --token passe lautet".split())
+_AT, _DOT = frozenset(("at", "(at)", "[at]", "arroba")), frozenset(("dot", "(dot)", "[dot]", "punto", "punkt"))
+_CALL = frozenset("tel tel. phone phone: call telefon fon llame".split())
 _EDGE = "!$#%*&|.,;:()[]{}<>?"
 
 
 def shape(token: str) -> str:
-    out = []
-    for c in token[:64]:
+    """Classes of the whole token's characters, runs collapsed; four or more changes between letters and digits as one ``~``."""
+    out: list[str] = []
+    for c in token:
         k = "0" if "0" <= c <= "9" else "x" if c.islower() else "X" if c.isupper() else "x" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:12])
-
-
-def _hexish(core: str) -> bool:
-    return len(core) >= 12 and any(c in "0123456789" for c in core) and any(c.isalpha() for c in core) and all(c.isalnum() for c in core)
+    return re.sub("[0xX]{5,}", "~", "".join(out))
 
 
 @functools.lru_cache(20_000)
 def token_features(token: str) -> tuple[str, ...]:
     core = token.strip(_EDGE)
     n = len(core)
-    digits = sum("0" <= c <= "9" for c in core)
-    out = [f"s={shape(core)}", f"l={min(n, 40) // 4}", f"d={4 * digits // max(n, 1)}"]
-    if core.lower() in _WORDS:
+    inner = core.strip("\"'")
+    digits = sum("0" <= c <= "9" for c in inner)
+    turns = sum(a.isdigit() != b.isdigit() or a.islower() != b.islower() for a, b in zip(inner, inner[1:]))
+    alpha = sum(map(str.isalpha, inner))
+    vowels = sum(c in "aeiouyäöüáéíóúàèêAEIOUYÄÖÜ" for c in inner)
+    out = [f"s={shape(core)}", f"l={min(n, 40) // 4}", f"d={4 * digits // max(len(inner), 1)}", f"t={min(turns, 12) // 3}"]
+    if alpha >= 6 and not digits:
+        out.append(f"v={min(4, 10 * vowels // alpha)}")
+    low = core.lower()
+    if low in _KEYS or low.strip(":=") in _KEYS:
         out.append("key")
-    if core == "=":
+    if core in ("=", "=>") or token in ("=", "=>", ":"):
         out.append("equals")
-    if core[:1] == '"' or core[:1] == "'":
+    if inner != core:
         out.append("quoted")
-    if _hexish(core.strip("\"'")):
-        out.append("hexish")
+    head, mark, rest = inner.replace(":", "=", 1).partition("=")
+    if mark and len(rest) >= 4 and any(head.lower().endswith(k) for k in _KEYS):
+        out.append("pair")
+        out.append(f"pd={any(map(str.isdigit, rest))}")
+    if len(inner) >= 12 and digits and alpha and inner.isalnum():
+        out.append("mixed")
     if "@" in core:
         out.append("at")
+    for name, words in (("AT", _AT), ("DOT", _DOT), ("CALL", _CALL)):
+        if low in words or token.lower() in words:
+            out.append(name)
     return tuple(out)
 
 
@@ -252,20 +319,41 @@ class RandomField:
             self.emit += rate * speed_e
             self.pair += rate * speed_p
 
+    def codes(self, tokens: list[str]) -> list[int]:
+        """A number for each token's features; 0 is the edge of a piece."""
+        if len(self.known) > 200_000:
+            self.known.clear()
+        out = []
+        for token in tokens:
+            code = self.known.get(token)
+            if code is None:
+                features = token_features(token)
+                code = self.made.setdefault(features, len(self.made))
+                if code == len(self.tables):
+                    self.tables.append(self._table(features))
+                if len(token) <= 64:
+                    self.known[token] = code
+            out.append(code)
+        return out
+
+    def _table(self, features: tuple[str, ...]) -> np.ndarray:
+        """Scores by label that a token gives to itself, to the one behind it and to the one before it."""
+        rows = [[self.number.get(p + f) for f in features] for p in ("", "-1", "+1")]
+        return np.stack([self.emit[[i for i in r if i is not None]].sum(0) for r in rows])
+
     def decode(self, lines: list[list[str]]) -> list[np.ndarray]:
         """The best labels of every line; all lines advance together."""
         n = len(self.labels)
         lens = np.array([len(t) for t in lines])
         starts = np.concatenate([[0], np.cumsum(lens)])
-        at, feat = [], []
-        known = self.number.get
-        for i, tokens in enumerate(lines):
-            for j, fs in enumerate(line_features(tokens)):
-                ids = [k for k in map(known, fs) if k is not None]
-                feat += ids
-                at += [starts[i] + j] * len(ids)
-        score = np.zeros((starts[-1], n))
-        np.add.at(score, np.array(at, np.int64), self.emit[np.array(feat, np.int64)])
+        if not hasattr(self, "known"):
+            self.known, self.made, self.tables = {}, {("edge",): 0}, [self._table(("edge",))]
+        code = np.array([c for t in lines for c in self.codes(t)], np.int64)
+        table = np.stack(self.tables)
+        before, after = np.roll(code, 1), np.roll(code, -1)
+        before[starts[:-1][lens > 0]] = 0
+        after[starts[1:][lens > 0] - 1] = 0
+        score = self.emit[self.number["bias"]] + table[code, 0] + table[before, 1] + table[after, 2] if len(code) else np.zeros((0, n))
         order = np.argsort(-lens, kind="stable")  # the lines still running are a prefix
         step = self.pair + np.where(self.allowed, 0.0, -1e9)
         came = np.zeros((starts[-1], n), np.int8)
@@ -287,12 +375,14 @@ class RandomField:
         return [labels[a:b] for a, b in zip(starts[:-1], starts[1:])]
 
 
-def parse_training(table: str = TRAINING) -> list[tuple[list[str], list[str]]]:
+def parse_training(table: str) -> list[tuple[list[str], list[str]]]:
     lines = []
     for line in table.splitlines():
         tokens, tags, last = [], [], ""
         for item in line.split():
-            token, _, kind = item.partition("//")
+            token, _, kind = item.rpartition("//")
+            if kind not in (*KINDS, "secret"):
+                token, kind = item, ""
             tokens.append(token)
             tags.append(f"{'I' if kind == last else 'B'}-{kind}" if kind else "O")
             last = kind
@@ -302,11 +392,30 @@ def parse_training(table: str = TRAINING) -> list[tuple[list[str], list[str]]]:
 
 
 @functools.lru_cache(4)
-def train(table: str = TRAINING) -> RandomField:
-    return RandomField(parse_training(table))
+def train(table: str | None = None) -> RandomField:
+    return RandomField(parse_training(training_table() if table is None else table))
 
 
 _TOKEN = re.compile(r"[^\s]+")
+_TRIGGER = re.compile(r"[0-9@+=]|token|secret|passw|pwd|api.?key|kennwort|contrase|clave|passe\b|credential|bearer|\b(?:at|arroba)\b.*\b(?:dot|punto|punkt)\b|(?<!\w)key\s*[:=]", re.IGNORECASE)
+_PLAIN = re.compile(r"[^\W\d_]?[^\W\d_A-ZÄÖÜ]*")
+
+
+def pieces(text: str):
+    """Tokens (start, end) of every piece that can hold a span."""
+    lo = 0
+    for line in text.split("\n"):
+        if _TRIGGER.search(line):
+            held: list[tuple[int, int]] = []
+            for m in _TOKEN.finditer(line):
+                held.append((m.start() + lo, m.end() + lo))
+                if line[m.end() - 1] in ".!?" and m.end() - m.start() > 4:
+                    if _TRIGGER.search(line, held[0][0] - lo, m.end()):
+                        yield held
+                    held = []
+            if held and _TRIGGER.search(line, held[0][0] - lo):
+                yield held
+        lo += len(line) + 1
 
 
 def all_spans(texts: list[str], field: RandomField) -> list[tuple[list, list]]:
@@ -314,16 +423,9 @@ def all_spans(texts: list[str], field: RandomField) -> list[tuple[list, list]]:
     base = [base_spans(t) for t in texts]
     lines, places = [], []
     for d, text in enumerate(texts):
-        if not _HINT.search(text):
-            continue
-        lo = 0
-        for line in text.split("\n"):
-            if _HINT.search(line):
-                found = [(m.start() + lo, m.end() + lo) for m in _TOKEN.finditer(line)]
-                if found:
-                    lines.append([text[a:b] for a, b in found])
-                    places.append((d, found))
-            lo += len(line) + 1
+        for found in pieces(text):
+            lines.append([text[a:b] for a, b in found])
+            places.append((d, found))
     extra: dict[int, list] = {}
     for (d, found), labels in zip(places, field.decode(lines) if lines else []):
         i = 0
@@ -347,8 +449,7 @@ def all_spans(texts: list[str], field: RandomField) -> list[tuple[list, list]]:
     for d, spans in enumerate(base):
         more = [
             x for x in extra.get(d, ())
-            if x[1] - x[0] >= 6 and _DIGIT.search(texts[d], x[0], x[1]) and plausible(x[2], texts[d][x[0] : x[1]])
-            and adds(texts[d], x, spans)
+            if x[1] - x[0] >= 6 and plausible(x[2], texts[d][x[0] : x[1]]) and adds(texts[d], x, spans)
         ]
         rank = {k: i for i, k in enumerate((*KINDS, "secret"))}
         out.append((spans, sorted(spans + more, key=lambda x: (x[0], rank[x[2]]))))
@@ -369,7 +470,7 @@ def adds(text: str, found: tuple, spans: list) -> bool:
 
 
 def plausible(kind: str, said: str) -> bool:
-    """Whether a predicted span of a base kind passes the check of that kind."""
+    """Whether a predicted span passes the check of its kind."""
     digits = re.sub(r"[^0-9]", "", said)
     if kind == "card":
         return 12 <= len(digits) <= 19 and luhn(digits)
@@ -378,7 +479,10 @@ def plausible(kind: str, said: str) -> bool:
         return len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "phone":
         return 9 <= len(digits) <= 15
-    return kind != "email" or "@" in said
+    if kind == "email":
+        words = said.lower().split()
+        return len(words) == 1 and "@" in said or 5 <= len(words) <= 9 and words[1] in _AT and words[-2] in _DOT
+    return not all(_PLAIN.fullmatch(w) for w in said.split())  # a quote, a digit, a symbol or a capital inside
 
 
 def written(spans: list) -> str:
@@ -397,9 +501,9 @@ def _batches(column, size: int = 500_000):
         yield held
 
 
-def find(docs: DataFrame, table: str = TRAINING) -> DataFrame:
+def find(docs: DataFrame, table: str | None = None) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans for every document row."""
-    field = docs.sparkSession.sparkContext.broadcast(train(table))  # some hundred features by label
+    field = docs.sparkSession.sparkContext.broadcast(train(table))  # some thousand features by label
 
     def run(batches):
         claim("pii", token_features.cache_clear)
@@ -430,7 +534,7 @@ def mask(text: str, spans: list) -> str:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, table: str = TRAINING) -> DataFrame:
+def redact(docs: DataFrame, table: str | None = None) -> DataFrame:
     """``docs`` with all found spans masked in text, and n_chars, if present, counted anew; same columns."""
     field = docs.sparkSession.sparkContext.broadcast(train(table))
     names = docs.columns
