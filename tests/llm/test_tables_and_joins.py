@@ -35,28 +35,52 @@ def test_url_parts_and_fixed_rules(spark, no_labels):
     assert url.url_filter(pages.limit(0), no_labels).count() == 0
 
 
-def test_mined_rules_match_plain_mining(spark):
+def plain_rules(rows, bad, min_support, min_confidence, max_tokens, min_count, sigmas):
+    """Rules over urls without query, by counting every combination of tokens."""
     import itertools
-    import random
+    import math
 
-    rnd = random.Random(3)
-    rows = [(i, f"http://{rnd.choice('abc')}.{rnd.choice('xyz')}.org/{rnd.choice(['p', 'q'])}/{i}") for i in range(120)]
-    labels = [(i, int(".x.org/q" not in u and rnd.random() > 0.2), 0) for i, u in rows]
-    pages, said = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    got = {tuple(r["items"]): (r["support"], round(r["confidence"], 6)) for r in url.mine_rules(pages, said, 0.1, 0.6, 2).collect()}
     sets = []
     for i, u in rows:
         host, path = re.match(r"http://([^/]*)(.*)", u).groups()
         plain = [re.sub("[0-9]+", "#", x) for x in path.split("/") if x]
-        sets.append((frozenset(["h:" + x for x in host.split(".")] + ["p:" + x for x in plain]), labels[i][1] == 0))
-    n_bad = sum(b for _, b in sets)
-    rules = {}
-    for k in (1, 2):
+        sets.append((frozenset(["h:" + x for x in host.split(".")] + ["p:" + x for x in plain]), bad[i]))
+    n_bad, n = sum(b for _, b in sets), len(sets)
+    share, rules = n_bad / n, {}
+    for k in range(1, max_tokens + 1):
         for items in itertools.combinations(sorted(set().union(*(s for s, _ in sets))), k):
             seen = [b for s, b in sets if s.issuperset(items)]
-            if seen and sum(seen) >= 0.1 * n_bad and sum(seen) / len(seen) >= 0.6 and not any(set(r) < set(items) for r in rules):
+            fits = sum(seen) >= max(min_count, math.ceil(min_support * n_bad)) and sum(seen) >= min_confidence * len(seen)
+            if fits and sum(seen) - len(seen) * share >= sigmas * (len(seen) * share * (1 - share)) ** 0.5 and not any(set(r) < set(items) for r in rules):
                 rules[items] = (sum(seen), round(sum(seen) / len(seen), 6))
-    assert got == rules and rules
+    return rules
+
+
+def test_mined_rules_match_plain_mining(spark):
+    import random
+
+    rnd = random.Random(3)
+    # u and v always come together
+    rows = [(i, f"http://{rnd.choice('abc')}.{rnd.choice('xyz')}.org/{rnd.choice(['p', 'q', 'u/v'])}/{i}") for i in range(240)]
+    labels = [(i, int(".x.org/q" not in u and rnd.random() > 0.2), 0) for i, u in rows]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in rows], "page_id long, url string, tokens string")
+    said = spark.createDataFrame(labels + labels[:40], "doc_id long, quality int, toxic int")  # repeated labels
+    bad = {i: q == 0 for i, q, _ in labels}
+    for args in ((0.1, 0.6, 2, 1, 0.0), (0.02, 0.5, 3, 10, 3.0), (0.02, 0.3, 3, 4, 0.0)):
+        got = {tuple(r["items"]): (r["support"], round(r["confidence"], 6)) for r in url.mine_rules(pages, said, *args).collect()}
+        assert got == plain_rules(rows, bad, *args) and got, args
+
+
+def test_a_url_of_many_parts_makes_no_power_set(spark):
+    long = "/".join(f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    rows = [(i, f"http://a.org/{long}/{i}" if i % 4 == 0 else f"http://{'ab'[i % 2]}.org/x/{i}") for i in range(200)] + [(1003, "http://a.org/" + "y/" * 20_000), (1001, None), (1002, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    said = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    rules = url.mine_rules(pages, said).collect()
+    assert sorted(r["items"][0] for r in rules if r.confidence == 1.0) == sorted("p:" + x for x in long.split("/")) and len(rules) <= 42
+    got = url.url_filter(pages.union(spark.createDataFrame([(None, None)] * 50, "page_id long, url string")), said).collect()
+    assert len(got) == len(rows) + 50 and all(r.mined for r in got if r.page_id is not None and r.page_id < 200 and r.page_id % 4 == 0)
+    assert not any(r.mined for r in got if r.page_id in (None, 1001, 1002))
 
 
 def plain_nearest(rows, every, k):
@@ -255,27 +279,55 @@ def test_long_chain_is_one_component(spark):
     assert {got[i] for i in range(61)} == {0} and got[101] == 100
 
 
-def test_fixity_finds_exactly_the_damage(spark):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>é{i}</p>" * (i % 40), "x") for i in range(600)] + [(5, "http://h/5", "<p>é5</p>" * 5, "x"), (None, None, None, "x"), (None, "u", "", "x")], "page_id long, url string, html string, digest string")
+def plain_records(rows):
+    """rid -> (page_id, head, bytes) by hand."""
+    out = {}
+    for i, u, h, *_ in rows:
+        body = (h or "").encode()
+        payload = hashlib.sha256(f"{u or ''}\n{h or ''}".encode()).hexdigest()
+        rid = f"{'null' if i is None else i}-{payload}"
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{rid}>\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode()
+        out[rid] = (i, head, head + body + b"\r\n\r\n")
+    return out
+
+
+def test_fixity_finds_exactly_the_damage(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", f"<p>é{i}</p>" * (i % 40), "x") for i in range(600)] + [(5, "http://h/5", "<p>é5</p>" * 5, "x"), (None, None, None, "x"), (None, "u", "", "x")]
+    rows += [(7, f"http://again/{k}", "<p>other</p>", "x") for k in range(40)]  # one id, other bytes
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    monkeypatch.setattr(warc, "FILE_PAGES", 16)
+    records = plain_records(rows)
     index = warc.lay_out(pages).cache()
-    assert index.count() == 602  # the repeated page is one record
+    assert {r.record_id: (r.page_id, r.length, r.digest) for r in index.collect()} == {k: (i, len(b), hashlib.sha256(b).hexdigest()) for k, (i, _, b) in records.items()}
+    assert index.count() == 642  # the repeated page is one record
+    assert index.groupBy("tree", "number").count().agg(F.max("count")).first()[0] <= 3 * 16
     assert warc.audit(index, index).count() == 0
-    for file, group in index.toPandas().sort_values("offset").groupby("file"):
-        assert (group.offset.to_numpy()[1:] == group.length.cumsum().to_numpy()[:-1]).all()
-    got = {(r.page_id, r.file, r.offset): r.status for r in warc.audit_damaged(pages).collect()}
-    want = {(r.page_id, r.file, r.offset): "corrupt" if r.digest[:2] <= "0f" else "missing" for r in index.collect() if r.digest[:2] <= "17"}
-    assert got == want and want
-    extra = index.withColumn("offset", F.when(F.col("page_id") == 7, F.col("offset") + 1_000_000).otherwise(F.col("offset")))
-    assert sorted(r.status for r in warc.audit(index, extra).collect()) == ["extra", "missing"]
+    for _, group in index.toPandas().sort_values("offset").groupby(["tree", "number"]):
+        assert (group.offset.to_numpy()[1:] == group.length.cumsum().to_numpy()[:-1]).all() and group.leaf.is_monotonic_increasing
+    got = {r.record_id: (r.status, r.digest_b) for r in warc.audit_damaged(pages).collect()}
+    want = {}
+    for rid, (_, head, b) in records.items():
+        fault = hashlib.sha256(b).hexdigest()[:2]
+        if fault <= "0f":
+            want[rid] = ("corrupt", hashlib.sha256(head + (b"Y" if b[len(head) : len(head) + 1] == b"X" else b"X") + b[len(head) + 1 :]).hexdigest())
+        elif fault <= "17":
+            want[rid] = ("missing", None)
+        elif fault <= "1f":
+            want[rid] = ("corrupt", hashlib.sha256(b[: len(b) - len(b) // 3]).hexdigest())
+    assert got == want and {v[0] for v in want.values()} == {"corrupt", "missing"}
+    lost = [(r.status, r.page_id) for r in warc.audit(warc.lay_out(pages.filter("page_id <> 9 OR page_id IS NULL")), index).collect()]
+    assert lost == [("extra", 9)]
     assert warc.audit_damaged(pages.limit(0)).count() == 0
 
 
-def test_record_bytes(spark):
-    pages = spark.createDataFrame([(1, "http://é/", "<b>ü</b>")], "page_id long, url string, html string")
-    body = "<b>ü</b>".encode()
-    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: " + "http://é/".encode() + b"\r\nContent-Type: text/html\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
-    r = warc.lay_out(pages).first()
-    assert (r.digest, r.length) == (hashlib.sha256(record).hexdigest(), len(record))
+def test_a_record_of_another_length_marks_its_own_range_only(spark):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "<p>text</p>" * 9) for i in range(256)], "page_id long, url string, html string")
+    known = warc.records(pages).withColumn("length_b", F.expr("CASE WHEN page_id = 20 THEN length_a + 7 ELSE length_a END"))
+    known = known.withColumn("digest_b", F.expr("CASE WHEN page_id = 20 THEN 'other' WHEN page_id <> 90 THEN digest_a END"))
+    a, b = (warc.offsets(known, side) for side in "ab")
+    assert sorted(r.leaf for r in warc.differing(warc.trees(a), warc.trees(b)).collect()) == [1, 5]
+    assert sorted((r.page_id, r.status) for r in warc.audit(a, b).collect()) == [(20, "corrupt"), (90, "missing")]
+    assert b.filter("page_id = 255").first().offset != a.filter("page_id = 255").first().offset
 
 
 def test_pipeline_stages_keep_columns_and_take_effect(spark, odd_docs, tmp_path, labels):

@@ -102,6 +102,49 @@ def test_rare_languages_are_learned_from_a_bounded_sample(spark):
     assert len(got) == 8 and {r.lang_pred for r in got} == {"pl"}
 
 
+def plain_languages(rows, min_rate):
+    """(prediction, score without the filter's correction) by exact sets of trigrams."""
+    import zlib
+
+    def grams(text):
+        padded = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+        return [padded[k - 1 : k + 2] for k in range(1, len(padded) - 1) if padded[k] != " "]
+
+    counts = collections.defaultdict(collections.Counter)
+    for i, text, lang, *_ in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and text is not None:
+            counts[lang].update(grams(text))
+    known = {lang: {g for g, n in c.items() if n >= min_rate * sum(c.values())} for lang, c in counts.items()}
+    out = []
+    for i, text, *_ in rows:
+        said = grams(text)
+        hits = {lang: sum(g in known[lang] for g in said) for lang in sorted(known)}
+        best = max(hits, key=lambda x: hits[x])
+        out.append((i, best if said else "und", hits[best] / len(said) if said else 0.0, hits))
+    return out
+
+
+def test_language_equals_exact_sets_within_the_filters_error(spark):
+    rows = make_docs() + [(400, "x" * 700_000 + " der schöne fluß", "en", "s", 1), (401, "", "de", "s", 0), (402, "le la les", "fr", "s", 1), (403, "le la les", "es", "s", 1)]
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    got = collections.Counter((r.doc_id, r.lang_pred) for r in lang.identify(df).collect())
+    scores = {(r.doc_id, r.lang_pred): r.score for r in lang.identify(df).collect()}
+    for i, best, score, hits in plain_languages(rows, lang.MIN_RATE):
+        ties = [x for x, n in hits.items() if n >= hits.get(best, 0) - 0.02 * max(sum(hits.values()), 1)] if best != "und" else ["und"]
+        found = next(x for x in ties if got[i, x])
+        assert abs(scores[i, found] - score) <= 0.03
+        if len(ties) == 1:
+            assert got[i, best]
+
+
+def test_long_texts_are_counted_in_slices(monkeypatch):
+    text = "Über die Brücke, über den FLUSS geht es. " * 50
+    whole = sorted(lang.trigrams([text])[0].tolist())
+    monkeypatch.setattr(lang, "BLOCK_BYTES", 17)
+    parts = [(c, d) for c, d in lang.gram_slices(["ab", text, None])]
+    assert sorted(np.concatenate([c[d == 1] for c, d in parts]).tolist()) == whole
+
+
 def test_language_masks_hold_every_language_of_a_gram():
     grams = {f"l{i:03}": np.arange(i, i + 50, dtype=np.uint64) for i in range(70)}
     f = lang.LanguageFilter(grams)
@@ -186,6 +229,41 @@ def test_production_steps_reach_the_least_squares_beside_very_long_documents(spa
         assert (r >= 0).all() and (p @ gap).min() > -1e-3 and abs(gap @ (a @ r)) < 1e-3
 
 
+def dense_rates(a, target, pull):
+    """Rates >= 0 with the least half squared distance from 1 plus the squared gap of the totals over twice ``pull``, by trying every set of rates above 0."""
+    k, n = a.shape
+    for mask in range(1 << n):
+        live = [i for i in range(n) if mask >> i & 1]
+        r = np.zeros(n)
+        if live:
+            b = a[:, live]
+            r[live] = np.linalg.solve(np.eye(len(live)) + b.T @ b / pull, 1 + b.T @ target / pull)
+        slope = r - 1 + a.T @ (a @ r - target) / pull
+        if (r[live] > -1e-9).all() and (slope[[i for i in range(n) if i not in live]] >= -1e-6).all():
+            return r
+    raise AssertionError
+
+
+@pytest.mark.parametrize("case", ["reachable", "beyond", "a domain without rows", "one long text"])
+def test_rates_equal_a_dense_solver(spark, monkeypatch, case):
+    monkeypatch.setattr(mixing, "PULL", 1e-3)
+    rng = np.random.default_rng(7)
+    p, n = rng.dirichlet([1, 1, 1], 8), rng.integers(20, 200, 8)
+    weights = {"clean": 0.5, "low": 0.3, "toxic": 0.2}
+    if case == "beyond":
+        p, weights = np.array([[0.7, 0.2, 0.1]] * 8), {"clean": 0.01, "low": 0.01, "toxic": 0.98}
+    if case == "a domain without rows":
+        p[:, 2] = 0
+        p /= p.sum(1, keepdims=True)
+    if case == "one long text":
+        n[0] = 5000
+    df = spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(n, p)], "n_tokens long, p_clean double, p_low double, p_toxic double").coalesce(1)
+    got = np.array([x[0] for x in df.select(mixing.rate(mixing.rate_steps(df, weights, tolerance=1e-9))).collect()])
+    total = n.sum()
+    want = dense_rates((n[:, None] * p).T, np.array(list(weights.values())) * total, 1e-3 * total * total / 8)
+    assert np.abs(got - want).max() < 1e-4
+
+
 def test_mixing_sample_keeps_clean_documents(spark, odd_docs, labels):
     kept = mixing.sample(odd_docs, labels)
     assert kept.columns == odd_docs.columns
@@ -223,7 +301,7 @@ def test_field_finds_secrets_and_leaves_numbers_alone():
     got = pii.all_spans(texts, pii.train())
     assert [k for *_, k in got[0][1]] == ["secret"] and got[1] == ([], []) and got[2] == ([], [])
     s, e, _ = got[0][1][0]
-    assert texts[0][s:e].startswith("token") and texts[0][s:e].endswith('"')
+    assert texts[0][s:e] == '"0123456789abcdef0123456789abcdef01234567"'
 
 
 @pytest.mark.parametrize("inside", ["4539578763621486", "10.20.30.40", "jane@mail.example.org"])
@@ -231,9 +309,9 @@ def test_secrets_with_a_base_span_inside_are_kept_and_masked_whole(spark, inside
     text = f'then token = "a0b1c2d3e4f{inside}fa1b2c3d4e5f6" goes on'
     base, every = pii.all_spans([text], pii.train())[0]
     assert len(base) == 1 and base == pii.base_spans(text) and base[0] in every
-    assert [text[s:e] for s, e, k in every if k == "secret"] == [f'token = "a0b1c2d3e4f{inside}fa1b2c3d4e5f6"']
+    assert [text[s:e] for s, e, k in every if k == "secret"] == [f'"a0b1c2d3e4f{inside}fa1b2c3d4e5f6"']
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert pii.redact(df).first().text == "then [SECRET] goes on"
+    assert pii.redact(df).first().text == "then token = [SECRET] goes on"
 
 
 def test_predicted_spans_that_add_nothing_are_dropped():
@@ -244,6 +322,85 @@ def test_predicted_spans_that_add_nothing_are_dropped():
     assert pii.adds("k1.2.3.4 a@b.c", (0, 8, "secret"), [(1, 8, "ip")]) and pii.adds("1.2.3.4k", (0, 8, "secret"), [(0, 7, "ip")])
 
 
+#: Held-out lines: what is to be found is in angle quotes; other words, values and forms than in the training table.
+HELD_OUT = """\
+the new access_key = «"Zk3vQpL09xTTbWcR7yNs"» goes into the vault tonight
+set PASSWORD=«correctHorse7battery» before you start the server
+my password is «gr33nTea!Cup» and nobody knows
+client secret: «8f14e45fceea167a5a36dedd4bea2543»
+Bearer «eyJhbGciOiJIUzI1NiIsInR5cCI6» was in the header
+--token «ghx_9sKd82LmQpWz73hTyVbNcE41» on the command line
+secret_key : «'d8e8fca2-dc51-4b1e-9a3c-1f2e3d4c5b6a'» end
+kennwort = «Sommer2019xy» steht auf dem zettel
+contraseña : «luzVerde88» dijo ella
+mot de passe : «chat_noir_1987» pour la porte
+api_key=«AKx7QQ2LMN55TTV9PRS3» in production
+token = «"aabbccddeeff00112233445566778899aabbccdd"» . then more
+credentials : «user9:qwErTy!45»
+the clave = «"mZqLrTwXvB"» fue cambiada
+write to anna at beispiel dot de if it rains
+we met him at the dot com party in 1999
+she has the key to the house and the password to his heart
+token prices rose by 12% in 2021, they say
+the secret of the bread is time and 3 eggs
+invoice 20391122 of 4 may 2020, total 1,882.50
+a = 5 and b = 7 give 12
+build 9f2c1d0 of version 3.14.2 is out
+open https://example.net/page?id=77&lang=en now
+die alte zahl 1848 ist der schlüssel zur zeit
+la clave del problema es la paciencia
+le mot de passe est perdu depuis longtemps
+room 12b = the large one, floor 2
+McDonald and O'Brien = two families
+key = value is how a line looks
+phone 4 people and ask for 20 chairs
+"""
+
+
+def test_field_on_held_out_lines():
+    found = wanted = right = 0
+    for line in HELD_OUT.splitlines():
+        text = line.replace("«", "").replace("»", "")
+        where = [(m.start() - 2 * k, m.end() - 2 * k - 2) for k, m in enumerate(re.finditer("«[^»]*»", line))]
+        got = [(s, e) for s, e, k in pii.all_spans([text], pii.train())[0][1] if k == "secret"]
+        hit = [w for w in where if any(s < w[1] and e > w[0] and e - s <= 2 * (w[1] - w[0]) for s, e in got)]
+        wanted, found, right = wanted + len(where), found + len(got), right + len(hit)
+        print(len(hit), len(got), len(where), line, [text[s:e] for s, e in got])
+    assert right >= 0.85 * wanted and right >= 0.85 * found, (right, wanted, found)
+
+
+def test_field_finds_spelled_out_addresses_and_keys_without_digits():
+    texts = ["mail tom at beispiel dot org for it", 'the password = "QwxZrTplKm" is old', "PASSWORT = \"abCdEfGhIj\" STEHT HIER"]
+    got = pii.all_spans(texts, pii.train())
+    assert [[k for *_, k in every] for _, every in got] == [["email"], ["secret"], ["secret"]]
+    assert pii.plausible("email", "tom at beispiel dot org") and not pii.plausible("email", "we met at the dot") and not pii.plausible("secret", "plain Word")
+
+
+def test_shapes_read_the_whole_token():
+    assert pii.shape("a" * 100 + "-1") == "x-0" and pii.shape("x-" * 20) != pii.shape("x-" * 21) and pii.shape("a1b2c3d4") == "~"
+
+
+def test_very_long_lines_and_repeated_rows_go_through_the_field(spark):
+    long = "word " * 30_000 + 'token = "0123456789abcdef0123456789abcdef01234567" ' + "word " * 30_000
+    df = spark.createDataFrame([(1, long), (1, long), (None, long)], "doc_id long, text string")
+    got = [tuple(r) for r in pii.find(df).select("spans").collect()]
+    at = long.index('"')
+    assert got == [(f"secret:{at}:{at + 42}",)] * 3
+
+
+def test_find_matches_plain_patterns_on_whole_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = dict(map(tuple, docs.select("doc_id", "text").collect()))
+    n = 0
+    for r in pii.find(docs).collect():
+        want = plain_spans(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(pii.written(want).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for *_, k in want) for kind in pii.KINDS)
+        assert {pii.written([x]) for x in want} <= set(r.spans.split(","))
+        n += len(want)
+    assert n > 5
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
