@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeframe.llm.components import connected_components
-from cladeframe.llm.tables import discard, fits_broadcast, map_text, materialize, maybe_broadcast
+from cladeframe.llm.tables import discard, fits_broadcast, map_text, materialize, maybe_broadcast, tidy
 from cladeframe.llm.textnum import blocks, claim, lower_ascii, mix, span_hashes, words
 
 WIDTH = 4
@@ -75,7 +75,7 @@ HUB_ROWS = 500
 #: Bits of a token in the first pass, of the map's size, and tokens of one flush and of one part of the merge.
 TOKEN_BITS = 48
 MAP_BITS = 27
-FLUSH_TOKENS = 1_000_000
+FLUSH_TOKENS = 500_000
 PART_TOKENS = 4_000_000
 #: Bounds of a block of a longer list: shingles and sets.
 BLOCK_SHINGLES = 400_000
@@ -239,17 +239,20 @@ def _packed_tokens(width: int, percent: int, sketch_bits: int, sketch, part_bits
 
 
 def _mark(part_bits: int, map_bits: int):
-    """The piece of the bit map of one part: a bit for every token that is there twice."""
-
-    def run(pdf):
-        import pandas as pd
+    """The pieces of the bit map of a task's parts: a bit for every token that is there twice."""
 
+    def run(batches):
         claim("jaccard")
-        tokens = np.sort(np.concatenate([unpack(x) for x in pdf["packed"]]))
-        twice = tokens[1:][tokens[1:] == tokens[:-1]]
-        bits = np.zeros(1 << (map_bits - part_bits), np.uint8)
-        bits[((twice >> np.uint64(TOKEN_BITS - map_bits)) & np.uint64((1 << (map_bits - part_bits)) - 1)).astype(np.int64)] = 1
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("packed").to_pylist()):
+                held.setdefault(part, []).append(packed)
+        for part in list(held):
+            tokens = np.sort(np.concatenate([unpack(x) for x in held.pop(part)]))
+            twice = tokens[1:][tokens[1:] == tokens[:-1]]
+            bits = np.zeros(1 << (map_bits - part_bits), np.uint8)
+            bits[((twice >> np.uint64(TOKEN_BITS - map_bits)) & np.uint64((1 << (map_bits - part_bits)) - 1)).astype(np.int64)] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["part", "bits"])
 
     return run
 
@@ -374,12 +377,13 @@ class _Join:
         discard(many)
         copies = self.odd.filter("copy").select("doc_id")
         self.n_again = self.odd.filter("not copy").count()
+        tidy(self.spark)
         own = self.texts(None, copies, copies.count())
         total = self.meta.agg(F.sum("n")).first()[0] or 0
         total = total * (100 - self.percent) // 100
         part_bits = min(MAP_BITS - 3, max(6, int(-(-total // PART_TOKENS)).bit_length()))
         packed = map_text(own, _packed_tokens(self.width, self.percent, self.sketch_bits, self.sketch, part_bits), "part bigint, packed binary")
-        marks = packed.groupBy("part").applyInPandas(_mark(part_bits, MAP_BITS), "part bigint, bits binary")
+        marks = packed.repartition(1 << part_bits, "part").mapInArrow(_mark(part_bits, MAP_BITS), "part bigint, bits binary")
         bits = bytearray(1 << (MAP_BITS - 3))
         piece = 1 << (MAP_BITS - 3 - part_bits)
         for row in marks.toLocalIterator():  # the map's fixed size
@@ -395,6 +399,7 @@ class _Join:
         self.n_lists = lists.count()
         self.shared = materialize(entries.join(maybe_broadcast(lists, self.n_lists), "token"), "jaccard-shared")
         discard(entries, lists)
+        tidy(self.spark)
         used = materialize(self.shared.select("cls").distinct(), "jaccard-used")
         self.n_classes = used.count()
         some = maybe_broadcast(used, self.n_classes, 8)
@@ -535,6 +540,7 @@ class _Join:
         return sizes.filter(F.col("k") > SHORT_LIST).withColumn("cuts", cuts)
 
     def contract(self) -> None:
+        tidy(self.spark)
         old = getattr(self, "roots", None)
         self.roots = connected_components(self.links, "a", "b", "jaccard")
         if old is not None:
@@ -573,16 +579,15 @@ class _Join:
         sent = sent.select("token", "cls", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         percent = self.percent
 
-        def meet(pdf):
-            import pandas as pd
-
+        def meet(table):
             claim("jaccard")
-            out = block_links(pdf["cls"].to_numpy(), pdf["root"].to_numpy(), [np.asarray(x) for x in pdf["shingles"]], percent)
-            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+            held = [x.values.to_numpy()[a:b] for x in table.column("shingles").chunks for a, b in zip(x.offsets.to_numpy()[:-1], x.offsets.to_numpy()[1:])]
+            out = np.array(block_links(table.column("cls").to_numpy(), table.column("root").to_numpy(), held, percent), np.int64).reshape(-1, 2)
+            return pa.table({"a": np.ascontiguousarray(out[:, 0]), "b": np.ascontiguousarray(out[:, 1])})
 
         sets = materialize(self.sets(members.select("cls")), "jaccard-sets")
         tasks = sent.join(sets.dropDuplicates(["cls"]), "cls").select("token", "i", "j", "cls", "root", "shingles")
-        links = materialize(tasks.groupBy("token", "i", "j").applyInPandas(meet, "a bigint, b bigint"), "jaccard-long-links")
+        links = materialize(tasks.groupBy("token", "i", "j").applyInArrow(meet, "a bigint, b bigint"), "jaccard-long-links")
         discard(sets, once, members)
         self.settle()
         return links

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from cladeframe.scratch import remove, stored
 
 #: Bytes up to which a table may be broadcast: its counted rows times the width of a row.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 materialize, discard = stored, remove
 
 
 def tidy(spark: SparkSession) -> None:
-    """Between the rounds of a long job: a collection in the driver's JVM, upon which Spark deletes the files and broadcasts of finished shuffles."""
+    """Between the rounds of a long job: a collection in the JVMs of driver and executors.
+
+    In the driver it lets Spark delete the files and broadcasts of finished
+    shuffles; in the executors, called from as many rows as there are cores, it
+    returns heap that earlier rounds grew to the Python workers beside them.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("reflect('java.lang.System', 'gc') AS gc").collect()  # nulls, a row a core
     spark.sparkContext._jvm.System.gc()
 
 

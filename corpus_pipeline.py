@@ -12,14 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm import bpe_transducer, jaccard_join, langid_bloom, pii_crf, source_mixing
-from cladeframe.llm.tables import load, materialize, maybe_broadcast
+from cladeframe.llm.tables import discard, load, materialize, maybe_broadcast
 
 #: Documents whose best language explains less of them are rejected.
 MIN_LANGUAGE_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: ``und``, or a score below MIN_LANGUAGE_SCORE."""
+    """Drops documents without a language: ``und``, or a score below MIN_LANGUAGE_SCORE.
+
+    A null or empty text has none.  Every row is decided by its own text, so
+    repeated rows and null ids stay or go with it; no rows give no rows.
+    """
     model = langid_bloom.fit(docs)
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("text"))  # names of extra columns cannot clash
     found = langid_bloom.predict(whole, model, ["_doc"])
@@ -53,17 +57,28 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks every span found; no document goes."""
+    """Masks every span found; no document goes.
+
+    A null text stays null, an empty one empty; repeated rows and null ids stay
+    as they are; no rows give no rows.
+    """
     return pii_crf.redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps all documents of the clean domain and thins out the others to the target weights."""
+    """Keeps all documents of the clean domain and thins out the others to the target weights.
+
+    The draw is a hash of id and text: repeated rows stay or go together, a
+    null id draws by its text; no labels or no rows raise nothing.
+    """
     return source_mixing.sample(docs, load(spark, sf_dir, "labels"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, hashes and the packed ids of what is left."""
+    """doc_id, n_tokens, hashes and the packed ids of what is left: a row for each row, null ids and repeats included.
+
+    A null text counts as empty: no tokens, the hashes of no bytes.
+    """
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_transducer.encode_texts(docs, vocabulary, public_tokenizers.PATTERN, with_ids=True)
 
@@ -83,5 +98,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # what an earlier stage wrote; the input itself is none of these
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -215,7 +215,7 @@ def test_components_match_all_pairs(spark, docs, monkeypatch):
     rows = [(i, t) for i, t, *_ in make_docs()] + near_copies(30, 2) + near_copies(12, 3)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, cls string, n long")
     want = plain_components(rows)
-    for short, sets, hub, sent in ((32, 2000, 500, 32 << 20), (1, 3, 2, 0)):
+    for short, sets, hub, sent in ((32, 2000, 500, 16 << 20), (1, 3, 2, 0)):
         monkeypatch.setattr(jj, "SHORT_LIST", short)
         monkeypatch.setattr(jj, "BLOCK_SETS", sets)
         monkeypatch.setattr(jj, "HUB_ROWS", hub)
