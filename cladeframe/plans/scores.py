@@ -12,6 +12,7 @@ from cladeframe.operators import evaluation as E
 from cladeframe.operators import metrics as M
 from cladeframe.operators.assign import match_nodes
 from cladeframe.plans.registry import query
+from cladeframe.scratch import stored
 from cladeframe.sources import adapters as A
 from cladeframe.sources.adapters import with_tables
 
@@ -25,7 +26,8 @@ def _all(spark, d):
 
 
 def _match(n, p):
-    return match_nodes(p, n, GATE).select("dataset", "pred_id", "gt_id")
+    """The match, stored once: every score reads it several times."""
+    return stored(match_nodes(p, n, GATE).select("dataset", "pred_id", "gt_id"), "match")
 
 
 OUTCOME = """o AS (SELECT pe.dataset, pe.source, pe.target, s.gt_id AS gs, t.gt_id AS gt,
@@ -75,7 +77,7 @@ def ag9_division_confusion(spark, d):
 
 def _scored(spark, d):
     n, g, p, e = _all(spark, d)
-    match = _match(n, p).cache()
+    match = _match(n, p)
     counts = p.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_pred")).join(n.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_true")), "dataset")
     rows = M.edge_confusion(e, g, match).join(M.division_confusion(p, e, n, g, match), "dataset").join(counts, "dataset")
     return M.with_scores(rows).join(M.diagnostics(p, e, n, g, match), "dataset")
