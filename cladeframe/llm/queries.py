@@ -14,9 +14,11 @@ from cladeframe.llm import (
     langid_bloom,
     pii_crf,
     quality_llr,
+    simhash_vptree,
     source_mixing,
     url_rules,
     warc_fixity,
+    whitening,
     wordpiece_counts,
 )
 from cladeframe.llm.tables import load
@@ -66,8 +68,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.encode_texts(load(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(load(spark, sf_dir, "embeddings")))
+
+
+def op12_simhash_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_vptree.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_vptree.hex_digits("bits").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality_llr, op2_url_rules, op3_language_id, op4_nearest_neighbours, op5_jaccard_join,
         op6_word_piece_counts, op7_source_mixing, op8_warc_fixity, op9_personal_data, op10_byte_bpe,
+        op11_embedding_whitening, op12_simhash_near_copies,
     )}
