@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.tables import discard, materialize
+from cladeframe.llm.tables import discard, fewer, materialize
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -27,12 +27,16 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     return out.filter(F.col("a") != F.col("b")).distinct()
 
 
-def connected_components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """(node, root): root is the smallest node of the component; only nodes that have an edge."""
+def connected_components(edges: DataFrame, a: str, b: str, name: str, rows: int | None = None) -> DataFrame:
+    """(node, root): root is the smallest node of the component; only nodes that have an edge.
+
+    With ``rows``, the number of edges, the tables between rounds get as many partitions as they need.
+    """
+    dealt = (lambda df: df) if rows is None else (lambda df: fewer(df, 2 * rows))  # stars have no more edges than edges and nodes
     now = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter(F.col("a") != F.col("b")), f"{name}-cc")
     said = None
     while True:
-        then = materialize(_star(_star(now, True), False), f"{name}-cc")
+        then = materialize(dealt(_star(_star(now, True), False)), f"{name}-cc")
         now_said = then.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(now)
         now = then
@@ -40,6 +44,6 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str) -> DataFra
             break
         said = now_said
     members = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    members = materialize(members.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), f"{name}-roots")
+    members = materialize(dealt(members.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())), f"{name}-roots")
     discard(now)
     return members

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.llm.components import connected_components
-from cladeframe.llm.tables import discard, map_text, materialize, maybe_broadcast, stable_sample
+from cladeframe.llm.tables import discard, fewer, map_text, materialize, maybe_broadcast, stable_sample
 from cladeframe.llm.textnum import blocks, claim, lower_ascii, words
 
 WIDTH = 3
@@ -311,7 +311,7 @@ def components(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = groups.groupBy("shard", "first", "second").applyInArrow(_searched(radius), "a bigint, b bigint")
     links = materialize(found.distinct(), "simhash-links")
     discard(routed)
-    members = connected_components(links, "a", "b", "simhash")
+    members = connected_components(links, "a", "b", "simhash", links.count())
     discard(links)
     return members
 
@@ -319,15 +319,16 @@ def components(points: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """doc_id, bits, component_id (the smallest id reachable by links) of every row."""
     rows = materialize(fingerprints(docs, width), "simhash-rows")
-    points = materialize(rows.groupBy("bits").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")), "simhash-points")
+    total = rows.count()
+    points = materialize(fewer(rows.groupBy("bits").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low")), total), "simhash-points")
     members = components(points, radius)
     lows = members.join(points, members["node"] == points["bits"]).groupBy("root").agg(F.min("low").alias("component_id"))
     named = members.join(lows, "root").select(F.col("node").alias("bits"), "component_id")
     # a fingerprint of one row without partners keeps the row's own id
     named = points.join(named, "bits", "left").withColumn("component_id", F.coalesce("component_id", "low")).filter("n > 1 or component_id is distinct from low")
-    named = materialize(named.select("bits", "n", "component_id"), "simhash-named")
+    named = materialize(fewer(named.select("bits", "n", "component_id"), total), "simhash-named")
     discard(points, members)
-    total, k = rows.count(), named.count()
+    k = named.count()
     hot = named.filter(F.col("n") > total * HOT_SHARE).select("bits", "component_id")
     cold = named.filter(F.col("n") <= total * HOT_SHARE).select("bits", "component_id")
     held = F.broadcast(hot)  # fewer than 1 / HOT_SHARE rows

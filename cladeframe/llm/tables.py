@@ -46,6 +46,15 @@ def map_text(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+#: Rows of a partition, and so of a file, of a small intermediate table.
+PART_ROWS = 1 << 15
+
+
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to have at most ``rows`` rows, in no more partitions than PART_ROWS asks for: a small table becomes few files."""
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
