@@ -8,8 +8,9 @@ A file's records, in offset order, fall into ``RANGES`` ranges.  A range's hash
 covers length and digest of its records with their offsets from the *start of
 the range*, so a lost or longer record changes its own range and not those
 behind it.  A file's hash covers its ranges, and files are folded by
-``FAN_OUT`` up to one root a tree: files of pages by id, files of pages without
-id, and files of an id that has more records than a file should hold.
+``FAN_OUT`` up to the roots of a tree (one, or two where files have negative and
+other numbers): files of pages by id, files of pages without id, and files of
+an id that has more records than a file should hold.
 
 The audit compares the roots and then, level by level, only the children of
 nodes that differ, down to the records of differing ranges.
@@ -123,7 +124,7 @@ def trees(index: DataFrame) -> list[DataFrame]:
     out.append(materialize(_fold(out[0], FILE, F.col("leaf")), "warc-files"))
     ends = out[1].agg(F.min("number").alias("a"), F.max("number").alias("b")).first()
     low, high = ends["a"] or 0, ends["b"] or 0
-    while low != high:
+    while low != high and (low, high) != (-1, 0):  # halving leads to -1 and 0 and not beyond
         low, high = low // FAN_OUT, high // FAN_OUT
         up = out[-1].withColumnRenamed("number", "place").withColumn("number", F.floor(F.col("place") / FAN_OUT))
         out.append(materialize(_fold(up, FILE, F.col("place")), "warc-nodes"))
