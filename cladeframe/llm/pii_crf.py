@@ -210,8 +210,12 @@ def shape(token: str) -> str:
     return re.sub("[0xX]{5,}", "~", "".join(out))
 
 
-@functools.lru_cache(20_000)
 def token_features(token: str) -> tuple[str, ...]:
+    """Features of a token; those of short tokens are kept."""
+    return _short_features(token) if len(token) <= 64 else features_of(token)
+
+
+def features_of(token: str) -> tuple[str, ...]:
     core = token.strip(_EDGE)
     n = len(core)
     inner = core.strip("\"'")
@@ -243,6 +247,11 @@ def token_features(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+@functools.lru_cache(20_000)
+def _short_features(token: str) -> tuple[str, ...]:
+    return features_of(token)
+
+
 def line_features(tokens: list[str]) -> list[list[str]]:
     own = [token_features(t) for t in tokens]
     edge = ("edge",)
@@ -397,23 +406,37 @@ def train(table: str | None = None) -> RandomField:
 
 
 _TOKEN = re.compile(r"[^\s]+")
-_TRIGGER = re.compile(r"[0-9@+=]|token|secret|passw|pwd|api.?key|kennwort|contrase|clave|passe\b|credential|bearer|\b(?:at|arroba)\b.*\b(?:dot|punto|punkt)\b|(?<!\w)key\s*[:=]", re.IGNORECASE)
+_MARK = re.compile(r"[0-9@+=]")
+_SAID = ("token", "secret", "passw", "pwd", "kennwort", "contrase", "clave", "credential", "bearer")
+_SAID_SO = re.compile(r"api.?key|passe\b|(?<!\w)key\s*[:=]")
+_AT_WORD, _DOT_WORD = re.compile(r"\b(?:at|arroba)\b"), re.compile(r"\b(?:dot|punto|punkt)\b")
 _PLAIN = re.compile(r"[^\W\d_]?[^\W\d_A-ZÄÖÜ]*")
 
 
+def triggered(said: str) -> bool:
+    """Whether a line or sentence can hold a span: a digit, ``@``, ``+`` or ``=``, a key word, or a spelled-out at before a dot."""
+    if _MARK.search(said):
+        return True
+    low = said.lower()
+    if any(word in low for word in _SAID) or ("key" in low or "passe" in low) and _SAID_SO.search(low):
+        return True
+    at = _AT_WORD.search(low)
+    return at is not None and _DOT_WORD.search(low, at.end()) is not None
+
+
 def pieces(text: str):
     """Tokens (start, end) of every piece that can hold a span."""
     lo = 0
     for line in text.split("\n"):
-        if _TRIGGER.search(line):
+        if triggered(line):
             held: list[tuple[int, int]] = []
             for m in _TOKEN.finditer(line):
                 held.append((m.start() + lo, m.end() + lo))
                 if line[m.end() - 1] in ".!?" and m.end() - m.start() > 4:
-                    if _TRIGGER.search(line, held[0][0] - lo, m.end()):
+                    if triggered(line[held[0][0] - lo : m.end()]):
                         yield held
                     held = []
-            if held and _TRIGGER.search(line, held[0][0] - lo):
+            if held and triggered(line[held[0][0] - lo :]):
                 yield held
         lo += len(line) + 1
 
@@ -506,7 +529,7 @@ def find(docs: DataFrame, table: str | None = None) -> DataFrame:
     field = docs.sparkSession.sparkContext.broadcast(train(table))  # some thousand features by label
 
     def run(batches):
-        claim("pii", token_features.cache_clear)
+        claim("pii", _short_features.cache_clear)
         for batch in batches:
             counts, hashes, spans = [], [], []
             for texts in _batches(batch.column("text")):
@@ -540,7 +563,7 @@ def redact(docs: DataFrame, table: str | None = None) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        claim("pii", token_features.cache_clear)
+        claim("pii", _short_features.cache_clear)
         for batch in batches:
             texts = []
             for held in _batches(batch.column("text")):
