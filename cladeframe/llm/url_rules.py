@@ -10,15 +10,18 @@ labelled pages that hold the combination.  Pruned are combinations below
 allows (``sigmas`` standard deviations above the share of bad pages among all
 labelled ones), and those implied by a shorter kept rule.
 
-Tokens that the same labelled pages hold are one item while mining, so the
-many parts of one long url do not make a power set; a rule on items stands for
-a rule on each choice of one token an item (those on several tokens of an item
-are implied by it).
-
-Rules meet pages through an inverted index: each rule is filed under its
-rarest token, a page looks up its own tokens only, and the remaining tokens of
-a found rule are verified inside the page's token array.  Matches come back by
-the number of the page's row, never by url.
+Tokens that the same labelled pages hold are one item, so the many parts of
+one long url do not make a power set; a rule on items stands for a rule on
+each choice of one token an item (those on several tokens of an item are
+implied by it) and is never written out to apply it.  Single items are settled
+before FP-growth runs: a kept one implies every longer combination with it and
+leaves the baskets.  FP-growth itself has no bound on length, so many items
+that often come together, none of which is a rule alone, are still costly.
+
+Rules meet pages through an inverted index: each rule is filed under the
+tokens of its rarest item, a page looks up its own tokens only, and the other
+items of a found rule are verified inside the page's token array.  Matches
+come back by the number of the page's row, never by url.
 
 Native: DataFrame expressions and the JVM implementation of FP-growth.  Only
 urls, never page bodies, are shuffled.  The rule table is counted before it
@@ -109,22 +112,72 @@ def labelled_tokens(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.select(url_tokens(F.col("host"), F.col("path"), F.col("query")).alias("tokens"), "bad").filter(F.size("tokens") > 0)
 
 
-def match(pages: DataFrame, rules: DataFrame, n_rules: int, keys: list[str]) -> DataFrame:
-    """(keys..., rule tokens) of every rule whose tokens a page has all of."""
-    ruled = rules.select(F.col("key").alias("_token"), F.col("items"))
-    looked = pages.select(*keys, "tokens", F.explode("tokens").alias("_token"))
-    found = looked.join(maybe_broadcast(ruled, n_rules, 200), "_token")
-    return found.filter(F.size(F.array_except("items", "tokens")) == 0).select(*keys, "items")
+def match(baskets: DataFrame, rules: DataFrame, n_rules: int, keys: list[str]) -> DataFrame:
+    """(keys..., rule items) of every rule whose items a basket (column ``held``) has all of; a rule is filed under its ``key``."""
+    ruled = rules.select(F.col("key").alias("_key"), F.col("items"))
+    looked = baskets.select(*keys, "held", F.explode("held").alias("_key"))
+    found = looked.join(maybe_broadcast(ruled, n_rules, 200), "_key")
+    return found.filter(F.size(F.array_except("items", "held")) == 0).select(*keys, "items")
 
 
 def merged_items(known: DataFrame, least: int) -> DataFrame:
-    """(item, tokens): tokens that at least ``least`` bad pages hold, those of the same labelled pages together under the smallest."""
+    """(item, tokens, support, seen): tokens that at least ``least`` bad pages hold, those of the same labelled pages together under the smallest."""
     held = known.select("row", "bad", F.explode("tokens").alias("token"))
     who = held.groupBy("token").agg(
-        F.sum(F.col("bad").cast("bigint")).alias("n_bad"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("bad").cast("bigint")).alias("support"), F.count(F.lit(1)).alias("seen"),
         F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("a"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(20,0)")).alias("b"),
     )
-    return who.filter(F.col("n_bad") >= least).groupBy("n", "a", "b").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")).select("item", "tokens")
+    grouped = who.filter(F.col("support") >= least).groupBy("support", "seen", "a", "b")
+    return grouped.agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens")).select("item", "tokens", "support", "seen")
+
+
+def mine_items(
+    pages: DataFrame, labels: DataFrame, min_support: float, min_confidence: float, max_tokens: int, min_count: int, sigmas: float
+) -> tuple[DataFrame, DataFrame]:
+    """Stored tables (items, key, support, confidence) of pruned rules, filed under their rarest item, and (item, tokens).
+
+    Single items are rules or not by their counts.  A kept one leaves the
+    baskets before FP-growth runs, as every longer combination is implied by
+    it; so does one that all labelled pages hold, as it changes no count.
+    """
+    spark = pages.sparkSession
+    known = materialize(labelled_tokens(pages, labels).withColumn("row", F.monotonically_increasing_id()), "url-labelled")
+    row = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("bigint")).alias("bad")).first()
+    n, n_bad = row["n"], row["bad"] or 0
+    least = max(min_count, math.ceil(min_support * n_bad))
+    if n_bad < least or n_bad in (0, n):
+        discard(known)
+        none = spark.createDataFrame([], "items array<string>, key string, support bigint, confidence double")
+        return none, spark.createDataFrame([], "item string, tokens array<string>")
+    share = n_bad / n
+    sound = (F.col("support") / F.col("seen") >= min_confidence) & (F.col("support") - F.col("seen") * share >= sigmas * F.sqrt(F.col("seen") * (share * (1 - share))))
+    merged = materialize(merged_items(known, least).withColumn("sound", sound), "url-items")
+    confidence = (F.col("support") / F.col("seen")).alias("confidence")
+    single = merged.filter("sound").select(F.array("item").alias("items"), F.col("item").alias("key"), "support", confidence)
+    open_ = merged.filter(~F.col("sound") & (F.col("seen") < n))
+    of = open_.select("item", "seen", F.explode("tokens").alias("token"))
+    baskets = known.select("row", "bad", F.explode("tokens").alias("token")).join(of, "token")
+    baskets = materialize(baskets.groupBy("row").agg(F.first("bad").alias("bad"), F.collect_set("item").alias("held")).filter(F.size("held") > 1), "url-baskets")
+    bought = baskets.filter("bad").select(F.col("held").alias("items"))
+    rules = single
+    spent = [known, baskets]
+    if max_tokens > 1 and not bought.isEmpty():
+        floor = (least - 0.5) / bought.count()
+        sets = FPGrowth(itemsCol="items", minSupport=min(floor, 1.0), minConfidence=1.0).fit(bought).freqItemsets
+        sets = sets.filter(F.size("items").between(2, max_tokens) & (F.col("freq") >= least)).select(F.array_sort("items").alias("items"))
+        usage = open_.select("item", "seen")
+        rarest = sets.select("items", F.explode("items").alias("item")).join(usage, "item").groupBy("items").agg(F.min(F.struct("seen", "item"))["item"].alias("key"))
+        rarest = materialize(rarest, "url-itemsets")
+        held = match(baskets, rarest, rarest.count(), ["bad"]).groupBy("items").agg(F.sum(F.col("bad").cast("long")).alias("support"), F.count(F.lit(1)).alias("seen")).filter(sound)
+        several = materialize(held.join(rarest, "items").select("items", "key", "support", confidence), "url-several")
+        # a rule is implied by a kept rule that is a proper subset of it
+        longer = several.select(F.col("items").alias("held"), F.col("items").alias("longer"))
+        implied = match(longer, several, several.count(), ["longer"]).filter(F.size("longer") > F.size("items")).select(F.col("longer").alias("items")).distinct()
+        rules = single.unionByName(several.join(implied, "items", "left_anti"))
+        spent += [rarest, several]
+    rules, items = materialize(rules, "url-rules"), materialize(merged.select("item", "tokens"), "url-tokens")
+    discard(merged, *spent)
+    return rules, items
 
 
 def mine_rules(
@@ -136,50 +189,35 @@ def mine_rules(
     min_count: int = MIN_COUNT,
     sigmas: float = SIGMAS,
 ) -> DataFrame:
-    """(items, key, support, confidence): pruned rules, filed under their rarest token."""
-    spark = pages.sparkSession
-    schema = "items array<string>, key string, support bigint, confidence double"
-    known = materialize(labelled_tokens(pages, labels).withColumn("row", F.monotonically_increasing_id()), "url-labelled")
-    row = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("bigint")).alias("bad")).first()
-    n, n_bad = row["n"], row["bad"] or 0
-    least = max(min_count, math.ceil(min_support * n_bad))
-    if n_bad < least or n_bad in (0, n):
-        return spark.createDataFrame([], schema)
-    merged = materialize(merged_items(known, least), "url-items")
-    of = merged.select("item", F.explode("tokens").alias("token"))
-    bought = known.filter("bad").select("row", F.explode("tokens").alias("token")).join(of, "token").groupBy("row").agg(F.collect_set("item").alias("items"))
-    bought = materialize(bought, "url-baskets")
-    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n_bad, minConfidence=1.0).fit(bought).freqItemsets
-    sets = sets.filter(F.size("items") <= max_tokens).withColumn("itemset", F.monotonically_increasing_id()).select("itemset", F.col("items").alias("parts"), F.array().cast("array<string>").alias("items"))
-    groups = merged.select(F.col("item").alias("part"), "tokens")
-    for i in range(max_tokens):  # one token of each item
-        step = sets.withColumn("part", F.get("parts", F.lit(i))).join(groups, "part", "left")
-        sets = step.withColumn("_t", F.explode_outer("tokens")).select("itemset", "parts", F.when(F.col("_t").isNull(), F.col("items")).otherwise(F.concat("items", F.array("_t"))).alias("items"))
-    sets = sets.select(F.array_sort("items").alias("items"))
-    usage = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        sets.select("items", F.explode("items").alias("token")).join(usage, "token")
-        .groupBy("items").agg(F.min(F.struct("n", "token"))["token"].alias("key"))
-    )
-    rarest = materialize(rarest, "url-itemsets")
-    share = n_bad / n
-    held = (
-        match(known, rarest, rarest.count(), ["bad"])
-        .groupBy("items")
-        .agg(F.sum(F.col("bad").cast("long")).alias("support"), F.count(F.lit(1)).alias("seen"))
-        .withColumn("confidence", F.col("support") / F.col("seen"))
-        .filter((F.col("confidence") >= min_confidence) & (F.col("support") - F.col("seen") * share >= sigmas * F.sqrt(F.col("seen") * (share * (1 - share)))))
-    )
-    kept = held.join(rarest, "items").select("items", "key", "support", "confidence")
-    kept = materialize(kept, "url-rules")
-    discard(known, merged, bought, rarest)
-    # a rule is implied by a kept rule that is a proper subset of it
-    n = kept.count()
-    implied = (
-        match(kept.select(F.col("items").alias("tokens"), F.col("items").alias("longer")), kept, n, ["longer"])
-        .filter(F.size("longer") > F.size("items")).select(F.col("longer").alias("items")).distinct()
-    )
-    return kept.join(implied, "items", "left_anti")
+    """(items, support, confidence) of the rules written out: a row for each choice of one token an item.
+
+    For reading; :func:`url_filter` applies the rules without writing them out.
+    """
+    rules, items = mine_items(pages, labels, min_support, min_confidence, max_tokens, min_count, sigmas)
+    out = rules.select(F.monotonically_increasing_id().alias("rule"), F.col("items").alias("parts"), F.array().cast("array<string>").alias("items"), "support", "confidence")
+    for i in range(max_tokens):
+        step = out.withColumn("item", F.get("parts", F.lit(i))).join(items, "item", "left").withColumn("_t", F.explode_outer("tokens"))
+        out = step.select("rule", "parts", F.when(F.col("_t").isNull(), F.col("items")).otherwise(F.concat("items", F.array("_t"))).alias("items"), "support", "confidence")
+    return out.select(F.array_sort("items").alias("items"), "support", "confidence")
+
+
+def applied(pages: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
+    """``row`` of the pages (row, tokens) that hold a token of every item of some rule.
+
+    Rules are filed under every token of their rarest item.  What is looked up
+    is one row for each token of such an item, and one for each rule with the
+    tokens of its other items.
+    """
+    ruled = rules.select(F.monotonically_increasing_id().alias("rule"), "items", "key")
+    ruled = materialize(ruled, "url-filed")
+    keys = materialize(ruled.select("rule", F.col("key").alias("item")).join(items, "item").select("rule", F.explode("tokens").alias("_token")), "url-keys")
+    others = ruled.select("rule", F.explode(F.array_except("items", F.array("key"))).alias("item")).join(items, "item")
+    others = materialize(others.groupBy("rule").agg(F.collect_list("tokens").alias("others")), "url-others")
+    n_tokens = others.agg(F.sum(F.aggregate("others", F.lit(0), lambda n, x: n + F.size(x)))).first()[0] or 0
+    looked = pages.select("row", "tokens", F.explode("tokens").alias("_token")).join(maybe_broadcast(keys, keys.count(), 100), "_token")
+    found = looked.join(maybe_broadcast(others, n_tokens, 100), "rule", "left")
+    fits = F.col("others").isNull() | F.forall("others", lambda x: F.arrays_overlap(x, F.col("tokens")))
+    return found.filter(fits).select("row").distinct()
 
 
 def url_filter(
@@ -193,10 +231,10 @@ def url_filter(
     host_rules=HOST_RULES,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, mined (a mined rule matched) for every page row."""
-    rules = materialize(mine_rules(pages, labels, min_support, min_confidence, max_tokens, min_count, sigmas), "url-kept")
+    rules, items = mine_items(pages, labels, min_support, min_confidence, max_tokens, min_count, sigmas)
     parts = materialize(url_parts(pages).drop("url").withColumn("row", F.monotonically_increasing_id()), "url-parts")
     tokens = url_tokens(F.col("host"), F.col("path"), F.col("query"))
-    hits = match(parts.select("row", tokens.alias("tokens")), rules, rules.count(), ["row"]).select("row").distinct().withColumn("mined", F.lit(True))
+    hits = applied(parts.select("row", tokens.alias("tokens")), rules, items).withColumn("mined", F.lit(True))
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), host_rules)
     return (
         parts.join(hits, "row", "left")
