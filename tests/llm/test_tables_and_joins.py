@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -370,3 +371,39 @@ def test_near_copies_decides_by_row_not_by_id(spark, tmp_path):
 def test_rows_are_the_same_whatever_the_order(spark, docs):
     shuffled = docs.repartition(7)
     assert rows_of(jj.jaccard_components(shuffled, sketch_bits=16), "doc_id", "component_id") == rows_of(jj.jaccard_components(docs, sketch_bits=16), "doc_id", "component_id")
+
+
+def test_overlapping_parts_make_no_power_set(spark):
+    """300 bad urls each hold all but two of 40 parts: supports overlap, none is equal."""
+    parts = [f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    rows = [(i, "http://a.org/" + "/".join(p for k, p in enumerate(parts) if k not in (i % 40, (i * 7 + 3) % 40))) for i in range(300)]
+    rows += [(1000 + i, f"http://a.org/x/{i}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    said = spark.createDataFrame([(i, int(i >= 1000), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    began = time.time()
+    got = {r.page_id: r.mined for r in url.url_filter(pages, said).collect()}
+    assert time.time() - began < 60 and got == {i: i < 1000 for i, _ in rows}
+
+
+def test_items_of_many_tokens_are_not_written_out(spark):
+    """Three items of 300 tokens each make one rule: only their tokens are looked up, not their 27,000,000 choices."""
+    words = {k: "/".join(f"{k}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)) for k in "uvw"}
+    # every pair of items is as common among good pages as among bad ones; the three together are bad
+    rows = [(i, f"http://a.org/{words['u']}/{words['v']}/{words['w']}") for i in range(60)]
+    for j, pair in enumerate(("uv", "uw", "vw")):
+        rows += [(1000 * (j + 1) + i, "http://a.org/" + "/".join(words[k] for k in pair)) for i in range(90)]
+    pages = spark.createDataFrame(rows + [(None, "http://b.org/uaa/vab/wac"), (9000, "http://b.org/uaa/vab")], "page_id long, url string")
+    said = spark.createDataFrame([(i, int(i >= 1000), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    rules, items = url.mine_items(pages, said, 0.02, 0.5, 3, 10, 3.0)
+    assert [sorted(r["items"]) for r in rules.collect()] == [["p:uaa", "p:vaa", "p:waa"]] and sorted(len(r.tokens) for r in items.collect())[-3:] == [300] * 3
+    got = {r.page_id: r.mined for r in url.url_filter(pages, said).collect()}
+    assert got == {i: i < 1000 for i, _ in rows} | {None: True, 9000: False}
+
+
+def test_files_of_negative_and_other_ids_end_in_two_roots(spark):
+    pages = spark.createDataFrame([(-5, "u", "a"), (5, "v", "b"), (-70_000, "w", "c"), (90_000, "x", "d"), (None, "y", "e")], "page_id long, url string, html string")
+    a = warc.lay_out(pages)
+    levels = warc.trees(a)
+    assert sorted((r.tree, r.number) for r in levels[-1].collect()) == [("crawl", -1), ("crawl", 0), ("null", 0)]
+    changed = warc.lay_out(pages.withColumn("html", F.when(F.col("page_id") == -5, F.lit("z")).otherwise(F.col("html"))))
+    assert sorted((r.page_id, r.status) for r in warc.audit(a, changed).collect()) == [(-5, "extra"), (-5, "missing")]

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -495,3 +496,22 @@ def test_extra_columns_and_empty_tables(spark, docs, odd_docs, empty_docs, label
         out = f(empty_docs)
         assert out.count() == 0 and out.columns == f(docs).columns
     assert llr.quality_filter(docs, no_labels).filter("llr <> 0").count() == 0
+
+
+def test_prefilter_is_linear_and_finds_what_a_search_finds():
+    began = time.time()
+    for line in ("at " * 350_000, "word at. " * 110_000, "dot at " * 150_000, "key " * 250_000, "key" + " " * 1_000_000):
+        sum(1 for _ in pii.pieces(line))
+    assert time.time() - began < 5
+    plain = re.compile(r"[0-9@+=]|token|secret|passw|pwd|api.?key|kennwort|contrase|clave|passe\b|credential|bearer|\b(?:at|arroba)\b.*\b(?:dot|punto|punkt)\b|(?<!\w)key\s*[:=]", re.IGNORECASE)
+    rnd = np.random.default_rng(4)
+    words = "at dot Arroba PUNTO punkt. key key: monkey: api-key passe passed Token bat dots the x@y 7 (at) [dot] clave".split()
+    for _ in range(3000):
+        line = " ".join(rnd.choice(words[rnd.integers(0, 8) :], rnd.integers(0, 5)))
+        assert pii.triggered(line) == bool(plain.search(line)), line
+
+
+def test_features_of_long_tokens_are_not_kept():
+    before = pii._short_features.cache_info().currsize
+    pii.token_features("q" * 65)
+    assert pii._short_features.cache_info().currsize == before and pii.token_features("qq7") == pii.features_of("qq7")
