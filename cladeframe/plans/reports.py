@@ -128,13 +128,17 @@ def ag20_correlation(spark, d):
 
 
 @query(with_tables("cs", """able AS (SELECT checkpoint, avg(score) AS mean FROM cs GROUP BY 1),
-  co AS (SELECT a.checkpoint AS p, b.checkpoint AS q, corr(1 - a.score, 1 - b.score) AS r FROM cs a JOIN cs b ON a.epoch = b.epoch AND a.fold = b.fold AND a.checkpoint <> b.checkpoint GROUP BY 1, 2),
+  whole AS (SELECT epoch, fold FROM cs GROUP BY 1, 2 HAVING count(DISTINCT checkpoint) = (SELECT count(DISTINCT checkpoint) FROM cs)), held AS (SELECT cs.* FROM cs JOIN whole USING (epoch, fold)),
+  co AS (SELECT a.checkpoint AS p, b.checkpoint AS q, corr(1 - a.score, 1 - b.score) AS r FROM held a JOIN held b ON a.epoch = b.epoch AND a.fold = b.fold AND a.checkpoint <> b.checkpoint GROUP BY 1, 2),
   f AS (SELECT checkpoint FROM able ORDER BY mean DESC, checkpoint LIMIT 1), g AS (SELECT p AS checkpoint FROM co JOIN f ON q = f.checkpoint JOIN able ON able.checkpoint = p ORDER BY r, mean DESC, p LIMIT 1),
   h AS (SELECT p AS checkpoint FROM co JOIN able ON able.checkpoint = p WHERE q IN (SELECT checkpoint FROM f UNION ALL SELECT checkpoint FROM g) AND p NOT IN (SELECT checkpoint FROM f UNION ALL SELECT checkpoint FROM g) GROUP BY p, mean ORDER BY sum(r), mean DESC, p LIMIT 1)
   SELECT 1 AS rank, checkpoint FROM f UNION ALL SELECT 2, checkpoint FROM g UNION ALL SELECT 3, checkpoint FROM h"""))
 def rk11_complementary(spark, d):
     cs = A.checkpoint_scores(spark, d)
     errors = cs.select("checkpoint", F.concat_ws("/", F.col("epoch").cast("string"), "fold").alias("sample"), (1 - F.col("score")).alias("error"))
+    n = cs.agg(F.countDistinct("checkpoint")).first()[0]  # a few names
+    whole = errors.groupBy("sample").agg(F.countDistinct("checkpoint").alias("k")).filter(F.col("k") == n).select("sample")
+    errors = errors.join(whole, "sample", "left_semi")  # samples that every checkpoint has
     return E.complementary(cs.select("checkpoint", F.lit(0).alias("epoch"), "score"), errors, max_drop=1.0)
 
 
