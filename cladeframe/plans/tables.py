@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cladeframe.plans.registry import query
 from cladeframe.scratch import shared_dir
 from cladeframe.sources import adapters as A
+from cladeframe.sources import chunked
 from cladeframe.sources import submission as S
+from cladeframe.sources import volumes
 from cladeframe.sources.adapters import with_tables
 
 SUB = """sub AS (SELECT dataset, 'node' AS row_type, node_id, CAST(t AS BIGINT) AS t, z, y, x, CAST(-1 AS BIGINT) AS source_id, CAST(-1 AS BIGINT) AS target_id FROM e
@@ -52,8 +56,6 @@ def src3_lenient_parse(spark, d):
 @query(with_tables("e gd", SUB + " SELECT dataset, row_type, node_id, t, round(z, 6) AS z, source_id, target_id FROM sub"))
 def src1_submission_round_trip(spark, d):
     """Written as CSV in the shared folder, read again, parsed with all checks."""
-    import uuid
-
     path = f"{shared_dir(spark)}/submission-{uuid.uuid4().hex}"
     S.write_csv(_submission(spark, d), path)
     n, e = S.to_graph(S.read_csv(spark, path))
@@ -124,8 +126,6 @@ def snk6_numbered_rows(spark, d):
 @query(with_tables("cs", """r AS (SELECT checkpoint, max(score) AS score FROM cs GROUP BY 1) SELECT checkpoint AS candidate, round(score, 6) AS score, 'prefix' AS split, '' AS notes, CAST(NULL AS DOUBLE) AS public_lb, '2026-01-01T00:00:00' AS created_at FROM r, range(2)"""))
 def snk3_experiment_log(spark, d):
     """Two appends to one log."""
-    import uuid
-
     rows = A.checkpoint_scores(spark, d).groupBy(F.col("checkpoint").alias("candidate")).agg(F.max("score").alias("score")).select(
         "candidate", "score", F.lit(0.5).alias("adjusted_edge_jaccard"), F.lit(0.1).alias("division_jaccard"), F.lit("prefix").alias("split"), F.lit("made").alias("split_provenance"),
         F.lit("own").alias("scorer_provenance"), F.lit("unknown").alias("commit_sha"), F.lit("2026-01-01T00:00:00").alias("created_at"))
@@ -137,3 +137,20 @@ def snk3_experiment_log(spark, d):
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def prj12_text_digests(spark, d):
     return A.read(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+@query(with_tables("v", "SELECT dataset, t, c, z, y, x, value FROM v WHERE c = 0 AND t BETWEEN 1 AND 2"))
+def src5_chunked_volume(spark, d):
+    """The volumes written as stores of chunks (so that chunks are cut off at the border), and two frames of one channel read back."""
+    path = f"{shared_dir(spark)}/volumes-{uuid.uuid4().hex}"
+    chunked.write_voxels(A.volume(spark, d), path, (1, 1, 4, 8, 8))
+    return spark.read.format("chunked_arrays").option("missing", "skip").load(path).filter("c = 0 AND t BETWEEN 1 AND 2 AND NOT isnan(value)")
+
+
+@query(with_tables("e gd", SUB + " SELECT * FROM sub"))
+def src11_graph_store(spark, d):
+    """The forest written as arrays of a graph store and read back."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    n = A.nodes(spark, d)
+    volumes.write_graph(n, A.forest_edges(n), path, chunk=1 << 14)
+    return A.submission(*volumes.read_graph(spark, path, "E"))

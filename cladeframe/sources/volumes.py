@@ -1,36 +1,18 @@
-"""Image volumes and graphs as tables.
-
-A volume comes as a long table of voxels, or as a store of chunks in the
-second version of the zarr layout: JSON metadata beside one file a chunk, raw,
-zlib, gzip or zstd.  Chunks are read as binary files and become voxel rows
-chunk by chunk; no task holds more than its own chunks.
-"""
+"""Image volumes and lineage graphs in stores of chunked arrays, as tables."""
 
 from __future__ import annotations
 
 import json
-from urllib.parse import unquote
+from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-AXES = ("t", "c", "z", "y", "x")
-
+from cladeframe.scratch import placed, remove
+from cladeframe.sources.chunked import AXES, array_info, attributes_of, level_of, place_of, register, write_columns
 
-def level_of(attributes: dict, level: int = 0) -> tuple[str, tuple[float, float, float] | None]:
-    """(path, voxel size z, y, x or None) of a resolution level; without usable metadata the level's number and None."""
-    try:
-        scales = attributes["multiscales"][0]
-        found = scales["datasets"][level]
-        path = found["path"]
-        names = [a.get("name", "") for a in scales.get("axes", [])]
-        size = next((x["scale"] for x in found.get("coordinateTransformations", []) if x.get("type") == "scale"), None)
-        by_name = dict(zip(names, size)) if size is not None else {}
-        return path, tuple(float(by_name[a]) for a in "zyx") if {"z", "y", "x"} <= set(by_name) else None
-    except (KeyError, IndexError, TypeError):
-        return str(level), None
+__all__ = ["expanded", "level_of", "read_array", "read_store", "read_graph", "estimated_nodes", "write_graph"]
+GRAPH_PROPS = ("t", "z", "y", "x")
 
 
 def expanded(voxels: DataFrame, dataset: str | None = None) -> DataFrame:
@@ -43,74 +25,76 @@ def expanded(voxels: DataFrame, dataset: str | None = None) -> DataFrame:
     return voxels.select(name.alias("dataset"), *axes, F.col("value").cast("double").alias("value"))
 
 
-def _json(spark: SparkSession, path: str) -> dict:
-    """A metadata file (its name is hidden from Spark's own readers); empty if there is none."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(conf)
-    if not files.exists(place):
-        return {}
-    stream = files.open(place)
-    try:
-        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
-def _bytes(raw: bytes, compressor: dict | None) -> bytes:
-    kind = (compressor or {}).get("id")
-    if kind is None:
-        return raw
-    if kind in ("zlib", "gzip"):
-        import zlib
-
-        return zlib.decompress(raw, 47)
-    if kind == "zstd":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-    raise ValueError(f"no decoder for {kind}")
-
-
-def read_array(spark: SparkSession, path: str, dataset: str = "") -> DataFrame:
-    """Voxels of an array folder (``.zarray`` and chunk files); axes are the last of t, c, z, y, x.  Chunks without a file hold the fill value and give no rows."""
-    meta = _json(spark, f"{path}/.zarray")
-    if not meta:
-        raise FileNotFoundError(f"{path}/.zarray")
-    shape, chunk, dtype, mark = meta["shape"], meta["chunks"], np.dtype(meta["dtype"]), meta.get("dimension_separator", ".")
-    if not 3 <= len(shape) <= 5:
-        raise ValueError("an array has three to five axes")
-    order, packed, n = meta.get("order", "C"), meta.get("compressor"), len(shape)
-    root = unquote(path).removeprefix("file:").rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = files.select("path", "content")
-
-    def run(batches):
-        for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                key = unquote(name).removeprefix("file:").replace("//", "/").split("/" + root.strip("/") + "/")[-1]
-                place = [int(k) for k in key.split(mark)]
-                values = np.frombuffer(_bytes(bytes(content), packed), dtype).reshape(chunk, order=order)
-                inside = tuple(slice(0, min(c, s - p * c)) for c, s, p in zip(chunk, shape, place))  # chunks at the border are padded
-                values = values[inside]
-                at = np.indices(values.shape).reshape(n, -1)
-                out = {a: np.zeros(values.size, np.int32) for a in AXES}
-                for a, i, p, c in zip(AXES[5 - n :] if n == 5 else (("t",) if n == 4 else ()) + AXES[2:], at, place, chunk):
-                    out[a] = (i + p * c).astype(np.int32)
-                yield pd.DataFrame({"dataset": dataset, **out, "value": values.ravel().astype(float)})
-
-    return files.mapInPandas(run, "dataset string, t int, c int, z int, y int, x int, value double")
-
-
-def read_store(spark: SparkSession, path: str, level: int = 0, dataset: str = "") -> tuple[DataFrame, tuple[float, float, float]]:
+def read_array(spark: SparkSession, path: str, dataset: str = "", missing: str = "skip") -> DataFrame:
+    """Voxels of an array folder; chunks without a file give no rows, or rows of the fill value if ``missing`` is "fill"."""
+    if array_info(*place_of(path)) is None:
+        raise FileNotFoundError(f"no array at {path}")
+    register(spark)
+    return spark.read.format("chunked_arrays").option("dataset", dataset).option("missing", missing).load(path)
+
+
+def read_store(spark: SparkSession, path: str, level: int = 0, dataset: str = "", missing: str = "skip") -> tuple[DataFrame, tuple[float, float, float]]:
     """(voxels, voxel size) of a level of a multiscale store; the size is 1 where the metadata have none."""
-    attributes = _json(spark, f"{path}/.zattrs")
-    name, size = level_of(attributes, level)
-    return read_array(spark, f"{path}/{name}", dataset), size or (1.0, 1.0, 1.0)
+    name, size = level_of(attributes_of(*place_of(path)) or {}, level)
+    return read_array(spark, f"{path}/{name}", dataset, missing), size or (1.0, 1.0, 1.0)
+
+
+def _searched(tree: Any, name: str) -> Any:
+    """The value of the first key ``name`` in nested metadata, nearest to the root."""
+    level = [tree]
+    while level:
+        for part in level:
+            if isinstance(part, dict) and part.get(name) is not None:
+                return part[name]
+        level = [x for part in level for x in (part.values() if isinstance(part, dict) else part if isinstance(part, list) else ())]
+    return None
+
+
+def estimated_nodes(spark: SparkSession, path: str, nodes: DataFrame) -> float:
+    """``estimated_number_of_nodes`` from the metadata of the store, its ``nodes`` or its ``edges``; without it the number of nodes read."""
+    files, base = place_of(path)
+    for part in ("", "/nodes", "/edges"):
+        found = _searched(attributes_of(files, base + part) or {}, "estimated_number_of_nodes")
+        if found is not None:
+            return float(found)
+    return float(nodes.count())
 
 
 def read_graph(spark: SparkSession, path: str, dataset: str, scale: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a graph folder: Parquet tables ``nodes`` (id, t, z, y, x) and ``edges`` (source, target); positions times ``scale``."""
-    n, e = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    """(nodes, edges) of a graph store; positions times ``scale``.
+
+    A store has arrays ``nodes/ids``, ``nodes/props/<t, z, y, x>/values`` and
+    ``edges/ids`` (two columns; without it there are no edges), or Parquet
+    tables ``nodes`` (id, t, z, y, x) and ``edges`` (source, target).
+    """
+    files, base = place_of(path)
+    if array_info(files, f"{base}/nodes/ids") is None:
+        n, e = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    else:
+        register(spark)
+        said = "id=nodes/ids," + ",".join(f"{a}=nodes/props/{a}/values" for a in GRAPH_PROPS)
+        n = spark.read.format("chunked_columns").schema("id bigint, t int, z double, y double, x double").option("columns", said).load(path)
+        if array_info(files, f"{base}/edges/ids") is None:
+            e = spark.createDataFrame([], "source bigint, target bigint")
+        else:
+            e = spark.read.format("chunked_columns").schema("source bigint, target bigint").option("columns", "source=edges/ids:0,target=edges/ids:1").load(path)
     nodes = n.select(F.lit(dataset).alias("dataset"), F.col("id").cast("bigint").alias("node_id"), F.col("t").cast("int").alias("t"), *((F.col(a).cast("double") * s).alias(a) for a, s in zip("zyx", scale)))
     return nodes, e.select(F.lit(dataset).alias("dataset"), F.col("source").cast("bigint").alias("source"), F.col("target").cast("bigint").alias("target"))
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, estimated: float | None = None, chunk: int = 1 << 16) -> None:
+    """A graph store of arrays from node and edge tables (of one dataset), rows by id; the group's metadata last."""
+    for rows, order, arrays in (
+        (nodes.select("node_id", *GRAPH_PROPS), ["node_id"], {"nodes/ids": (["node_id"], "int64"), "nodes/props/t/values": (["t"], "int64"), **{f"nodes/props/{a}/values": ([a], "float64") for a in "zyx"}}),
+        (edges.select("source", "target"), ["source", "target"], {"edges/ids": (["source", "target"], "int64")}),
+    ):
+        numbered = placed(rows, order, "graph-rows")
+        n = numbered.count()
+        if n:
+            write_columns(numbered, n, path, arrays, chunk)
+        remove(numbered)
+    files, base = place_of(path)
+    said = {"zarr_format": 3, "node_type": "group", "attributes": {} if estimated is None else {"geff": {"extra": {"estimated_number_of_nodes": estimated}}}}
+    files.create_dir(base, recursive=True)
+    with files.open_output_stream(f"{base}/zarr.json") as f:
+        f.write(json.dumps(said).encode())
