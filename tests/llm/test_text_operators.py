@@ -498,6 +498,20 @@ def test_extra_columns_and_empty_tables(spark, docs, odd_docs, empty_docs, label
     assert llr.quality_filter(docs, no_labels).filter("llr <> 0").count() == 0
 
 
+def test_rates_without_convergence_are_returned_and_logged(spark, caplog):
+    rng = np.random.default_rng(6)
+    n = rng.integers(1, 500, 400)
+    p = rng.dirichlet([0.2, 0.2, 0.2], 400)
+    df = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n_tokens long, p_clean double, p_low double, p_toxic double")
+    weights = {"clean": 0.98, "low": 0.015, "toxic": 0.005}
+    a = (n[:, None] * p).T
+    target = np.array([weights[d] for d in mixing.DOMAINS]) * n.sum()
+    off = lambda steps: np.abs(a @ np.array([x[0] for x in df.select(mixing.rate(mixing.rate_steps(df, weights, steps=steps))).collect()]) - target).sum()
+    with caplog.at_level("WARNING"):
+        short = off(1)
+    assert "clean" in caplog.text and short < np.abs(a.sum(1) - target).sum() and off(50) < 1e-3 * n.sum()
+
+
 def test_prefilter_is_linear_and_finds_what_a_search_finds():
     began = time.time()
     for line in ("at " * 350_000, "word at. " * 110_000, "dot at " * 150_000, "key " * 250_000, "key" + " " * 1_000_000):
