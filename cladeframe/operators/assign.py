@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.scratch import stored
+from cladeframe.schema import distance
+from cladeframe.scratch import remove, stored
 
 
 def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -74,7 +75,15 @@ def blocks(pairs: Iterable[tuple]) -> list[list[int]]:
 
 
 def cheapest_matching(pairs: list[tuple[int, int, float]], n_left: int, n_right: int) -> list[tuple[int, int]]:
-    """As many pairs (left, right) as possible, of these the least total cost; time and memory by the candidates, not by left times right.
+    """As many pairs (left, right) as possible, of these the least total cost; time and memory by the candidates, not by left times right."""
+    return priced_matching(pairs, n_left, n_right)[0]
+
+
+def priced_matching(pairs: list[tuple[int, int, float]], n_left: int, n_right: int) -> tuple[list[tuple[int, int]], list[float], dict[int, float]]:
+    """:func:`cheapest_matching` with prices of the left and right ends.
+
+    No candidate costs less than its ends' prices together, a chosen one costs
+    just that, and right ends without a price (0) or a partner are free.
 
     Shortest augmenting paths over the candidates alone.  Every left end also
     has a way out of its own that costs more than any change of pairs can save.
@@ -121,7 +130,7 @@ def cheapest_matching(pairs: list[tuple[int, int, float]], n_left: int, n_right:
             if a == start:
                 break
             b = taken[a]
-    return sorted((a, b) for b, a in owner.items() if b < n_right)
+    return sorted((a, b) for b, a in owner.items() if b < n_right), high, low
 
 
 def best_pairs(left: list, right: list, cost: list[float]) -> list[int]:
@@ -255,19 +264,97 @@ def greedy(pairs: DataFrame, order: list[str], left: str, right: str, max_left:
     return out
 
 
-def ungated_then_cut(left: DataFrame, right: DataFrame, gate: float, shift: int = 1) -> DataFrame:
-    """Full least-cost assignment of neighbouring frames with the gate applied afterwards: the whole frame is one problem."""
-    a = left.select("dataset", "t", F.lit(0).alias("side"), "node_id", "z", "y", "x")
-    b = right.select("dataset", (F.col("t") - shift).alias("t"), F.lit(1).alias("side"), "node_id", "z", "y", "x")
+_PAIR = "dataset string, t int, i bigint, j bigint, cost double"
+_OFFER = "dataset string, t int, side int, k bigint, partner bigint, cost double, price double"
+#: Distances that a task holds at once.
+HELD_DISTANCES = 1 << 21
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        s, t = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(s) or not len(t):
-            return pd.DataFrame({"dataset": [], "t": [], "left_id": [], "right_id": [], "distance": []}).astype({"dataset": object, "t": "int32", "left_id": "int64", "right_id": "int64"})
-        p, q = s[["z", "y", "x"]].to_numpy(), t[["z", "y", "x"]].to_numpy()
-        d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(2))
-        rows = [(pdf.dataset.iloc[0], pdf.t.iloc[0], s.node_id.iloc[i], t.node_id.iloc[j], d[i, j]) for i, j in least_cost(d) if d[i, j] <= gate]
-        return pd.DataFrame(rows, columns=["dataset", "t", "left_id", "right_id", "distance"])
-
-    return a.unionByName(b).groupBy("dataset", "t").applyInPandas(run, "dataset string, t int, left_id bigint, right_id bigint, distance double")
+
+def dearest(rows: DataFrame, cols: DataFrame, blocks: DataFrame, most: int) -> DataFrame:
+    """(dataset, t, i, j, cost): for each row point the ``most`` column points whose distance is farthest below both prices, if it is below.
+
+    ``blocks`` says how many blocks of rows a frame has; a task gets one block
+    and the frame's columns, and holds a bounded number of distances.
+    """
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            p, q, v, j = a[["z", "y", "x"]].to_numpy(), b[["z", "y", "x"]].to_numpy(), b["price"].to_numpy(), b["k"].to_numpy()
+            k, step = min(most, len(q)), max(1, HELD_DISTANCES // len(q))
+            for at in range(0, len(p), step):
+                some = p[at : at + step]
+                d = np.sqrt(sum((some[:, None, c] - q[None, :, c]) ** 2 for c in range(3)))
+                less = d - v[None, :]
+                best = np.argpartition(less, k - 1, axis=1)[:, :k]
+                below = np.take_along_axis(less, best, 1) < a["price"].to_numpy()[at : at + step, None] - 1e-9 * (1 + d.max())
+                r, c = np.nonzero(below)
+                out.append(pd.DataFrame({"i": a["k"].to_numpy()[at + r], "j": j[best[r, c]], "cost": d[r, best[r, c]]}))
+        found = pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "cost": []})
+        return found.assign(dataset=a["dataset"].iloc[0] if len(a) else None, t=a["t"].iloc[0] if len(a) else 0)[["dataset", "t", "i", "j", "cost"]]
+
+    spread = cols.join(blocks, ["dataset", "t"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["dataset", "t", "block"]
+    return rows.groupBy(*key).cogroup(spread.groupBy(*key)).applyInPandas(run, _PAIR)
+
+
+def _offers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The cheapest matching of a frame's candidates and the prices of both sides."""
+    ends = [{x: n for n, x in enumerate(sorted(set(pdf[c])))} for c in "ij"]
+    cost = dict(sorted(((ends[0][i], ends[1][j]), c) for i, j, c in zip(pdf.i, pdf.j, pdf.cost)))
+    chosen, high, low = priced_matching([(*p, c) for p, c in cost.items()], len(ends[0]), len(ends[1]))
+    names = [list(e) for e in ends]
+    rows = [(0, names[0][a], names[1][b], cost[a, b], high[a]) for a, b in chosen] + [(1, names[1][b], -1, 0.0, v) for b, v in low.items() if b < len(names[1])]
+    out = pd.DataFrame(rows, columns=["side", "k", "partner", "cost", "price"])
+    return out.assign(dataset=pdf.dataset.iloc[0], t=pdf.t.iloc[0])[["dataset", "t", "side", "k", "partner", "cost", "price"]]
+
+
+def ungated_then_cut(left: DataFrame, right: DataFrame, gate: float, shift: int = 1, most: int = 8, block: int = 512) -> DataFrame:
+    """Full least-cost assignment of neighbouring frames with the gate applied afterwards.
+
+    The gate cannot cut the problem into blocks, so a frame is solved over few
+    candidates and the others are priced: the points of the smaller side start
+    with their ``most`` nearest partners and one that no other has (so all can
+    be assigned); after each solution the pairs that cost less than their ends'
+    prices join the candidates, until no frame has any.  Then no pair at all
+    can lower the cost.  All distances are taken in each round, but by tasks
+    of ``block`` points; the grouped solution sees the candidates alone.
+    """
+    key = ["dataset", "t"]
+    place = Window.partitionBy(*key, "side").orderBy("node_id")
+    sides = left.select("dataset", "t", F.lit(0).alias("side"), "node_id", "z", "y", "x").unionByName(
+        right.select("dataset", (F.col("t") - shift).alias("t"), F.lit(1).alias("side"), "node_id", "z", "y", "x"))
+    sides = stored(sides.withColumn("t", F.col("t").cast("int")).withColumn("k", F.row_number().over(place).cast("bigint") - 1), "sides")
+    sizes = sides.groupBy(*key).agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("m")).filter("n > 0 AND m > 0")
+    small = F.when(F.col("n") <= F.col("m"), 0).otherwise(1)
+    both = sides.join(sizes.select(*key, small.alias("small"), F.ceil(F.least("n", "m") / block).cast("int").alias("blocks")), key)
+    points = lambda df: df.select(*key, "k", "node_id", "z", "y", "x", "small")
+    rows = stored(points(both.filter("side = small")).withColumn("block", F.floor(F.col("k") / block).cast("int")), "rows")
+    cols = stored(points(both.filter("side <> small")), "cols")
+    blocks = stored(both.select(*key, "blocks").distinct(), "blocks")
+    own = rows.alias("a").join(cols.alias("b"), [*key, "k"]).select(*key, F.col("k").alias("i"), F.col("k").alias("j"), distance("a", "b").alias("cost"))
+    first = dearest(rows.withColumn("price", F.lit(float("inf"))), cols.withColumn("price", F.lit(0.0)), blocks, most)
+    known = stored(own.unionByName(first).dropDuplicates([*key, "i", "j"]), "candidates")
+    offers, closed = stored(known.groupBy(*key).applyInPandas(_offers, _OFFER), "offers"), []
+    while True:
+        of = lambda df, side: df.join(offers.filter(F.col("side") == side).select(*key, "k", "price"), [*key, "k"], "inner" if side == 0 else "left").fillna(0.0, ["price"])
+        open_frames = offers.select(*key).distinct()
+        fresh = stored(dearest(of(rows, 0), of(cols, 1), blocks.join(open_frames, key, "left_semi"), most), "fresh")
+        again = fresh.select(*key).distinct()
+        closed.append(stored(offers.filter("side = 0").join(again, key, "left_anti").select(*key, "k", "partner", "cost"), "closed"))
+        if fresh.isEmpty():
+            remove(fresh, offers, known)
+            break
+        was = (known, offers, fresh)
+        known = stored(known.join(again, key, "left_semi").unionByName(fresh).dropDuplicates([*key, "i", "j"]), "candidates")
+        offers = stored(known.groupBy(*key).applyInPandas(_offers, _OFFER), "offers")
+        remove(*was)
+    chosen = closed[0]
+    for more in closed[1:]:
+        chosen = chosen.unionByName(more)
+    named = lambda df, at, name: df.select(*key, F.col("k").alias(at), F.col("node_id").alias(name), *(["small"] if at == "k" else []))
+    out = chosen.filter(F.col("cost") <= gate).join(named(rows, "k", "_a"), [*key, "k"]).join(named(cols, "partner", "_b"), [*key, "partner"])
+    turned = F.col("small") == 1
+    out = stored(out.select(*key, F.when(turned, F.col("_b")).otherwise(F.col("_a")).alias("left_id"), F.when(turned, F.col("_a")).otherwise(F.col("_b")).alias("right_id"), F.col("cost").alias("distance")), "assigned")
+    remove(sides, rows, cols, blocks, *closed)
+    return out
