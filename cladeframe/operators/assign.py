@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.schema import distance
@@ -233,13 +233,44 @@ def pair_up(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return known.groupBy("dataset", "_block").applyInPandas(run, f"dataset string, {left} bigint, {right} bigint")
 
 
+def first_come(rows: DataFrame, order: list, ends: list[tuple[str, str, Column | int]]) -> DataFrame:
+    """What a pass over a dataset's rows in ``order`` takes, each row while all its ends have room; in rounds, not one after another.
+
+    ``ends`` are (role, id column, room); ids of one role are the same end, and
+    an end has the same room in all its rows.  In a round a row is taken if at each of its ends no more
+    rows than there is room come up to and with it among those still open:
+    however the earlier ones fare, it fits.  Then ends fill up and rows without
+    room go.  The first open row is always taken, and in general position a
+    round settles a fixed share of the rows.
+    """
+    kept = stored(rows.withColumn("_n", F.monotonically_increasing_id()), "first-come")
+    at = (F.struct(F.struct(F.lit(role).alias("role"), F.col(c).alias("id")).alias("end"), (F.lit(room) if isinstance(room, int) else room).cast("long").alias("room")) for role, c, room in ends)
+    each = F.explode(F.array(*at))
+    touch = stored(kept.select("dataset", "_n", F.struct(*order).alias("_key"), each.alias("_e")).select("dataset", "_n", "_key", "_e.end", "_e.room"), "touch")
+    rank = F.row_number().over(Window.partitionBy("dataset", "end").orderBy("_key", "_n"))
+    taken = None
+    while True:
+        now = stored(touch.withColumn("_ok", rank <= F.col("room")).groupBy("_n").agg(F.min("_ok").alias("_ok")).filter("_ok").select("_n"), "taken")
+        if now.isEmpty():
+            remove(now, touch)
+            break
+        taken = now if taken is None else taken.unionByName(now)
+        used = touch.join(now, "_n", "left_semi").groupBy("dataset", "end").agg(F.count(F.lit(1)).alias("used"))
+        rest = touch.join(now, "_n", "left_anti").join(used, ["dataset", "end"], "left").withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).drop("used")
+        full = rest.filter("room <= 0").select("_n").distinct()
+        was, touch = touch, stored(rest.join(full, "_n", "left_anti"), "touch")
+        remove(was)
+    none = kept.limit(0).select("_n")
+    return kept.join(none if taken is None else taken, "_n", "left_semi").select(*rows.columns)
+
+
 def greedy(pairs: DataFrame, order: list[str], left: str, right: str, max_left: int = 1, max_right: int = 1, limit: str | None = None, frame: str | None = None, frame_limit: str | None = None) -> DataFrame:
     """Rows taken in ``order`` while their ends have room; ``limit`` and ``frame_limit`` name columns with caps by dataset and by frame.
 
     With ``frame`` the pairs of different frames must have no end in common
     (pairs of one gap, keyed by the earlier frame): frames are settled apart.
-    Without it blocks of pairs are.  The cap by dataset only ends the sequence,
-    so it is a rank over what is taken.
+    Without it the pairs are settled in rounds.  The cap by dataset only ends
+    the sequence, so it is a rank over what is taken.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -256,8 +287,10 @@ def greedy(pairs: DataFrame, order: list[str], left: str, right: str, max_left:
             taken.append(i)
         return pdf.iloc[taken]
 
-    known, part = (pairs, frame) if frame else (with_block(pairs, left, right).select(*pairs.columns, "_block"), "_block")
-    out = known.groupBy("dataset", part).applyInPandas(run, known.schema).select(*pairs.columns)
+    if frame:
+        out = pairs.groupBy("dataset", frame).applyInPandas(run, pairs.schema)
+    else:
+        out = first_come(pairs, [F.col(c) for c in order], [(left, left, max_left), (right, right, max_right)])
     if limit:
         w = Window.partitionBy("dataset").orderBy(*order)
         out = out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col(limit)).drop("_r")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.operators.assign import first_come
 
 
 def stack(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
@@ -87,15 +88,6 @@ def consensus(graphs: list[tuple[DataFrame, DataFrame]], radius: float = 3.5, mi
     d = F.sqrt(sum(((F.col("s" + a) - F.col("t" + a)) * (F.col("s" + a) - F.col("t" + a)) for a in "zyx"), F.lit(0.0)))
     ranked = ranked.select("dataset", "source", "target", "votes", d.alias("distance"), "room", (-F.col("votes")).alias("_v"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_s: dict = {}
-        used_t: set = set()
-        rows = []
-        for i, r in enumerate(pdf.sort_values(["_v", "distance", "source", "target"]).itertuples(index=False)):
-            if used_s.get(r.source, 0) < r.room and r.target not in used_t:
-                used_s[r.source] = used_s.get(r.source, 0) + 1
-                used_t.add(r.target)
-                rows.append((r.dataset, r.source, r.target, r.votes, r.distance))
-        return pd.DataFrame(rows, columns=["dataset", "source", "target", "votes", "distance"])
-
-    return points, ranked.groupBy("dataset").applyInPandas(run, "dataset string, source bigint, target bigint, votes bigint, distance double")
+    order = [F.col(c) for c in ("_v", "distance", "source", "target")]
+    taken = first_come(ranked, order, [("source", "source", F.col("room")), ("target", "target", 1)])
+    return points, taken.select("dataset", "source", "target", "votes", "distance")

@@ -2,9 +2,9 @@
 
 A frame is a value of those of ``dataset``, ``c`` (channel) and ``t`` that a
 table has; no operator mixes frames.  Neighbourhoods are fixed integer
-offsets, so they are equi-joins on shifted coordinates.  Only the greedy
-suppression, the separable filters and the flooding, which depend on order or
-on whole rows of pixels, run as grouped functions by frame.
+offsets, so they are equi-joins on shifted coordinates; suppression works in
+rounds over near pairs.  Only the separable filters and the flooding, which
+depend on whole rows of pixels, run as grouped functions by frame.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.scratch import stored
+from cladeframe.operators.spatial import radius_join
+from cladeframe.scratch import remove, stored
 
 AXES = ("z", "y", "x")
 
@@ -63,20 +64,28 @@ def local_tops(hot: DataFrame, voxels: DataFrame, offsets: list[tuple[int, int,
 
 
 def suppress(found: DataFrame, distance: float, scale: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Peaks kept greedily by (larger value, z, y, x), each at least ``distance`` from those kept before."""
+    """Peaks kept greedily by (larger value, z, y, x), each at least ``distance`` from those kept before.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["value", "z", "y", "x"], ascending=[False, True, True, True]).reset_index(drop=True)
-        p = pdf[list(AXES)].to_numpy(float) * np.array(scale)
-        free = np.ones(len(p), bool)
-        kept = []
-        for i in range(len(p)):
-            if free[i]:
-                kept.append(i)
-                free &= np.sqrt(((p - p[i]) ** 2).sum(1)) >= distance
-        return pdf.iloc[kept]
-
-    return found.groupBy(*frame(found)).applyInPandas(run, found.schema)
+    In rounds over the pairs that are nearer: a peak without a better one near
+    it is kept and its worse neighbours go, until no pair has two open ends.
+    """
+    if distance <= 0:
+        return found
+    kept = stored(found.withColumn("_n", F.monotonically_increasing_id()), "peaks")
+    name = F.concat_ws("/", *(F.col(c).cast("string") for c in frame(found))) if frame(found) else F.lit("")
+    points = kept.select(name.alias("dataset"), F.lit(0).alias("t"), F.col("_n").alias("node_id"), *(F.col(a).cast("double").alias(a) for a in AXES), F.struct(-F.col("value"), *AXES, "_n").alias("place"))
+    near = radius_join(points, points, distance, 0, scale, keep=("place",)).filter(F.col("distance") < distance)
+    pairs = stored(near.filter("left_place < right_place").select(F.col("left_id").alias("a"), F.col("right_id").alias("b")), "near-peaks")
+    lost = None
+    while not pairs.isEmpty():
+        best = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = stored(pairs.join(best, "a", "left_semi").select(F.col("b").alias("x")).distinct(), "lost-peaks")
+        lost = gone if lost is None else lost.unionByName(gone)
+        rest = pairs.join(best, "a", "left_anti").join(gone.withColumnRenamed("x", "a"), "a", "left_anti").join(gone.withColumnRenamed("x", "b"), "b", "left_anti")
+        was, pairs = pairs, stored(rest.select("a", "b"), "near-peaks")
+        remove(was)
+    remove(pairs)
+    return (kept if lost is None else kept.join(lost.withColumnRenamed("x", "_n"), "_n", "left_anti")).select(*found.columns)
 
 
 def centroids(found: DataFrame, voxels: DataFrame, radii: tuple[int, int, int]) -> DataFrame:
