@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from functools import reduce
 
 import pandas as pd
@@ -31,10 +33,14 @@ def cluster(nodes: DataFrame, radius: float = 3.5) -> DataFrame:
         count: list[int] = []
         graphs: list[set] = []
         first: list[int] = []
+        at_cell: dict[tuple[int, int, int], set[int]] = {}  # running means by grid cells as wide as the radius
+        cell_of: list[tuple[int, int, int]] = []
         out = []
         for r in pdf.itertuples(index=False):
             best, at = radius, -1
-            for i in range(len(sums)):
+            home = tuple(math.floor(v / radius) for v in (r.z, r.y, r.x))
+            near = sorted(i for o in itertools.product((-1, 0, 1), repeat=3) for i in at_cell.get(tuple(a + b for a, b in zip(home, o)), ()))
+            for i in near:
                 if r.graph in graphs[i]:
                     continue
                 k = count[i]
@@ -46,10 +52,19 @@ def cluster(nodes: DataFrame, radius: float = 3.5) -> DataFrame:
                 sums.append([0.0, 0.0, 0.0])
                 count.append(0)
                 graphs.append(set())
+                if not 0 <= r.node_id < 10**12:
+                    raise ValueError("ids of stacked graphs are below 10^12")
                 first.append(r.graph * 10**12 + r.node_id)
+                cell_of.append(home)
+                at_cell.setdefault(home, set()).add(at)
             for a, v in enumerate((r.z, r.y, r.x)):
                 sums[at][a] += v
             count[at] += 1
+            moved = tuple(math.floor(v / count[at] / radius) for v in sums[at])
+            if moved != cell_of[at]:
+                at_cell[cell_of[at]].discard(at)
+                at_cell.setdefault(moved, set()).add(at)
+                cell_of[at] = moved
             graphs[at].add(r.graph)
             out.append((r.dataset, r.t, r.graph, r.node_id, first[at]))
         return pd.DataFrame(out, columns=["dataset", "t", "graph", "node_id", "cluster"])

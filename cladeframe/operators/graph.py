@@ -74,9 +74,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         said = state
     found = now.select("dataset", F.col("a").alias("node_id"), F.col("b").alias("component"))
-    return nodes.select("dataset", "node_id").join(found, ["dataset", "node_id"], "left").select(
+    out = nodes.select("dataset", "node_id").join(found, ["dataset", "node_id"], "left").select(
         "dataset", "node_id", F.coalesce("component", "node_id").alias("component")
     )
+    out._stored_path = now._stored_path  # what scratch.remove deletes once the labels are stored or read
+    return out
 
 
 def component_stats(labels: DataFrame, edges: DataFrame, confidence: DataFrame | None = None) -> DataFrame:

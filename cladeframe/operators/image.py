@@ -116,14 +116,14 @@ def gaussian_target(centres: DataFrame, voxels: DataFrame, sigma: float, radius:
     return near.select(*own, *((F.col(a) + F.col(f"d{a}")).alias(a) for a in AXES), F.exp(-d2 / (2.0 * sigma * sigma)).alias("_g")).groupBy(*own, *AXES).agg(F.max("_g").alias("target"))
 
 
-def starts(size: int, patch: int, stride: int) -> Column:
+def starts(size: int | Column, patch: int, stride: int) -> Column:
     """Patch starts along an axis: every stride, the last one moved back to the border."""
-    last = max(size - patch, 0)
-    return F.array_sort(F.array_union(F.sequence(F.lit(0), F.lit(last), F.lit(stride)), F.array(F.lit(last))))
+    last = F.greatest((F.lit(size) if isinstance(size, int) else size) - patch, F.lit(0)).cast("int")
+    return F.array_sort(F.array_union(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))
 
 
-def patch_grid(one: DataFrame, shape: tuple[int, int, int], patch: tuple[int, int, int], stride: tuple[int, int, int]) -> DataFrame:
-    """All patch offsets z0, y0, x0 for every row of ``one``."""
+def patch_grid(one: DataFrame, shape: tuple[int | Column, int | Column, int | Column], patch: tuple[int, int, int], stride: tuple[int, int, int]) -> DataFrame:
+    """All patch offsets z0, y0, x0 for every row of ``one``; the shape may differ by row."""
     df = one
     for a, n, p, s in zip(AXES, shape, patch, stride):
         df = df.withColumn(f"{a}0", F.explode(starts(n, p, s)))

@@ -105,9 +105,15 @@ def img8_gaussian_target(spark, d):
 GRID = "gz AS (SELECT unnest([0, 2]) AS z0), gy AS (SELECT unnest([0, 5, 7]) AS y0), gx AS (SELECT unnest([0, 4, 8]) AS x0)"
 
 
-@query("WITH " + GRID + " SELECT z0, y0, x0 FROM gz, gy, gx")
+def _starts_sql(axis, patch, stride):
+    last = f"greatest(n{axis} - {patch}, 0)"
+    return f"g{axis} AS (SELECT DISTINCT dataset, CAST(unnest(list_append(generate_series(0, {last}, {stride}), {last})) AS INTEGER) AS {axis}0 FROM s)"
+
+
+@query(with_tables("v", "s AS (SELECT dataset, max(z) + 1 AS nz, max(y) + 1 AS ny, max(x) + 1 AS nx FROM v GROUP BY 1), " + ", ".join(_starts_sql(*a) for a in (("z", 4, 4), ("y", 5, 4), ("x", 4, 3))) + " SELECT dataset, z0, y0, x0 FROM gz JOIN gy USING (dataset) JOIN gx USING (dataset)"))
 def img9_patch_grid(spark, d):
-    return I.patch_grid(spark.range(1), (6, 12, 12), (4, 5, 4), (4, 5, 4)).select("z0", "y0", "x0")
+    shapes = A.volume(spark, d).groupBy("dataset").agg(*((F.max(a) + 1).alias(f"n{a}") for a in "zyx"))
+    return I.patch_grid(shapes, (F.col("nz"), F.col("ny"), F.col("nx")), (4, 5, 4), (4, 4, 3)).select("dataset", "z0", "y0", "x0")
 
 
 @query(with_tables("e", "f AS (SELECT DISTINCT dataset, t FROM e), p AS (SELECT * FROM (SELECT dataset, t AS t0, lead(t) OVER (PARTITION BY dataset ORDER BY t) AS t1 FROM f) WHERE t1 IS NOT NULL), " + GRID + " SELECT dataset, t0, t1, z0, y0, x0, row_number() OVER (PARTITION BY dataset ORDER BY t0, z0, y0, x0) - 1 AS index FROM p, gz, gy, gx"))

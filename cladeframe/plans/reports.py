@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cladeframe.operators import evaluation as E
 from cladeframe.plans.registry import query
 from cladeframe.sources import adapters as A
+from cladeframe.sources import manifests as X
 from cladeframe.sources.adapters import with_tables
 
 METRICS = ["score", "adjusted_edge_jaccard", "division_jaccard"]
@@ -200,9 +201,8 @@ def ag19_fit_temperature(spark, d):
 @query(with_tables("cs", """m AS (SELECT checkpoint, avg(score) AS s FROM cs GROUP BY 1), b AS (SELECT checkpoint, s FROM m ORDER BY s DESC, checkpoint LIMIT 1), f AS (SELECT checkpoint, s FROM m ORDER BY checkpoint LIMIT 1)
   SELECT CASE WHEN b.s > f.s + 0.0005 THEN b.checkpoint ELSE f.checkpoint END AS setting FROM b, f"""))
 def rk13_sweep(spark, d):
-    cs = A.checkpoint_scores(spark, d).groupBy("checkpoint").agg(F.avg("score").alias("s"))
-    scores = {r["checkpoint"]: r["s"] for r in cs.collect()}  # a row a setting
-    return spark.createDataFrame([(E.sweep_choice(scores, min(scores)),)], "setting string")
+    rows = A.checkpoint_scores(spark, d).groupBy(F.col("checkpoint").alias("setting")).agg(F.avg("score").alias("score"))
+    return E.sweep_best(rows, F.min("setting"))
 
 
 @query(TWO + " SELECT count(*) AS n_datasets, " + POOL.format("", "").removeprefix("SELECT ").replace(", round(avg(node_recall), 6) AS node_recall_macro", "").replace(",\n  round(avg(node_recall), 6) AS node_recall_macro, round(avg(node_count_ratio), 6) AS node_count_ratio_macro", ""))
@@ -246,3 +246,20 @@ def vl4_evidence(spark, d):
 @query(with_tables("e", "SELECT unnest(['E', 'none', 'other']) AS dataset, unnest([(SELECT count(*) FROM e), 0, 0]) AS n"))
 def vl8_empty_start(spark, d):
     return E.empty_start(A.nodes(spark, d), ["E", "none", "other", "later"])
+
+
+@query("""WITH r AS (SELECT 'run-' || doc_id AS candidate, 'text/' || doc_id AS config_path, 'text/' || (doc_id + 1) AS split_path FROM labels WHERE doc_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents) AND doc_id + 1 IN (SELECT doc_id FROM documents)),
+  n AS (SELECT 'text/' || doc_id AS path, doc_id % 5 = 0 AS changed, doc_id % 35 = 7 AS gone FROM documents)
+  SELECT DISTINCT candidate, CASE WHEN gone THEN what || ' missing' ELSE what || ' hash' END AS problem FROM (SELECT candidate, 'config' AS what, changed, gone FROM r JOIN n ON path = config_path UNION ALL SELECT candidate, 'split', changed, gone FROM r JOIN n ON path = split_path) WHERE changed OR gone""")
+def vl6_run_manifests(spark, d):
+    """Manifests of runs over two texts each, checked when some texts have changed and some are gone."""
+    docs = A.read(spark, d, "documents").select(F.concat(F.lit("text/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    then = docs.select("path", F.sha2("text", 256).alias("sha256"))
+    now = docs.filter("doc_id % 35 <> 7").select("path", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    run = lambda k: F.concat(F.lit("text/"), (F.col("doc_id") + k).cast("string"))
+    runs = A.read(spark, d, "labels").filter("doc_id IS NOT NULL").select("doc_id").distinct().select(
+        F.concat(F.lit("run-"), F.col("doc_id").cast("string")).alias("candidate"), run(0).alias("config_path"), run(1).alias("split_path"), F.lit("A").alias("fold"), F.lit(0).cast("bigint").alias("seed"),
+        F.lit(9.0).alias("max_hours"), F.lit("unknown").alias("commit"), F.lit("2026-01-01T00:00:00+00:00").alias("created_at"))
+    known = then.select("path")
+    able = runs.join(known.withColumnRenamed("path", "config_path"), "config_path", "left_semi").join(known.withColumnRenamed("path", "split_path"), "split_path", "left_semi")
+    return X.manifest_changes(X.manifests(able, then), now)

@@ -115,6 +115,40 @@ def manifest_problems(manifest: dict, config: bytes, split: bytes, candidate: st
     return [name for name, bad in checks if bad]
 
 
+def manifests(runs: DataFrame, digests: DataFrame) -> DataFrame:
+    """Manifest rows of ``runs`` (candidate, config_path, split_path, fold, seed, max_hours, commit, created_at) with the hashes of their files.
+
+    ``digests``: path, sha256 of the files at hand.  Raises if a run breaks a
+    rule: the candidate is one path component, seed >= 0, max_hours > 0,
+    created_at is a time, both files are there.  An empty created_at is the
+    present time in UTC.
+    """
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    said = runs.withColumn("created_at", F.when(F.coalesce("created_at", F.lit("")) == "", now).otherwise(F.col("created_at")))
+    for side in ("config", "split"):
+        said = said.join(digests.select(F.col("path").alias(f"{side}_path"), F.col("sha256").alias(f"{side}_sha256")), f"{side}_path", "left")
+    name = F.trim(F.coalesce("candidate", F.lit("")))
+    rules = F.array_compact(F.array(
+        F.when((name == "") | name.isin(".", "..") | F.col("candidate").rlike(r"[/\\]"), "candidate"), F.when(~F.coalesce(F.col("seed") >= 0, F.lit(False)), "seed"),
+        F.when(~F.coalesce(F.col("max_hours") > 0, F.lit(False)), "max_hours"), F.when(F.try_to_timestamp("created_at").isNull(), "created_at"),
+        F.when(F.col("config_sha256").isNull(), "config_path"), F.when(F.col("split_sha256").isNull(), "split_path"),
+    ))
+    broken = said.select("candidate", rules.alias("rules")).filter(F.size("rules") > 0).first()
+    if broken is not None:
+        raise ValueError(f"run {broken['candidate']}: {', '.join(broken['rules'])}")
+    return said.select("candidate", "created_at", "commit", "config_path", "config_sha256", "split_path", "split_sha256", "fold", "seed", "max_hours")
+
+
+def manifest_changes(known: DataFrame, digests: DataFrame) -> DataFrame:
+    """candidate, problem of every manifest whose files are not what they were: another hash, or missing."""
+    out = []
+    for side in ("config", "split"):
+        now = digests.select(F.col("path").alias(f"{side}_path"), F.col("sha256").alias("_now"))
+        problem = F.when(F.col("_now").isNull(), f"{side} missing").when(F.col("_now") != F.col(f"{side}_sha256"), f"{side} hash")
+        out.append(known.join(now, f"{side}_path", "left").select("candidate", problem.alias("problem")).filter("problem IS NOT NULL"))
+    return out[0].unionByName(out[1]).distinct()
+
+
 def evidence(claims: DataFrame, digests: DataFrame) -> DataFrame:
     """run, path, problem for claimed artifacts (run, path, sha256) against actual digests (path, sha256): missing, mismatch or outside."""
     actual = digests.select("path", F.col("sha256").alias("_actual"))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from urllib.parse import unquote
+import os
 
+from pyarrow.fs import FileSelector, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.schema import SUBMISSION, id_text, unused
 from cladeframe.scratch import placed
+from cladeframe.sources.chunked import place_of
 
 COLUMNS = SUBMISSION.fieldNames()
+PIECE = 1 << 20
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -143,28 +146,43 @@ def append_log(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(LOG).parquet(path)
 
 
-def _below(path: str, root: str) -> str:
-    plain = lambda p: "/" + p.removeprefix("file:").lstrip("/")
-    return plain(path).removeprefix(plain(root).rstrip("/") + "/")
-
-
 def tree_digest(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256 of every file below a folder that is not empty."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def directory_digest(spark: SparkSession, path: str, head: bytes = b"directory-artifact-v1\0") -> str:
-    """One SHA-256 over a folder: ``head``, then for every file, by relative path, the lengths and bytes of path and content.
+    """One SHA-256 over a folder: ``head``, then for every file, by relative path, the lengths and bytes of path and content; over a single file its bytes.
 
-    A hash of a sequence is sequential by nature: the driver takes one file at a time.
+    A hash of a sequence is sequential by nature, so one process reads the
+    files, PIECE bytes at a time.  Symbolic links are an error.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    names = {_below(unquote(f), path): unquote(f) for f in files.inputFiles()}
-    if not names:
+    files, base = place_of(path)
+
+    def checked(name: str) -> str:
+        if isinstance(files, LocalFileSystem) and os.path.islink(name):
+            raise ValueError(f"symbolic link: {name}")
+        return name
+
+    def pieces(name: str):
+        with files.open_input_stream(name) as f:
+            while piece := f.read(PIECE):
+                yield piece
+
+    kind = files.get_file_info(checked(base)).type
+    digest = hashlib.sha256(head if kind == FileType.Directory else b"")
+    if kind == FileType.NotFound:
+        raise FileNotFoundError(path)
+    if kind != FileType.Directory:
+        for piece in pieces(base):
+            digest.update(piece)
+        return digest.hexdigest()
+    found = {checked(x.path)[len(base) :].lstrip("/"): x for x in files.get_file_info(FileSelector(base, recursive=True))}
+    inside = [(name, found[name]) for name in sorted(found) if found[name].type == FileType.File]
+    if not inside:
         raise ValueError(f"no files below {path}")
-    digest = hashlib.sha256(head)
-    for name in sorted(names):
-        row = spark.read.format("binaryFile").load(names[name]).first()  # no row for an empty file
-        for part in (name.encode(), bytes(row["content"]) if row else b""):
-            digest.update(len(part).to_bytes(8, "big") + part)
+    for name, x in inside:
+        digest.update(len(name.encode()).to_bytes(8, "big") + name.encode() + x.size.to_bytes(8, "big"))
+        for piece in pieces(x.path):
+            digest.update(piece)
     return digest.hexdigest()

@@ -107,7 +107,8 @@ def build(spark: SparkSession, conversations: str, out: str, settings: dict) ->
     broken = S.violations(rows).unionByName(G.violations(nodes, edges).withColumn("id", F.col("id").cast("string"))).first()
     if broken is not None:
         raise ValueError(f"{broken['dataset']}: {broken['rule']} ({broken['id']})")
-    trees = stored(G.components(nodes, edges), "reply-trees")
+    labels = G.components(nodes, edges)
+    trees = stored(labels, "reply-trees")
     sizes = trees.groupBy("dataset", F.col("component").alias("tree")).agg(F.count(F.lit(1)).alias("tree_size"))
     parents = links.select("dataset", F.col("target").alias("node_id"), F.col("source").alias("parent_id"), "probability")
     key = ["dataset", "node_id"]
@@ -120,7 +121,7 @@ def build(spark: SparkSession, conversations: str, out: str, settings: dict) ->
     aside.coalesce(1).write.mode("overwrite").json(f"{out}/set_aside")  # three rows at most
     left = {r["rule"]: r["n"] for r in aside.collect()}
     counts = {"turns": said.count(), "links": links.count(), "trees": sizes.count(), **left}
-    remove(said, links, trees)
+    remove(said, links, trees, labels)
     LOG.info("read %s, wrote %s: %s", conversations, out, counts)
     return counts
 

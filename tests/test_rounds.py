@@ -124,3 +124,26 @@ def test_rescue_orders_no_more_than_the_room(spark):
             room -= size
             saved |= set(range(c, c + size))
     assert {r.node_id for r in R.short_tracks(nodes, edges, 6, 4, 0.5, 3.0, 0.5, 37).collect()} == saved
+
+
+def test_clusters_by_cells_equal_the_scan_of_all(spark):
+    rnd = random.Random(12)
+    rows = [("d", t, g, 1000 * g + i, *(rnd.randrange(0, 14) / 2 for _ in range(3))) for t in range(2) for g in range(4) for i in range(50)]
+    nodes = spark.createDataFrame([(d, i + 500 * t, t, z, y, x, g) for d, t, g, i, z, y, x in rows], "dataset string, node_id long, t int, z double, y double, x double, graph int")
+    want = {}
+    for t in range(2):
+        clusters = []
+        for r in sorted((r for r in nodes.collect() if r.t == t), key=lambda r: (r.graph, r.node_id)):
+            best, at = 1.5, None
+            for c in clusters:
+                mean = [sum(p[k] for p in c["points"]) / len(c["points"]) for k in range(3)]
+                d = sum((a - b) ** 2 for a, b in zip((r.z, r.y, r.x), mean)) ** 0.5
+                if r.graph not in c["graphs"] and d <= best:
+                    best, at = d, c
+            if at is None:
+                at = {"points": [], "graphs": set(), "name": r.graph * 10**12 + r.node_id}
+                clusters.append(at)
+            at["points"].append((r.z, r.y, r.x))
+            at["graphs"].add(r.graph)
+            want[t, r.graph, r.node_id] = at["name"]
+    assert {(r.t, r.graph, r.node_id): r.cluster for r in C.cluster(nodes, 1.5).collect()} == want
