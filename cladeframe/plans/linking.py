@@ -133,7 +133,13 @@ def as15_largest_matching(spark, d):
     return S.pair_up(pairs.select("dataset", "left_id", "right_id"), "left_id", "right_id").groupBy("dataset").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query()
+@query(with_tables("e gd", """broken AS (SELECT * FROM gd WHERE source % 6 <> 0),
+  pr AS (SELECT *, row_number() OVER (ORDER BY d, s, g) AS k FROM (SELECT a.dataset, a.t, a.node_id AS s, b.node_id AS g, sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d
+    FROM e a JOIN e b ON b.t = a.t + 1 WHERE a.node_id NOT IN (SELECT source FROM broken) AND b.node_id NOT IN (SELECT target FROM broken)) WHERE d <= 20),
+  w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS us, []::BIGINT[] AS ug, FALSE AS free
+    UNION ALL SELECT k, CASE WHEN free THEN list_append(us, s) ELSE us END, CASE WHEN free THEN list_append(ug, g) ELSE ug END, free
+      FROM (SELECT pr.k, us, ug, s, g, NOT list_contains(us, s) AND NOT list_contains(ug, g) AS free FROM w JOIN pr ON pr.k = w.k + 1))
+  SELECT dataset, t, s AS left_id, g AS right_id, round(d, 6) AS distance FROM w JOIN pr USING (k) WHERE free""", recursive=True))
 def as17_fragments(spark, d):
     n = _n(spark, d)
     ends, starts = open_ends(n, _broken(n))

@@ -80,7 +80,33 @@ def vl3_integrity(spark, d):
     return E.integrity(bad.unionByName(a.filter(at("d6"))))
 
 
-@query()
+def _worse(scope: str, name: str, rows: str, recall: str, ratio: str) -> str:
+    """Rows (scope, name, metric) of what is worse in the pairs ``rows`` of p_ and c_ columns."""
+    tests = {m: f"c_{m} < p_{m} - 1e-9" for m in ("adjusted_edge_jaccard", "division_jaccard", recall)}
+    tests["node_count_ratio"] = f"abs(c_{ratio} - 1) > abs(p_{ratio} - 1) + 1e-9"
+    tests |= {m: f"c_{m} > p_{m} + 1e-9" for m in ("edges_fragmented", "edges_lost_to_detection", "wrong_association_edges")}
+    return " UNION ALL ".join(f"SELECT '{scope}' AS scope, {name} AS name, '{m}' AS metric FROM {rows} WHERE {t}" for m, t in tests.items())
+
+
+def _sums(table: str, side: str, by: str) -> str:
+    tp, fp, fn = (f"sum(division_{x})" for x in ("tp", "fp", "fn"))
+    macro = f"sum(adjusted_edge_jaccard * (edge_tp + edge_fp + edge_fn)) / sum(edge_tp + edge_fp + edge_fn) AS {side}_adjusted_edge_jaccard, CASE WHEN {tp} + {fp} + {fn} = 0 THEN 1.0 ELSE {tp} / ({tp} + {fp} + {fn}) END AS {side}_division_jaccard"
+    means = f"avg(node_recall) AS {side}_node_recall_macro, avg(node_count_ratio) AS {side}_node_count_ratio_macro"
+    counts = ", ".join(f"sum({m}) AS {side}_{m}" for m in ("edges_fragmented", "edges_lost_to_detection", "wrong_association_edges"))
+    return f"(SELECT {by + ', ' if by else ''}{macro}, {means}, {counts} FROM {table}{' GROUP BY ' + by if by else ''})"
+
+
+def _sided(table: str, side: str) -> str:
+    names = ("adjusted_edge_jaccard", "division_jaccard", "node_recall", "node_count_ratio", "edges_fragmented", "edges_lost_to_detection", "wrong_association_edges")
+    return f"(SELECT fold, dataset, {', '.join(f'{m} AS {side}_{m}' for m in names)} FROM {table})"
+
+
+REVIEW = f"""{TWO}, r1 AS (SELECT * FROM {_sided('a', 'p')} JOIN {_sided('b', 'c')} USING (fold, dataset)), r2 AS (SELECT * FROM {_sums('a', 'p', 'fold')} JOIN {_sums('b', 'c', 'fold')} USING (fold)),
+  r3 AS (SELECT * FROM {_sums('a', 'p', '')} p, {_sums('b', 'c', '')} c)
+  {_worse('dataset', 'dataset', 'r1', 'node_recall', 'node_count_ratio')} UNION ALL {_worse('fold', 'fold', 'r2', 'node_recall_macro', 'node_count_ratio_macro')} UNION ALL {_worse('pooled', "'all'", 'r3', 'node_recall_macro', 'node_count_ratio_macro')}"""
+
+
+@query(REVIEW)
 def ag25_review(spark, d):
     return E.review(metric_rows(spark, d, 3), metric_rows(spark, d, 4))
 

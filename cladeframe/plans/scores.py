@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cladeframe.operators import evaluation as E
 from cladeframe.operators import metrics as M
 from cladeframe.operators.assign import match_nodes
+from cladeframe.plans.graphs import CLOSURE
 from cladeframe.plans.registry import query
 from cladeframe.scratch import stored
 from cladeframe.sources import adapters as A
@@ -69,7 +70,25 @@ def ag8_adjusted_jaccard(spark, d):
     return M.edge_confusion(e, g, _match(n, p)).join(counts, "dataset").select("dataset", F.round(j, 6).alias("edge_jaccard"), F.round(adjusted(j, F.col("n_pred"), F.col("n_true")), 6).alias("adjusted_edge_jaccard"))
 
 
-@query()
+#: Division counts where no division has two valid forks and no fork two divisions (else the SQL fails): then the largest matching is all valid pairs.
+DIVISIONS = CLOSURE.format(edges="gd", nodes="e") + """, known AS (SELECT m.pred_id, m.gt_id, component FROM m JOIN comp ON comp.node_id = m.gt_id),
+  fk AS (SELECT source AS fork FROM pe GROUP BY 1 HAVING count(*) >= 2), par AS (SELECT target, count(*) AS n FROM pe GROUP BY 1),
+  br AS (SELECT fork, pe.target AS branch, n FROM fk JOIN pe ON pe.source = fork JOIN par ON par.target = pe.target),
+  gr AS (SELECT pe.source AS branch, min(gt_id) AS g_id, min(component) AS g_comp, arg_min(n, gt_id) AS gn FROM pe JOIN known ON pred_id = pe.target JOIN par ON par.target = pe.target GROUP BY 1 HAVING count(DISTINCT component) = 1),
+  ev AS (SELECT fork, br.branch, coalesce(gt_id, g_id) AS shown, coalesce(component, g_comp) AS component, n > 1 OR (gt_id IS NULL AND coalesce(gn > 1, FALSE)) AS merged FROM br LEFT JOIN known ON pred_id = br.branch LEFT JOIN gr ON gr.branch = br.branch),
+  dv AS (SELECT source AS division, count(*) AS n FROM gd GROUP BY 1 HAVING count(*) >= 2),
+  an AS (SELECT division, pred_id AS fork FROM (SELECT division, division AS gt_id FROM dv UNION ALL SELECT division, source FROM dv JOIN gd ON target = division) JOIN m USING (gt_id)),
+  nr AS (SELECT DISTINCT division, fork FROM (SELECT * FROM an UNION ALL SELECT division, target FROM an JOIN pe ON source = fork) WHERE fork IN (SELECT fork FROM fk)),
+  da AS (SELECT division, target AS daughter FROM dv JOIN gd ON source = division), wi AS (SELECT division, daughter, daughter AS shown FROM da UNION SELECT division, daughter, target FROM da JOIN gd ON source = daughter),
+  fi AS (SELECT DISTINCT nr.division, nr.fork, daughter, branch FROM nr JOIN ev ON ev.fork = nr.fork JOIN wi ON wi.division = nr.division AND wi.shown = ev.shown JOIN comp h ON h.node_id = nr.division WHERE NOT merged AND ev.component = h.component),
+  va AS (SELECT DISTINCT a.division, a.fork FROM fi a JOIN fi b ON a.division = b.division AND a.fork = b.fork AND a.daughter <> b.daughter AND a.branch <> b.branch JOIN dv ON dv.division = a.division WHERE dv.n = 2),
+  mi AS (SELECT fork FROM ev GROUP BY 1 HAVING count(DISTINCT component) > 1 OR bool_or(merged)),
+  tp AS (SELECT CASE WHEN count(*) = count(DISTINCT division) AND count(*) = count(DISTINCT fork) AND (SELECT max(n) FROM dv) = 2 THEN count(*) ELSE error('contested divisions') END AS n FROM va),
+  fp AS (SELECT count(*) AS n FROM fk WHERE fork NOT IN (SELECT fork FROM va) AND (fork IN (SELECT pred_id FROM m WHERE gt_id IN (SELECT source FROM gd)) OR fork IN (SELECT fork FROM mi))),
+  dc AS (SELECT 'E' AS dataset, CAST(tp.n AS BIGINT) AS division_tp, CAST(fp.n AS BIGINT) AS division_fp, CAST((SELECT count(*) FROM dv) - tp.n AS BIGINT) AS division_fn FROM tp, fp)"""
+
+
+@query(with_tables("e gd pe m", DIVISIONS + " SELECT * FROM dc", recursive=True))
 def ag9_division_confusion(spark, d):
     n, g, p, e = _all(spark, d)
     return M.division_confusion(p, e, n, g, _match(n, p))
