@@ -102,15 +102,35 @@ def _scored(spark, d):
     return M.with_scores(rows).join(M.diagnostics(p, e, n, g, match), "dataset")
 
 
-@query()
+DIAGNOSTICS = """h AS (SELECT gd.*, s.pred_id AS ps, t.pred_id AS pt, EXISTS (SELECT 1 FROM pe WHERE pe.source = s.pred_id AND pe.target = t.pred_id) AS hit
+    FROM gd LEFT JOIN m s ON s.gt_id = gd.source LEFT JOIN m t ON t.gt_id = gd.target),
+  dg AS (SELECT 'E' AS dataset, (SELECT count(*) FROM e) - (SELECT count(DISTINCT gt_id) FROM m) AS missed_nodes, (SELECT count(*) FROM p) - (SELECT count(DISTINCT gt_id) FROM m) AS spurious_nodes,
+    count(*) FILTER (WHERE hit) AS edges_recovered, count(*) FILTER (WHERE NOT hit AND ps IS NOT NULL AND pt IS NOT NULL) AS edges_fragmented,
+    count(*) FILTER (WHERE ps IS NULL OR pt IS NULL) AS edges_lost_to_detection, (SELECT count(*) FROM o WHERE outcome = 'fp') AS wrong_association_edges FROM h)"""
+SCORED = EDGES + ", " + DIVISIONS + ", " + DIAGNOSTICS + """,
+  nn AS (SELECT (SELECT count(*) FROM p) AS n_pred, (SELECT count(*) FROM e) AS n_true),
+  j1 AS (SELECT *, CASE WHEN edge_tp + edge_fp + edge_fn = 0 THEN 1.0 ELSE edge_tp / (edge_tp + edge_fp + edge_fn) END AS edge_jaccard,
+    CASE WHEN division_tp + division_fp + division_fn = 0 THEN 1.0 ELSE division_tp / (division_tp + division_fp + division_fn) END AS division_jaccard FROM ec JOIN dc USING (dataset), nn),
+  j2 AS (SELECT *, greatest(0.0, edge_jaccard * (1 - 0.1 * (n_pred - n_true) / n_true)) AS adjusted_edge_jaccard FROM j1)"""
+SHARES = ("edge_jaccard", "adjusted_edge_jaccard", "division_jaccard", "score", "node_recall")
+
+
+def _rounded(df):
+    return df.select(*(F.round(c, 6).alias(c) if c in SHARES else F.col(c) for c in df.columns))
+
+
+@query(with_tables("e gd pe p m", SCORED + """ SELECT dataset, edge_tp, edge_fp, edge_fn, division_tp, division_fp, division_fn, n_pred, n_true, round(edge_jaccard, 6) AS edge_jaccard, round(adjusted_edge_jaccard, 6) AS adjusted_edge_jaccard,
+    round(division_jaccard, 6) AS division_jaccard, round(adjusted_edge_jaccard + 0.1 * division_jaccard, 6) AS score, missed_nodes, spurious_nodes, round(1 - missed_nodes / n_true, 6) AS node_recall,
+    edges_recovered, edges_fragmented, edges_lost_to_detection, wrong_association_edges FROM j2 JOIN dg USING (dataset)""", recursive=True))
 def ag13_score(spark, d):
     """All counts, scores and diagnostics of the predicted graph by dataset."""
-    return _scored(spark, d)
+    return _rounded(_scored(spark, d))
 
 
-@query()
+@query(with_tables("e gd pe p m", SCORED + """ SELECT CAST(1 AS BIGINT) AS n_datasets, round(adjusted_edge_jaccard, 6) AS adjusted_edge_jaccard, round(division_jaccard, 6) AS division_jaccard,
+    round(adjusted_edge_jaccard + 0.1 * division_jaccard, 6) AS score FROM j2""", recursive=True))
 def ag10_micro_average(spark, d):
-    return M.aggregate(_scored(spark, d))
+    return _rounded(M.aggregate(_scored(spark, d)))
 
 
 @query(with_tables("e m", "SELECT 'E' AS dataset, round((SELECT count(DISTINCT gt_id) FROM m) / (SELECT count(*) FROM e), 6) AS node_recall"))
@@ -119,11 +139,7 @@ def ag11_node_recall(spark, d):
     return M.diagnostics(p, e, n, g, _match(n, p)).select("dataset", F.round("node_recall", 6).alias("node_recall"))
 
 
-@query(with_tables("gd pe m", OUTCOME + """, h AS (SELECT gd.*, s.pred_id AS ps, t.pred_id AS pt, EXISTS (SELECT 1 FROM pe WHERE pe.source = s.pred_id AND pe.target = t.pred_id) AS hit
-    FROM gd LEFT JOIN m s ON s.gt_id = gd.source LEFT JOIN m t ON t.gt_id = gd.target)
-  SELECT 'E' AS dataset, (SELECT count(*) FROM e) - (SELECT count(DISTINCT gt_id) FROM m) AS missed_nodes, (SELECT count(*) FROM p) - (SELECT count(DISTINCT gt_id) FROM m) AS spurious_nodes,
-    count(*) FILTER (WHERE hit) AS edges_recovered, count(*) FILTER (WHERE NOT hit AND ps IS NOT NULL AND pt IS NOT NULL) AS edges_fragmented,
-    count(*) FILTER (WHERE ps IS NULL OR pt IS NULL) AS edges_lost_to_detection, (SELECT count(*) FROM o WHERE outcome = 'fp') AS wrong_association_edges FROM h"""))
+@query(with_tables("gd pe m", OUTCOME + ", " + DIAGNOSTICS + " SELECT * FROM dg"))
 def ag12_diagnostics(spark, d):
     n, g, p, e = _all(spark, d)
     return M.diagnostics(p, e, n, g, _match(n, p)).drop("node_recall")
@@ -173,7 +189,22 @@ def ag17_interior_orphans(spark, d):
     return E.interior_orphans(n, A.forest_edges(n).filter("source % 3 <> 0")).select("dataset", "node_id")
 
 
-@query()
+POPULATION = """broken AS (SELECT * FROM gd WHERE source % 6 <> 0), lim AS (SELECT min(t) AS t0, max(t) AS t1, min(z) AS lz, max(z) AS hz, min(y) AS ly, max(y) AS hy, min(x) AS lx, max(x) AS hx FROM e),
+  b AS (SELECT e.*, t0, t1, z < lz + 0.08 * (hz - lz) OR z > hz - 0.08 * (hz - lz) OR y < ly + 0.08 * (hy - ly) OR y > hy - 0.08 * (hy - ly) OR x < lx + 0.08 * (hx - lx) OR x > hx - 0.08 * (hx - lx) AS rim FROM e, lim),
+  ends AS (SELECT * FROM b WHERE t <> t1 AND node_id NOT IN (SELECT source FROM broken)), starts AS (SELECT * FROM b WHERE t <> t0 AND node_id NOT IN (SELECT target FROM broken)),
+  pr AS (SELECT *, row_number() OVER (ORDER BY d, s, g) AS k FROM (SELECT a.node_id AS s, c.node_id AS g, sqrt((a.z - c.z) * (a.z - c.z) + (a.y - c.y) * (a.y - c.y) + (a.x - c.x) * (a.x - c.x)) AS d
+    FROM ends a JOIN starts c ON c.t - a.t BETWEEN 1 AND 3) WHERE d <= 15),
+  w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS us, []::BIGINT[] AS ug, FALSE AS free
+    UNION ALL SELECT k, CASE WHEN free THEN list_append(us, s) ELSE us END, CASE WHEN free THEN list_append(ug, g) ELSE ug END, free
+      FROM (SELECT pr.k, us, ug, s, g, NOT list_contains(us, s) AND NOT list_contains(ug, g) AS free FROM w JOIN pr ON pr.k = w.k + 1)),
+  q AS (SELECT (SELECT count(*) FROM w WHERE free) AS fragments, (SELECT count(*) FILTER (WHERE t = t1) - count(*) FILTER (WHERE t = t0) FROM b) AS growth, (SELECT count(*) FILTER (WHERE NOT rim) FROM ends) AS inner_ends,
+    (SELECT count(*) FILTER (WHERE rim) FROM ends) AS efflux, (SELECT count(*) FROM starts) AS n_starts, (SELECT count(*) FILTER (WHERE rim) FROM starts) AS influx, (SELECT count(*) FROM (SELECT source FROM broken GROUP BY 1 HAVING count(*) >= 2)) AS observed),
+  x AS (SELECT *, greatest(0, inner_ends - fragments) AS deaths, growth + greatest(0, inner_ends - fragments) + efflux - influx AS expected FROM q)
+  SELECT 'E' AS dataset, observed, CAST(expected AS BIGINT) AS expected, CAST(growth AS BIGINT) AS growth, CAST(deaths AS BIGINT) AS deaths, efflux, influx, fragments, CAST(greatest(0, n_starts - fragments - influx) AS BIGINT) AS unexplained_starts,
+    CASE WHEN expected <= 0 THEN 'undetermined' WHEN observed / expected > 1.15 THEN 'too many' WHEN observed / expected < 0.85 THEN 'too few' ELSE 'consistent' END AS verdict FROM x"""
+
+
+@query(with_tables("e gd", POPULATION, recursive=True))
 def ag16_population(spark, d):
     n = A.nodes(spark, d).drop("label")
     return E.population(n, A.forest_edges(n).filter("source % 6 <> 0"), margin=0.08)
