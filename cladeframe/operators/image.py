@@ -3,13 +3,12 @@
 A frame is a value of those of ``dataset``, ``c`` (channel) and ``t`` that a
 table has; no operator mixes frames.  Neighbourhoods are fixed integer
 offsets, so they are equi-joins on shifted coordinates; suppression works in
-rounds over near pairs.  Only the separable filters and the flooding, which
-depend on whole rows of pixels, run as grouped functions by frame.
+rounds over near pairs.  Separable filters of large reach, distances and floods
+run on blocks (``operators.blocks``); only the blob response still takes a frame a task.
 """
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import math
 
@@ -18,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.operators import blocks as B
+from cladeframe.operators.quantiles import quantiles
 from cladeframe.operators.spatial import radius_join
 from cladeframe.scratch import remove, stored
 
@@ -170,9 +171,9 @@ def pool_xy(voxels: DataFrame, factor: int) -> DataFrame:
 
 
 def normalize(voxels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Values between two quantiles of their frame, as [0, 1]; the quantiles come from a count of each distinct value."""
+    """Values between two quantiles of their frame, as [0, 1]; the quantiles are exact."""
     own = frame(voxels)
-    q = voxels.groupBy(*own).agg(F.expr(f"percentile(value, {low})").alias("_lo"), F.expr(f"percentile(value, {high})").alias("_hi"))
+    q = quantiles(voxels, own, "value", {"_lo": low, "_hi": high})
     v = (F.col("value") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
     return voxels.join(q, own).select(*own, *AXES, F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)).alias("value"))
 
@@ -300,95 +301,101 @@ def rule_peaks(voxels: DataFrame, threshold: float = 0.0, stride: int = 2, limit
     return centre.select(*own, *AXES, "value")
 
 
-def otsu(values: np.ndarray, bins: int = 256) -> float:
-    """The centre of the bin after which two classes of ``values`` differ most."""
-    n, edges = np.histogram(values, bins)
+def otsu(n: np.ndarray, low: float, high: float) -> float:
+    """The centre of the bin after which two classes differ most; ``n`` counts values in equal bins from ``low`` to ``high``."""
+    edges = np.histogram_bin_edges([], len(n), (low, high))
     mid = (edges[1:] + edges[:-1]) / 2
-    low, high = np.cumsum(n), np.cumsum(n[::-1])[::-1]
+    below, above = np.cumsum(n), np.cumsum(n[::-1])[::-1]
     with np.errstate(divide="ignore", invalid="ignore"):
-        mean_low, mean_high = np.cumsum(n * mid) / low, (np.cumsum((n * mid)[::-1]) / high[::-1])[::-1]
-    return float(mid[np.nan_to_num(low[:-1] * high[1:] * (mean_low[:-1] - mean_high[1:]) ** 2).argmax()])
-
-
-def edge_distance(mask: np.ndarray, scale: tuple[float, float, float]) -> np.ndarray:
-    """Euclidean distance of every true voxel to the nearest false one, axis by axis as a lower envelope of parabolas."""
-    d = np.where(mask, 1e18, 0.0)
-    for axis, s in enumerate(scale):
-        n = d.shape[axis]
-        rows = np.moveaxis(d, axis, 0).reshape(n, -1)
-        best = rows.copy()
-        for k in range(1, n):
-            best[k:] = np.minimum(best[k:], rows[:-k] + (k * s) ** 2)
-            best[:-k] = np.minimum(best[:-k], rows[k:] + (k * s) ** 2)
-        d = np.moveaxis(best.reshape(np.moveaxis(d, axis, 0).shape), 0, axis)
-    return np.sqrt(d)
-
-
-def flood(height: np.ndarray, seeds: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Labels of ``seeds`` spread over the mask, lowest voxels first (watershed over the six neighbours)."""
-    out = np.where(mask, seeds, 0)
-    queue = [(height[tuple(p)], i, tuple(p)) for i, p in enumerate(np.argwhere(out > 0).tolist())]
-    heapq.heapify(queue)
-    count = len(queue)
-    while queue:
-        _, _, p = heapq.heappop(queue)
-        for axis in range(3):
-            for step in (-1, 1):
-                q = (*p[:axis], p[axis] + step, *p[axis + 1 :])
-                if 0 <= q[axis] < mask.shape[axis] and mask[q] and not out[q]:
-                    out[q] = out[p]
-                    heapq.heappush(queue, (max(height[q], height[p]), count, q))
-                    count += 1
-    return out
+        mean_below, mean_above = np.cumsum(n * mid) / below, (np.cumsum((n * mid)[::-1]) / above[::-1])[::-1]
+    return float(mid[np.nan_to_num(below[:-1] * above[1:] * (mean_below[:-1] - mean_above[1:]) ** 2).argmax()])
 
 
-def joined(mask: np.ndarray) -> np.ndarray:
-    """Labels of the parts of a mask that hang together over the six neighbours."""
-    out, label = np.zeros(mask.shape, np.int64), 0
-    for start in map(tuple, np.argwhere(mask).tolist()):
-        if out[start]:
-            continue
-        label += 1
-        out[start], stack = label, [start]
-        while stack:
-            p = stack.pop()
-            for axis in range(3):
-                for step in (-1, 1):
-                    q = (*p[:axis], p[axis] + step, *p[axis + 1 :])
-                    if 0 <= q[axis] < mask.shape[axis] and mask[q] and not out[q]:
-                        out[q] = label
-                        stack.append(q)
-    return out
+def least_volume(diameter: float, voxel: tuple[float, float, float], share: float) -> float:
+    """The fewest voxels of the full volume that a cell may have: a share of the ball's, each half axis at least half a voxel."""
+    return 4.0 / 3.0 * math.pi * math.prod(max(diameter / 2 / v, 0.5) for v in voxel) * share
 
 
-def segment(voxels: DataFrame, diameter: float, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Cells of every frame: frame, z, y, x, label (0: background).
+def segment(voxels: DataFrame, diameter: float, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), step: tuple[int, int, int] = (1, 1, 1), edge: int = B.EDGE) -> DataFrame:
+    """Cells of every frame: frame, z, y, x, label (0: background), value (what the threshold was applied to).
 
     Values between the 1st and the 99.9th percentile; minus a wide Gaussian;
     difference of Gaussians for the size of a cell; Otsu's threshold (on the
     values before, if fewer than 20 are positive; no cells if these are too few
     as well); touching cells are parted by flooding from the tops of the
-    distance to the border.
+    distance to the border.  With ``step`` only every so many voxels along an
+    axis are kept once values are scaled, and z, y, x count those.  All in
+    blocks of ``edge`` voxels, which does not change the result.  Cells are
+    numbered from 1 by the first voxel of their top.
     """
-    sigma = tuple(max(0.6, diameter / 4 / v) for v in voxel)
-    apart = tuple(max(1, int(np.round(diameter / v))) for v in voxel)
+    unit = tuple(v * s for v, s in zip(voxel, step))
+    sigma = tuple(max(0.6, diameter / 4 / u) for u in unit)
+    apart = tuple(max(1, int(np.round(diameter / u))) for u in unit)
 
-    def run(a: np.ndarray) -> dict:
-        lo, hi = np.percentile(a, [1.0, 99.9])
-        a = np.clip((a - lo) / (hi - lo if hi > lo else 1.0), 0.0, 1.0)
-        flat = np.clip(a - gauss(a, tuple(10 * s for s in sigma)), 0.0, None)
-        work = np.clip(gauss(flat, sigma) - gauss(flat, tuple(1.6 * s for s in sigma)), 0.0, None)
-        if (work > 0).sum() < 20:
-            work = flat
-        if (work > 0).sum() < 20:
-            return {"label": np.zeros(a.shape, np.int64)}
-        mask = work > otsu(work[work > 0])
-        far = edge_distance(mask, voxel)
-        top = far.copy()
-        for axis, r in enumerate(apart):
-            pad = np.pad(top, [(r, r) if i == axis else (0, 0) for i in range(3)], constant_values=-1.0)
-            top = np.max([np.take(pad, range(k, k + top.shape[axis]), axis) for k in range(2 * r + 1)], axis=0)
-        tops = joined(mask & (far == top) & (far > 0))
-        return {"label": flood(-far, tops, mask) if tops.any() else joined(mask)}
-
-    return by_volume(voxels, run, "label bigint")
+    def blur(a: np.ndarray, axis: int, times: float) -> np.ndarray:
+        return gauss(a, tuple(times * sigma[axis] if i == axis else 0.0 for i in range(3)))
+
+    name = B.frame_name(voxels)
+    rows = voxels.filter(" AND ".join(f"{a} >= 0" for a in AXES)).select(name.alias("_frame"), *AXES, F.nanvl(F.coalesce(F.col("value").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("value"))
+    counts = rows.groupBy("_frame", "value").agg(F.count(F.lit(1)).alias("_w"))
+    space = F.lit(1).cast("bigint")
+    for a in AXES:
+        space = space * (F.max(a) + 1)
+    empty = rows.groupBy("_frame").agg((space - F.count(F.lit(1))).alias("_w")).select("_frame", F.lit(0.0).alias("value"), "_w")
+    counts = stored(counts.unionByName(empty), "value-counts")
+    limits = quantiles(counts, ["_frame"], "value", {"low": 0.01, "high": 0.999}, "_w")
+    kept = voxels
+    for a, s in zip(AXES, step):
+        if s > 1:
+            kept = kept.filter(F.col(a) % s == 0).withColumn(a, (F.col(a) / s).cast("int"))
+    cut = B.blocks(kept, edge).join(limits, "_frame")
+
+    def scaled(a, row):
+        a = np.clip((a[0] - row["low"]) / (row["high"] - row["low"] if row["high"] > row["low"] else 1.0), 0.0, 1.0)
+        return np.stack([a, blur(a, 0, 10)])
+
+    def flattened(a, _):
+        return np.clip(a[:1] - blur(a[1], 2, 10), 0.0, None)
+
+    cut = B.along(B.along(B.along(cut, 0, scaled, edge), 1, lambda a, _: np.stack([a[0], blur(a[1], 1, 10)]), edge), 2, flattened, edge)
+    cut = B.along(cut, 0, lambda a, _: np.stack([a[0], blur(a[0], 0, 1), blur(a[0], 0, 1.6)]), edge)
+    cut = B.along(cut, 1, lambda a, _: np.stack([a[0], blur(a[1], 1, 1), blur(a[2], 1, 1.6)]), edge)
+    cut = stored(B.along(cut, 2, lambda a, _: np.stack([a[0], np.clip(blur(a[1], 2, 1) - blur(a[2], 2, 1.6), 0.0, None)]), edge).drop("low", "high"), "enhanced")
+
+    def positive(a, _):
+        each = [v[v > 0] for v in a]
+        return {"channel": [0, 1], "n": [v.size for v in each], "low": [v.min() if v.size else None for v in each], "high": [v.max() if v.size else None for v in each]}
+
+    spans = B.of_blocks(cut, ["_frame"], positive, "channel int, n bigint, low double, high double", edge).groupBy("_frame", "channel").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    used = spans.filter("n >= 20").groupBy("_frame").agg(F.max_by(F.struct("channel", "low", "high"), "channel").alias("_s")).select("_frame", "_s.*")
+    used = stored(used, "used-channels")
+
+    def binned(a, row):
+        v = a[row["channel"]]
+        n = np.histogram(v[v > 0], 256, (row["low"], row["high"]))[0]
+        return {"bin": np.flatnonzero(n), "n": n[n > 0]}
+
+    def threshold(pdf):
+        n = np.zeros(256, np.int64)
+        n[pdf.bin] = pdf.n
+        return pd.DataFrame({"_frame": pdf["_frame"][:1], "least": [otsu(n, pdf.low[0], pdf.high[0])]})
+
+    bins = B.of_blocks(cut.join(used, "_frame"), ["_frame", "low", "high"], binned, "bin int, n bigint", edge).groupBy("_frame", "low", "high", "bin").agg(F.sum("n").alias("n"))
+    least = stored(bins.groupBy("_frame").applyInPandas(threshold, "_frame string, least double"), "thresholds")
+    known = cut.join(used.select("_frame", "channel"), "_frame", "left").join(least, "_frame", "left").withColumns({"channel": F.coalesce("channel", F.lit(0)), "least": F.coalesce("least", F.lit(float("inf")))})
+
+    def inside(a, row):
+        a = a[int(row["channel"])]
+        return np.stack([a, B.nearest(np.where(a > row["least"], B.FAR, 0.0), 0, unit[0])])
+
+    def depth(a, _):
+        far = np.sqrt(B.nearest(a[1], 2, unit[2]))
+        return np.stack([a[0], far, B.widest(far, 2, apart[2])])
+
+    deep = B.along(B.along(B.along(known, 0, inside, edge), 1, lambda a, _: np.stack([a[0], B.nearest(a[1], 1, unit[1])]), edge), 2, depth, edge)
+    deep = B.along(deep, 1, lambda a, _: np.stack([a[0], a[1], B.widest(a[2], 1, apart[1])]), edge)
+    deep = stored(B.along(deep, 0, lambda a, _: np.stack([a[0], a[1], (a[1] > 0) & (B.widest(a[2], 0, apart[0]) == a[1])]), edge).drop("channel", "least"), "depths")
+    seeds = B.parts(deep, 2, edge)
+    out = B.flood(deep, 1, 2, seeds, edge)
+    remove(counts, limits, cut, used, least, deep, seeds)
+    return out

@@ -267,17 +267,6 @@ def test_segments_part_touching_cells(spark):
     assert {r.label for r in I.segment(df.withColumn("value", F.lit(1.0)), 7.0).collect()} == {0}
 
 
-def test_distance_and_parts_of_a_mask():
-    rng = np.random.default_rng(2)
-    mask = rng.random((4, 5, 6)) < 0.8
-    off = np.argwhere(~mask)
-    want = np.array([min(((((p - q) * (2.0, 1.0, 1.5)) ** 2).sum()) ** 0.5 for q in off) for p in np.argwhere(np.ones_like(mask))]).reshape(mask.shape)
-    assert np.allclose(I.edge_distance(mask, (2.0, 1.0, 1.5)), want)
-    two = np.zeros((1, 3, 5), bool)
-    two[0, :, 0] = two[0, 1, 3:] = True
-    assert I.joined(two).max() == 2
-
-
 def test_numbering_runs_through_all_datasets(spark):
     rows = [("b", "node", 2, 0, 0.5, 1.5, -3.0, -1, -1), ("a", "edge", -1, -1, -1.0, -1.0, -1.0, 1, 9), ("a", "node", 9, 0, 0.0, 0.0, 2.5, -1, -1), ("a", "node", 1, 3, 0.0, 0.0, 0.0, -1, -1)]
     schema = "dataset string, row_type string, node_id long, t long, z double, y double, x double, source_id long, target_id long"
