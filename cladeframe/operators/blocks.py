@@ -54,6 +54,11 @@ def schema(df: DataFrame, columns: list[str], more: str = "") -> str:
     return ", ".join([*(f"{c} {types[c]}" for c in columns), *([more] if more else [])])
 
 
+def dealt(df: DataFrame, key: list[str] | tuple[str, ...]) -> DataFrame:
+    """``df`` by ``key`` in all shuffle partitions: groups are few bytes and much work, so small partitions shall not be merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def size(row, axis: int, edge: int) -> int:
     return min(edge, int(row[SHAPE[axis]]) - int(row[PLACE[axis]]) * edge)
 
@@ -83,7 +88,7 @@ def blocks(voxels: DataFrame, edge: int = EDGE) -> DataFrame:
         return one.assign(data=[a.tobytes()])
 
     out = [*own, "_frame", *SHAPE, *PLACE]
-    return every.select(*out).groupBy(*KEY).cogroup(held.groupBy(*KEY)).applyInPandas(fill, schema(every, out, "data binary"))
+    return dealt(every.select(*out), KEY).groupBy(*KEY).cogroup(dealt(held, KEY).groupBy(*KEY)).applyInPandas(fill, schema(every, out, "data binary"))
 
 
 def along(df: DataFrame, axis: int, step: Callable[[np.ndarray, pd.Series], np.ndarray], edge: int = EDGE) -> DataFrame:
@@ -96,7 +101,7 @@ def along(df: DataFrame, axis: int, step: Callable[[np.ndarray, pd.Series], np.n
         cuts = np.split(out, range(edge, out.shape[axis + 1], edge), axis + 1)
         return pdf.assign(data=[np.ascontiguousarray(c, "<f8").tobytes() for c in cuts])
 
-    return df.groupBy(*key).applyInPandas(run, df.schema)
+    return dealt(df, key).groupBy(*key).applyInPandas(run, df.schema)
 
 
 def of_blocks(df: DataFrame, columns: list[str], function: Callable[[np.ndarray, pd.Series], dict], more: str, edge: int = EDGE) -> DataFrame:
@@ -317,7 +322,7 @@ def flood(df: DataFrame, depth: int, tops: int, seeds: DataFrame, edge: int = ED
     active, spent = ready, []
     while True:
         here = said.join(active.select(*KEY).distinct(), list(KEY), "left_semi") if active is not ready else said
-        fresh = stored(active.groupBy(*KEY).cogroup(here.groupBy(*KEY)).applyInPandas(told, schema(ready, list(KEY), FACE)), "faces")
+        fresh = stored(dealt(active, KEY).groupBy(*KEY).cogroup(dealt(here, KEY).groupBy(*KEY)).applyInPandas(told, schema(ready, list(KEY), FACE)), "faces")
         changed = stored(fresh.join(said, [*KEY, "axis", "upper", "level", "steps", "label"], "left_anti"), "faces")
         spent += [fresh, changed]
         if changed.isEmpty():
@@ -326,6 +331,6 @@ def flood(df: DataFrame, depth: int, tops: int, seeds: DataFrame, edge: int = ED
         spent.append(said)
         said, active = now, ready.join(changed.select(*KEY).distinct(), list(KEY), "left_semi")
     more = ", ".join([*(f"{a} int" for a in AXES), "label bigint", "value double"])
-    out = stored(ready.groupBy(*KEY).cogroup(said.groupBy(*KEY)).applyInPandas(labelled, schema(ready, own, more)), "labels")
+    out = stored(dealt(ready, KEY).groupBy(*KEY).cogroup(dealt(said, KEY).groupBy(*KEY)).applyInPandas(labelled, schema(ready, own, more)), "labels")
     remove(ready, said, *spent)
     return out

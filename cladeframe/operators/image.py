@@ -4,7 +4,7 @@ A frame is a value of those of ``dataset``, ``c`` (channel) and ``t`` that a
 table has; no operator mixes frames.  Neighbourhoods are fixed integer
 offsets, so they are equi-joins on shifted coordinates; suppression works in
 rounds over near pairs.  Separable filters of large reach, distances and floods
-run on blocks (``operators.blocks``); only the blob response still takes a frame a task.
+run on blocks of voxels (``operators.blocks``).
 """
 
 from __future__ import annotations
@@ -233,32 +233,23 @@ def gauss(a: np.ndarray, sigmas: tuple[float, ...]) -> np.ndarray:
     return a
 
 
-def by_volume(voxels: DataFrame, function, columns: str) -> DataFrame:
-    """``function`` on every frame as a dense array (missing voxels 0); it returns columns, a value a voxel each."""
-    own = frame(voxels)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = tuple(int(pdf[a].max()) + 1 for a in AXES)
-        a = np.zeros(shape)
-        a[pdf.z, pdf.y, pdf.x] = pdf.value
-        at = np.indices(shape).reshape(3, -1).astype("int32")
-        out = pd.DataFrame(dict(zip(AXES, at)) | {c: v.ravel() for c, v in function(a).items()})
-        for c in own:
-            out[c] = pdf[c].iloc[0]
-        return out
-
-    fields = [f"{c} {t}" for c, t in voxels.select(*own).dtypes] + [f"{a} int" for a in AXES]
-    return voxels.groupBy(*own).applyInPandas(run, ", ".join([*fields, columns]))
+def blob_response(voxels: DataFrame, sigmas: list[float], ratio: float = 1.6, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), edge: int = B.EDGE) -> DataFrame:
+    """Largest difference of Gaussians over several scales, by frame; ``sigmas`` in physical units, ``voxel`` the size of a voxel.
 
+    In blocks of ``edge`` voxels, a channel a Gaussian; voxels that are missing inside a frame are 0 and get a value.
+    """
+    widths = [w for s in sigmas for w in (s, s * ratio)]
 
-def blob_response(voxels: DataFrame, sigmas: list[float], ratio: float = 1.6, voxel: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Largest difference of Gaussians over several scales, by frame; ``sigmas`` in physical units, ``voxel`` the size of a voxel."""
+    def blur(a: np.ndarray, axis: int) -> np.ndarray:
+        each = a if len(a) == len(widths) else [a[0]] * len(widths)
+        return np.stack([gauss(v, tuple(w / voxel[axis] if i == axis else 0.0 for i in range(3))) for v, w in zip(each, widths)])
 
-    def run(a: np.ndarray) -> dict:
-        wide = lambda s: gauss(a, tuple(s / v for v in voxel))
-        return {"value": np.max([wide(s) - wide(s * ratio) for s in sigmas], axis=0)}
+    def response(a, _):
+        a = blur(a, 2)
+        return (a[::2] - a[1::2]).max(0, keepdims=True)
 
-    return by_volume(voxels, run, "value double")
+    cut = B.along(B.along(B.blocks(voxels, edge), 0, lambda a, _: blur(a[:1], 0), edge), 1, lambda a, _: blur(a, 1), edge)
+    return B.voxels_of(B.along(cut, 2, response, edge), [(0, "value")], edge)
 
 
 def rule_peaks(voxels: DataFrame, threshold: float = 0.0, stride: int = 2, limit: int = 800) -> DataFrame:

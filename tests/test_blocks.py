@@ -180,3 +180,16 @@ def test_distances_and_parts_of_a_mask():
     assert np.allclose(d[mask], want) and (B.nearest(np.full((2, 3, 4), B.FAR), 1, 1.0) == B.FAR).all()
     found, parts = B.parts_of(mask), whole_parts(mask)
     assert (found < 0).sum() == (~mask).sum() and len(set(zip(found[mask], parts[mask]))) == parts.max()
+
+
+def test_blob_response_in_blocks_equals_whole_arrays(spark):
+    volumes = {("a", 0): blobs((7, 13, 10), [(3, 4, 4), (3, 9, 6)], 6.0, 0.1, 8), (None, 1): blobs((2, 3, 3), [(0, 1, 1)], 2.0, 0.1, 9)}
+    out = I.blob_response(table(spark, volumes), [1.0, 2.5], 1.6, (2.0, 1.0, 1.0), edge=4)
+    assert out.columns == ["dataset", "t", "z", "y", "x", "value"]
+    for key, a in volumes.items():
+        want = np.max([I.gauss(a, (s / 2, s, s)) - I.gauss(a, (1.6 * s / 2, 1.6 * s, 1.6 * s)) for s in (1.0, 2.5)], axis=0)
+        rows = [r for r in out.collect() if (r.dataset, r.t) == key]
+        got = np.full(a.shape, np.nan)
+        for r in rows:
+            got[r.z, r.y, r.x] = r.value
+        assert len(rows) == a.size and np.allclose(got, want, atol=1e-12)
