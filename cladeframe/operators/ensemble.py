@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.operators.assign import first_come
+from cladeframe.operators.graph import components
+from cladeframe.operators.spatial import radius_join
+from cladeframe.scratch import stored
 
 
 def stack(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
@@ -20,11 +23,32 @@ def stack(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFra
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
 
+def apart(nodes: DataFrame, radius: float) -> DataFrame:
+    """``nodes`` with ``_part``: points of one frame in different parts can neither share a cluster nor change each other's.
+
+    A cluster has at most one point a graph.  Its k-th point lies within
+    ``radius`` of the mean of the others, so the mean moves by ``radius / k`` at
+    most, and no point of k is further from it than
+    ``radius (1/2 + ... + 1/k)``.  A point that a cluster of one graph less
+    than there are can take is thus within ``radius (1 + 1/2 + ... + 1/(graphs - 1))``
+    of each of its points; parts are what such distances connect.
+    """
+    graphs = nodes.select("graph").distinct().count()
+    reach = radius * sum(1.0 / k for k in range(1, max(graphs, 2))) * (1 + 1e-9)
+    name = (F.col("graph").cast("bigint") * 10**12 + F.col("node_id")).alias("node_id")
+    points = stored(nodes.select("dataset", "t", name, *(F.col(a).cast("double").alias(a) for a in "zyx")), "cluster-points")
+    near = radius_join(points, points, reach, 0, (1.0, 1.0, 1.0)).filter("left_id < right_id")
+    united = components(points.select("dataset", "node_id").distinct(), near.select("dataset", F.col("left_id").alias("source"), F.col("right_id").alias("target")))
+    part = united.select("dataset", F.col("node_id").alias("_name"), F.col("component").alias("_part"))
+    return nodes.withColumn("_name", name).join(part, ["dataset", "_name"], "left").drop("_name")
+
+
 def cluster(nodes: DataFrame, radius: float = 3.5) -> DataFrame:
     """dataset, t, graph, node_id, cluster: per frame each point joins the nearest cluster mean within ``radius`` that has no point of its graph.
 
     Points come in the order of graph, then id; of equal distances the later
-    cluster wins; the cluster is named by its first point.
+    cluster wins; the cluster is named by its first point.  Every part of a
+    frame (see :func:`apart`) is a group of its own.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,7 +93,7 @@ def cluster(nodes: DataFrame, radius: float = 3.5) -> DataFrame:
             out.append((r.dataset, r.t, r.graph, r.node_id, first[at]))
         return pd.DataFrame(out, columns=["dataset", "t", "graph", "node_id", "cluster"])
 
-    return nodes.groupBy("dataset", "t").applyInPandas(run, "dataset string, t int, graph int, node_id bigint, cluster bigint")
+    return apart(nodes, radius).groupBy("dataset", "t", "_part").applyInPandas(run, "dataset string, t int, graph int, node_id bigint, cluster bigint")
 
 
 def edge_votes(edges: DataFrame, members: DataFrame) -> DataFrame:

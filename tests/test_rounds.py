@@ -147,3 +147,28 @@ def test_clusters_by_cells_equal_the_scan_of_all(spark):
             at["graphs"].add(r.graph)
             want[t, r.graph, r.node_id] = at["name"]
     assert {(r.t, r.graph, r.node_id): r.cluster for r in C.cluster(nodes, 1.5).collect()} == want
+
+
+@pytest.mark.parametrize("graphs, radius", [(2, 2.0), (4, 1.5)])
+def test_clusters_by_parts_equal_the_sequence_of_a_frame(spark, graphs, radius):
+    rng = np.random.default_rng(graphs)
+    rows = [(d, t, int(i), *map(float, np.round(rng.uniform(0, (4, 12, 12)) * 2) / 2), g) for d in "ab" for t in (0, 1) for g in range(graphs) for i in rng.choice(500, 40, False) + 1000 * t]
+    nodes = spark.createDataFrame(rows, "dataset string, t int, node_id bigint, z double, y double, x double, graph int")
+    got = {(r.dataset, r.t, r.graph, r.node_id): r.cluster for r in C.cluster(nodes, radius).collect()}
+    want = {}
+    for d, t in {r[:2] for r in rows}:
+        found = []  # first point's name, points, graphs
+        for _, _, i, z, y, x, g in sorted((r for r in rows if r[:2] == (d, t)), key=lambda r: (r[6], r[2])):
+            near = [(sum((sum(p[a] for p in c[1]) / len(c[1]) - v) ** 2 for a, v in enumerate((z, y, x))) ** 0.5, -k) for k, c in enumerate(found) if g not in c[2]]
+            near = [n for n in near if n[0] <= radius]
+            if near:
+                at = found[-min(near)[1]]
+            else:
+                at = (g * 10**12 + i, [], set())
+                found.append(at)
+            at[1].append((z, y, x))
+            at[2].add(g)
+            want[d, t, g, i] = at[0]
+    assert got == want and len(set(want.values())) < len(want)
+    parts = C.apart(nodes, radius).groupBy("dataset", "t").agg(F.countDistinct("_part").alias("n")).collect()
+    assert all(r.n > 1 for r in parts) or graphs > 2
