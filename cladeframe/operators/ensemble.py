@@ -33,10 +33,11 @@ def apart(nodes: DataFrame, radius: float) -> DataFrame:
     than there are can take is thus within ``radius (1 + 1/2 + ... + 1/(graphs - 1))``
     of each of its points; parts are what such distances connect.
     """
+    nodes = stored(nodes, "cluster-points")
     graphs = nodes.select("graph").distinct().count()
     reach = radius * sum(1.0 / k for k in range(1, max(graphs, 2))) * (1 + 1e-9)
     name = (F.col("graph").cast("bigint") * 10**12 + F.col("node_id")).alias("node_id")
-    points = stored(nodes.select("dataset", "t", name, *(F.col(a).cast("double").alias(a) for a in "zyx")), "cluster-points")
+    points = nodes.select("dataset", "t", name, *(F.col(a).cast("double").alias(a) for a in "zyx"))
     near = radius_join(points, points, reach, 0, (1.0, 1.0, 1.0)).filter("left_id < right_id")
     united = components(points.select("dataset", "node_id").distinct(), near.select("dataset", F.col("left_id").alias("source"), F.col("right_id").alias("target")))
     part = united.select("dataset", F.col("node_id").alias("_name"), F.col("component").alias("_part"))
