@@ -33,8 +33,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.operators.graph import best_by
-from cladeframe.operators.spatial import radius_join
+from cladeframe.operators.spatial import mutual_nearest
 from cladeframe.scratch import remove, stored
 
 LOG = logging.getLogger("jobs.track_ledger")
@@ -77,11 +76,8 @@ def detections(partials: DataFrame) -> DataFrame:
 
 def mutual_links(here: DataFrame, there: DataFrame, gate: float) -> DataFrame:
     """dataset, t, source, target, distance of pairs within the gate in which each is the other's nearest."""
-    near = radius_join(here, there, gate, shift=1).select(
-        "dataset", "t", F.col("left_id").alias("source"), F.col("right_id").alias("target"), "distance", F.lit(0.0).alias("probability")
-    )
-    theirs = best_by(near, "target").select("dataset", "source", "target")
-    return best_by(near, "source").join(theirs, ["dataset", "source", "target"], "left_semi")
+    near = mutual_nearest(here, there, gate, shift=1)
+    return near.select("dataset", "t", F.col("left_id").alias("source"), F.col("right_id").alias("target"), "distance")
 
 
 def frames(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cladeframe.plans import catalog
 from tests.oracle import assert_same
@@ -25,3 +26,33 @@ MATCHED = ["as1_match_nodes", "ag7_edge_outcomes", "ag7_edge_confusion", "ag8_ad
 def test_scores_with_several_partners_equal_sql(spark, tmp_path, name):
     con = points(tmp_path, 1, copied="vec_id % 40 = 3" if name in ("ag10_micro_average", "ag13_score") else "TRUE")  # their SQL refuses contested divisions
     assert_same(catalog.queries()[name](spark, str(tmp_path)), con, catalog.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", ["jn3_nearest_three", "jn3_nearest_any", "ag26_local_spacing", "as11_division_proposals"])
+def test_searches_from_a_small_gate_equal_sql(spark, tmp_path, monkeypatch, name):
+    from cladeframe.operators import spatial
+
+    monkeypatch.setattr(spatial, "FEW_PAIRS", 0)  # as if the frames were dense
+    con = points(tmp_path, 3)
+    assert_same(catalog.queries()[name](spark, str(tmp_path)), con, catalog.oracle_sql()[name])
+
+
+AT = ("'d' dataset", "id node_id", "int(id % 2) t", "rand(1) * 100 z", "rand(2) * 100 y", "rand(3) * 100 x")
+
+
+def test_copies_for_neighbour_cells_are_not_broadcast(spark, tmp_path):
+    from cladeframe.operators import spatial
+
+    spark.range(40000).selectExpr(*AT).write.parquet(f"{tmp_path}/points")
+    at = spark.read.parquet(f"{tmp_path}/points")
+    plan = spatial.radius_join(at, at, 8.0, 1)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
+def test_dense_frames_start_small(spark):
+    from cladeframe.operators import spatial
+
+    at = spark.range(40000).selectExpr(*AT)
+    assert spatial._first_gate(at, at, 1, 64.0, 1, spatial.UNIT) <= 8.0
+    same = at.withColumns({a: F.lit(1.0) for a in "zyx"})
+    assert spatial.nearest(same, same, 2, 4.0, 1).groupBy().agg({"right_id": "max"}).first()[0] == 3  # of copies the smallest ids
