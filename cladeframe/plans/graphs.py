@@ -96,12 +96,12 @@ BEST = """SELECT dataset, source, target, round(probability, 6) AS probability F
 
 @query(with_tables("se", BEST.format("target", 1)))
 def rk3_best_parent(spark, d):
-    return G.best_by(A.scored_edges(A.nodes(spark, d)), "target").select("dataset", "source", "target", F.round("probability", 6).alias("probability"))
+    return G.best_by(A.scored_pairs(A.nodes(spark, d)), "target").select("dataset", "source", "target", F.round("probability", 6).alias("probability"))
 
 
 @query(with_tables("se", BEST.format("source", 2)))
 def rk3_best_children(spark, d):
-    return G.best_by(A.scored_edges(A.nodes(spark, d)), "source", k=2).select("dataset", "source", "target", F.round("probability", 6).alias("probability"))
+    return G.best_by(A.scored_pairs(A.nodes(spark, d)), "source", k=2).select("dataset", "source", "target", F.round("probability", 6).alias("probability"))
 
 
 @query(with_tables("e pe", """SELECT dataset, node_id FROM (SELECT *, row_number() OVER (ORDER BY -(node_id % 37), CAST(node_id AS VARCHAR)) AS r FROM e) WHERE r <= 100"""))
@@ -142,7 +142,7 @@ def rk6_long_or_dividing(spark, d):
   SELECT dataset, source, target FROM two WHERE r = 1 OR r = 2 AND source IN (SELECT source FROM pair)"""))
 def rk7_division_geometry(spark, d):
     n = A.nodes(spark, d)
-    return G.division_geometry(n, A.scored_edges(n), 25.0, 30.0).select("dataset", "source", "target")
+    return G.division_geometry(n, A.scored_pairs(n), 25.0, 30.0).select("dataset", "source", "target")
 
 
 @query(with_tables("e g", """cut AS (SELECT * FROM g WHERE source % 3 = 0) SELECT dataset, node_id FROM e WHERE node_id IN (SELECT source FROM cut UNION SELECT target FROM cut)"""))
@@ -165,7 +165,7 @@ def rk9_weak_leaves(spark, d):
   SELECT * FROM two"""))
 def as18_fallback_graph(spark, d):
     n = A.nodes(spark, d)
-    return G.fallback(n, A.scored_edges(n).select("dataset", "source", "target", "probability", "distance"))[1].select("dataset", "source", "target")
+    return G.fallback(n, A.scored_pairs(n))[1].select("dataset", "source", "target")
 
 
 @query(with_tables("u", "f AS (SELECT DISTINCT dataset, t FROM u) SELECT * FROM (SELECT dataset, t AS t0, lead(t) OVER (PARTITION BY dataset ORDER BY t) AS t1 FROM f) WHERE t1 IS NOT NULL"))

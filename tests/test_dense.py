@@ -56,3 +56,42 @@ def test_dense_frames_start_small(spark):
     assert spatial._first_gate(at, at, 1, 64.0, 1, spatial.UNIT) <= 8.0
     same = at.withColumns({a: F.lit(1.0) for a in "zyx"})
     assert spatial.nearest(same, same, 2, 4.0, 1).groupBy().agg({"right_id": "max"}).first()[0] == 3  # of copies the smallest ids
+
+
+def edges_of(spark):
+    """Edges with many equal probabilities and distances, as a table and as pairs made anew."""
+    from cladeframe.operators.pairs import Pairs
+
+    rows = [("d", s, 100 + t, float((s * 7 + t * 3) % 4) / 4, float((s + t) % 3)) for s in range(12) for t in range(9) if (s * t) % 5]
+    df = spark.createDataFrame(rows, "dataset string, source long, target long, probability double, distance double")
+
+    def make(source, target):
+        out = df
+        for figures, end in ((source, "source"), (target, "target")):
+            out = out if figures is None else out.join(figures, ["dataset", end], "left")
+        return out
+
+    return df, Pairs(make)
+
+
+@pytest.mark.parametrize("end", ["source", "target"])
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_best_of_pairs_equal_best_of_a_table(spark, end, k):
+    from cladeframe.operators import graph as G
+
+    df, pairs = edges_of(spark)
+    assert sorted(G.best_by(pairs, end, k=k).collect()) == sorted(G.best_by(df, end, k=k).select(*df.columns).collect())
+
+
+def test_figures_do_not_shuffle_the_pairs(spark):
+    """No window over all pairs, and no exchange after the join that makes them."""
+    from cladeframe.operators import track as K
+    from cladeframe.sources import adapters as A
+
+    n = A.nodes(spark, "/root/testdata/sf0.001")
+    out = K.mutual_bonus(A.scored_pairs(n), "probability").select("source", "target", "bonus_logit")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.index("ShuffledHashJoin") < plan.index("Exchange")
+    df, pairs = edges_of(spark)
+    for f in (lambda e: K.mutual_bonus(e, "probability").select("source", "target", "bonus_logit"), lambda e: K.candidates(e, 0.8, 0.2, 3, 1.5)):
+        assert sorted(f(pairs).collect()) == sorted(f(df).collect())
