@@ -105,6 +105,27 @@ def test_least_cost_graph_matches_all_subsets():
         assert price(found) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("few", [1, 8])
+def test_least_cost_graph_of_few_candidates_is_that_of_all(spark, monkeypatch, few):
+    from cladeframe.operators import flow as W
+
+    rng = random.Random(5)
+    at = {v: v // 15 for v in range(60)}
+    rows = [("d", a, b, rng.choice([0.3, 0.7, 0.8, 0.95, 1.0])) for a in at for b in at if at[b] == at[a] + 1]
+    n = spark.createDataFrame([("d", v, t) for v, t in at.items()], "dataset string, node_id bigint, t int")
+    monkeypatch.setattr(W, "FEW_EDGES", few)
+    kept, got = W.solve(n, spark.createDataFrame(rows, "dataset string, source bigint, target bigint, probability double"))
+
+    def price(picked):
+        s, t = [r[1] for r in picked], [r[2] for r in picked]
+        used = {*s, *t}
+        return sum(-r[3] for r in picked) + 0.1 * (len(used - set(t)) + len(used - set(s))) + sum(s.count(v) - 1 for v in set(s)), used
+
+    all_rows = [rows[i] for i in W.cheapest_edges([(a, at[a], b, at[b], -p) for _, a, b, p in rows], 0.1, 0.1, 1.0)]
+    cost, used = price([tuple(r) for r in got.collect()])
+    assert cost == pytest.approx(price(all_rows)[0]) and {r.node_id for r in kept.collect()} == used
+
+
 def test_pool_points_bridge_a_whole_chain_only(spark):
     # two ends compete for one start; only the farther one has a pool point on its way
     n = nodes(spark, (1, 0, 0, 0, 0), (2, 0, 0, 6, 0), (3, 2, 0, 2, 0))
