@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cladeframe.operators.assign import first_come
 from cladeframe.operators.graph import components
 from cladeframe.operators.spatial import radius_join
-from cladeframe.scratch import stored
+from cladeframe.scratch import by_task, stored
 
 
 def stack(graphs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +41,7 @@ def apart(nodes: DataFrame, radius: float) -> DataFrame:
     near = radius_join(points, points, reach, 0, (1.0, 1.0, 1.0)).filter("left_id < right_id")
     united = components(points.select("dataset", "node_id").distinct(), near.select("dataset", F.col("left_id").alias("source"), F.col("right_id").alias("target")))
     part = united.select("dataset", F.col("node_id").alias("_name"), F.col("component").alias("_part"))
-    return nodes.withColumn("_name", name).join(part, ["dataset", "_name"], "left").drop("_name")
+    return nodes.withColumn("_name", name).join(by_task(part), ["dataset", "_name"], "left").drop("_name")
 
 
 def cluster(nodes: DataFrame, radius: float = 3.5) -> DataFrame:
@@ -101,7 +101,7 @@ def edge_votes(edges: DataFrame, members: DataFrame) -> DataFrame:
     """dataset, source, target (clusters), votes: how many graphs' edges lead from one cluster to another."""
     s = members.select("dataset", "graph", F.col("node_id").alias("source"), F.col("cluster").alias("cs"), F.col("t").alias("ts"))
     t = members.select("dataset", "graph", F.col("node_id").alias("target"), F.col("cluster").alias("ct"), F.col("t").alias("tt"))
-    both = edges.join(s, ["dataset", "graph", "source"]).join(t, ["dataset", "graph", "target"]).filter("cs <> ct AND tt > ts")
+    both = edges.join(by_task(s), ["dataset", "graph", "source"]).join(by_task(t), ["dataset", "graph", "target"]).filter("cs <> ct AND tt > ts")
     return both.groupBy("dataset", F.col("cs").alias("source"), F.col("ct").alias("target")).agg(F.count(F.lit(1)).alias("votes"))
 
 
@@ -112,19 +112,19 @@ def consensus(graphs: list[tuple[DataFrame, DataFrame]], radius: float = 3.5, mi
     two, and one parent.
     """
     nodes, edges = stack(graphs)
-    members = cluster(nodes, radius)
-    full = members.join(nodes, ["dataset", "t", "graph", "node_id"])
+    members = stored(cluster(nodes, radius), "members")
+    full = members.join(by_task(nodes), ["dataset", "t", "graph", "node_id"])
     points = full.groupBy("dataset", F.col("cluster").alias("node_id"), "t").agg(
         F.count(F.lit(1)).alias("votes"), *(F.avg(a).alias(a) for a in "zyx")
     ).filter(F.col("votes") >= min_node_votes)
-    kept = members.join(points.select("dataset", F.col("node_id").alias("cluster")), ["dataset", "cluster"], "left_semi").select(*members.columns)
+    kept = members.join(by_task(points.select("dataset", F.col("node_id").alias("cluster"))), ["dataset", "cluster"], "left_semi").select(*members.columns)
     votes = edge_votes(edges, kept).filter(F.col("votes") >= min_edge_votes)
     out = edges.groupBy("dataset", "graph", F.col("source").alias("node_id")).agg(F.count(F.lit(1)).alias("k"))
-    room = kept.join(out, ["dataset", "graph", "node_id"], "left").groupBy("dataset", F.col("cluster").alias("source")).agg(
+    room = kept.join(by_task(out), ["dataset", "graph", "node_id"], "left").groupBy("dataset", F.col("cluster").alias("source")).agg(
         F.least(F.lit(2), F.greatest(F.lit(1), F.coalesce(F.max("k"), F.lit(1)))).cast("int").alias("room")
     )
     at = lambda key, p: points.select("dataset", F.col("node_id").alias(key), *(F.col(a).alias(p + a) for a in "zyx"))
-    ranked = votes.join(at("source", "s"), ["dataset", "source"]).join(at("target", "t"), ["dataset", "target"]).join(room, ["dataset", "source"])
+    ranked = votes.join(by_task(at("source", "s")), ["dataset", "source"]).join(by_task(at("target", "t")), ["dataset", "target"]).join(by_task(room), ["dataset", "source"])
     d = F.sqrt(sum(((F.col("s" + a) - F.col("t" + a)) * (F.col("s" + a) - F.col("t" + a)) for a in "zyx"), F.lit(0.0)))
     ranked = ranked.select("dataset", "source", "target", "votes", d.alias("distance"), "room", (-F.col("votes")).alias("_v"))
 

@@ -95,3 +95,19 @@ def test_figures_do_not_shuffle_the_pairs(spark):
     df, pairs = edges_of(spark)
     for f in (lambda e: K.mutual_bonus(e, "probability").select("source", "target", "bonus_logit"), lambda e: K.candidates(e, 0.8, 0.2, 3, 1.5)):
         assert sorted(f(pairs).collect()) == sorted(f(df).collect())
+
+
+def test_components_and_clusters_send_nothing_through_the_driver(spark, tmp_path):
+    from cladeframe.operators import ensemble, graph
+
+    spark.range(3000).selectExpr(*AT[:2], "0 t", *AT[3:], "int(id % 3) graph").write.parquet(f"{tmp_path}/points")
+    spark.range(2999).selectExpr("'d' dataset", "id source", "id + 1 + id % 7 target").write.parquet(f"{tmp_path}/edges")
+    at, edges = spark.read.parquet(f"{tmp_path}/points"), spark.read.parquet(f"{tmp_path}/edges")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    graph.components(at, edges).write.mode("overwrite").format("noop").save()
+    ensemble.cluster(at).write.mode("overwrite").format("noop").save()
+    runs = store.executionsList()
+    ids = [runs.apply(i).executionId() for i in range(before, runs.size())]
+    names = [nodes.apply(i).name() for nodes in (store.planGraph(i).allNodes() for i in ids) for i in range(nodes.size())]
+    assert "ShuffledHashJoin" in " ".join(names) and "BroadcastExchange" not in names
