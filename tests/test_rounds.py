@@ -172,3 +172,19 @@ def test_clusters_by_parts_equal_the_sequence_of_a_frame(spark, graphs, radius):
     assert got == want and len(set(want.values())) < len(want)
     parts = C.apart(nodes, radius).groupBy("dataset", "t").agg(F.countDistinct("_part").alias("n")).collect()
     assert all(r.n > 1 for r in parts) or graphs > 2
+
+
+def test_capped_greedy_takes_up_the_first_pairs_only(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [("d", t, t * 100 + a, t * 100 + 50 + b, rng.choice([0.5, 1.0, rng.random() * 30]), 9, 4) for t in range(4) for a in range(8) for b in range(8) if rng.random() < 0.7]
+    got, used, frames = [], set(), {}
+    for r in sorted(rows, key=lambda r: (r[4], r[2], r[3])):
+        if len(got) < 9 and frames.get(r[1], 0) < 4 and not {r[2], r[3]} & used:
+            got.append(r[2:4])
+            used |= {r[2], r[3]}
+            frames[r[1]] = frames.get(r[1], 0) + 1
+    df = spark.createDataFrame(rows, "dataset string, t int, source bigint, target bigint, cost double, room int, frame_room int")
+    for few in (1, 20, 100_000):
+        monkeypatch.setattr(S, "FEW_LOWEST", few)
+        taken = S.greedy(df, ["cost", "source", "target"], "source", "target", limit="room", frame="t", frame_limit="frame_room")
+        assert sorted((r.source, r.target) for r in taken.collect()) == sorted(got)
