@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions import scalar as X
 from cladeframe.operators import pairs as P
 from cladeframe.plans import catalog
+from cladeframe.sources import adapters as A
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -19,6 +20,20 @@ def test_pairs_are_made_once_for_figures_that_can_go_together(spark, monkeypatch
     assert made.count("figures") == rounds
 
 
+def test_a_source_with_figures_meets_its_targets_in_one_task(spark):
+    n = A.nodes(spark, SMALL)
+    figures = n.select("dataset", F.col("node_id").alias("source"), (F.col("node_id") * 3).alias("f"))
+    plain, known = A.scored_edges(n), A.scored_edges(n, source=figures)
+    assert sorted(known.drop("f").collect()) == sorted(plain.collect()) and known.filter("f <> source * 3 OR f IS NULL").isEmpty()
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = known.select("source", F.spark_partition_id().alias("task")).distinct().toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert tasks["task"].nunique() > 1 and tasks["source"].is_unique
+
+
 def test_the_largest_moved_value_is_known_without_the_rows(spark):
     """Groups of one row, of equal values, with nulls, and with values that are not finite."""
     inf, nan = float("inf"), float("nan")
