@@ -12,7 +12,7 @@ from cladeframe.sources import adapters as A
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, rounds", [("prj17_blend_adaptive", 2), ("prj17_blend_consensus", 2)])
+@pytest.mark.parametrize("name, rounds", [("prj17_blend_adaptive", 2), ("prj17_blend_consensus", 2), ("prj16_bidirectional_logits", 4)])
 def test_pairs_are_made_once_for_figures_that_can_go_together(spark, monkeypatch, name, rounds):
     made = []
     monkeypatch.setattr(P, "stored", lambda df, n: made.append(n) or df)
