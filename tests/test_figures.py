@@ -43,3 +43,13 @@ def test_the_largest_moved_value_is_known_without_the_rows(spark):
     w = Window.partitionBy("g")
     wrong = out.withColumns({"a": F.max("out").over(w), "b": F.max("l").over(w)}).filter("NOT (top_out <=> a AND top_l <=> b)")
     assert wrong.collect() == []
+
+
+@pytest.mark.parametrize("end, k", [("target", 1), ("source", 2)])
+def test_only_pairs_that_can_be_best_are_ranked(spark, end, k):
+    """Of the pairs of an end no more than the k best and their equals reach the window that ranks them."""
+    pairs = A.scored_pairs(A.nodes(spark, SMALL))
+    left = P.contenders(pairs, end, [-F.col("probability"), F.col("distance")], k)
+    ends = A.scored_edges(A.nodes(spark, SMALL)).groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+    most, made = ends.agg(F.sum(F.least("n", F.lit(k))), F.sum("n")).first()
+    assert left.count() == most and made > 10 * most
