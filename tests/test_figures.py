@@ -53,3 +53,13 @@ def test_only_pairs_that_can_be_best_are_ranked(spark, end, k):
     ends = A.scored_edges(A.nodes(spark, SMALL)).groupBy(end).agg(F.count(F.lit(1)).alias("n"))
     most, made = ends.agg(F.sum(F.least("n", F.lit(k))), F.sum("n")).first()
     assert left.count() == most and made > 10 * most
+
+
+def test_division_geometry_ranks_only_pairs_that_can_be_best(spark, monkeypatch):
+    from cladeframe.operators import graph as G
+
+    asked = []
+    plain = G.contenders
+    monkeypatch.setattr(G, "contenders", lambda pairs, end, values, k: asked.append((type(pairs), end, k)) or plain(pairs, end, values, k))
+    catalog.queries()["rk7_division_geometry"](spark, SMALL)
+    assert asked == [(P.Pairs, "source", 2)]
