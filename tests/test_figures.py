@@ -63,3 +63,27 @@ def test_division_geometry_ranks_only_pairs_that_can_be_best(spark, monkeypatch)
     monkeypatch.setattr(G, "contenders", lambda pairs, end, values, k: asked.append((type(pairs), end, k)) or plain(pairs, end, values, k))
     catalog.queries()["rk7_division_geometry"](spark, SMALL)
     assert asked == [(P.Pairs, "source", 2)]
+
+
+def test_hard_negatives_rank_a_short_list(spark):
+    """The rows of a window over all pairs; few of the pairs are ranked, and none is shuffled to be told from the true ones."""
+    from cladeframe.operators import track as K
+
+    n = A.nodes(spark, SMALL)
+    true = A.chain_edges(n)
+    columns = ["dataset", "source", "target", "rank"]
+    got, want = (K.hard_negatives(e, true, 20.0).select(*columns) for e in (A.scored_pairs(n), A.scored_edges(n)))
+    assert sorted(got.collect()) == sorted(want.collect())
+    plan = catalog.queries()["rk2_hard_negatives"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "_target_up_to_1" in plan
+
+
+@pytest.mark.parametrize("end", ["source", "target"])
+@pytest.mark.parametrize("k", [1, 3])
+def test_short_list_has_the_first_of_every_end(spark, end, k):
+    from tests.test_dense import edges_of
+
+    df, pairs = edges_of(spark)
+    w = Window.partitionBy(end).orderBy(F.desc("probability"), "distance", "source", "target")
+    first = lambda e: sorted(map(tuple, e.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("source", "target", "r").collect()))
+    assert first(P.shortlist(pairs, end, [-F.col("probability"), F.col("distance")], k)) == first(df)
